@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets
+from . import exact_dedup, secrets, topk, toxicity, warc
 
 QUERIES = {
+    "op2_warc": warc.query,
+    "op3_toxicity": toxicity.query,
     "op5_secret_ledger": secrets.query,
+    "op6_exact_topk": topk.query,
     "op9_exact_dedup": exact_dedup.query,
 }
-ORACLE_SQL = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op6_exact_topk": topk.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
