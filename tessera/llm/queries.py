@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, topk, toxicity, warc
+from . import exact_dedup, langid, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_secret_ledger": secrets.query,
     "op6_exact_topk": topk.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_language_id": langid.query,
 }
 ORACLE_SQL = {"op2_warc": warc.ORACLE, "op6_exact_topk": topk.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

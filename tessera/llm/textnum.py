@@ -23,6 +23,12 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64)
 
 
+_OTHER = np.array([not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
+_LETTERS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS[65:91] = _LETTERS[97:123]
+_LETTERS[_OTHER] = 0
+
+
 class Words(NamedTuple):
     start: np.ndarray  # byte position in the chunk
     size: np.ndarray  # bytes
@@ -51,9 +57,11 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, letters: bool = False) -> Words:
+    """``letters``: a word is a run of ASCII letters and bytes above 0x7F instead."""
+    space, codes = (_OTHER, _LETTERS) if letters else (_SPACE, _FOLDED if lower else _CODES)
     n, docs = len(data), len(offs) - 1
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     before = np.zeros(n, bool)
     before[1:] = solid[:-1]
     begins = offs[:-1][offs[:-1] < n]
@@ -73,7 +81,7 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
     longest = int(size.max())
     pw = _powers_to(longest)
     np.minimum(at, longest - 1, out=at)  # white space behind a word has the code 0
-    sums = np.add.reduceat((_FOLDED if lower else _CODES)[data[s0:]] * pw[at], start - s0)
+    sums = np.add.reduceat(codes[data[s0:]] * pw[at], start - s0)
     first = np.searchsorted(start, offs)
     doc = np.repeat(np.arange(docs), np.diff(first))
     return Words(start, size, doc, mix(sums + size.astype(np.uint64) * _Q), first)

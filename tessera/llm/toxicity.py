@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A feature is a hashed n-gram of code points (ASCII letters lower-cased), present or absent in a text. Its value is the log of
-the smoothed ratio of its document counts in toxic and other texts; a logistic regression is trained on those values.
+A feature is a hashed n-gram of code points, present or absent in a text; ASCII letters are lower-cased, and white space
+and ASCII marks all count as a blank. Its value is the log of
+the smoothed ratio of its document counts in toxic and other texts (a training text is left out of its own counts); a
+logistic regression is trained on those values. N-grams of few texts or with a ratio near 1 are not used.
 The classifier is fitted on at most ``max_train`` labelled rows (about; chosen by a hash of the id), dealt into ``shards``
-fixed shards: counts are summed over shards, each shard runs adaptive stochastic gradient steps over its rows, and the shards'
+fixed shards: counts are summed over shards, each shard runs normalised stochastic gradient steps over its rows, and the shards'
 weights are averaged (parameter mixing) for the next round. All texts are scored whole.
 
 Nulls, ties and repeats: null text is empty and is scored by the intercept alone; null or repeated ids are scored row by
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, read_table, staged, text_chunks
 
-BITS = 18
-ORDERS = (3, 4, 5)
+BITS = 20
+ORDERS = (5, 7)
 CHUNK = 1 << 20
 THRESHOLD = 0.3
 
@@ -37,6 +39,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         points, ends = data.astype(np.uint32), offs
     upper = (points >= 65) & (points <= 90)
     points[upper] += 32
+    points[(points < 48) | ((points > 57) & (points < 97)) | ((points > 122) & (points < 128))] = 32  # ASCII marks and white space
     doc = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(ends))
     keys = []
     h = points.copy()
@@ -71,55 +74,64 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> list[tuple[np.ndarray, int]]
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, rows = np.zeros((2, 1 << BITS), np.int64), [0, 0]
+    counts, rows = np.zeros((2, 1 << BITS), "<i4"), [0, 0]
     for f, y in _examples(batches):
         counts[y][f] += 1
         rows[y] += 1
     yield pa.RecordBatch.from_pydict({"counts": [counts.tobytes()], "negatives": [rows[0]], "positives": [rows[1]]})
 
 
-def _trainer(ratio: np.ndarray, start: np.ndarray, epochs: int, rate: float, decay: float, seed: int):
+class Ratios:
+    """Log-count ratios for texts that were not counted, and for counted texts of either label without their own count."""
+
+    def __init__(self, counts: np.ndarray, rows: tuple[int, int], smoothing: float, min_docs: int, min_ratio: float):
+        self.all = self._of(counts, rows, smoothing, (0, 0))
+        used = (counts.sum(axis=0) >= min_docs) & (np.abs(self.all) >= min_ratio)
+        self.all = np.where(used, self.all, 0).astype(np.float32)
+        self.own = [np.where(used, self._of(counts, rows, smoothing, less), 0).astype(np.float32) for less in ((1, 0), (0, 1))]
+
+    @staticmethod
+    def _of(counts: np.ndarray, rows: tuple[int, int], a: float, less: tuple[int, int]) -> np.ndarray:
+        side = lambda y: np.log((np.maximum(counts[y] - less[y], 0) + a) / (max(rows[y] - less[y], 0) + 2 * a))
+        return side(1) - side(0)
+
+
+def _trainer(ratios: Ratios, start: np.ndarray, epochs: int, rate: float, seed: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _examples(batches)
-        w = start[:-1].astype(np.float64)
-        b, gb = float(start[-1]), 1.0
-        seen = np.full(1 << BITS, 1.0)
+        rows = [(f[ratios.all[f] != 0], y) for f, y in _examples(batches)]
+        w, b = start[:-1].copy(), float(start[-1])
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 f, y = rows[i]
-                x = ratio[f]
-                z = b + float(w[f] @ x)
-                g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-                gw = g * x + decay * w[f]
-                seen[f] += gw * gw
-                w[f] -= rate * gw / np.sqrt(seen[f])
-                gb += g * g
-                b -= rate * g / gb**0.5
-        yield pa.RecordBatch.from_pydict({"w": [np.append(w, b).astype("<f8").tobytes()], "n": [len(rows)]})
+                x = ratios.own[y][f]
+                g = 1 / (1 + np.exp(-np.clip(b + float(w[f] @ x), -35, 35))) - y
+                w[f] -= (rate * g / (1 + float(x @ x))) * x
+                b -= 0.02 * g
+        yield pa.RecordBatch.from_pydict({"w": [np.append(w, b).astype("<f4").tobytes()], "n": [len(rows)]})
 
     return train
 
 
-def fit(examples: DataFrame, shards: int = 4, rounds: int = 2, epochs: int = 3, rate: float = 0.1, decay: float = 1e-5, smoothing: float = 0.5) -> np.ndarray:
+def fit(examples: DataFrame, shards: int = 4, rounds: int = 3, epochs: int = 6, rate: float = 0.5, smoothing: float = 1.0, min_docs: int = 8, min_ratio: float = 1.0) -> np.ndarray:
     """Weights per feature and, last, the intercept. ``examples``: key, text, toxic (0 or 1)."""
     labelled = examples.where(F.col("toxic").isNotNull())
-    sample = staged(labelled.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text", F.col("toxic").cast("int").alias("toxic")).repartition(shards, "key"), "train")
+    sample = staged(labelled.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text", F.col("toxic").cast("int").alias("toxic")), "train")
     # A shard's rows go through one task; the sample is bounded, so the shards are.
     dealt = sample.repartition(shards, F.pmod(F.xxhash64("key"), F.lit(shards)))
     counted = dealt.mapInArrow(_counter, "counts binary, negatives long, positives long").collect()
     neg, pos = sum(r.negatives for r in counted), sum(r.positives for r in counted)
-    out = np.zeros((1 << BITS) + 1)
+    out = np.zeros((1 << BITS) + 1, np.float32)
     if not neg or not pos:
         out[-1] = 0.0 if not neg + pos else (30.0 if pos else -30.0)
         return out
-    counts = sum(np.frombuffer(r["counts"], np.int64).reshape(2, -1) for r in counted) + smoothing
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    counts = sum(np.frombuffer(r["counts"], "<i4").reshape(2, -1) for r in counted)
+    ratios = Ratios(counts, (neg, pos), smoothing, min_docs, min_ratio)
     out[-1] = np.log(pos / neg)
     for k in range(rounds):
-        got = dealt.mapInArrow(_trainer(ratio, out, epochs, rate, decay, k), "w binary, n long").where("n > 0").collect()
-        out = sum(np.frombuffer(r.w, "<f8") * r.n for r in got) / sum(r.n for r in got)
-    return np.append(out[:-1] * ratio, out[-1])
+        got = dealt.mapInArrow(_trainer(ratios, out, epochs, rate, k), "w binary, n long").where("n > 0").collect()
+        out = (sum(np.frombuffer(r.w, "<f4") * r.n for r in got) / sum(r.n for r in got)).astype(np.float32)
+    return np.append(out[:-1] * ratios.all, out[-1])
 
 
 def _scorer(weights: np.ndarray):
