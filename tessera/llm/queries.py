@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, secrets, topk, toxicity, warc
+from . import exact_dedup, langid, lm, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.query,
     "op3_toxicity": toxicity.query,
+    "op4_language_model": lm.query,
     "op5_secret_ledger": secrets.query,
     "op6_exact_topk": topk.query,
     "op9_exact_dedup": exact_dedup.query,
