@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, lm, secrets, topk, toxicity, warc
+from . import exact_dedup, jaccard, langid, lm, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_model": lm.query,
     "op5_secret_ledger": secrets.query,
     "op6_exact_topk": topk.query,
+    "op7_jaccard_join": jaccard.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_language_id": langid.query,
 }
