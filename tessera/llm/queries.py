@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, langid, lm, secrets, topk, toxicity, warc
+from . import exact_dedup, jaccard, langid, lm, packing, secrets, topk, toxicity, warc
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op2_warc": warc.query,
     "op3_toxicity": toxicity.query,
     "op4_language_model": lm.query,
