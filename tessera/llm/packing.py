@@ -17,8 +17,10 @@ ties of score go to the earlier row. An empty table gives no rows. A very long t
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,12 @@ from .textnum import words
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CHUNK = 1 << 20
-#: words whose ids a task remembers, and bytes of text that are tokenized at once
-CACHE_WORDS = 3_000_000
+#: words and pieces of words whose ids a worker remembers
+CACHE_WORDS = 2_000_000
+CACHE_PIECES = 300_000
+#: words whose pieces the tokenizer finds by these rules alone: visible ASCII but the apostrophe, and Latin-1 letters
+_SAFE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 TOKENS = "doc_id long, n long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -43,34 +49,38 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.stop = self.tok.get_vocab_size(with_added_tokens=True) - 1
-        self.mark = self.tok.id_to_token(self.stop)  # a special token, which no word can hold unless it spells it
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xC0, 0x100)]
+        self.codes: dict[int, str] = {b: m for x in letters for b, m in zip(x.encode(), level.pre_tokenize_str(x)[0][0], strict=True)}
+        self.codes |= {b: chr(b) for b in range(0x21, 0x7F)}
         self.width = "<u2" if self.stop < 65536 else "<u4"
         self._clear()
 
     def _clear(self) -> None:
+        self.pieces: dict[str, list[int]] = {}
         self.known = np.empty(0, np.uint64)
         self.start = np.empty(0, np.int64)
         self.size = np.empty(0, np.int32)
         self.pool = np.empty(0, self.width)
 
-    def _word_ids(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [i for i, x in enumerate(texts) if self.mark in x]
-        plain = [x if self.mark not in x else "" for x in texts]
-        out: list[np.ndarray] = []
-        between = f" {self.mark} "
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
-            ids = np.array(self.tok.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, self.width)
-            out += np.split(ids, np.flatnonzero(ids == self.stop))[: len(part)]
-        out = [x[1:] if k % 256 else x for k, x in enumerate(out)]
-        for i in odd:
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, self.width)
+    def _safe_ids(self, text: str) -> list[int]:
+        """Ids of a word of safe characters: its runs of letters, single digits and runs of marks, each by the BPE model."""
+        out: list[int] = []
+        for piece in _RUNS.findall(text.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.codes.__getitem__, piece.encode())))]
+            out += ids
         return out
 
+    def _word_ids(self, texts: list[str]) -> list[list[int]]:
+        return [self._safe_ids(x) if _SAFE(x) and "<|" not in x else self.tok.encode(x, add_special_tokens=False).ids for x in texts]
+
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's END_ID included, and the n+1 bounds of the texts."""
         w = words(data, offs, lower=False)
@@ -86,7 +96,9 @@ class WordTokenizer:
             ids = self._word_ids(texts)
             size = np.fromiter(map(len, ids), np.int32, len(ids))
             begin = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, *ids])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.width, int(size.sum()))])
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces = {}
             self.start = np.insert(self.start, spot[new], begin)
             self.size = np.insert(self.size, spot[new], size)
             self.known = np.insert(self.known, spot[new], kinds[new])

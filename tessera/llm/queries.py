@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, langid, lm, packing, secrets, topk, toxicity, warc
+from . import exact_dedup, jaccard, langid, lm, mixing, packing, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_ledger": secrets.query,
     "op6_exact_topk": topk.query,
     "op7_jaccard_join": jaccard.query,
+    "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_language_id": langid.query,
 }

@@ -134,15 +134,18 @@ def fit(examples: DataFrame, shards: int = 4, rounds: int = 3, epochs: int = 6,
     return np.append(out[:-1] * ratios.all, out[-1])
 
 
-def _scorer(weights: np.ndarray):
-    w, b = weights[:-1].astype(np.float32), float(weights[-1])
+def _scores(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    doc, feat = features(data, offs)
+    z = float(weights[-1]) + np.bincount(doc, weights[feat], len(offs) - 1)
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
 
+def _scorer(weights: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in text_chunks(batch, "text", CHUNK):
-                doc, feat = features(data, offs)
-                z = b + np.bincount(doc, w[feat], rows.num_rows)
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in rows.schema.names if c != "text"], pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=[*[c for c in rows.schema.names if c != "text"], "score"])
+                keep = [c for c in rows.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array(_scores(data, offs, weights))], names=[*keep, "score"])
 
     return score
 
@@ -165,6 +168,18 @@ def score_documents(docs: DataFrame, examples: DataFrame, keep: list[str], **opt
     return docs.select(*keep, "text").mapInArrow(_scorer(weights), f"{schema}, score double")
 
 
+def filter_documents(docs: DataFrame, examples: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """Rows of ``docs`` whose score is below ``threshold``; all columns."""
+    weights = fit(examples, **options)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offs in text_chunks(batch, "text", CHUNK):
+                yield rows.filter(pa.array(_scores(data, offs, weights) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str, max_train: int = 16000) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
