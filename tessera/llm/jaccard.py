@@ -114,9 +114,11 @@ def _verifier(percent: int):
 
 
 def _bound(percent: int) -> str:
-    """Length and positional filters for a (smaller) and b that share a shingle at positions a_i and b_i of their orders."""
-    return f"""100 * n_a >= {percent} * n_b AND
-        (100 + {percent}) * (least(a_i, b_i) + 1 + least(n_a - a_i - 1, n_b - b_i - 1)) >= {percent} * (n_a + n_b)"""
+    """Length and positional filters for a (smaller) and b that share a shingle at positions a_i and b_i of their orders.
+
+    A similar pair is found at its first common shingle, where all of the overlap is still ahead on both sides.
+    """
+    return f"""100 * n_a >= {percent} * n_b AND (100 + {percent}) * least(n_a - a_i, n_b - b_i) >= {percent} * (n_a + n_b)"""
 
 
 def similarity_links(profiles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
