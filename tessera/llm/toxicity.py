@@ -82,13 +82,15 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ratios:
-    """Log-count ratios for texts that were not counted, and for counted texts of either label without their own count."""
+    """Log-count ratios of the features in use: ``all`` for texts that were not counted, ``own[y]`` for a counted text of label y."""
 
     def __init__(self, counts: np.ndarray, rows: tuple[int, int], smoothing: float, min_docs: int, min_ratio: float):
-        self.all = self._of(counts, rows, smoothing, (0, 0))
-        used = (counts.sum(axis=0) >= min_docs) & (np.abs(self.all) >= min_ratio)
-        self.all = np.where(used, self.all, 0).astype(np.float32)
-        self.own = [np.where(used, self._of(counts, rows, smoothing, less), 0).astype(np.float32) for less in ((1, 0), (0, 1))]
+        used = np.flatnonzero(counts.sum(axis=0) >= min_docs)
+        ratio = self._of(counts[:, used], rows, smoothing, (0, 0))
+        strong = np.abs(ratio) >= min_ratio
+        self.used, self.all = used[strong].astype(np.int32), ratio[strong].astype(np.float32)
+        part = counts[:, self.used]
+        self.own = [self._of(part, rows, smoothing, less).astype(np.float32) for less in ((1, 0), (0, 1))]
 
     @staticmethod
     def _of(counts: np.ndarray, rows: tuple[int, int], a: float, less: tuple[int, int]) -> np.ndarray:
@@ -98,7 +100,9 @@ class Ratios:
 
 def _trainer(ratios: Ratios, start: np.ndarray, epochs: int, rate: float, seed: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(f[ratios.all[f] != 0], y) for f, y in _examples(batches)]
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[ratios.used] = np.arange(len(ratios.used), dtype=np.int32)
+        rows = [(x[x >= 0], y) for f, y in _examples(batches) for x in (slot[f],)]
         w, b = start[:-1].copy(), float(start[-1])
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
@@ -113,34 +117,44 @@ def _trainer(ratios: Ratios, start: np.ndarray, epochs: int, rate: float, seed:
     return train
 
 
-def fit(examples: DataFrame, shards: int = 4, rounds: int = 3, epochs: int = 6, rate: float = 0.5, smoothing: float = 1.0, min_docs: int = 8, min_ratio: float = 1.0) -> np.ndarray:
-    """Weights per feature and, last, the intercept. ``examples``: key, text, toxic (0 or 1)."""
+def fit(examples: DataFrame, shards: int = 4, rounds: int = 3, epochs: int = 6, rate: float = 0.5, smoothing: float = 1.0, min_docs: int = 8, min_ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The features in use; their weights and, last, the intercept. ``examples``: key, text, toxic (0 or 1)."""
     labelled = examples.where(F.col("toxic").isNotNull())
     sample = staged(labelled.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text", F.col("toxic").cast("int").alias("toxic")), "train")
     # A shard's rows go through one task; the sample is bounded, so the shards are.
     dealt = sample.repartition(shards, F.pmod(F.xxhash64("key"), F.lit(shards)))
     counted = dealt.mapInArrow(_counter, "counts binary, negatives long, positives long").collect()
     neg, pos = sum(r.negatives for r in counted), sum(r.positives for r in counted)
-    out = np.zeros((1 << BITS) + 1, np.float32)
+    none = np.empty(0, np.int32)
     if not neg or not pos:
-        out[-1] = 0.0 if not neg + pos else (30.0 if pos else -30.0)
-        return out
-    counts = sum(np.frombuffer(r["counts"], "<i4").reshape(2, -1) for r in counted)
+        return none, np.array([0.0 if not neg + pos else (30.0 if pos else -30.0)], np.float32)
+    counts = np.zeros((2, 1 << BITS), "<i4")
+    for r in counted:
+        counts += np.frombuffer(r["counts"], "<i4").reshape(2, -1)
+    del counted
     ratios = Ratios(counts, (neg, pos), smoothing, min_docs, min_ratio)
+    del counts
+    out = np.zeros(len(ratios.used) + 1, np.float32)
     out[-1] = np.log(pos / neg)
     for k in range(rounds):
         got = dealt.mapInArrow(_trainer(ratios, out, epochs, rate, k), "w binary, n long").where("n > 0").collect()
         out = (sum(np.frombuffer(r.w, "<f4") * r.n for r in got) / sum(r.n for r in got)).astype(np.float32)
-    return np.append(out[:-1] * ratios.all, out[-1])
+    return ratios.used, np.append(out[:-1] * ratios.all, out[-1]).astype(np.float32)
 
 
-def _scores(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+Model = tuple[np.ndarray, np.ndarray]  # features in use; their weights and, last, the intercept
+
+
+def _scores(data: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
+    used, weights = model
+    dense = np.zeros(1 << BITS, np.float32)
+    dense[used] = weights[:-1]
     doc, feat = features(data, offs)
-    z = float(weights[-1]) + np.bincount(doc, weights[feat], len(offs) - 1)
+    z = float(weights[-1]) + np.bincount(doc, dense[feat], len(offs) - 1)
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _scorer(weights: np.ndarray):
+def _scorer(weights: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in text_chunks(batch, "text", CHUNK):
