@@ -1,4 +1,731 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the reconciliation operators and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codes, paths
+from ..operators import aggregates as agg
+from ..operators import generations, joins, windows
+from ..sources import readers, sinks
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir, f=f: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _units(t) -> DataFrame:
+    """lineitem as units: item = supplier, pos = part, attempt = line number, good unless returned."""
+    return t("lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_linenumber").alias("attempt"), F.col("l_partkey").alias("pos"), (F.col("l_returnflag") != "R").alias("good"), F.col("l_linestatus").alias("payload"))
+
+
+UNITS = "u AS (SELECT l_suppkey AS item, l_linenumber AS attempt, l_partkey AS pos, l_returnflag <> 'R' AS good, l_linestatus AS payload FROM lineitem)"
+
+
+def _cells(t) -> DataFrame:
+    """One row per (item, attempt, pos): repeated observations are good if one of them is."""
+    return _units(t).groupBy("item", "attempt", "pos").agg(F.max("good").alias("good"), F.max(F.when(F.col("good"), F.col("payload"))).alias("payload"))
+
+
+CELLS = UNITS + ", c AS (SELECT item, attempt, pos, bool_or(good) AS good, max(payload) FILTER (good) AS payload FROM u GROUP BY ALL)"
+
+
+def _url_path():
+    return F.regexp_replace("url", "^https?://", "")
+
+
+URL_PATH = "regexp_replace(url, '^https?://', '')"
+
+
+# Sources and sinks -------------------------------------------------------------------------------------------------
+@query("src1_event_fields", "SELECT event_id, props AS raw, json_valid(props) AS ok FROM events")
+def _(t):
+    parsed = F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"})
+    return t("events").select("event_id", F.col("props").alias("raw"), parsed.isNotNull().alias("ok"))
+
+
+@query("src2_kv_log", """
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line, event_type, event_id FROM events)
+SELECT user_id, coalesce(arg_max(CASE WHEN event_id % 2 = 0 THEN 'OK' ELSE 'PARTIAL' END, line) FILTER (event_type = 'purchase'), 'IN PROGRESS') AS status,
+       coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (event_type = 'click'), '') AS bad FROM e GROUP BY user_id""")
+def _(t):
+    w = windows.Window.partitionBy("user_id").orderBy("ts", "event_id")
+    text = F.when(F.col("event_type") == "purchase", F.concat(F.lit("[x] END | status="), F.when(F.col("event_id") % 2 == 0, "OK").otherwise("PARTIAL"))).when(F.col("event_type") == "click", F.concat(F.lit("[x] BAD_SECTOR | lba="), F.col("event_id").cast("string"), F.lit(" | why=click"))).otherwise("[x] NOTE | a=b")
+    lines = t("events").withColumn("line", F.row_number().over(w)).withColumn("text", text)
+    return readers.summarize_kv(readers.parse_kv_lines(lines, "user_id", "line", "text"), "user_id", "line").withColumn("bad", F.array_join(F.col("bad").cast("array<string>"), ","))
+
+
+@query("src3_range_states", """
+WITH r AS (SELECT l_suppkey AS item, l_orderkey * 10 + l_linenumber AS line, l_returnflag AS state, l_partkey AS start, CAST(l_quantity AS BIGINT) % 5 AS n FROM lineitem),
+e AS (SELECT item, line, state, unnest(range(start, start + n)) AS pos FROM r WHERE n > 0)
+SELECT item, pos, arg_max(state, line * 256 + ascii(state)) AS state FROM e GROUP BY item, pos""")
+def _(t):
+    r = t("lineitem").select(F.col("l_suppkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_returnflag").alias("state"), F.col("l_partkey").alias("start"), (F.col("l_quantity").cast("long") % 5).alias("n"))
+    return readers.range_states(r, "item", "line", "state", "start", "n")
+
+
+@query("src6_listing_states", "SELECT lower(source) AS path, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'live' END AS state, count(*) AS n FROM documents GROUP BY 1")
+def _(t):
+    return t("documents").groupBy(F.lower("source").alias("path")).agg(F.when(F.count("*") > 1, "ambiguous").otherwise("live").alias("state"), F.count("*").alias("n"))
+
+
+@query("src7_hash_inventory", "SELECT doc_id, strlen(text) AS bytes, sha256(text) AS sha FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("src8_cells", """
+WITH p AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 512.0) AS BIGINT))) AS pos FROM documents)
+SELECT doc_id, pos, sha256(substring(text, pos * 512 + 1, 512)) AS sha FROM p""")
+def _(t):
+    return joins.cells(t("documents"), ["doc_id"], "text", 512).select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2(F.col("cell").cast("binary"), 256).alias("sha"))
+
+
+@query("src10_valid_samples", "SELECT event_type AS kind, count(*) AS n, sum(value) AS total FROM events WHERE value > 0 AND value <= 86400 GROUP BY 1")
+def _(t):
+    return t("events").where("value > 0 AND value <= 86400").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("snk1_safe_cells", """SELECT p_partkey, CASE WHEN regexp_matches(ltrim(v), '^[=+@-]') THEN '''' || v ELSE v END AS cell FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '=' || p_name ELSE p_name END AS v FROM part)""")
+def _(t):
+    v = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("="), F.col("p_name"))).otherwise(F.col("p_name"))
+    return t("part").select("p_partkey", sinks.safe_cell(v).alias("cell"))
+
+
+@query("snk2_content_keys")
+def _(t):
+    status = t("orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("o_totalprice").cast("decimal(18,2)").alias("total"))
+    return status.withColumn("content_sha", sinks.content_key(status))
+
+
+@query("snk3_manifest", "SELECT source AS item, doc_id AS path, strlen(text) AS bytes, sha256(text) AS sha, count(*) OVER (PARTITION BY source) AS item_files FROM documents")
+def _(t):
+    d = t("documents").select(F.col("source").alias("item"), F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    return d.join(d.groupBy("item").agg(F.count("*").alias("item_files")), "item")
+
+
+@query("snk4_verify_manifest", """
+WITH a AS (SELECT doc_id AS path, strlen(text) AS bytes, sha256(text) AS sha FROM documents WHERE doc_id % 10 <> 3),
+b AS (SELECT doc_id AS path, strlen(text) AS bytes, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 10 <> 4)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'unlisted' ELSE 'hash' END AS problem
+FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.sha <> b.sha""")
+def _(t):
+    d = t("documents").select(F.col("doc_id").alias("path"), F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    return sinks.verify_manifest(d.where("path % 10 <> 3"), d.where("path % 10 <> 4").withColumn("sha", F.when(F.col("path") % 7 == 0, "x").otherwise(F.col("sha"))))
+
+
+@query("snk5_metrics", "UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS orders, sum(l_quantity) AS qty FROM lineitem) ON n, orders, qty INTO NAME metric VALUE value")
+def _(t):
+    return sinks.metric_table(t("lineitem").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"), F.sum("l_quantity").alias("qty")))
+
+
+# Projections -------------------------------------------------------------------------------------------------------
+@query("p1_category", f"""
+WITH x AS (SELECT page_id, lower({URL_PATH}) AS p, strlen(html) AS n FROM pages), y AS (SELECT *, string_split(p, '/')[-1] AS name FROM x)
+SELECT page_id, CASE WHEN len(list_filter(string_split(p, '/'), lambda q: q IN ('system volume information', '$recycle.bin', 'recycled', 'recycler'))) > 0 THEN 'os_metadata'
+  WHEN starts_with(name, '__') THEN 'internal' WHEN NOT contains(p, '/') AND name IN ('filelist.htm', 'filelist.html', 'filelist.txt') THEN 'tool_report'
+  WHEN n = 0 THEN 'empty' WHEN starts_with(name, '~') OR suffix(name, '.tmp') THEN 'temporary' ELSE 'payload' END AS category FROM y""")
+def _(t):
+    return t("pages").select("page_id", paths.category(_url_path(), F.octet_length("html")).alias("category"))
+
+
+@query("p2_origin", "SELECT page_id, 'filesystem' AS origin FROM pages")
+def _(t):
+    return t("pages").select("page_id", paths.origin(_url_path()).alias("origin"))
+
+
+@query("p3_normalized_path", f"""
+WITH x AS (SELECT page_id, replace({URL_PATH}, chr(92), '/') AS p FROM pages)
+SELECT page_id, CASE WHEN p = '' OR strlen(p) > 4096 OR regexp_matches(p, '[[:cntrl:]:*?"<>|]') OR len(list_filter(string_split(p, '/'), lambda q: q IN ('', '.', '..'))) > 0 THEN NULL ELSE lower(p) END AS path FROM x""")
+def _(t):
+    return t("pages").select("page_id", paths.normalized_path(_url_path()).alias("path"))
+
+
+@query("p4_delivery", f"SELECT page_id, array_to_string(list_filter(string_split({URL_PATH}, '/'), lambda q: q <> ''), '/') AS path, 'filesystem' AS method FROM pages")
+def _(t):
+    return t("pages").select("page_id", paths.delivery(_url_path()).alias("d")).select("page_id", "d.*")
+
+
+@query("p5_eligible", f"SELECT page_id, NOT starts_with(string_split({URL_PATH}, '/')[-1], '__') AS ok FROM pages")
+def _(t):
+    return t("pages").select("page_id", paths.eligible(_url_path()).alias("ok"))
+
+
+@query("p6_target_format", """
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' END AS family FROM part""")
+def _(t):
+    ext = F.element_at(F.array(*map(F.lit, ("doc", "wk1", "pps", "exe", "txt"))), (F.col("p_size") % 5 + 1).cast("int"))
+    return t("part").select("p_partkey", paths.target_format(F.concat(F.col("p_name"), F.lit("."), ext)).alias("family"))
+
+
+@query("p7_signature", """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'gif' WHEN 1 THEN 'rtf' WHEN 2 THEN 'bmp' END AS kind FROM pages""")
+def _(t):
+    head = F.element_at(F.array(*map(F.lit, ("GIF89a", "{\\rtf1", "BM", ""))), (F.col("page_id") % 4 + 1).cast("int"))
+    return t("pages").select("page_id", codes.signature(F.concat(head, F.col("html")).cast("binary")).alias("kind"))
+
+
+@query("p8_address", "SELECT l_orderkey, l_linenumber, l_partkey // 36 AS cylinder, (l_partkey // 18) % 2 AS head, l_partkey % 18 + 1 AS sector FROM lineitem")
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", codes.address(F.col("l_partkey"), 2, 18).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
+
+
+@query("p9_region", """
+SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 'boot' WHEN p_partkey < 4 THEN 'reserved' WHEN p_partkey < 40 THEN 'table' WHEN p_partkey < 80 THEN 'root' WHEN p_partkey < 80 + p_size * 20 THEN 'data' ELSE 'trailing' END AS region FROM part""")
+def _(t):
+    return t("part").select("p_partkey", codes.region(F.col("p_partkey"), F.lit(4), F.lit(40), F.lit(80), F.col("p_size") * 10, F.lit(2)).alias("region"))
+
+
+@query("p10_severity", """
+WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus <> 'O') AS m FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN m <= 2 THEN 'few' WHEN m <= 18 THEN 'localized' WHEN m <= n // 10 THEN 'moderate' ELSE 'severe' END AS severity FROM o""")
+def _(t):
+    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") != "O").alias("m"))
+    return o.select("o_custkey", codes.severity(F.col("m"), F.col("n")).alias("severity"))
+
+
+@query("p11_disposition", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'manual_recovered' WHEN o_orderkey % 7 = 0 THEN 'recovery' WHEN o_orderstatus = 'P' THEN 'in_progress' WHEN o_orderpriority = '5-LOW' THEN 'recovery'
+  WHEN o_totalprice > 200000 OR o_orderkey % 5 = 0 THEN 'recovery' ELSE 'extract' END AS action FROM orders""")
+def _(t):
+    presence = F.when(F.col("o_orderkey") % 11 == 0, "manual").when(F.col("o_orderkey") % 7 == 0, "invalid").when(F.col("o_orderkey") % 5 == 0, "attention").otherwise("none")
+    log = F.when(F.col("o_orderstatus") == "P", "in_progress").when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise("ok")
+    return t("orders").select("o_orderkey", codes.disposition(presence, log, F.col("o_totalprice") > 200000).alias("action"))
+
+
+@query("p13_exclusions", "SELECT CASE WHEN lang <> 'en' THEN 'language' WHEN n_chars < 200 THEN 'short' ELSE 'selected' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+def _(t):
+    return t("documents").groupBy(F.when(F.col("lang") != "en", "language").when(F.col("n_chars") < 200, "short").otherwise("selected").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("p14_single_candidate", """
+WITH c AS (SELECT c_nationkey AS item, c_mktsegment AS name, count(*) FILTER (c_acctbal >= 4000) AS good, count(*) FILTER (c_acctbal < 4000) AS bad FROM customer GROUP BY 1, 2),
+d AS (SELECT *, good >= 32 AS strong, good * 100 >= (good + bad) * 80 AND good + bad > 0 AS share, bad = 0 AND good * 100 <= (good + bad) * 5 AS weak FROM c),
+g AS (SELECT item, count(*) FILTER (strong) AS s, max(name) FILTER (strong) AS sn, count(*) FILTER (share) AS h, max(name) FILTER (share) AS hn, count(*) FILTER (NOT share AND NOT weak) AS o FROM d GROUP BY item),
+k AS (SELECT *, CASE WHEN s = 1 THEN sn WHEN s = 0 AND h = 1 AND o = 0 THEN hn END AS chosen FROM g)
+SELECT item, chosen, CASE WHEN chosen IS NOT NULL THEN NULL WHEN s > 1 THEN 'ambiguous' ELSE 'insufficient' END AS reason FROM k""")
+def _(t):
+    c = t("customer").groupBy(F.col("c_nationkey").alias("item"), F.col("c_mktsegment").alias("name")).agg(F.count_if(F.col("c_acctbal") >= 4000).alias("good"), F.count_if(F.col("c_acctbal") < 4000).alias("bad"))
+    return agg.single_candidate(c, "item", "name", "good", "bad")
+
+
+# Joins -------------------------------------------------------------------------------------------------------------
+@query("j1_bound_results", "SELECT l.doc_id, d.doc_id IS NOT NULL AS found, coalesce(d.n_chars % 2 = l.quality, FALSE) AS valid FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")
+def _(t):
+    d = t("documents").select("doc_id", F.lit(True).alias("f"), (F.col("n_chars") % 2).alias("h"))
+    return t("labels").join(d, "doc_id", "left").select("doc_id", F.coalesce("f", F.lit(False)).alias("found"), F.coalesce(F.col("h") == F.col("quality"), F.lit(False)).alias("valid"))
+
+
+@query("j2_file_roles", """
+SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') THEN 'original' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') THEN 'generated' ELSE 'untracked' END AS role FROM part""")
+def _(t):
+    seen = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max(F.col("l_returnflag") == "R").alias("r"), F.max(F.col("l_returnflag") == "A").alias("a"))
+    return t("part").join(seen, "p_partkey", "left").select("p_partkey", F.when(F.col("r"), "original").when(F.col("a"), "generated").otherwise("untracked").alias("role"))
+
+
+@query("j3_missing_originals", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def _(t):
+    return t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("j4_unconverted", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(t):
+    return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("j5_never_scanned", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def _(t):
+    return t("customer").join(t("orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("j6_claim_fallback", """
+WITH o AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), k AS (SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders)
+SELECT k AS item, coalesce(o.s, CASE WHEN c.c_acctbal < 0 THEN 'NEGATIVE' END, 'NO STATUS') AS claim, CASE WHEN o.s IS NOT NULL THEN 'index' WHEN c.c_acctbal < 0 THEN 'extraction' ELSE 'none' END AS origin
+FROM k LEFT JOIN o ON k.k = o.o_custkey LEFT JOIN customer c ON c.c_custkey = k.k""")
+def _(t):
+    o = t("orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("item")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
+    c = t("customer").select(F.col("c_custkey").alias("item"), F.when(F.col("c_acctbal") < 0, "NEGATIVE").alias("e"))
+    keys = t("customer").select(F.col("c_custkey").alias("item")).union(t("orders").select("o_custkey")).distinct()
+    return keys.join(o, "item", "left").join(c, "item", "left").select("item", F.coalesce("s", "e", F.lit("NO STATUS")).alias("claim"), F.when(F.col("s").isNotNull(), "index").when(F.col("e").isNotNull(), "extraction").otherwise("none").alias("origin"))
+
+
+@query("j7_claim_vs_inventory", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN k > 1 THEN 'duplicate' WHEN p_partkey IS NULL THEN 'missing' WHEN q <> p_size THEN 'size' ELSE 'ok' END AS state FROM l LEFT JOIN part ON l_partkey = p_partkey""")
+def _(t):
+    w = windows.Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber")
+    l = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q")).withColumn("k", F.row_number().over(w))
+    return l.join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", F.when(F.col("k") > 1, "duplicate").when(F.col("p_partkey").isNull(), "missing").when(F.col("q") != F.col("p_size"), "size").otherwise("ok").alias("state"))
+
+
+def _inventories(t):
+    d = t("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"), F.concat_ws("/", "source", "lang", (F.col("n_chars") % 50).cast("string")).alias("path"))
+    return d.where("id % 2 = 0").withColumnRenamed("id", "ref_id"), d.where("id % 2 = 1").withColumnRenamed("id", "cur_id")
+
+
+INVENTORIES = """d AS (SELECT doc_id AS id, sha256(text) AS sha, strlen(text) AS bytes, concat_ws('/', source, lang, CAST(n_chars % 50 AS VARCHAR)) AS path FROM documents),
+r0 AS (SELECT id AS ref_id, sha, bytes, path FROM d WHERE id % 2 = 0), c0 AS (SELECT id AS cur_id, sha, bytes, path FROM d WHERE id % 2 = 1),
+m1 AS (SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY path, sha ORDER BY ref_id) AS k FROM r0) r JOIN (SELECT *, row_number() OVER (PARTITION BY path, sha ORDER BY cur_id) AS k FROM c0) c USING (path, sha, k)),
+r1 AS (SELECT * FROM r0 WHERE ref_id NOT IN (SELECT ref_id FROM m1)), c1 AS (SELECT * FROM c0 WHERE cur_id NOT IN (SELECT cur_id FROM m1)),
+m2 AS (SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY sha, bytes ORDER BY ref_id) AS k FROM r1) r JOIN (SELECT *, row_number() OVER (PARTITION BY sha, bytes ORDER BY cur_id) AS k FROM c1) c USING (sha, bytes, k)),
+r2 AS (SELECT * FROM r1 WHERE ref_id NOT IN (SELECT ref_id FROM m2)), c2 AS (SELECT * FROM c1 WHERE cur_id NOT IN (SELECT cur_id FROM m2)),
+m3 AS (SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ref_id) AS k FROM r2) r JOIN (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cur_id) AS k FROM c2) c USING (path, k))"""
+
+
+@query("j8_bag_match", f"""WITH {INVENTORIES}
+SELECT ref_id, cur_id, 'match' AS status FROM m1 UNION ALL SELECT ref_id, cur_id, 'moved' FROM m2 UNION ALL SELECT ref_id, cur_id, 'changed' FROM m3
+UNION ALL SELECT ref_id, NULL, 'missing' FROM r2 WHERE ref_id NOT IN (SELECT ref_id FROM m3) UNION ALL SELECT NULL, cur_id, 'current_only' FROM c2 WHERE cur_id NOT IN (SELECT cur_id FROM m3)""")
+def _(t):
+    return joins.bag_match(*_inventories(t))
+
+
+@query("j9_residual_match", f"""WITH {INVENTORIES}, left_over AS (SELECT * FROM r2 WHERE ref_id NOT IN (SELECT ref_id FROM m3)), p AS (SELECT p_partkey AS cur_id, 'src' || CAST(p_size % 20 AS VARCHAR) || '/en/' || CAST(p_partkey % 50 AS VARCHAR) AS path FROM part)
+SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ref_id) AS k FROM left_over) r JOIN (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cur_id) AS k FROM p) c USING (path, k)""")
+def _(t):
+    left, right = _inventories(t)
+    lost = joins.bag_match(left, right).where("status = 'missing'").select("ref_id")
+    more = t("part").select(F.col("p_partkey").alias("cur_id"), F.concat(F.lit("src"), (F.col("p_size") % 20).cast("string"), F.lit("/en/"), (F.col("p_partkey") % 50).cast("string")).alias("path"), F.lit("-").alias("sha"), F.lit(-1).cast("long").alias("bytes"))
+    return joins.bag_match(left.join(lost, "ref_id", "left_semi"), more).where("status = 'changed'").select("ref_id", "cur_id")
+
+
+@query("j10_range_join", """
+WITH f AS (SELECT o_custkey AS item, o_orderkey AS path, epoch(o_orderdate) // 86400 AS first, epoch(o_orderdate) // 86400 + 30 AS last FROM orders), p AS (SELECT o_custkey AS item, epoch(o_orderdate) // 86400 AS pos FROM orders WHERE o_orderstatus = 'F')
+SELECT f.item, path, count(*) AS damaged FROM f JOIN p ON f.item = p.item AND pos BETWEEN first AND last GROUP BY ALL""")
+def _(t):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")).cast("long")
+    o = t("orders").select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("path"), day.alias("first"), (day + 30).alias("last"), "o_orderstatus")
+    points = o.where("o_orderstatus = 'F'").select("item", F.col("first").alias("pos"))
+    return joins.range_join(points, o.drop("o_orderstatus"), ["item"], "pos", "first", "last", 31).groupBy("item", "path").agg(F.count("*").alias("damaged"))
+
+
+J11 = """a AS (SELECT l_suppkey AS item, l_partkey AS pos, max(l_linestatus) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2), b AS (SELECT l_suppkey AS item, l_partkey AS pos, max(l_linestatus) AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+g AS (SELECT item, count(*) FILTER (a.v = b.v) AS agree, count(*) FILTER (a.v <> b.v) AS conflict FROM a JOIN b USING (item, pos) GROUP BY 1), k AS (SELECT item FROM a UNION SELECT item FROM b),
+h AS (SELECT item, coalesce(agree, 0) AS agree, coalesce(conflict, 0) AS conflict FROM k LEFT JOIN g USING (item))"""
+
+
+def _sides(t):
+    one = lambda cond: t("lineitem").where(cond).groupBy(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("pos")).agg(F.max("l_linestatus").alias("v"))
+    return one("l_returnflag = 'N'"), one("l_returnflag <> 'N'")
+
+
+@query("j11_conflict_gate", f"WITH {J11} SELECT item, agree, conflict, CASE WHEN conflict BETWEEN 1 AND 32 AND agree >= 128 AND 100 * conflict <= agree + conflict THEN 'pass' ELSE 'refuse' END AS gate FROM h")
+def _(t):
+    return joins.conflict_gate(joins.agreement(*_sides(t), "item", "pos", "v")).drop("verdict")
+
+
+@query("j23_agreement", f"WITH {J11} SELECT item, agree, conflict, CASE WHEN conflict > 0 THEN 'disagree' WHEN agree > 0 THEN 'consistent' ELSE 'no_overlap' END AS verdict FROM h")
+def _(t):
+    return joins.agreement(*_sides(t), "item", "pos", "v")
+
+
+@query("j12_mirror_fill", """
+WITH u AS (SELECT l_suppkey AS item, l_partkey AS pos, bool_and(l_returnflag <> 'R') AS good FROM lineitem GROUP BY 1, 2), d AS (SELECT item, pos % 50 AS off, min(pos) AS donor FROM u WHERE good GROUP BY 1, 2)
+SELECT u.item, pos, donor FROM u LEFT JOIN d ON u.item = d.item AND u.pos % 50 = d.off WHERE NOT good""")
+def _(t):
+    u = _units(t).groupBy("item", "pos").agg(F.min("good").alias("good"))
+    return joins.mirror_fill(u, "item", "pos", "good", 50)
+
+
+@query("j13_event_pairs", """
+WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) AS started FROM events WHERE event_type = 'view'), p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) AS finished FROM events WHERE event_type = 'purchase')
+SELECT user_id, k AS ticket, started, finished, CASE WHEN finished IS NULL THEN 'open' WHEN started IS NULL THEN 'orphan' ELSE 'paired' END AS state FROM v FULL JOIN p USING (user_id, k)""")
+def _(t):
+    w = windows.Window.partitionBy("user_id").orderBy("ts", "event_id")
+    one = lambda kind: t("events").where(F.col("event_type") == kind).withColumn("ticket", F.row_number().over(w)).withColumn("us", codes.micros(F.col("ts")))
+    return joins.pair_events(one("view"), one("purchase"), ["user_id", "ticket"], "us", "us")
+
+
+@query("j14_reuse", "SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'new' WHEN p_partkey % 4 = 0 THEN 'redo' ELSE 'reuse' END AS action FROM part")
+def _(t):
+    old = t("part").where("p_partkey % 9 <> 0").withColumn("p_size", F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return joins.reuse(t("part"), old, "p_partkey", ["p_name", "p_size", "p_type"])
+
+
+@query("j15_cell_compare", """
+WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 256.0) AS BIGINT))) AS pos FROM documents), x AS (SELECT doc_id, pos, substring(text, pos * 256 + 1, 256) AS cell FROM c),
+a AS (SELECT doc_id // 2 AS k, pos, cell FROM x WHERE doc_id % 2 = 0), b AS (SELECT doc_id // 2 AS k, pos, cell FROM x WHERE doc_id % 2 = 1)
+SELECT k, count(*) FILTER (a.cell = b.cell) AS agree, count(*) FILTER (a.cell <> b.cell) AS differ, count(*) FILTER (a.cell IS NULL OR b.cell IS NULL) AS unavailable FROM a FULL JOIN b USING (k, pos) GROUP BY k""")
+def _(t):
+    c = joins.cells(t("documents"), ["doc_id"], "text", 256).withColumn("cell", F.sha2("cell", 256)).withColumn("k", F.floor(F.col("doc_id") / F.lit(2)))
+    a, b = c.where("doc_id % 2 = 0").select("k", "pos", F.col("cell").alias("a")), c.where("doc_id % 2 = 1").select("k", "pos", F.col("cell").alias("b"))
+    return a.join(b, ["k", "pos"], "full_outer").groupBy("k").agg(F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if(F.col("a") != F.col("b")).alias("differ"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unavailable"))
+
+
+@query("j16_components", """
+WITH a AS (SELECT conv_id AS k, turn, text FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id - 1 AS k, turn, text FROM conversations WHERE conv_id % 2 = 1)
+SELECT k, count(*) FILTER (b.text IS NULL) AS left_only, count(*) FILTER (a.text IS NULL) AS right_only, count(*) FILTER (a.text IS NOT NULL AND b.text IS NOT NULL) AS both_sides, count(*) FILTER (a.text = b.text) AS equal_parts FROM a FULL JOIN b USING (k, turn) GROUP BY k""")
+def _(t):
+    c = t("conversations")
+    a = c.where("conv_id % 2 = 0").select(F.col("conv_id").alias("k"), "turn", F.col("text").alias("a"))
+    b = c.where("conv_id % 2 = 1").select((F.col("conv_id") - 1).alias("k"), "turn", F.col("text").alias("b"))
+    return a.join(b, ["k", "turn"], "full_outer").groupBy("k").agg(F.count_if(F.col("b").isNull()).alias("left_only"), F.count_if(F.col("a").isNull()).alias("right_only"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_sides"), F.count_if(F.col("a") == F.col("b")).alias("equal_parts"))
+
+
+@query("j17_diff_runs", """
+WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b, unnest(range(1, least(length(p_name), length(p_type)) + 1)) AS pos FROM part), d AS (SELECT p_partkey, pos FROM p WHERE a[pos] <> b[pos]),
+r AS (SELECT p_partkey, pos, pos - row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS g FROM d)
+SELECT p_partkey, min(pos) AS first, max(pos) AS last, count(*) AS length FROM r GROUP BY p_partkey, g""")
+def _(t):
+    n = F.least(F.length("p_name"), F.length("p_type"))
+    p = t("part").select("p_partkey", "p_name", "p_type", F.explode(F.sequence(F.lit(1), n)).alias("pos")).where(F.substring(F.col("p_name"), F.col("pos"), F.lit(1)) != F.substring(F.col("p_type"), F.col("pos"), F.lit(1)))
+    return windows.islands(p.withColumn("pos", F.col("pos").cast("long")), ["p_partkey"], "pos")
+
+
+@query("j18_containment", "SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS at, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS hits FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 32")
+def _(t):
+    got = joins.containment(t("benchmark"), t("documents").withColumnRenamed("text", "hay"), "item_id", "text", "doc_id", "hay")
+    return got.withColumn("offset", F.col("offset").cast("long")).withColumnRenamed("offset", "at")
+
+
+@query("j19_lineage", """WITH """ + CELLS + """, b AS (SELECT item, attempt, row_number() OVER (PARTITION BY item ORDER BY count(*) FILTER (NOT good), attempt DESC) AS k FROM c GROUP BY item, attempt),
+x AS (SELECT c.item, pos, arg_min(c.attempt, k) FILTER (good) AS source, min(payload) FILTER (good) AS lo, max(payload) FILTER (good) AS hi FROM c JOIN b USING (item, attempt) GROUP BY 1, 2), y AS (SELECT * FROM x WHERE item NOT IN (SELECT item FROM x WHERE lo <> hi) AND source IS NOT NULL)
+SELECT y.item, y.pos, y.source, c.payload FROM y JOIN c ON c.item = y.item AND c.pos = y.pos AND c.attempt = y.source""")
+def _(t):
+    cells = _cells(t)
+    merged, _refused = windows.composite(cells, "item", "attempt", "pos", "good", "payload")
+    return merged.where("source IS NOT NULL").join(cells.withColumnRenamed("attempt", "source"), ["item", "pos", "source"]).select("item", "pos", "source", "payload")
+
+
+@query("j20_extents", "SELECT conv_id, count(*) AS extents, sha256(string_agg(text, '' ORDER BY turn)) AS sha FROM conversations GROUP BY 1")
+def _(t):
+    return joins.trace_extents(t("conversations"), "conv_id", "turn", "text")
+
+
+@query("j21_status_disagreement", "SELECT o_orderkey, o_orderstatus AS claimed, CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_and(l_linestatus = 'O') THEN 'O' ELSE 'P' END AS derived FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2 HAVING lower(derived) <> lower(claimed)")
+def _(t):
+    g = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("lo"), F.max("l_linestatus").alias("hi"))
+    derived = F.when((F.col("lo") == "F") & (F.col("hi") == "F"), "F").when((F.col("lo") == "O") & (F.col("hi") == "O"), "O").otherwise("P")
+    return t("orders").join(g, "o_orderkey").select("o_orderkey", F.col("o_orderstatus").alias("claimed"), derived.alias("derived")).where(F.lower("claimed") != F.lower("derived"))
+
+
+@query("j22_retirable", """
+WITH d AS (SELECT doc_id, source AS item, sha256(text) AS sha FROM documents), a AS (SELECT item, sha, count(*) AS n FROM d WHERE doc_id % 3 = 0 GROUP BY ALL), b AS (SELECT item, sha, count(*) AS n FROM d WHERE doc_id % 3 <> 0 GROUP BY ALL)
+SELECT a.item, a.sha, coalesce(b.n >= a.n, FALSE) AS covered FROM a LEFT JOIN b USING (item, sha)""")
+def _(t):
+    d = t("documents").select("doc_id", F.col("source").alias("item"), F.sha2("text", 256).alias("sha"))
+    count = lambda cond: d.where(cond).groupBy("item", "sha").agg(F.count("*").alias("n"))
+    return agg.covers(count("doc_id % 3 <> 0"), count("doc_id % 3 = 0"), ["item", "sha"])
+
+
+@query("j24_verified", "SELECT d.doc_id, coalesce(l.quality = 1, FALSE) AND d.n_chars > 100 AS verified FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def _(t):
+    return t("documents").join(t("labels"), "doc_id", "left").select("doc_id", (F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.col("n_chars") > 100)).alias("verified"))
+
+
+@query("j26_snapshot_changes", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 1 THEN 'removed' WHEN p_partkey % 10 = 2 THEN 'added' ELSE 'changed' END AS change FROM part WHERE p_partkey % 10 IN (1, 2, 3)")
+def _(t):
+    p = t("part")
+    after = p.where("p_partkey % 10 <> 1").withColumn("p_size", F.when(F.col("p_partkey") % 10 == 3, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return joins.snapshot_changes(p.where("p_partkey % 10 <> 2"), after, "p_partkey", ["p_size", "p_name"])
+
+
+# Aggregations ------------------------------------------------------------------------------------------------------
+@query("agg1_rollup", """
+WITH o AS (SELECT o_custkey, count(*) AS attempts, arg_max(o_totalprice, o_orderkey) AS latest, min(o_totalprice) AS best FROM orders GROUP BY 1)
+SELECT count(*) AS items, sum(attempts) AS attempts, count(*) FILTER (best < 50000) AS ok, count(*) FILTER (latest > best) AS regressed FROM o""")
+def _(t):
+    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("attempts"), F.max_by("o_totalprice", "o_orderkey").alias("latest"), F.min("o_totalprice").alias("best"))
+    return o.agg(F.count("*").alias("items"), F.sum("attempts").alias("attempts"), F.count_if(F.col("best") < 50000).alias("ok"), F.count_if(F.col("latest") > F.col("best")).alias("regressed"))
+
+
+@query("agg2_summary", """
+SELECT count(*) AS units, count(*) FILTER (l_returnflag = 'R') AS bad, count(*) FILTER (l_linestatus = 'F') AS final, CASE WHEN count(*) = 0 THEN 0 ELSE 100.0 * count(*) FILTER (l_returnflag <> 'R') / count(*) END AS success FROM lineitem""")
+def _(t):
+    good = F.count_if(F.col("l_returnflag") != "R")
+    return t("lineitem").agg(F.count("*").alias("units"), F.count_if(F.col("l_returnflag") == "R").alias("bad"), F.count_if(F.col("l_linestatus") == "F").alias("final"), F.when(F.count("*") == 0, 0.0).otherwise(good * 100.0 / F.count("*")).alias("success"))
+
+
+@query("agg3_merged_counters", """
+SELECT n AS key, (SELECT count(*) FROM customer WHERE c_nationkey = n) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n) AS suppliers, (SELECT count(*) FROM nation WHERE n_regionkey = n) AS nations
+FROM (SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_regionkey FROM nation)""")
+def _(t):
+    key = lambda name, c: t(name).select(F.col(c).alias("k"))
+    return agg.merged_counters("k", {"customers": key("customer", "c_nationkey"), "suppliers": key("supplier", "s_nationkey"), "nations": key("nation", "n_regionkey")})
+
+
+@query("agg4_last_committed", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, count(*) AS commits FROM events GROUP BY 1")
+def _(t):
+    return agg.last_committed(t("events"), "user_id", ["ts", "event_id"], ["event_type", "value"])
+
+
+@query("agg5_timing", """
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, avg(value) AS mean, median(value) AS median, max(value) FILTER (k = (n * 95 + 99) // 100) AS p95 FROM r GROUP BY 1""")
+def _(t):
+    return agg.timing_stats(t("events"), ["event_type"], "value")
+
+
+FORECAST = """r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value > 0 AND value <= 86400),
+f AS (SELECT event_type, count(*) AS samples, max(value) FILTER (k = (n - 1) // 4) * 7 AS low, max(value) FILTER (k = ((n - 1) * 3 + 3) // 4) * 7 AS high, max(value) FILTER (k = n // 2) AS median FROM r GROUP BY 1)"""
+
+
+@query("agg6_forecast", f"WITH {FORECAST} SELECT *, CAST(NULL AS VARCHAR) AS reason FROM f")
+def _(t):
+    return agg.forecast(t("events"), ["event_type"], "value", 7)
+
+
+@query("agg7_envelope", f"WITH {FORECAST} SELECT length(event_type) AS grp, max(low) AS low, sum(high) AS high FROM f GROUP BY 1")
+def _(t):
+    f = agg.forecast(t("events"), ["event_type"], "value", 7).withColumn("grp", F.length("event_type").cast("long"))
+    return agg.envelope(f, ["grp"], "low", "high")
+
+
+@query("agg8_rates", "SELECT l_returnflag, l_linestatus, count(*) AS samples, sum(l_extendedprice) / sum(l_quantity) AS per_unit FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1, 2")
+def _(t):
+    return agg.rates(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice")
+
+
+@query("agg9_action_ledger", "SELECT user_id, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type IN ('view', 'click')) AS total, count(*) FILTER (event_type IN ('view', 'click')) > 0 AS observed FROM events GROUP BY 1")
+def _(t):
+    return agg.action_ledger(t("events"), "user_id", "event_type", ["view", "click"])
+
+
+@query("agg10_impact", "SELECT d.source, count(l.doc_id) AS inspected, count(*) FILTER (l.doc_id IS NULL) AS refused, sum(l.toxic) AS affected FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def _(t):
+    j = t("documents").select("doc_id", "source").join(t("labels").withColumn("hit", F.lit(1)), "doc_id", "left")
+    return j.groupBy("source").agg(F.count("hit").alias("inspected"), F.count_if(F.col("hit").isNull()).alias("refused"), F.sum("toxic").alias("affected"))
+
+
+@query("agg11_class_counts", "SELECT CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'partial' ELSE 'attention' END AS class, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    s = F.col("o_orderstatus")
+    return t("orders").groupBy(F.when(s == "F", "complete").when(s == "P", "partial").otherwise("attention").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("agg12_status_counts", "SELECT coalesce(CAST(l.quality AS VARCHAR), 'unknown') AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def _(t):
+    return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("agg13_counterfactual", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice < 100000) AS ok, count(*) FILTER (o_orderstatus = 'F') AS without_gate FROM orders GROUP BY 1")
+def _(t):
+    f = F.col("o_orderstatus") == "F"
+    return t("orders").groupBy("o_orderpriority").agg(F.count_if(f & (F.col("o_totalprice") < 100000)).alias("ok"), F.count_if(f).alias("without_gate"))
+
+
+@query("agg14_consensus", """
+WITH g AS (SELECT l_suppkey AS item, l_partkey AS pos, count(DISTINCT l_linestatus) FILTER (l_returnflag <> 'R') AS hashes, bool_or(l_linestatus = 'F' AND l_returnflag <> 'R') AS hit FROM lineitem GROUP BY 1, 2)
+SELECT item, pos, hashes, CASE WHEN hashes > 1 THEN 'conflicting' WHEN coalesce(hit, FALSE) THEN 'validated' ELSE 'unconfirmed' END AS state FROM g""")
+def _(t):
+    return agg.observation_consensus(_units(t), ["item", "pos"], "good", "payload", F.lit("F")).withColumn("hashes", F.col("hashes").cast("long"))
+
+
+@query("agg15_track_summary", "SELECT user_id, count(DISTINCT event_type) AS ids, count(*) - count(DISTINCT value) AS repeats, count(DISTINCT event_type) FILTER (value > 50) AS valid_ids FROM events GROUP BY 1")
+def _(t):
+    return t("events").groupBy("user_id").agg(F.countDistinct("event_type").alias("ids"), (F.count("*") - F.countDistinct("value")).alias("repeats"), F.countDistinct(F.when(F.col("value") > 50, F.col("event_type"))).alias("valid_ids"))
+
+
+@query("agg16_audit", """
+WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS partial, count(*) FILTER (o_totalprice > 300000) AS failed FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_acctbal < -900 THEN 'CHECK: IMAGE MISSING' WHEN coalesce(n, 0) = 0 THEN 'CHECK: NO RECOVERED FILES' WHEN coalesce(failed, 0) > 0 THEN 'CHECK: CONVERSION FAILED' WHEN coalesce(partial, 0) > 0 THEN 'PARTIAL: CONVERSION' WHEN c_mktsegment <> 'BUILDING' THEN 'PARTIAL: IMAGE READ' ELSE 'OK' END AS status,
+concat_ws('; ', CASE WHEN failed > 0 THEN 'failed' END, CASE WHEN n IS NULL THEN 'no orders' END, CASE WHEN partial > 0 THEN 'partial' END) AS issues FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def _(t):
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"), F.count_if(F.col("o_totalprice") > 300000).alias("failed"))
+    j = t("customer").join(o, "c_custkey", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    status = codes.item_status(F.col("c_acctbal") >= -900, zero("n"), F.lit(0), zero("failed"), zero("partial"), F.when(F.col("c_mktsegment") == "BUILDING", "OK").otherwise("NO"))
+    issues = F.array_sort(F.array_compact(F.array(F.when(F.col("failed") > 0, "failed"), F.when(F.col("n").isNull(), "no orders"), F.when(F.col("partial") > 0, "partial"))))
+    return j.select("c_custkey", status.alias("status"), F.array_join(issues, "; ").alias("issues"))
+
+
+@query("agg17_coverage", "SELECT lang AS generation, sha256(text) AS sha, strlen(text) AS bytes, count(*) AS copies, count(*) FILTER (doc_id % 2 = 0) AS reachable FROM documents GROUP BY ALL")
+def _(t):
+    d = t("documents").select("doc_id", F.col("lang").alias("generation"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"))
+    return agg.coverage(d, ["generation", "sha", "bytes"], F.col("doc_id") % 2 == 0)
+
+
+@query("agg18_throughput", """
+WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS done, count(DISTINCT event_type) AS items, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS h FROM events GROUP BY 1)
+SELECT user_id, items, CASE WHEN done > 0 AND h > 0 THEN items / h END AS per_hour FROM g""")
+def _(t):
+    return agg.throughput(t("events"), "user_id", "ts", "event_type", "purchase", "event_type")
+
+
+@query("agg19_outcomes", "SELECT CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'P' THEN 'PARTIAL' ELSE 'FAILED' END AS outcome, count(*) AS jobs, sum(o_orderkey % 2) AS retried FROM orders GROUP BY 1")
+def _(t):
+    s = F.col("o_orderstatus")
+    return t("orders").groupBy(F.when(s == "F", "OK").when(s == "P", "PARTIAL").otherwise("FAILED").alias("outcome")).agg(F.count("*").alias("jobs"), F.sum(F.col("o_orderkey") % 2).alias("retried"))
+
+
+@query("agg20_claim_check", "WITH " + CELLS + """, v AS (SELECT item, pos, count(DISTINCT payload) AS h, count(*) AS n FROM c WHERE good GROUP BY 1, 2), k AS (SELECT DISTINCT item, pos FROM c)
+SELECT k.item, count(*) FILTER (h = 1 AND n > 1) AS validated, count(*) FILTER (h = 1 AND n = 1) AS unconfirmed, count(*) FILTER (h > 1) AS conflicting, count(*) FILTER (h IS NULL) AS unresolved, count(*) AS size FROM k LEFT JOIN v USING (item, pos) GROUP BY 1""")
+def _(t):
+    s = windows.consensus(_cells(t), "item", "pos", "attempt", "good", "payload")
+    one = lambda name: F.count_if(F.col("state") == name)
+    return s.groupBy("item").agg(one("corroborated").alias("validated"), one("single").alias("unconfirmed"), one("conflict").alias("conflicting"), one("unreadable").alias("unresolved"), F.count("*").alias("size"))
+
+
+# Windows -----------------------------------------------------------------------------------------------------------
+@query("w1_best_attempt", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus <> 'F', o_totalprice, o_orderkey DESC) = 1")
+def _(t):
+    return windows.best_attempt(t("orders"), "o_custkey", [F.col("o_orderstatus") != "F", F.col("o_totalprice"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("w2_latest_attempt", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, count(*) AS attempts FROM orders GROUP BY 1")
+def _(t):
+    return windows.latest_attempt(t("orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
+
+
+@query("w3_attempt_changes", """
+WITH u AS (SELECT DISTINCT l_suppkey AS item, l_linenumber AS a, l_partkey AS pos FROM lineitem), r AS (SELECT item, a, row_number() OVER (PARTITION BY item ORDER BY a DESC) AS k FROM (SELECT DISTINCT item, a FROM u)),
+m AS (SELECT item, pos, bool_or(k = 1) AS now, bool_or(k = 2) AS before FROM u JOIN r USING (item, a) WHERE k <= 2 GROUP BY 1, 2)
+SELECT item, count(*) FILTER (NOT now) AS recovered, count(*) FILTER (NOT before) AS newly_bad, count(*) FILTER (now AND before) AS still_bad FROM m WHERE item IN (SELECT item FROM r WHERE k = 2) GROUP BY 1""")
+def _(t):
+    return windows.attempt_changes(_units(t), "item", "attempt", "pos")
+
+
+@query("w4_islands", """
+WITH p AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS pos FROM lineitem), r AS (SELECT item, pos, pos - row_number() OVER (PARTITION BY item ORDER BY pos) AS g FROM p)
+SELECT item, min(pos) AS first, max(pos) AS last, count(*) AS length FROM r GROUP BY item, g""")
+def _(t):
+    return windows.islands(_units(t), ["item"], "pos")
+
+
+@query("w5_gaps", """
+WITH p AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS pos FROM lineitem), r AS (SELECT item, pos, lead(pos) OVER (PARTITION BY item ORDER BY pos) AS nxt FROM p)
+SELECT item, pos + 1 AS first, nxt - 1 AS last, nxt - pos - 1 AS length FROM r WHERE nxt > pos + 1""")
+def _(t):
+    return windows.gaps(_units(t), ["item"], "pos")
+
+
+@query("w6_extents", """
+WITH e AS (SELECT l_suppkey AS item, l_partkey AS pos, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS seq FROM lineitem), f AS (SELECT *, CASE WHEN pos - lag(pos) OVER w = 1 THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY item ORDER BY seq)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY item ORDER BY seq) AS run FROM f) SELECT item, min(seq) AS first_seq, min(pos) AS first_pos, count(*) AS length FROM g GROUP BY item, run""")
+def _(t):
+    w = windows.Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    e = t("lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("pos"), F.row_number().over(w).alias("seq"))
+    return windows.coalesce_extents(e, ["item"], "seq", "pos")
+
+
+@query("w7_fragments", """
+WITH c AS (SELECT conv_id, turn, length(text) AS n, length(text) % 5 <> 0 AS ok, 600 AS cap FROM conversations), d AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c),
+e AS (SELECT conv_id, run, off, greatest(0, least(n, cap - off)) AS len FROM d WHERE ok) SELECT conv_id, min(off) AS "offset", sum(len) AS bytes, count(*) AS units FROM e WHERE len > 0 GROUP BY conv_id, run""")
+def _(t):
+    c = t("conversations").select("conv_id", "turn", F.length("text").alias("n"), (F.length("text") % 5 != 0).alias("ok"), F.lit(600).alias("cap"))
+    return windows.surviving_fragments(c, "conv_id", "turn", "n", "ok", "cap")
+
+
+@query("w8_pause_time", """
+WITH e AS (SELECT user_id, ts, event_type, max(ts) OVER (PARTITION BY user_id) AS fin FROM events), k AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS was FROM e WHERE event_type IN ('view', 'purchase')),
+g AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS until FROM k WHERE was IS NULL OR was <> event_type)
+SELECT user_id, count(*) AS pauses, sum(epoch_us(coalesce(until, fin)) - epoch_us(ts)) AS paused_us FROM g WHERE event_type = 'view' GROUP BY 1""")
+def _(t):
+    return windows.pause_time(t("events"), "user_id", "ts", "event_type", "view", "purchase")
+
+
+@query("w9_occupancy", """
+WITH i AS (SELECT user_id AS item, event_type AS lane, epoch_us(ts) AS s, epoch_us(ts) + CAST(value * 600000000 AS BIGINT) AS e FROM events), p AS (SELECT DISTINCT item, t FROM (SELECT item, s AS t FROM i UNION ALL SELECT item, e FROM i)),
+g AS (SELECT item, t, lead(t) OVER (PARTITION BY item ORDER BY t) AS u FROM p), c AS (SELECT g.item, g.t, g.u, count(DISTINCT lane) AS n FROM g LEFT JOIN i ON i.item = g.item AND i.s <= g.t AND i.e >= g.u AND g.u > g.t GROUP BY ALL)
+SELECT item, coalesce(sum(u - t) FILTER (n >= 1), 0) AS busy, coalesce(sum(u - t) FILTER (n >= 2), 0) AS both FROM c GROUP BY 1""")
+def _(t):
+    us = codes.micros(F.col("ts"))
+    i = t("events").select(F.col("user_id").alias("item"), F.col("event_type").alias("lane"), us.alias("s"), (us + F.round(F.col("value") * 600000000).cast("long")).alias("e"))
+    return windows.occupancy(i, "item", "lane", "s", "e")
+
+
+@query("w10_sequence_faults", """
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + (event_id % 97 = 0)::INT AS seq, value FROM events), f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq, value) - 1 <> seq AS gap, value < lag(value) OVER (PARTITION BY user_id ORDER BY seq, value) AS back FROM e)
+SELECT user_id, count(*) AS events, count(*) FILTER (gap) AS gaps, count(*) FILTER (back) AS backward FROM f GROUP BY 1""")
+def _(t):
+    w = windows.Window.partitionBy("user_id").orderBy("event_id")
+    e = t("events").select("user_id", F.struct((F.row_number().over(w) - 1 + (F.col("event_id") % 97 == 0).cast("int")).alias("seq"), "value").alias("o"), "value")
+    ww = windows.Window.partitionBy("user_id").orderBy("o")
+    marked = e.withColumn("gap", F.row_number().over(ww) - 1 != F.col("o.seq")).withColumn("back", F.col("value") < F.lag("value").over(ww))
+    return marked.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("gap").alias("gaps"), F.count_if("back").alias("backward"))
+
+
+@query("w11_composite", "WITH " + CELLS + """, b AS (SELECT item, attempt, row_number() OVER (PARTITION BY item ORDER BY count(*) FILTER (NOT good), attempt DESC) AS k FROM c GROUP BY item, attempt),
+x AS (SELECT item, pos, arg_min(attempt, k) FILTER (good) AS source, min(k) FILTER (good) AS first, min(payload) FILTER (good) AS lo, max(payload) FILTER (good) AS hi FROM c JOIN b USING (item, attempt) GROUP BY 1, 2)
+SELECT item, pos, source, first > 1 AS filled FROM x WHERE item NOT IN (SELECT item FROM x WHERE lo <> hi)""")
+def _(t):
+    return windows.composite(_cells(t), "item", "attempt", "pos", "good", "payload")[0]
+
+
+@query("w11_refused_items", "WITH " + CELLS + ", x AS (SELECT item, pos, min(payload) FILTER (good) AS lo, max(payload) FILTER (good) AS hi FROM c GROUP BY 1, 2) SELECT item, count(*) AS conflicts FROM x WHERE lo <> hi GROUP BY 1")
+def _(t):
+    return windows.composite(_cells(t), "item", "attempt", "pos", "good", "payload")[1]
+
+
+@query("w12_keep_first", "SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rank, rank > 1 AS rejected FROM documents")
+def _(t):
+    return windows.keep_first(t("documents").select("doc_id", F.sha2("text", 256).alias("sha")), "sha", [F.col("doc_id")]).drop("sha")
+
+
+@query("w13_unique_names", "SELECT p_partkey, CASE WHEN k > 1 THEN p_brand || ' [recovered copy ' || CAST(k AS VARCHAR) || ']' ELSE p_brand END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS k FROM part)")
+def _(t):
+    return windows.unique_names(t("part").select("p_partkey", "p_brand"), "p_brand", [F.col("p_partkey")]).select("p_partkey", "unique_name")
+
+
+@query("w14_pass_attribution", "WITH " + CELLS + "SELECT item, pos, min(attempt) FILTER (good) AS succeeded, count(*) AS retries, coalesce(max(attempt) FILTER (NOT good) > min(attempt) FILTER (good), FALSE) AS contradiction FROM c GROUP BY 1, 2")
+def _(t):
+    return windows.pass_attribution(_cells(t), "item", "pos", "attempt", "good")
+
+
+@query("w15_generation_fold")
+def _(t):
+    d = t("documents").select("source", "lang", F.sha2(F.substring("text", 1, 12), 256).alias("sha"))
+    return generations.generation_fold(d, "source", "lang", "sha")
+
+
+@query("w16_primary_log", """
+WITH u AS (SELECT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host, url, CASE WHEN contains(url, '.html') THEN 100 WHEN contains(url, '?') THEN 90 WHEN contains(url, '#') THEN 70 ELSE 20 END AS score FROM pages)
+SELECT host, url, score FROM u QUALIFY row_number() OVER (PARTITION BY host ORDER BY score DESC, url) = 1""")
+def _(t):
+    u = F.col("url")
+    score = F.when(u.contains(".html"), 100).when(u.contains("?"), 90).when(u.contains("#"), 70).otherwise(20)
+    rows = t("pages").select(F.split_part(_url_path(), F.lit("/"), F.lit(1)).alias("host"), "url", score.alias("score"))
+    return windows.best_attempt(rows, "host", [F.desc("score"), F.col("url")])
+
+
+@query("w17_consensus", "WITH " + CELLS + """SELECT item, pos, count(*) FILTER (good) AS copies, CASE WHEN count(*) FILTER (good) = 0 THEN 'unreadable' WHEN min(payload) FILTER (good) <> max(payload) FILTER (good) THEN 'conflict' WHEN count(*) FILTER (good) > 1 THEN 'corroborated' ELSE 'single' END AS state,
+coalesce(string_agg(CAST(attempt AS VARCHAR), ',' ORDER BY attempt) FILTER (good), '') AS sources FROM c GROUP BY 1, 2""")
+def _(t):
+    return windows.consensus(_cells(t), "item", "pos", "attempt", "good", "payload").withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+
+
+@query("w18_stalls", """
+WITH o AS (SELECT o_custkey, row_number() OVER w AS n, coalesce((o_totalprice >= lag(o_totalprice) OVER w)::INT, 0) AS stuck FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), g AS (SELECT *, sum(1 - stuck) OVER (PARTITION BY o_custkey ORDER BY n) AS grp FROM o),
+r AS (SELECT *, sum(stuck) OVER (PARTITION BY o_custkey, grp ORDER BY n) AS run FROM g) SELECT o_custkey, max(run) AS longest_stall, min(n) FILTER (run >= 2) AS stop_at FROM r GROUP BY 1""")
+def _(t):
+    return windows.stalls(t("orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 2)
+
+
+# Order and sets ----------------------------------------------------------------------------------------------------
+@query("s1_urgency", """
+WITH o AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS missing, bool_or(o_orderpriority = '1-URGENT') AS boot FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN missing <= 2 THEN 'few' WHEN missing <= 18 THEN 'localized' WHEN missing <= total // 10 THEN 'moderate' ELSE 'severe' END AS severity,
+CASE WHEN missing <= 2 THEN 500 WHEN missing <= 18 THEN 400 WHEN missing <= total // 10 THEN 250 ELSE 100 END + CASE WHEN boot THEN 50 ELSE 0 END + 10 * least(o_custkey % 80, 64) AS score FROM o""")
+def _(t):
+    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") != "F").alias("missing"), F.max(F.col("o_orderpriority") == "1-URGENT").alias("boot")).withColumn("age", F.col("o_custkey") % 80).withColumn("ready", F.col("o_custkey") % 2 == 0)
+    return agg.urgency(o, "missing", "total", "boot", "age", "ready", "o_custkey").select("o_custkey", "severity", "score")
+
+
+@query("s2_bounded", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) > 3 AS more FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 3")
+def _(t):
+    return agg.bounded(t("lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], [F.col("l_linenumber")], 3)
+
+
+@query("set1_label_universe", "SELECT o_custkey AS label FROM orders UNION SELECT c_custkey FROM customer UNION SELECT user_id FROM events")
+def _(t):
+    return t("orders").select(F.col("o_custkey").alias("label")).union(t("customer").select("c_custkey")).union(t("events").select("user_id")).distinct()
+
+
+@query("set2_differences", "SELECT pos, 'only_returned' AS side FROM (SELECT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey < 20 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey < 20) UNION ALL SELECT pos, 'both' FROM (SELECT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey < 20 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey < 20)")
+def _(t):
+    side = lambda flag: t("lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_suppkey") < 20)).select(F.col("l_partkey").alias("pos"))
+    return side("R").subtract(side("N")).withColumn("side", F.lit("only_returned")).union(side("R").intersect(side("N")).withColumn("side", F.lit("both")))
+
+
+@query("set4_map_validity", "SELECT l_suppkey AS item, count(*) AS n, count(*) = count(DISTINCT l_partkey) AND max(l_partkey) < 1990 AS valid FROM lineitem GROUP BY 1")
+def _(t):
+    return agg.map_validity(_units(t), "item", "pos", 1990)
