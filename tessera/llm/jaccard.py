@@ -5,12 +5,11 @@
    n - ceil(t*n) + 1 shingles can hold the first match with a similar set, and shingles of one text alone match nothing.
 2. Texts with equal sets are one class. From here on a class has one row, however many copies there are.
 3. Classes that share a prefix shingle are candidates if their sizes (length filter) and the positions of the shared
-   shingle (positional filter) allow the overlap. First, every prefix shingle's smallest class is compared with the others
-   that hold it, and linked classes are merged. Then all pairs of classes that are not merged yet are compared; a
-   shingle whose classes are all merged asks for nothing more, so a large group of near copies costs a few comparisons a
-   member and no link between groups is lost.
-4. A pair is verified once: the suffix filter bounds the overlap by the counts in ranges of the hash space, then the sets are
-   intersected.
+   shingle (positional filter) allow the overlap, and if the counts of their shared shingles in ranges of the hash space do
+   (suffix filter). First, every class is compared with the smallest class that holds one of its prefix shingles, and linked
+   classes are merged. Then all pairs of classes that are still apart are compared; a shingle whose classes are all merged
+   asks for nothing more, so a large group of near copies costs a few comparisons a member and no link is lost.
+4. A pair is verified once, by intersecting the sets.
 
 Nulls, ties and repeats: a null text is empty, has no shingle and links with nothing; repeated rows and rows with a null
 id are members of their class; ``component_id`` is the smallest id that is not null. An empty table gives no rows. Long texts
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blockcounts import answers, counts_of, into_blocks
@@ -35,8 +34,9 @@ from .textnum import pack_keys, shingles, unpack_keys, words
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 20
 DROP = np.uint64(11)
-RANGES = 32
-PROFILE = "doc_id long, n long, sig string, keys array<long>, pos array<int>, body binary"
+RANGE_BITS = 5
+RANGES = 1 << RANGE_BITS
+PROFILE = "doc_id long, n long, sig string, keys array<long>, pos array<int>, spread array<int>, body binary"
 
 
 def _sets(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -74,15 +74,19 @@ def _profiles(k: int, percent: int):
         common = np.flatnonzero(df > 1)
         common = common[np.lexsort((key[common], df[common], doc[common]))]
         start = np.searchsorted(doc[common], np.arange(n_docs + 1))
-        sig, keys, pos, body = [], [], [], []
+        # How many of a set's shared shingles fall into each range of the hash space: the suffix filter's partition.
+        where = doc[common] * RANGES + (key[common] >> np.uint64(53 - RANGE_BITS)).astype(np.int64)
+        counts = np.bincount(where, minlength=n_docs * RANGES).reshape(n_docs, RANGES)
+        sig, keys, pos, spread, body = [], [], [], [], []
         for i in range(n_docs):
             own = key[cut[i] : cut[i + 1]]
             sig.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else None)
             m = min(int(prefix[i] - single[i]), int(start[i + 1] - start[i])) if len(own) else 0
             keys.append(key[common[start[i] : start[i] + m]].astype(np.int64) if m > 0 else [])
             pos.append(np.arange(single[i], single[i] + m, dtype=np.int32) if m > 0 else [])
+            spread.append(counts[i].astype(np.int32) if m > 0 else [])
             body.append(pack_keys(own, 7) if m > 0 else None)
-        return pa.table({"doc_id": left.column("doc_id"), "n": pa.array(size, pa.int64()), "sig": pa.array(sig, pa.string()), "keys": pa.array(keys, pa.list_(pa.int64())), "pos": pa.array(pos, pa.list_(pa.int32())), "body": pa.array(body, pa.binary())})
+        return pa.table({"doc_id": left.column("doc_id"), "n": pa.array(size, pa.int64()), "sig": pa.array(sig, pa.string()), "keys": pa.array(keys, pa.list_(pa.int64())), "pos": pa.array(pos, pa.list_(pa.int32())), "spread": pa.array(spread, pa.list_(pa.int32())), "body": pa.array(body, pa.binary())})
 
     return profile
 
@@ -121,29 +125,51 @@ def _bound(percent: int) -> str:
     return f"""100 * n_a >= {percent} * n_b AND (100 + {percent}) * least(n_a - a_i, n_b - b_i) >= {percent} * (n_a + n_b)"""
 
 
-def similarity_links(profiles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links between classes, labels of linked classes) of rows of PROFILE."""
+def _overlap_bound(a: str, b: str) -> Column:
+    """Suffix filter: two sets share at most this many shingles, by the ranges that their shared ones fall into."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+
+
+def similarity_links(profiles: DataFrame, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(links between classes, labels of linked classes) of rows of PROFILE.
+
+    ``rounds``: how often each class is first compared with one small class that it shares a shingle with, and links are merged,
+    before all pairs that are still apart are compared.
+    """
     members = profiles.where("size(keys) > 0")
-    classes = staged(members.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "keys", "pos", "body")]), "classes")
+    classes = staged(members.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "keys", "pos", "spread", "body")]), "classes")
     bodies = classes.select("sig", "body")
-    postings = classes.select("sig", "n", F.explode(F.arrays_zip("keys", "pos")).alias("p")).select(F.col("p.keys").alias("key"), "sig", "n", F.col("p.pos").alias("i"))
+
+    def postings(*more: str) -> DataFrame:
+        return classes.select("sig", "n", *more, F.explode(F.arrays_zip("keys", "pos")).alias("p")).select(F.col("p.keys").alias("key"), "sig", "n", F.col("p.pos").alias("i"), *more)
 
     def verified(pairs: DataFrame) -> DataFrame:
         full = pairs.join(bodies.withColumnsRenamed({"sig": "a", "body": "body_a"}), "a").join(bodies.withColumnsRenamed({"sig": "b", "body": "body_b"}), "b")
-        return full.select("a", "b", "body_a", "body_b").mapInArrow(_verifier(percent), "a string, b string")
-
-    heads = postings.groupBy("key").agg(F.min(F.struct("n", "sig", "i")).alias("h"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("h.sig").alias("a"), F.col("h.n").alias("n_a"), F.col("h.i").alias("a_i"))
-    near = heads.join(postings.select("key", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("b_i")), "key")
-    asked = staged(near.where(f"a <> b AND {_bound(percent)}").select("a", "b").distinct(), "asked")
-    links = staged(verified(asked), "links")
-    merged = components(links).withColumnRenamed("node", "sig")
-    labelled = postings.join(merged, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = staged(labelled.join(open_keys, "key"), "open")
-    a = left.select("key", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("a_i"), F.col("label").alias("label_a"))
-    b = left.select("key", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("b_i"), F.col("label").alias("label_b"))
-    rest = a.join(b, "key").where(f"(n_a < n_b OR n_a = n_b AND a < b) AND label_a <> label_b AND {_bound(percent)}").select("a", "b").distinct()
-    more = staged(verified(rest.join(asked, ["a", "b"], "left_anti")), "links")
+        return staged(full.select("a", "b", "body_a", "body_b").mapInArrow(_verifier(percent), "a string, b string"), "links")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows of the shingles whose classes are not all merged, with the label of their class."""
+        out = rows.join(merged, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        apart = out.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        return out.join(apart, "key")
+
+    spark = profiles.sparkSession
+    asked = links = spark.createDataFrame([], "a string, b string")
+    merged = spark.createDataFrame([], "sig string, label string")
+    for _ in range(rounds):
+        rows = labelled(postings())
+        heads = rows.groupBy("key").agg(F.min(F.struct("n", "sig", "i", "label")).alias("h")).select("key", F.col("h.sig").alias("a"), F.col("h.n").alias("n_a"), F.col("h.i").alias("a_i"), F.col("h.label").alias("label_a"))
+        near = heads.join(rows.select("key", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("b_i"), F.col("label").alias("label_b")), "key").where(f"label_a <> label_b AND {_bound(percent)}")
+        one = near.join(asked, ["a", "b"], "left_anti").groupBy("b").agg(F.min(F.struct("n_a", "a")).alias("h")).select("h.a", "b")
+        pairs = staged(one, "asked")
+        asked = asked.unionByName(pairs)
+        links = links.unionByName(verified(pairs))
+        merged = components(links).withColumnRenamed("node", "sig")
+    left = staged(labelled(postings("spread")), "apart")
+    side = lambda x: left.select("key", F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"{x}_i"), F.col("label").alias(f"label_{x}"), F.col("spread").alias(f"spread_{x}"))
+    enough = (100 + percent) * _overlap_bound("spread_a", "spread_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    rest = side("a").join(side("b"), "key").where(F.expr(f"(n_a < n_b OR n_a = n_b AND a < b) AND label_a <> label_b AND {_bound(percent)}") & enough).select("a", "b").distinct()
+    more = verified(rest.join(asked, ["a", "b"], "left_anti"))
     links = links.unionByName(more)
     return links, components(links) if not more.isEmpty() else merged.withColumnRenamed("sig", "node")
 
