@@ -20,7 +20,7 @@ from .textnum import pack_counts, pack_keys, unpack_counts, unpack_keys
 REQUESTS = "kind int, bucket int, block long, n int, keys binary, weights binary"
 ANSWERS = "kind int, bucket int, block long, n int, counts binary, distinct long, total long"
 #: buckets per block: a bucket's keys are those of about this many blocks at most
-BLOCKS_A_BUCKET = 4
+BLOCKS_A_BUCKET = 2
 
 
 def into_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:

@@ -35,8 +35,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CHUNK = 1 << 20
 #: words and pieces of words whose ids a worker remembers
-CACHE_WORDS = 2_000_000
-CACHE_PIECES = 300_000
+CACHE_WORDS = 1_000_000
+CACHE_PIECES = 150_000
 #: words whose pieces the tokenizer finds by these rules alone: visible ASCII but the apostrophe, and Latin-1 letters
 _SAFE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
 _RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")

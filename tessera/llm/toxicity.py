@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, read_table, staged, text_chunks
+from .textnum import pack_counts
 
-BITS = 20
+BITS = 19
 ORDERS = (5, 7)
 CHUNK = 1 << 20
 THRESHOLD = 0.3
@@ -78,7 +79,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for f, y in _examples(batches):
         counts[y][f] += 1
         rows[y] += 1
-    yield pa.RecordBatch.from_pydict({"counts": [counts.tobytes()], "negatives": [rows[0]], "positives": [rows[1]]})
+    yield pa.RecordBatch.from_pydict({"counts": [pack_counts(counts.ravel())], "negatives": [rows[0]], "positives": [rows[1]]})
 
 
 class Ratios:
@@ -130,7 +131,11 @@ def fit(examples: DataFrame, shards: int = 4, rounds: int = 3, epochs: int = 6,
         return none, np.array([0.0 if not neg + pos else (30.0 if pos else -30.0)], np.float32)
     counts = np.zeros((2, 1 << BITS), "<i4")
     for r in counted:
-        counts += np.frombuffer(r["counts"], "<i4").reshape(2, -1)
+        flat, raw = counts.reshape(-1), r["counts"]
+        part = np.frombuffer(raw, np.uint8, len(flat))
+        flat += part
+        if len(raw) > len(flat):  # counts of 255 and more
+            flat[part == 255] += (np.frombuffer(raw, "<u8", offset=len(flat)) - np.uint64(255)).astype("<i4")
     del counted
     ratios = Ratios(counts, (neg, pos), smoothing, min_docs, min_ratio)
     del counts
