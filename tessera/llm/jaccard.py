@@ -5,10 +5,11 @@
    n - ceil(t*n) + 1 shingles can hold the first match with a similar set, and shingles of one text alone match nothing.
 2. Texts with equal sets are one class. From here on a class has one row, however many copies there are.
 3. Classes that share a prefix shingle are candidates if their sizes (length filter) and the positions of the shared
-   shingle (positional filter) allow the overlap, and if the counts of their shared shingles in ranges of the hash space do
-   (suffix filter). First, every class is compared with the smallest class that holds one of its prefix shingles, and linked
-   classes are merged. Then all pairs of classes that are still apart are compared; a shingle whose classes are all merged
-   asks for nothing more, so a large group of near copies costs a few comparisons a member and no link is lost.
+   shingle (positional filter) allow the overlap, and if bitmaps and counts by hash ranges of their shared shingles do (suffix
+   filter). In each of a few rounds, every class meets a few classes, drawn by a hash, of each of its prefix shingles, the
+   likeliest by the filters is verified, and linked classes are merged. Then all pairs of classes that are still apart are
+   compared; a shingle whose classes are all merged asks for nothing more, so a large group of near copies costs a few
+   comparisons a member and no link is lost.
 4. A pair is verified once, by intersecting the sets.
 
 Nulls, ties and repeats: a null text is empty, has no shingle and links with nothing; repeated rows and rows with a null
@@ -36,7 +37,11 @@ CHUNK = 1 << 20
 DROP = np.uint64(11)
 RANGE_BITS = 5
 RANGES = 1 << RANGE_BITS
-PROFILE = "doc_id long, n long, sig string, keys array<long>, pos array<int>, spread array<int>, body binary"
+#: 64-bit words of the bitmap of a set's shared shingles
+BITMAP_WORDS = 8
+#: classes of one shingle that its other classes are compared with in a round
+HEADS = 8
+PROFILE = "doc_id long, n long, sig string, keys array<long>, pos array<int>, shared int, bits array<long>, spread array<int>, body binary"
 
 
 def _sets(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -77,16 +82,22 @@ def _profiles(k: int, percent: int):
         # How many of a set's shared shingles fall into each range of the hash space: the suffix filter's partition.
         where = doc[common] * RANGES + (key[common] >> np.uint64(53 - RANGE_BITS)).astype(np.int64)
         counts = np.bincount(where, minlength=n_docs * RANGES).reshape(n_docs, RANGES)
-        sig, keys, pos, spread, body = [], [], [], [], []
+        # Which bits of a bitmap they set: every bit that only one of two sets has stands for a shingle that the other lacks.
+        bits = np.zeros((n_docs, BITMAP_WORDS * 64), np.uint8)
+        bits[doc[common], (key[common] % np.uint64(BITMAP_WORDS * 64)).astype(np.int64)] = 1
+        bits = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        sig, keys, pos, shared, bitmap, spread, body = [], [], [], [], [], [], []
         for i in range(n_docs):
             own = key[cut[i] : cut[i + 1]]
             sig.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if len(own) else None)
             m = min(int(prefix[i] - single[i]), int(start[i + 1] - start[i])) if len(own) else 0
             keys.append(key[common[start[i] : start[i] + m]].astype(np.int64) if m > 0 else [])
             pos.append(np.arange(single[i], single[i] + m, dtype=np.int32) if m > 0 else [])
+            shared.append(int(start[i + 1] - start[i]))
+            bitmap.append(bits[i] if m > 0 else [])
             spread.append(counts[i].astype(np.int32) if m > 0 else [])
             body.append(pack_keys(own, 7) if m > 0 else None)
-        return pa.table({"doc_id": left.column("doc_id"), "n": pa.array(size, pa.int64()), "sig": pa.array(sig, pa.string()), "keys": pa.array(keys, pa.list_(pa.int64())), "pos": pa.array(pos, pa.list_(pa.int32())), "spread": pa.array(spread, pa.list_(pa.int32())), "body": pa.array(body, pa.binary())})
+        return pa.table({"doc_id": left.column("doc_id"), "n": pa.array(size, pa.int64()), "sig": pa.array(sig, pa.string()), "keys": pa.array(keys, pa.list_(pa.int64())), "pos": pa.array(pos, pa.list_(pa.int32())), "shared": pa.array(shared, pa.int32()), "bits": pa.array(bitmap, pa.list_(pa.int64())), "spread": pa.array(spread, pa.list_(pa.int32())), "body": pa.array(body, pa.binary())})
 
     return profile
 
@@ -125,23 +136,29 @@ def _bound(percent: int) -> str:
     return f"""100 * n_a >= {percent} * n_b AND (100 + {percent}) * least(n_a - a_i, n_b - b_i) >= {percent} * (n_a + n_b)"""
 
 
-def _overlap_bound(a: str, b: str) -> Column:
-    """Suffix filter: two sets share at most this many shingles, by the ranges that their shared ones fall into."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+def _overlap_bound() -> Column:
+    """Suffix filter: a and b share at most this many shingles, by the bitmaps and the ranges of their shared ones."""
 
+    def lacking(x: str, y: str) -> str:
+        return " + ".join(f"bit_count(bits_{x}[{w}] & ~bits_{y}[{w}])" for w in range(BITMAP_WORDS))
 
-def similarity_links(profiles: DataFrame, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    by_bits = F.expr(f"least(shared_a - ({lacking('a', 'b')}), shared_b - ({lacking('b', 'a')}))")
+    by_ranges = F.aggregate(F.zip_with("spread_a", "spread_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return F.least(by_bits, by_ranges)
+
+
+def similarity_links(profiles: DataFrame, percent: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(links between classes, labels of linked classes) of rows of PROFILE.
 
-    ``rounds``: how often each class is first compared with one small class that it shares a shingle with, and links are merged,
-    before all pairs that are still apart are compared.
+    ``rounds``: how often each class is first compared with the likeliest of a few classes that it shares a shingle with, and links
+    are merged, before all pairs that are still apart are compared.
     """
     members = profiles.where("size(keys) > 0")
-    classes = staged(members.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "keys", "pos", "spread", "body")]), "classes")
+    facts = ["n", "shared", "bits", "spread"]
+    classes = staged(members.groupBy("sig").agg(*[F.first(c).alias(c) for c in (*facts, "keys", "pos", "body")]), "classes")
     bodies = classes.select("sig", "body")
-
-    def postings(*more: str) -> DataFrame:
-        return classes.select("sig", "n", *more, F.explode(F.arrays_zip("keys", "pos")).alias("p")).select(F.col("p.keys").alias("key"), "sig", "n", F.col("p.pos").alias("i"), *more)
+    postings = classes.select("sig", *facts, F.explode(F.arrays_zip("keys", "pos")).alias("p")).select(F.col("p.keys").alias("key"), "sig", F.col("p.pos").alias("i"), *facts)
+    enough = (100 + percent) * _overlap_bound() >= percent * (F.col("n_a") + F.col("n_b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         full = pairs.join(bodies.withColumnsRenamed({"sig": "a", "body": "body_a"}), "a").join(bodies.withColumnsRenamed({"sig": "b", "body": "body_b"}), "b")
@@ -153,23 +170,28 @@ def similarity_links(profiles: DataFrame, percent: int, rounds: int = 2) -> tupl
         apart = out.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         return out.join(apart, "key")
 
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("key", F.col("sig").alias(x), F.col("i").alias(f"{x}_i"), *[F.col(c).alias(f"{c}_{x}") for c in ("label", *facts)])
+
     spark = profiles.sparkSession
     asked = links = spark.createDataFrame([], "a string, b string")
     merged = spark.createDataFrame([], "sig string, label string")
-    for _ in range(rounds):
-        rows = labelled(postings())
-        heads = rows.groupBy("key").agg(F.min(F.struct("n", "sig", "i", "label")).alias("h")).select("key", F.col("h.sig").alias("a"), F.col("h.n").alias("n_a"), F.col("h.i").alias("a_i"), F.col("h.label").alias("label_a"))
-        near = heads.join(rows.select("key", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("b_i"), F.col("label").alias("label_b")), "key").where(f"label_a <> label_b AND {_bound(percent)}")
-        one = near.join(asked, ["a", "b"], "left_anti").groupBy("b").agg(F.min(F.struct("n_a", "a")).alias("h")).select("h.a", "b")
+    for turn in range(rounds):
+        rows = staged(labelled(postings), "rows")
+        order = F.xxhash64("sig", "key", F.lit(turn))
+        heads = rows.groupBy("key", F.pmod(order, F.lit(HEADS)).alias("seat")).agg(F.min(F.struct(order.alias("order"), "sig", "i", "label", *facts)).alias("h")).select("key", "h.*")
+        # Either of the two can be the smaller one: the filters are symmetric but for the length filter.
+        near = side(heads, "a").join(side(rows, "b"), "key").where(F.expr(f"label_a <> label_b AND {_bound(percent)} AND 100 * n_b >= {percent} * n_a") & enough)
+        likely = (_overlap_bound() / (F.col("n_a") + F.col("n_b"))).alias("likely")
+        one = near.select("a", "b", likely).join(asked, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("likely", "a")).alias("h")).select("h.a", "b")
         pairs = staged(one, "asked")
         asked = asked.unionByName(pairs)
         links = links.unionByName(verified(pairs))
         merged = components(links).withColumnRenamed("node", "sig")
-    left = staged(labelled(postings("spread")), "apart")
-    side = lambda x: left.select("key", F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("i").alias(f"{x}_i"), F.col("label").alias(f"label_{x}"), F.col("spread").alias(f"spread_{x}"))
-    enough = (100 + percent) * _overlap_bound("spread_a", "spread_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    rest = side("a").join(side("b"), "key").where(F.expr(f"(n_a < n_b OR n_a = n_b AND a < b) AND label_a <> label_b AND {_bound(percent)}") & enough).select("a", "b").distinct()
-    more = verified(rest.join(asked, ["a", "b"], "left_anti"))
+    left = staged(labelled(postings), "apart")
+    rest = side(left, "a").join(side(left, "b"), "key").where(F.expr(f"(n_a < n_b OR n_a = n_b AND a < b) AND label_a <> label_b AND {_bound(percent)}") & enough).select("a", "b").distinct()
+    tried = asked.unionByName(asked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = verified(rest.join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(more)
     return links, components(links) if not more.isEmpty() else merged.withColumnRenamed("sig", "node")
 
