@@ -78,3 +78,20 @@ def item_status(image: Column, sources: Column, invalid: Column, failed: Column,
         .when(F.upper(imaging) != "OK", "PARTIAL: IMAGE READ")
         .otherwise("OK")
     )
+
+
+def plan_action(verified: Column, attention: Column, damaged: Column, running: Column, has_log: Column, composite: Column, mirrored: Column) -> Column:
+    """What to do next for an item, with its reason: struct(action, reason). A null count is unknown and asks for a check."""
+    rules = [
+        (~verified, "check", "evidence differs from its record"),
+        (~attention & (damaged == 0), "complete", "nothing is missing"),
+        (running, "wait", "an attempt is still running"),
+        (~has_log, "check", "no log tells what is missing"),
+        (damaged.isNull() | (damaged == 0), "check", "attention without known damage"),
+        (composite > 0, "composite", "other attempts hold missing positions"),
+        (mirrored > 0, "mirror", "a mirrored copy holds missing positions"),
+    ]
+    out = F.struct(F.lit("reread").alias("action"), F.lit("no other copy is known").alias("reason"))
+    for when, action, reason in reversed(rules):
+        out = F.when(when, F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out

@@ -114,3 +114,10 @@ def single_candidate(candidates: DataFrame, item: str, name: str, good: str, bad
     g = c.groupBy(item).agg(F.count_if("__strong").alias("s"), F.max(F.when(F.col("__strong"), F.col(name))).alias("sn"), F.count_if("__share").alias("h"), F.max(F.when(F.col("__share"), F.col(name))).alias("hn"), F.count_if(~F.col("__share") & ~F.col("__weak")).alias("o"))
     chosen = F.when(F.col("s") == 1, F.col("sn")).when((F.col("s") == 0) & (F.col("h") == 1) & (F.col("o") == 0), F.col("hn"))
     return g.select(item, chosen.alias("chosen"), F.when(chosen.isNotNull(), F.lit(None)).when(F.col("s") > 1, "ambiguous").otherwise("insufficient").alias("reason"))
+
+
+def affected_files(damage: DataFrame, item: str, path: str, role: str, pos: str) -> DataFrame:
+    """Files with damaged positions (rows of a range join; role is payload or metadata): counts by role, incomplete flag, class."""
+    one = damage.groupBy(item, path).agg(*[F.countDistinct(F.when(F.col(role) == r, F.col(pos))).alias(r) for r in ("payload", "metadata")])
+    kind = F.when((F.col("payload") > 0) & (F.col("metadata") > 0), "both").when(F.col("payload") > 0, "payload").otherwise("metadata")
+    return one.withColumn("incomplete", F.col("payload") > 0).withColumn("class", kind)

@@ -112,3 +112,20 @@ def trace_extents(extents: DataFrame, item: str, seq: str, payload: str) -> Data
     """Per item the extents in order, joined and hashed. An item's extents are one group, as its content is one value."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(seq), F.col(payload).alias("p"))))
     return extents.groupBy(item).agg(parts.alias("x")).select(item, F.size("x").alias("extents"), F.sha2(F.array_join(F.transform("x", lambda e: e["p"]), "").cast("binary"), 256).alias("sha"))
+
+
+def mapped_hits(hits: DataFrame, maps: DataFrame, damage: DataFrame, hit: list[str], hay_id: str, first: str, last: str, pos: str = "pos") -> DataFrame:
+    """Hits with the number of damaged positions that they cover; ``maps`` lists the haystacks whose damage is known, others get a null."""
+    covered = range_join(damage, hits, [hay_id], pos, first, last).groupBy(*hit).agg(F.countDistinct(pos).alias("damaged"))
+    known = maps.select(hay_id).distinct().withColumn("__known", F.lit(True))
+    out = hits.join(covered, hit, "left").join(known, hay_id, "left")
+    damaged = F.when(F.col("__known"), F.coalesce("damaged", F.lit(0).cast("long")))
+    return out.withColumn("damaged", damaged).withColumn("state", F.when(F.col("damaged").isNull(), "map unavailable").when(F.col("damaged") > 0, "damaged").otherwise("clear")).drop("__known")
+
+
+def packaged_outputs(outputs: DataFrame, manifest: DataFrame, item: str, path: str, sha: str) -> DataFrame:
+    """Per item, how many distinct outputs are in the manifest with the same hash, and how many are not."""
+    one = outputs.select(item, path, sha).distinct()
+    listed = manifest.select(path, sha).distinct().withColumn("__in", F.lit(True))
+    found = one.join(listed, [path, sha], "left").groupBy(item, path).agg(F.max(F.coalesce("__in", F.lit(False))).alias("__in"))
+    return found.groupBy(item).agg(F.count_if("__in").alias("included"), F.count_if(~F.col("__in")).alias("missing"))

@@ -730,3 +730,53 @@ def _(t):
 @query("set4_map_validity", "SELECT l_suppkey AS item, count(*) AS n, count(*) = count(DISTINCT l_partkey) AND max(l_partkey) < 1990 AS valid FROM lineitem GROUP BY 1")
 def _(t):
     return agg.map_validity(_units(t), "item", "pos", 1990)
+
+
+# Combinations ------------------------------------------------------------------------------------------------------
+@query("p12_plan_action", """
+WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS bad, bool_or(o_orderstatus = 'P') AS running, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS other, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority = '2-HIGH') AS mirror FROM orders GROUP BY 1),
+x AS (SELECT c_custkey, coalesce(bad, 0) AS bad, coalesce(running, FALSE) AS running, coalesce(other, 0) AS other, coalesce(mirror, 0) AS mirror, c_custkey % 17 <> 0 AS verified, c_mktsegment = 'BUILDING' AS attention, c_acctbal >= 0 AS has_log FROM customer LEFT JOIN o ON c_custkey = o_custkey)
+SELECT c_custkey, CASE WHEN NOT verified THEN 'check' WHEN NOT attention AND bad = 0 THEN 'complete' WHEN running THEN 'wait' WHEN NOT has_log OR bad = 0 THEN 'check' WHEN other > 0 THEN 'composite' WHEN mirror > 0 THEN 'mirror' ELSE 'reread' END AS action FROM x""")
+def _(t):
+    bad = F.col("o_orderstatus") == "F"
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(bad).alias("bad"), F.max(F.col("o_orderstatus") == "P").alias("running"), F.count_if(bad & (F.col("o_orderpriority") == "1-URGENT")).alias("other"), F.count_if(bad & (F.col("o_orderpriority") == "2-HIGH")).alias("mirror"))
+    c = t("customer").join(o, "c_custkey", "left").fillna(0, ["bad", "other", "mirror"]).fillna(False, ["running"])
+    plan = codes.plan_action(F.col("c_custkey") % 17 != 0, F.col("c_mktsegment") == "BUILDING", F.col("bad"), F.col("running"), F.col("c_acctbal") >= 0, F.col("other"), F.col("mirror"))
+    return c.select("c_custkey", plan["action"].alias("action"))
+
+
+@query("j18b_mapped_containment", """
+WITH h AS (SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS lo, strpos(d.text, b.text) - 2 + length(b.text) AS hi FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 32),
+m AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1),
+x AS (SELECT h.*, CASE WHEN m.doc_id IS NOT NULL THEN CASE WHEN m.toxic = 1 THEN hi // 50 - lo // 50 + CASE WHEN lo % 50 = 0 THEN 1 ELSE 0 END ELSE 0 END END AS damaged FROM h LEFT JOIN m USING (doc_id))
+SELECT item_id, doc_id, lo AS at, damaged, CASE WHEN damaged IS NULL THEN 'map unavailable' WHEN damaged > 0 THEN 'damaged' ELSE 'clear' END AS state FROM x""")
+def _(t):
+    needles = t("benchmark").select("item_id", F.length("text").alias("size"))
+    got = joins.containment(t("benchmark"), t("documents").withColumnRenamed("text", "hay"), "item_id", "text", "doc_id", "hay").join(needles, "item_id")
+    hits = got.select("item_id", "doc_id", F.col("offset").cast("long").alias("at"), (F.col("offset") + F.col("size") - 1).cast("long").alias("last"))
+    toxic = t("labels").where("toxic = 1").select("doc_id").distinct()
+    damage = t("documents").join(toxic, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"), F.lit(50).cast("long"))).alias("pos"))
+    return joins.mapped_hits(hits, t("labels"), damage, ["item_id", "doc_id", "at", "last"], "doc_id", "at", "last").drop("last")
+
+
+@query("j25_packaged_outputs", """
+WITH o AS (SELECT DISTINCT l.quality AS item, l.doc_id, l.toxic AS sha FROM labels l), m AS (SELECT DISTINCT doc_id, n_chars % 2 AS sha FROM documents),
+f AS (SELECT item, o.doc_id, bool_or(m.doc_id IS NOT NULL) AS found FROM o LEFT JOIN m ON o.doc_id = m.doc_id AND o.sha = m.sha GROUP BY 1, 2)
+SELECT item, count(*) FILTER (found) AS included, count(*) FILTER (NOT found) AS missing FROM f GROUP BY 1""")
+def _(t):
+    outputs = t("labels").select(F.col("quality").alias("item"), F.col("doc_id").alias("path"), F.col("toxic").cast("long").alias("sha"))
+    manifest = t("documents").select(F.col("doc_id").alias("path"), (F.col("n_chars") % 2).cast("long").alias("sha"))
+    return joins.packaged_outputs(outputs, manifest, "item", "path", "sha")
+
+
+@query("agg21_affected_files", """
+WITH f AS (SELECT o_custkey AS item, o_orderkey AS path, epoch(o_orderdate) // 86400 AS day FROM orders), p AS (SELECT DISTINCT o_custkey AS item, epoch(o_orderdate) // 86400 AS pos FROM orders WHERE o_orderstatus = 'F'),
+x AS (SELECT f.item, path, count(*) FILTER (pos - day <= 20) AS payload, count(*) FILTER (pos - day > 20) AS metadata FROM f JOIN p ON f.item = p.item AND pos BETWEEN day AND day + 30 GROUP BY ALL)
+SELECT *, payload > 0 AS incomplete, CASE WHEN payload > 0 AND metadata > 0 THEN 'both' WHEN payload > 0 THEN 'payload' ELSE 'metadata' END AS class FROM x""")
+def _(t):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")).cast("long")
+    o = t("orders").select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("path"), day.alias("first"), "o_orderstatus")
+    extent = lambda role, a, b: F.struct(F.lit(role).alias("role"), (F.col("first") + a).alias("low"), (F.col("first") + b).alias("high"))
+    extents = o.select("item", "path", F.explode(F.array(extent("payload", 0, 20), extent("metadata", 21, 30))).alias("e")).select("item", "path", "e.*")
+    damage = o.where("o_orderstatus = 'F'").select("item", F.col("first").alias("pos")).distinct()
+    return agg.affected_files(joins.range_join(damage, extents, ["item"], "pos", "low", "high", 31), "item", "path", "role", "pos")

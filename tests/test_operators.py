@@ -123,3 +123,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q = events.session_states(once).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("states"), "session", "events", "faults") == [("s", 2, 0), ("t", 1, 0)]
+
+
+def test_mapped_hits_tell_unknown_from_clear(spark):
+    hits = spark.createDataFrame([(1, "a", 0, 9), (2, "a", 10, 19), (3, "b", 0, 9)], "hit int, hay string, lo long, hi long")
+    damage = spark.createDataFrame([("a", 3), ("a", 3), ("a", 5)], "hay string, pos long")
+    maps = spark.createDataFrame([("a",), ("a",)], "hay string")
+    got = joins.mapped_hits(hits, maps, damage, ["hit", "hay", "lo", "hi"], "hay", "lo", "hi")
+    assert rows(got, "hit", "damaged", "state") == [(1, 2, "damaged"), (2, 0, "clear"), (3, None, "map unavailable")]
