@@ -8,8 +8,8 @@
    shingle (positional filter) allow the overlap, and if bitmaps and counts by hash ranges of their shared shingles do (suffix
    filter). In each of a few rounds, every class meets a few classes, drawn by a hash, of each of its prefix shingles, the
    likeliest by the filters is verified, and linked classes are merged. Then all pairs of classes that are still apart are
-   compared; a shingle whose classes are all merged asks for nothing more, so a large group of near copies costs a few
-   comparisons a member and no link is lost.
+   compared; a shingle whose classes are all merged asks for nothing more. No link is lost. Classes of one shingle that stay
+   apart are tested by the filters against all of that shingle; only pairs that pass leave the join.
 4. A pair is verified once, by intersecting the sets.
 
 Nulls, ties and repeats: a null text is empty, has no shingle and links with nothing; repeated rows and rows with a null
