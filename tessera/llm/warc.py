@@ -83,8 +83,9 @@ def boundary_table(spark: SparkSession, path: str) -> DataFrame:
     """
     c = candidates(spark, path)
     size = len(MAGIC)
-    cut = F.locate("\r\n\r\n", F.col("body").cast("string"))
-    c = c.withColumn("n", F.octet_length("body").cast("long")).withColumn("cut", cut).withColumn("head", F.when(F.col("cut") > 0, F.substring("body", F.lit(1), F.col("cut") - 1).cast("string")))
+    text = F.col("body").cast("string")
+    # The header is cut from the string: a position in it counts characters, and the offsets below count bytes.
+    c = c.withColumn("n", F.octet_length("body").cast("long")).withColumn("head", F.when(F.contains(text, F.lit("\r\n\r\n")), F.substring_index(text, "\r\n\r\n", 1)))
     c = c.withColumn("length", F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length: *([0-9]+)', 1) AS BIGINT)"))
     body_at = F.octet_length("head").cast("long") + 4
     payload = F.substring(F.col("body"), body_at.cast("int") + 1, F.col("length").cast("int"))

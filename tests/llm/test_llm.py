@@ -157,6 +157,14 @@ def test_warc_rejects_magic_in_payloads(spark):
     assert [(i, r.refers_to) for i, r in sorted(got.items()) if r.record_type == "revisit"] == [(2, 1)]
 
 
+def test_warc_headers_beyond_ascii(spark):
+    data = [(i, f"http://h/{'é日𝄞' * i}", f"page {i} " * 30) for i in range(1, 7)]
+    path = f"{shared_dir(spark)}/warc"
+    warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), path)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.verified) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: (len(h), hashlib.sha256(h.encode()).hexdigest(), True) for i, _, h in data}
+
+
 def test_exact_topk_brute_force(spark):
     rng = np.random.default_rng(4)
     data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
