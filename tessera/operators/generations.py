@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("generation")
+def _fold(rows: pa.Table) -> pa.Table:
+    own = rows.filter(pc.equal(rows["old"], rows["new"])).sort_by("new")
+    size, names = (dict(zip(own["new"].to_pylist(), own[c].to_pylist(), strict=True)) for c in ("keys", "names"))
+    covers = {(o, n) for o, n, k in zip(*(rows[c].to_pylist() for c in ("old", "new", "keys")), strict=True) if k == size[o]}
     out, chosen = [], None
-    for g, sha, n in zip(rows.generation, rows.shas, rows.counts, strict=True):
-        bag = dict(zip(sha, n, strict=True))
-        better = chosen is None or all(bag.get(k, 0) >= v for k, v in chosen.items())
-        chosen = bag if better else chosen
+    for g in own["new"].to_pylist():
+        better = chosen is None or (chosen, g) in covers and names[g] >= names[chosen]
+        chosen = g if better else chosen
         out.append("promoted" if better else "alternate")
-    return pd.DataFrame({"item": rows.item.values, "generation": rows.generation.values, "state": out})
+    return pa.table({"item": own["item"], "generation": own["generation"], "state": pa.array(out, pa.string())})
 
 
-def generation_fold(files: DataFrame, item: str, generation: str, sha: str) -> DataFrame:
-    """item, generation, state (promoted or alternate), in the order of generations.
+def generation_fold(files: DataFrame, item: str, generation: str, sha: str, reachable: Column | None = None, named: Column | None = None) -> DataFrame:
+    """item, generation, state (promoted or alternate), in the order of generations (null last).
 
-    Files are aggregated to bags before the fold, so a group holds one row per generation of one item. The fold depends on
-    order, which joins cannot express.
+    A generation is promoted if it has every hash of the chosen one at least as often, among its ``reachable`` files too, and at
+    least as many ``named`` files (those with a validated name); without these two columns, copies alone decide.
+
+    Every (item, hash) meets its counts of all generations, and says which pairs of generations it lets pass; sums over
+    hashes are one row per pair of generations of one item. Only those reach the fold, which depends on order.
     """
-    bags = files.groupBy(F.col(item).alias("item"), F.col(generation).alias("generation"), F.col(sha).alias("s")).agg(F.count("*").alias("n"))
-    per = bags.groupBy("item", "generation").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("x")).select("item", "generation", F.col("x.s").alias("shas"), F.col("x.n").alias("counts"))
-    return per.groupBy("item").applyInPandas(_fold, per.select("item", "generation", F.lit("").alias("state")).schema)
+    count = lambda c: F.lit(0) if c is None else F.count_if(F.coalesce(c, F.lit(False)))
+    bags = files.groupBy(F.col(item).alias("item"), F.col(generation).alias("generation"), F.col(sha).alias("s")).agg(F.count("*").alias("n"), count(reachable).cast("long").alias("r"), count(named).cast("long").alias("v"))
+    per = bags.groupBy("item", "s").agg(F.collect_list(F.struct("generation", "n", "r", "v")).alias("x"))
+    pairs = per.select("item", "x", F.explode("x").alias("a")).select("item", "a", F.explode("x").alias("b")).where("b.n >= a.n AND b.r >= a.r")
+    sums = pairs.groupBy("item", F.col("a.generation").alias("before"), F.col("b.generation").alias("generation")).agg(F.count("*").alias("keys"), F.sum("b.v").alias("names"))
+    place = lambda c: F.dense_rank().over(Window.partitionBy("item").orderBy(F.asc_nulls_last(c)))
+    ranked = sums.select("item", "generation", place("before").alias("old"), place("generation").alias("new"), "keys", "names")
+    return ranked.groupBy("item").applyInArrow(_fold, ranked.select("item", "generation", F.lit("").alias("state")).schema)

@@ -674,7 +674,7 @@ def _(t):
 
 @query("w15_generation_fold")
 def _(t):
-    d = t("documents").select("source", "lang", F.sha2(F.substring("text", 1, 12), 256).alias("sha"))
+    d = t("documents").select("source", "lang", F.sha2("text", 256).alias("sha"))
     return generations.generation_fold(d, "source", "lang", "sha")
 
 

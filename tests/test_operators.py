@@ -73,6 +73,35 @@ def test_generation_fold(spark):
     assert rows(generations.generation_fold(df, "item", "generation", "sha"), "generation", "state") == [(1, "promoted"), (2, "promoted"), (3, "alternate"), (4, "promoted")]
 
 
+def test_generation_fold_brute_force(spark):
+    rng = random.Random(11)
+    data = [(rng.choice(["d", "e", "f", None]), rng.choice([1, 2, 3, 4, None]), rng.choice(["a", "b", None]), rng.random() < 0.8, rng.random() < 0.5) for _ in range(400)]
+    data += [("g", g, "a", r, n) for g, r, n in ((1, True, False), (2, False, True), (3, True, True), (4, True, False), (5, True, True))]
+    df = spark.createDataFrame(data, "item string, generation int, sha string, ok boolean, named boolean")
+    want = {}
+    for full in (False, True):
+        for i in {x[0] for x in data}:
+            chosen = None
+            for g in sorted({x[1] for x in data if x[0] == i}, key=lambda g: (g is None, g or 0)):
+                mine = [x for x in data if x[:2] == (i, g)]
+                bag = {("all", k): sum(x[2] == k for x in mine) for k in ("a", "b", None)}
+                if full:
+                    bag |= {("ok", k): sum(x[2] == k and x[3] for x in mine) for k in ("a", "b", None)} | {"names": sum(x[4] for x in mine)}
+                better = chosen is None or all(bag[k] >= chosen[k] for k in bag)
+                chosen = bag if better else chosen
+                want[full, i, g] = "promoted" if better else "alternate"
+    got = {(full, r.item, r.generation): r.state for full, x in ((False, {}), (True, {"reachable": F.col("ok"), "named": F.col("named")})) for r in generations.generation_fold(df, "item", "generation", "sha", **x).collect()}
+    assert got == want
+
+
+def test_generation_fold_query_reads_whole_texts(spark, tmp_path):
+    from tessera.plans import catalog
+
+    rows_ = [("s", "de", "the same start, a"), ("s", "de", "the same start, b"), ("s", "en", "the same start, a"), ("s", "en", "the same start, c")]
+    spark.createDataFrame(rows_, "source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(catalog.QUERIES["w15_generation_fold"](spark, str(tmp_path)), "generation", "state") == [("de", "promoted"), ("en", "alternate")]
+
+
 def test_pass_attribution_and_stalls(spark):
     df = spark.createDataFrame([("d", 1, 1, False), ("d", 1, 2, True), ("d", 2, 1, False), ("d", 2, 2, False)], "item string, pos int, attempt int, ok boolean")
     assert rows(windows.pass_attribution(df, "item", "pos", "attempt", "ok"), "pos", "succeeded", "contradiction") == [(1, 2, False), (2, None, False)]
