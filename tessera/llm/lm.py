@@ -2,9 +2,9 @@
 
 The probability of a token after its predecessor mixes the maximum-likelihood bigram and unigram estimates and a uniform
 floor. The weights depend on how often the predecessor occurs (buckets by powers of two) and are learned by
-expectation-maximisation on held-out counts: every tenth block of texts is taken, and each of its training texts is
-deleted from the counts before its own tokens are looked up. Those look-ups are gathered in a grid of (bucket, quantised
-ratios of the estimates), whose size is bounded, and the iterations run on that grid.
+expectation-maximisation on held-out counts: each training text is deleted from the counts before its own tokens are
+looked up. The look-ups of all training texts are gathered in a grid of (bucket, quantised ratios of the estimates), whose
+size is bounded, and the iterations run on that grid.
 
 Counts cover all training texts exactly; see ``blockcounts`` for how they reach the texts.
 
@@ -26,7 +26,6 @@ from .textnum import mix, words
 
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 20
-EM_BLOCKS = 10
 ITERATIONS = 30
 CONTEXTS = 24
 #: bins of an estimate's ratio to the floor: quarters of a power of two, from 2**-16 to 2**48; 0 stands for "never seen"
@@ -156,10 +155,9 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     got = staged(answers(rows, n, _keys), "answers")
     n_types, n_train = got.where(f"kind = {UNI}").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     mine = got.select("block", "kind", "bucket", "n", "counts")
-    few = F.col("block") % EM_BLOCKS == 0
-    grid = rows.where(few).groupBy("block").cogroup(mine.where(few).groupBy("block")).applyInArrow(_gather(n_train, n_types), "context long, bin2 long, bin1 long, n long")
-    cells = grid.groupBy("context", "bin2", "bin1").agg(F.sum("n").alias("n")).collect()  # at most CONTEXTS * 257 * 257 cells
-    weights = learn_weights(np.array([tuple(r) for r in cells], np.int64).reshape(-1, 4))
+    grid = rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_gather(n_train, n_types), "context long, bin2 long, bin1 long, n long")
+    cells = grid.groupBy("context", "bin2", "bin1").agg(F.sum("n").alias("n")).toArrow()  # at most CONTEXTS * 257 * 257 cells
+    weights = learn_weights(np.stack([cells.column(x).to_numpy() for x in ("context", "bin2", "bin1", "n")], axis=1))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_scorer(n_train, n_types, weights), out)
 

@@ -93,6 +93,14 @@ def test_language_model_base_and_em(spark, docs):
     assert lm.score_documents(rows.limit(0)).count() == 0
 
 
+def test_language_model_weights_come_from_all_blocks(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(60))
+    rows = spark.createDataFrame([(i, text(), i % 5 != 1) for i in range(60)], "doc_id long, text string, train boolean")
+    scores = lambda size: np.array([r.score for r in lm.score_documents(rows, block_bytes=size).orderBy("doc_id").collect()])
+    assert np.allclose(scores(1 << 22), scores(2500), rtol=1e-9)  # one block, and several
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
