@@ -5,7 +5,7 @@ and ASCII marks all count as a blank. Its value is the log of
 the smoothed ratio of its document counts in toxic and other texts (a training text is left out of its own counts); a
 logistic regression is trained on those values. N-grams of few texts or with a ratio near 1 are not used.
 The classifier is fitted on at most ``max_train`` labelled rows (about; chosen by a hash of the id), dealt into ``shards``
-fixed shards: counts are summed over shards, each shard runs normalised stochastic gradient steps over its rows, and the shards'
+fixed shards: Spark sums the counts of the shards' features, each shard runs normalised stochastic gradient steps over its rows, and the shards'
 weights are averaged (parameter mixing) for the next round. All texts are scored whole.
 
 Nulls, ties and repeats: null text is empty and is scored by the intercept alone; null or repeated ids are scored row by
@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, read_table, staged, text_chunks
-from .textnum import pack_counts
 
-BITS = 19
+BITS = 20
 ORDERS = (5, 7)
 CHUNK = 1 << 20
 THRESHOLD = 0.3
@@ -75,22 +74,21 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> list[tuple[np.ndarray, int]]
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, rows = np.zeros((2, 1 << BITS), "<i4"), [0, 0]
+    counts = np.zeros((2, 1 << BITS), "<i4")
     for f, y in _examples(batches):
         counts[y][f] += 1
-        rows[y] += 1
-    yield pa.RecordBatch.from_pydict({"counts": [pack_counts(counts.ravel())], "negatives": [rows[0]], "positives": [rows[1]]})
+    seen = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
+    yield pa.RecordBatch.from_pydict({"feature": seen, "negatives": counts[0, seen], "positives": counts[1, seen]})
 
 
 class Ratios:
     """Log-count ratios of the features in use: ``all`` for texts that were not counted, ``own[y]`` for a counted text of label y."""
 
-    def __init__(self, counts: np.ndarray, rows: tuple[int, int], smoothing: float, min_docs: int, min_ratio: float):
-        used = np.flatnonzero(counts.sum(axis=0) >= min_docs)
-        ratio = self._of(counts[:, used], rows, smoothing, (0, 0))
+    def __init__(self, used: np.ndarray, counts: np.ndarray, rows: tuple[int, int], smoothing: float, min_ratio: float):
+        ratio = self._of(counts, rows, smoothing, (0, 0))
         strong = np.abs(ratio) >= min_ratio
         self.used, self.all = used[strong].astype(np.int32), ratio[strong].astype(np.float32)
-        part = counts[:, self.used]
+        part = counts[:, strong]
         self.own = [self._of(part, rows, smoothing, less).astype(np.float32) for less in ((1, 0), (0, 1))]
 
     @staticmethod
@@ -124,21 +122,16 @@ def fit(examples: DataFrame, shards: int = 4, rounds: int = 3, epochs: int = 6,
     sample = staged(labelled.select(F.coalesce(F.col("key"), F.lit(-1)).alias("key"), "text", F.col("toxic").cast("int").alias("toxic")), "train")
     # A shard's rows go through one task; the sample is bounded, so the shards are.
     dealt = sample.repartition(shards, F.pmod(F.xxhash64("key"), F.lit(shards)))
-    counted = dealt.mapInArrow(_counter, "counts binary, negatives long, positives long").collect()
-    neg, pos = sum(r.negatives for r in counted), sum(r.positives for r in counted)
+    rows = {r.toxic: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    neg, pos = rows.get(0, 0), rows.get(1, 0)
     none = np.empty(0, np.int32)
     if not neg or not pos:
         return none, np.array([0.0 if not neg + pos else (30.0 if pos else -30.0)], np.float32)
-    counts = np.zeros((2, 1 << BITS), "<i4")
-    for r in counted:
-        flat, raw = counts.reshape(-1), r["counts"]
-        part = np.frombuffer(raw, np.uint8, len(flat))
-        flat += part
-        if len(raw) > len(flat):  # counts of 255 and more
-            flat[part == 255] += (np.frombuffer(raw, "<u8", offset=len(flat)) - np.uint64(255)).astype("<i4")
-    del counted
-    ratios = Ratios(counts, (neg, pos), smoothing, min_docs, min_ratio)
-    del counts
+    counted = dealt.mapInArrow(_counter, "feature int, negatives int, positives int").groupBy("feature").agg(F.sum("negatives").alias("negatives"), F.sum("positives").alias("positives"))
+    # At most 1 << BITS features, and only those of enough texts leave the executors.
+    got = counted.where(F.col("negatives") + F.col("positives") >= min_docs).toArrow().sort_by("feature")
+    used, *counts = (got.column(c).to_numpy() for c in ("feature", "negatives", "positives"))
+    ratios = Ratios(used, np.stack(counts), (neg, pos), smoothing, min_ratio)
     out = np.zeros(len(ratios.used) + 1, np.float32)
     out[-1] = np.log(pos / neg)
     for k in range(rounds):

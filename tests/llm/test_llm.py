@@ -199,6 +199,20 @@ def test_toxicity_learns_a_marker(spark):
     assert toxicity.filter_documents(test, ex).count() == 3
 
 
+def test_toxicity_counts_features_by_spark(spark):
+    text = np.random.default_rng(3).integers(97, 123, 200000).astype(np.uint8)
+    found = toxicity.features(text, np.array([0, len(text)]))[1]
+    assert found.max() >= 1 << 19  # 20 bits of the hash
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(6)) + (" hideous" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
+    used, weights = toxicity.fit(spark.createDataFrame(rows, "key long, text string, toxic int"))
+    counts = np.zeros((2, 1 << 20), int)
+    for _, t, y in rows:
+        counts[y][toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1]] += 1
+    ratio = np.log((counts[1] + 1) / (20 + 2)) - np.log((counts[0] + 1) / (60 + 2))
+    assert used.tolist() == np.flatnonzero((counts.sum(axis=0) >= 8) & (abs(ratio) >= 1)).tolist() and len(weights) == len(used) + 1
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     word = {"de": ["schnung", "keit", "ung", "der"], "fr": ["eaux", "tion", "que", "les"]}
