@@ -8,7 +8,8 @@
    shingle (positional filter) allow the overlap, and if bitmaps and counts by hash ranges of their shared shingles do (suffix
    filter). In each of a few rounds, every class meets a few classes, drawn by a hash, of each of its prefix shingles, the
    likeliest by the filters is verified, and linked classes are merged. Then all pairs of classes that are still apart are
-   compared; a shingle whose classes are all merged asks for nothing more. No link is lost. Classes of one shingle that stay
+   compared; a shingle whose classes are all merged asks for nothing more. No component is lost, but the links are a connecting subset: two classes
+   that others have already joined are not verified against each other. Classes of one shingle that stay
    apart are tested by the filters against all of that shingle; only pairs that pass leave the join.
 4. A pair is verified once, by intersecting the sets.
 
@@ -148,7 +149,7 @@ def _overlap_bound() -> Column:
 
 
 def similarity_links(profiles: DataFrame, percent: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(links between classes, labels of linked classes) of rows of PROFILE.
+    """(a connecting subset of the links between classes, labels of linked classes) of rows of PROFILE.
 
     ``rounds``: how often each class is first compared with the likeliest of a few classes that it shares a shingle with, and links
     are merged, before all pairs that are still apart are compared.
