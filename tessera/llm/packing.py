@@ -324,8 +324,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, window: int = 2048, shard_tokens: int = 4_000_000, part_tokens: int = 2_000_000, part_rows: int = 2048, terms: int = 16, neighbours: int = 8, common_share: float = 0.125) -> DataFrame:
     """Pieces (PIECES) of all rows of ``docs`` in sequences of ``window`` tokens.
 
-    ``terms``: ids a seed asks with; ids in more than ``common_share`` of all texts are left out of the index, as their
-    weight is next to nothing. ``path``: the tokenizer's file, at the same place on every executor.
+    ``terms``: ids a seed asks with; ids in more than ``common_share`` of all texts are left out of the index, though
+    their idf there is still about log(8). Neighbours are searched only in the seed's own part of ``part_rows`` rows or ``part_tokens``. ``path``: the tokenizer's file, at the same place on every executor.
     """
     tokens = staged(tokenized(docs, path), "tokens")
     width = _tokenizer(path).width
