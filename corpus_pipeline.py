@@ -49,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
-#: SQL cannot express the classifier or the fitted rates; tests compare each stage with a plain version
+#: SQL cannot express the classifier or the fitted rates
 ORACLE_SQL = None
 
 
