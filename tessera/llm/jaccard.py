@@ -12,6 +12,7 @@
    that others have already joined are not verified against each other. Classes of one shingle that stay
    apart are tested by the filters against all of that shingle; only pairs that pass leave the join.
 4. A pair is verified once, by intersecting the sets.
+5. ``n_links`` needs all links: every pair of classes of one component is verified, by pairs of blocks of classes.
 
 Nulls, ties and repeats: a null text is empty, has no shingle and links with nothing; repeated rows and rows with a null
 id are members of their class; ``component_id`` is the smallest id that is not null. An empty table gives no rows. Long texts
@@ -42,6 +43,8 @@ RANGES = 1 << RANGE_BITS
 BITMAP_WORDS = 8
 #: classes of one shingle that its other classes are compared with in a round
 HEADS = 8
+#: classes of a block and shingles of a slice when all links of a component are counted
+GROUP, COLUMNS = 256, 4096
 PROFILE = "doc_id long, n long, sig string, keys array<long>, pos array<int>, shared int, bits array<long>, spread array<int>, body binary"
 
 
@@ -129,6 +132,44 @@ def _verifier(percent: int):
     return verify
 
 
+def _counter(percent: int):
+    def count(table: pa.Table) -> pa.Table:
+        """Rows that each class of one block links with in the other one (or in the same block, of a block with itself)."""
+        sets = [unpack_keys(x, 7) for x in table.column("body").to_pylist()]
+        seat, rows = (table.column(c).to_numpy() for c in ("seat", "rows"))
+        size = np.array([len(x) for x in sets], np.int64)
+        _, col = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        row, col = np.repeat(np.arange(len(sets)), size)[order], col[order]
+        overlap = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(col[-1]) + 1, COLUMNS):
+            i, j = np.searchsorted(col, [start, start + COLUMNS])
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[row[i:j], col[i:j] - start] = 1
+            overlap += has @ has.T
+        linked = (100 + percent) * overlap.astype(np.int64) >= percent * (size[:, None] + size)
+        np.fill_diagonal(linked, False)
+        if table.column("lo")[0] != table.column("hi")[0]:
+            linked &= seat[:, None] != seat
+        return pa.table({"sig": table.column("sig"), "links": pa.array(linked @ rows)})
+
+    return count
+
+
+def link_counts(profiles: DataFrame, labels: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
+    """sig, links: rows of other classes that each linked class is similar to. All pairs of a component are verified.
+
+    A component's classes are dealt into blocks of about ``group`` classes or BLOCK_BYTES of sets; every pair of blocks is one group.
+    """
+    classes = profiles.where("size(keys) > 0").groupBy("sig").agg(F.count("*").alias("rows"), F.first("body").alias("body"))
+    known = staged(classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig"), "linked")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(group)), F.ceil(F.sum(F.octet_length("body")) / F.lit(BLOCK_BYTES)))
+    dealt = known.join(known.groupBy("label").agg(blocks.alias("blocks")), "label").withColumn("seat", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select("label", F.least("seat", "other").alias("lo"), F.greatest("seat", "other").alias("hi"), "seat", "sig", "rows", "body")
+    return pairs.groupBy("label", "lo", "hi").applyInArrow(_counter(percent), "sig string, links long").groupBy("sig").agg(F.sum("links").alias("links"))
+
+
 def _bound(percent: int) -> str:
     """Length and positional filters for a (smaller) and b that share a shingle at positions a_i and b_i of their orders.
 
@@ -197,8 +238,9 @@ def similarity_links(profiles: DataFrame, percent: int, rounds: int = 3) -> tupl
     return links, components(links) if not more.isEmpty() else merged.withColumnRenamed("sig", "node")
 
 
-def similarity_classes(docs: DataFrame, k: int, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal sets), component_id of every row of ``docs`` (doc_id, text)."""
+def similarity_classes(docs: DataFrame, k: int, percent: int, block_bytes: int = BLOCK_BYTES, count_links: bool = False, group: int = GROUP) -> DataFrame:
+    """doc_id, n_shingles, set_id (equal sets), component_id of every row of ``docs`` (doc_id, text); with ``count_links`` n_links too,
+    the number of other rows that a row is similar to."""
     rows, n_blocks = into_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), block_bytes)
     got = answers(rows, n_blocks, _requests(k)).select("block", "kind", "bucket", "n", "counts")
     profiles = staged(rows.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(_profiles(k, percent), PROFILE), "profiles")
@@ -206,8 +248,13 @@ def similarity_classes(docs: DataFrame, k: int, percent: int, block_bytes: int =
     thin = profiles.select("doc_id", "n", "sig").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     smallest = thin.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = thin.join(smallest, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    n_links = []
+    if count_links:
+        copies = thin.where("sig IS NOT NULL").groupBy("sig").agg((F.count("*") - 1).alias("copies"))
+        out = out.join(copies, "sig", "left").join(link_counts(profiles, labels, percent, group), "sig", "left")
+        n_links = [(F.coalesce("copies", F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links")]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *n_links)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_classes(read_table(spark, sf_dir, "documents"), 4, 85).drop("set_id")
+    return similarity_classes(read_table(spark, sf_dir, "documents"), 4, 85, count_links=True).drop("set_id")

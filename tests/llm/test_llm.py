@@ -79,6 +79,16 @@ def test_jaccard_components(spark, docs):
     assert jaccard.similarity_classes(rows.limit(0), 4, 85).count() == 0
 
 
+def test_jaccard_counts_all_links(spark):
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(60)]
+    data = [(i, " ".join(base[rng.randrange(8) : 60 - rng.randrange(8)])) for i in range(50)] + [(90, None), (91, "one two"), (92, "one two"), (None, " ".join(base))]
+    sets = [frozenset(zip(*[(t or "").split()[j:] for j in range(4)], strict=False)) or frozenset([t] if t else []) for _, t in data]
+    want = sorted((-1 if i is None else i, sum(j != k and bool(x) and 100 * len(x & y) >= 85 * len(x | y) for k, y in enumerate(sets))) for j, ((i, _), x) in enumerate(zip(data, sets, strict=True)))
+    got = jaccard.similarity_classes(spark.createDataFrame(data, "doc_id long, text string"), 4, 85, count_links=True, group=7)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_links) for r in got.collect()) == want
+
+
 def test_language_model_base_and_em(spark, docs):
     rows = docs.select("doc_id", "text", (F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1).alias("train"))
     data = [(r.doc_id, [*words(r.text), "\0"], r.train) for r in rows.collect()]
