@@ -74,8 +74,11 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> list[tuple[np.ndarray, int]]
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    examples = _examples(batches)
+    if not examples:
+        return
     counts = np.zeros((2, 1 << BITS), "<i4")
-    for f, y in _examples(batches):
+    for f, y in examples:
         counts[y][f] += 1
     seen = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
     yield pa.RecordBatch.from_pydict({"feature": seen, "negatives": counts[0, seen], "positives": counts[1, seen]})
@@ -99,9 +102,12 @@ class Ratios:
 
 def _trainer(ratios: Ratios, start: np.ndarray, epochs: int, rate: float, seed: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = _examples(batches)
+        if not examples:
+            return
         slot = np.full(1 << BITS, -1, np.int32)
         slot[ratios.used] = np.arange(len(ratios.used), dtype=np.int32)
-        rows = [(x[x >= 0], y) for f, y in _examples(batches) for x in (slot[f],)]
+        rows = [(x[x >= 0], y) for f, y in examples for x in (slot[f],)]
         w, b = start[:-1].copy(), float(start[-1])
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
@@ -135,7 +141,7 @@ def fit(examples: DataFrame, shards: int = 4, rounds: int = 3, epochs: int = 6,
     out = np.zeros(len(ratios.used) + 1, np.float32)
     out[-1] = np.log(pos / neg)
     for k in range(rounds):
-        got = dealt.mapInArrow(_trainer(ratios, out, epochs, rate, k), "w binary, n long").where("n > 0").collect()
+        got = dealt.mapInArrow(_trainer(ratios, out, epochs, rate, k), "w binary, n long").collect()
         out = (sum(np.frombuffer(r.w, "<f4") * r.n for r in got) / sum(r.n for r in got)).astype(np.float32)
     return ratios.used, np.append(out[:-1] * ratios.all, out[-1]).astype(np.float32)
 
