@@ -5,8 +5,8 @@ rule_version, findings); a scan reads only the blobs that have no row for the pr
 appends what it finds. Findings are joined back to all paths and versions that hold the blob, so a text that a third of
 the paths share is scanned once and only its address is copied.
 
-Nulls, ties and repeats: null content is empty and has no findings; repeated rows each get a row; null paths are kept; an
-empty table gives no rows. Texts are scanned whole, whatever their length.
+Nulls, ties and repeats: null content is empty and has no findings; repeated rows each get a row; null paths are kept; of
+findings that start at the same place, the kind listed first comes first; an empty table gives no rows. Texts are scanned whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir
+from .common import read_table, shared_dir, staged
 
 #: Kinds in the order of a tie; the first three are the base. (kind, literals of which a text holds one, pattern, group to measure, least length)
 RULES = (
@@ -36,6 +36,8 @@ BASE = 3
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 _HEX_MAP = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _COMPILED = [(k, lits, re.compile(p), g, n) for k, lits, p, g, n in RULES]
+#: parts that the rows of one blob are dealt into while the ledger is asked
+PARTS = 16
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -73,22 +75,36 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_versions(versions: DataFrame, content: str, ledger: str) -> DataFrame:
     """``versions`` plus blob and the findings; ``ledger`` (a Parquet path) grows by the blobs that it had not seen.
 
-    Columns of ``versions`` that have the name of a result are replaced.
+    The ledger is asked with digests; only texts of unseen blobs are shuffled. Two scans at once may both append a blob: a row
+    of the ledger counts once. A version whose blob has no row in the ledger fails the job. Columns of ``versions`` that have the name
+    of a result are replaced.
     """
     spark = versions.sparkSession
     body = F.coalesce(F.col(content), F.lit("")).cast("binary")
     addressed = versions.withColumn("__blob", F.sha2(body, 256))
-    # One copy of a blob per task leaves the scan; copies within and across tasks are merged by the aggregation.
-    blobs = addressed.select(F.col("__blob").alias("blob"), body.alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
     known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
-    unseen = blobs.join(known.select("blob"), "blob", "left_anti")
-    unseen.mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger)
-    findings = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
-    findings = findings.select(F.col("blob").alias("__blob"), *[F.col(c).alias(f"__{c}") for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
-    kept = [c for c in versions.columns if c not in {"blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}]
-    thin = addressed.select(*kept, "__blob")
-    return thin.join(findings, "__blob").select(*kept, *[F.col(f"__{c}").alias(c) for c in ("blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+    blobs = addressed.select(F.col("__blob").alias("blob"), body.alias("body"))
+    if not known.isEmpty():
+        unseen = staged(blobs.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"), "unseen")
+        # Rows of a blob that many versions share are dealt into parts; the other side has digests alone.
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>"))
+        dealt = blobs.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+        blobs = dealt.join(unseen.withColumn("part", parts), ["blob", "part"], "left_semi")
+    # One copy of a blob per task leaves the scan; copies within and across tasks are merged by the aggregation.
+    once = blobs.groupBy("blob").agg(F.first("body").alias("body"))
+    once.mapInArrow(_scan, LEDGER).write.mode("append").parquet(ledger)
+    return with_findings(versions, addressed, spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == RULE_VERSION))
+
+
+def with_findings(versions: DataFrame, addressed: DataFrame, findings: DataFrame) -> DataFrame:
+    """Every version with the findings of its blob (``__blob`` of ``addressed``)."""
+    found = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    one = staged(findings.select(F.col("blob").alias("__blob"), *[F.col(c).alias(f"__{c}") for c in found]).dropDuplicates(["__blob"]), "findings")
+    kept = [c for c in versions.columns if c not in {"blob", *found}]
+    thin = addressed.select(*[F.col(f"`{c}`") for c in kept], "__blob").join(one, "__blob", "left")
+    gap = F.raise_error(F.concat(F.lit("no findings in the ledger for blob "), F.col("__blob"))).cast("long")
+    return thin.select(*[F.col(f"`{c}`") for c in kept], F.col("__blob").alias("blob"), F.coalesce("__n_assign", gap).alias("n_assign"), *[F.col(f"__{c}").alias(c) for c in found[1:]])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
