@@ -10,12 +10,18 @@ jumps) keeps what can be reached from the start of the file. Pieces that cannot
 record before them, and are put back into it.
 
 Nulls, ties and repeats: null html is an empty payload; null urls are written empty; a null page id is written and read as
-null; repeated rows each get a record, the first of them (any) a response; an empty table gives no archive and no rows.
+null, and is a response, as are all rows of a payload that only rows without an id have; repeated rows each get a record, those with the
+smallest id of their payload responses; an empty table gives no archive and no rows. Extra columns do not matter.
+
+All joins of the chain are merge joins: its tables grow with the archives. The pieces of a torn payload are one value, so they meet
+in one row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,14 +33,16 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: shorter payloads are written again rather than referred to
 MIN_SHARED = 100
+#: shared payloads (about 100 bytes each) that are sent to all executors; more of them are joined by a shuffle
+BROADCAST_ROWS = 100_000
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """Rows that revisit another: page_id, digest, refers_to. Only digests and ids are shuffled."""
+    """Payloads that more than one row has: digest and refers_to, the smallest page id. Only digests and ids are shuffled."""
     thin = pages.select("page_id", F.octet_length("html").alias("n"), F.sha2(F.col("html").cast("binary"), 256).alias("digest")).where(F.col("n") >= MIN_SHARED)
-    first = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1 AND refers_to IS NOT NULL")
-    return thin.join(first.drop("rows"), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows"))
+    return first.where("rows > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
 
 
 def _record(payload: Column) -> Column:
@@ -58,17 +66,32 @@ def _record(payload: Column) -> Column:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as WARC files below ``path``."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    revisits = staged(plan_records(rows), "revisits").withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
-    same = (F.col("page_id") == F.col("r_id")) & (F.sha2(F.col("html").cast("binary"), 256) == F.col("r_digest"))
-    records = rows.join(revisits, same, "left").select(_record(F.col("html")).alias("value"))
+    shared = staged(plan_records(rows), "shared").withColumnRenamed("digest", "s_digest")
+    shared = shared.hint("broadcast" if shared.count() <= BROADCAST_ROWS else "merge")
+    same = (F.sha2(F.col("html").cast("binary"), 256) == F.col("s_digest")) & (F.octet_length("html") >= MIN_SHARED)
+    refers = F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to"))
+    records = rows.join(shared, same, "left").withColumn("refers_to", refers).select(_record(F.col("html")).alias("value"))
     records.write.option("lineSep", "\r\n").text(path)
 
 
+@contextmanager
+def steady_splits(spark: SparkSession) -> Iterator[None]:
+    """Within it, files are cut at the same places whatever executors come or go: the number of cores has no say."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every piece that follows the magic: file, part (offset of the read block), seq in that part, body (binary)."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
-    return rows
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
 
 
 def _header(name: str) -> Column:
@@ -110,31 +133,40 @@ def reachable(chain: DataFrame) -> DataFrame:
     most = jump.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     known = jump.where("start = 0").select("file", "start")
     for k in range(math.ceil(math.log2(most + 1)) if most else 0):
-        ahead = known.join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
+        ahead = known.hint("merge").join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
         known = staged(known.unionByName(ahead).distinct(), f"known{k}")
         far = jump.select("file", F.col("start").alias("next"), F.col("next").alias("beyond"))
-        jump = staged(jump.join(far, ["file", "next"]).select("file", "start", F.col("beyond").alias("next")), f"jump{k}")
+        jump = staged(jump.hint("merge").join(far, ["file", "next"]).select("file", "start", F.col("beyond").alias("next")), f"jump{k}")
     return known
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest, verified: of every reachable record."""
+    with steady_splits(spark):
+        return _read(spark, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     table = staged(boundary_table(spark, path), "boundaries")
     good = reachable(table).withColumn("real", F.lit(True))
-    marked = table.join(good, ["file", "start"], "left")
+    marked = table.hint("merge").join(good, ["file", "start"], "left")
     owner = F.last(F.when(F.col("real"), F.col("start")), ignorenulls=True).over(Window.partitionBy("file").orderBy("start"))
     marked = staged(marked.withColumn("owner", owner), "marked")
     records = marked.where("real")
-    torn = records.where("not whole")
+    torn = records.where("not whole").select("file", F.col("start").alias("owner"), F.col("body_at").alias("o_at"), F.col("length").alias("o_length"))
     repaired = spark.createDataFrame([], "file string, start long, fixed string")
     if not torn.isEmpty():
-        # Payloads that hold the magic: their pieces are read again and joined in order.
-        need = marked.join(torn.select("file", F.col("start").alias("owner"), F.col("body_at").alias("o_at"), F.col("length").alias("o_length")), ["file", "owner"])
-        bodies = candidates(spark, path).join(need.select("file", "part", "seq", "start", "owner", "o_at", "o_length"), ["file", "part", "seq"])
+        # Payloads that hold the magic: their pieces are read again, at the same cuts and of the same sizes, and joined in order.
+        need = marked.hint("merge").join(torn, ["file", "owner"]).select("file", "part", "seq", "n", "start", "owner", "o_at", "o_length")
+        again = candidates(spark, path).withColumn("n", F.octet_length("body").cast("long"))
+        bodies = staged(again.hint("merge").join(need, ["file", "part", "seq", "n"]), "torn")
+        if bodies.count() != need.count():
+            raise RuntimeError("the archives were cut in another way when they were read again")
         whole = bodies.groupBy("file", "owner", "o_at", "o_length").agg(F.array_sort(F.collect_list(F.struct("start", "body"))).alias("pieces"))
         joined = F.aggregate("pieces", F.lit(b"").cast("binary"), lambda acc, x: F.when(F.octet_length(acc) > 0, F.concat(acc, F.lit(MAGIC).cast("binary"), x["body"])).otherwise(x["body"]))
-        repaired = whole.select("file", F.col("owner").alias("start"), F.sha2(F.substring(joined, (F.col("o_at") + 1).cast("int"), F.col("o_length").cast("int")), 256).alias("fixed"))
-    done = records.join(repaired, ["file", "start"], "left").withColumn("digest", F.coalesce("fixed", "digest"))
+        fixed = F.sha2(F.substring(joined, (F.col("o_at") + 1).cast("int"), F.col("o_length").cast("int")), 256)
+        repaired = staged(whole.select("file", F.col("owner").alias("start"), fixed.alias("fixed")), "repaired")
+    done = records.hint("merge").join(repaired, ["file", "start"], "left").withColumn("digest", F.coalesce("fixed", "digest"))
     revisit = F.col("type") == "revisit"
     number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
     return done.select(
@@ -149,8 +181,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc"
-    write_archives(read_table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path)
+    pages = read_table(spark, sf_dir, "pages")
+    write_archives(pages, path)
+    records = staged(read_archives(spark, path), "records")
+    if records.count() != pages.count():
+        raise RuntimeError("records written and records reached from the starts of the files differ")
+    return records
 
 
 ORACLE = f"""
