@@ -1,20 +1,25 @@
 """Mixing towards target weights with soft membership; DataFrame expressions only.
 
-1. A labelled table gives some documents a domain. A naive Bayes classifier over binned features of the whole text (length,
-   word length, shares of capitals, digits, marks and line ends) gives every document a posterior over the domains.
+1. A labelled table gives some documents a domain. A naive Bayes classifier over hashed words and runs of marks (each distinct one of a
+   text counts once) gives every document a posterior over the domains. Words weigh by their smoothed log-count ratios, if their
+   likelihood-ratio statistic is ``CERTAINTY`` at least; sums of many words are overconfident, so each domain's is divided by a temperature, those of a
+   short list with the best likelihood on labelled rows that were held out.
 2. Nonnegative rates r are fitted so that the expected tokens of each domain, sum of r * tokens * posterior, match the targets:
-   least squares of the relative errors, by projected gradient from r = 1. Steps take the reciprocal eigenvalues of the
-   (domains x domains) normal matrix in turn, and fall back to the smallest one if the error grows. Documents
-   with equal features have equal posteriors and so equal gradients in the metric of their tokens; the iterations run on one
-   row for each distinct posterior, a partial aggregation that is exact. Only numbers by domain and by feature bin reach the driver.
+   least squares, by projected gradient from r = 1. The residuals are whitened by the (domains x domains) normal matrix of the
+   documents whose rate is not at a bound, so that few steps are needed. A document's rate follows from its posterior and the short
+   list of steps taken so far; an iteration is one aggregation to numbers by domain, and nothing by document is written or sent.
 
 Targets are ``weights`` times a budget; the default budget is the largest that asks of no domain more than there is.
-Nulls, ties and repeats: null text is empty (0 tokens); documents without a label only get a posterior; of several labels
-the smallest domain counts; repeated ids are rows of their own; without labels posteriors are even. An empty table gives no rows.
+The classifier learns from at most about ``max_train`` labelled rows (chosen by a hash of the id), four fifths of them; everything
+else covers all rows. Nulls, ties and repeats: null text is empty (0 tokens, posterior of the priors); documents without a label only get
+a posterior; labels without a row are not used; of several labels the smallest domain counts; repeated ids are rows of their own;
+without labels posteriors are even. Extra columns do not matter, unless ``sample_documents`` returns them. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 
 import numpy as np
@@ -25,8 +30,12 @@ from .common import read_table, staged
 
 #: production targets by domain
 WEIGHTS = {"clean": 0.82, "low": 0.12, "toxic": 0.06}
-BINS = 24
-_SHARES = (0.0, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.7)
+#: slots of the hash of words
+SLOTS = 1 << 16
+TEMPERATURES = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 8.0, 16.0)
+PIECE = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]+"
+#: likelihood-ratio statistic that a slot needs to count
+CERTAINTY = 100.0
 
 
 def label_domain() -> Column:
@@ -34,122 +43,185 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
 
 
-def token_count(text: Column) -> Column:
-    """Runs of characters other than 0x20 and 0x09-0x0D."""
-    return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+def pieces_of(text: Column) -> Column:
+    """Tokens of a text: runs of letters and digits, and runs of other characters but white space."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PIECE), F.lit(0))
 
 
-def text_features(text: Column) -> list[Column]:
-    """Bins (0 to BINS - 1) of features of a whole text."""
-    n = F.char_length(text)
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    share = lambda part: sum((F.when(part > F.lit(s) * F.greatest(n, F.lit(1)), 1).otherwise(0) for s in _SHARES), F.lit(0))
-    words = F.greatest(token_count(text), F.lit(1))
-    return [
-        F.least(F.floor(F.log2(n + F.lit(1.0))), F.lit(BINS - 1)).cast("int"),
-        F.least(F.floor(n / words), F.lit(BINS - 1)).cast("int"),
-        share(count("[A-Z]")), share(count("[0-9]")), share(count("[^\\p{L}\\p{N}\\s.,]")),
-        share(n - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))),
-    ]
+def featured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with __tokens and __slots."""
+    rows = docs.withColumn("__pieces", pieces_of(F.col(text_col)))
+    slots = F.array_distinct(F.transform("__pieces", lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))
+    return rows.withColumns({"__tokens": F.size("__pieces").cast("long"), "__slots": slots}).drop("__pieces")
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, tokens and f0, f1, ... of every row; no text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), token_count(text).alias("tokens"), *[f.alias(f"f{i}") for i, f in enumerate(text_features(text))])
-
-
-def posteriors(rows: DataFrame, labels: DataFrame, domains: list[str], smoothing: float = 1.0) -> DataFrame:
-    """``rows`` (of ``featured``) with p_<domain>; ``labels``: doc_id, domain."""
-    names = [c for c in rows.columns if c.startswith("f")]
+def labelled(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """domain, text, fold (0 to 4) of about ``max_train`` labelled rows at most."""
     known = labels.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    long = rows.join(known, "doc_id").select("domain", F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).alias("bin")) for i, c in enumerate(names)])).alias("x"))
-    counted = long.groupBy("domain", "x.feature", "x.bin").count().collect()  # domains x features x bins at most
-    table = np.full((len(domains), len(names), BINS), smoothing)
-    for r in counted:
-        table[domains.index(r.domain), r.feature, r.bin] += r["count"]
-    rows_of = table[:, 0].sum(axis=1)
-    prior = np.log(rows_of / rows_of.sum())
-    logs = np.log(table / table.sum(axis=2, keepdims=True))
-    score = [
-        F.lit(float(prior[d])) + sum((F.element_at(F.array(*[F.lit(float(x)) for x in logs[d, i]]), F.col(c) + 1) for i, c in enumerate(names)), F.lit(0.0))
-        for d in range(len(domains))
-    ]
-    out = rows.select("doc_id", "tokens", *[s.alias(f"s{d}") for d, s in enumerate(score)])
-    top = F.greatest(*[F.col(f"s{d}") for d in range(len(domains))]) if len(domains) > 1 else F.col("s0")
-    out = out.select("doc_id", "tokens", *[F.exp(F.col(f"s{d}") - top).alias(f"e{d}") for d in range(len(domains))])
-    total = sum((F.col(f"e{d}") for d in range(len(domains))), F.lit(0.0))
-    return out.select("doc_id", "tokens", *[(F.col(f"e{d}") / total).alias(f"p_{name}") for d, name in enumerate(domains)])
-
-
-def fit_rates(soft: DataFrame, weights: dict[str, float], budget: float | None = None, cap: float | None = None, iterations: int = 36, tolerance: float = 1e-4) -> tuple[Column, dict[str, float]]:
+    known = staged(known.select(F.col("doc_id").alias("__id"), "domain"), "labels")
+    n = known.count()
+    if n > max_train:
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+    fold = F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(5))
+    # About max_train ids and labels at most: small enough for every executor, whatever the corpus.
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known), "__id").select("domain", "__text", fold.alias("fold"))
+
+
+def evidence(a: np.ndarray, b: np.ndarray, rows_a: np.ndarray, rows_b: float) -> np.ndarray:
+    """Likelihood-ratio statistic of the tables of rows with and without a slot in two domains; 0 if its share is the same."""
+    both = rows_a + rows_b
+    share = (a + b) / np.maximum(both, 1)
+    part = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0.0)
+    return 2 * (part(a, rows_a * share) + part(b, rows_b * share) + part(rows_a - a, rows_a * (1 - share)) + part(rows_b - b, rows_b * (1 - share)))
+
+
+class Classifier:
+    """Weights of the slots, priors and temperatures of every domain but the first."""
+
+    def __init__(self, domains: list[str], prior: np.ndarray, weights: np.ndarray):
+        self.domains, self.prior, self.weights, self.temperature = domains, prior, weights, [1.0] * len(weights)
+
+    def evidence(self, slots: str) -> list[Column]:
+        """The sum of the slots' weights for every domain but the first."""
+        # One constant of SLOTS numbers each, which Spark reads once: as text, it takes one call to pass.
+        table = lambda w: F.from_json(F.lit(json.dumps([round(float(x), 4) for x in w])), "array<double>")
+        one = lambda w: F.aggregate(slots, F.lit(0.0), lambda acc, s: acc + F.element_at(table(w), s + 1))
+        return [one(w) for w in self.weights]
+
+    def posterior(self, evidence: list[Column], temperature: list[Column] | None = None) -> list[Column]:
+        t = temperature or [F.lit(float(x)) for x in self.temperature]
+        score = [F.lit(0.0), *[F.lit(float(p)) + e / x for p, e, x in zip(self.prior, evidence, t, strict=True)]]
+        top = F.greatest(*score) if len(score) > 1 else score[0]
+        parts = [F.exp(s - top) for s in score]
+        total = sum(parts[1:], parts[0])
+        return [p / total for p in parts]
+
+    def apply(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """Columns ``keep`` of ``rows`` (of ``featured``), tokens and p_<domain>."""
+        out = rows.select(*keep, F.col("__tokens").alias("tokens"), *[e.alias(f"__e{i}") for i, e in enumerate(self.evidence("__slots"))])
+        p = self.posterior([F.col(f"__e{i}") for i in range(len(self.weights))])
+        return out.select(*keep, "tokens", *[x.alias(f"p_{d}") for x, d in zip(p, self.domains, strict=True)])
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = 20000, smoothing: float = 1.0) -> Classifier:
+    """``labels``: doc_id, domain."""
+    rest = len(domains) - 1
+    none = Classifier(domains, np.zeros(rest), np.zeros((rest, SLOTS)))
+    if not rest:
+        return none
+    sample = staged(labelled(docs, labels, domains, max_train), "sample")
+    seen = staged(featured(sample, "__text").select("domain", "fold", "__slots"), "slots")
+    learn = seen.where("fold <> 0")
+    rows = {r.domain: r["count"] for r in learn.groupBy("domain").count().collect()}  # one row a domain
+    if not rows:
+        return none
+    # SLOTS rows at most leave the executors.
+    counted = learn.select("domain", F.explode("__slots").alias("slot")).groupBy("slot").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]).toArrow()
+    n = np.zeros((len(domains), SLOTS))
+    at = counted.column("slot").to_numpy()
+    for i in range(len(domains)):
+        n[i, at] = counted.column(f"n{i}").to_numpy()
+    of = np.array([rows.get(d, 0) for d in domains], float)
+    # Of the rows of a domain, the share that has a slot.
+    share = np.log((n + smoothing) / (of[:, None] + 2 * smoothing))
+    ratio = share[1:] - share[0]
+    weights = np.where(evidence(n[1:], n[0], of[1:, None], of[0]) >= CERTAINTY, ratio, 0.0)
+    prior = np.log((of[1:] + smoothing) / (of[0] + smoothing))
+    model = Classifier(domains, prior, weights)
+    tried = seen.where("fold = 0").select("domain", *[e.alias(f"e{i}") for i, e in enumerate(model.evidence("__slots"))])
+    choices = list(itertools.product(TEMPERATURES, repeat=rest)) if rest <= 2 else [(t,) * rest for t in TEMPERATURES]
+    at_each = tried.withColumn("t", F.explode(F.lit([list(c) for c in choices])))
+    p = model.posterior([F.col(f"e{i}") for i in range(rest)], [F.element_at("t", i + 1) for i in range(rest)])
+    chosen = F.coalesce(*[F.when(F.col("domain") == d, x) for d, x in zip(domains, p, strict=True)])
+    best = at_each.groupBy("t").agg(F.sum(-F.log(F.greatest(chosen, F.lit(1e-12)))).alias("loss")).orderBy("loss", "t").first()
+    if best is not None:
+        model.temperature = list(best.t)
+    return model
+
+
+def held_out_accuracy(docs: DataFrame, labels: DataFrame, domains: list[str], model: Classifier, max_train: int = 20000) -> DataFrame:
+    """domain, rows, right, soft (sum of the posterior of the true domain) of the labelled rows that the classifier has not seen."""
+    rows = featured(labelled(docs, labels, domains, max_train).where("fold = 0"), "__text")
+    p = model.apply(rows, ["domain"])
+    best = F.greatest(*[F.col(f"p_{d}") for d in domains])
+    own = F.coalesce(*[F.when(F.col("domain") == d, F.col(f"p_{d}")) for d in domains])
+    return p.groupBy("domain").agg(F.count("*").alias("rows"), F.count_if(own == best).alias("right"), F.sum(own).alias("soft"))
+
+
+def rate_after(moves: list[list[float]], p: list[Column], cap: float | None) -> Column:
+    """The rate after all ``moves``: a fold over their constants, from 1."""
+    if not moves:
+        return F.lit(1.0)
+
+    def one(r: Column, m: Column) -> Column:
+        r = F.greatest(F.lit(0.0), r - sum((F.element_at(m, j + 1) * x for j, x in enumerate(p)), F.lit(0.0)))
+        return r if cap is None else F.least(F.lit(float(cap)), r)
+
+    return F.aggregate(F.lit([[float(x) for x in m] for m in moves]), F.lit(1.0), one)
+
+
+def fit_rates(soft: DataFrame, weights: dict[str, float], budget: float | None = None, cap: float | None = None, iterations: int = 24, tolerance: float = 1e-4) -> tuple[Column, dict[str, float]]:
     """(rate as an expression over p_<domain>, target tokens by domain)."""
     names = list(weights)
-    p = [F.col(f"p_{d}") for d in names]
-    profiles = staged(soft.groupBy(*[f"p_{d}" for d in names]).agg(F.sum("tokens").alias("tokens")), "profiles")
-    have = profiles.agg(*[F.coalesce(F.sum(F.col("tokens") * x), F.lit(0.0)) for x in p]).first()
-    share = {d: w / sum(weights.values()) for d, w in weights.items()}
+    d = len(names)
+    p = [F.col(f"p_{x}") for x in names]
+    have = soft.agg(*[F.coalesce(F.sum(F.col("tokens") * x), F.lit(0.0)) for x in p]).first()
+    share = {x: w / sum(weights.values()) for x, w in weights.items()}
     if budget is None:
-        budget = min((h / share[d] for d, h in zip(names, have, strict=True) if share[d] > 0), default=0.0)
-    target = {d: budget * share[d] for d in names}
+        budget = min((h / share[x] for x, h in zip(names, have, strict=True) if share[x] > 0), default=0.0)
+    target = {x: budget * share[x] for x in names}
     if not sum(have):
         return F.lit(1.0), target
-    t = np.array([target[d] for d in names])
+    t = np.array([target[x] for x in names])
     scale = np.maximum(t, 1e-3 * max(budget, 1.0))
-    cells = [(i, j) for i in range(len(p)) for j in range(i + 1)]
-    got = profiles.agg(*[F.sum(F.col("tokens") * p[i] * p[j]) for i, j in cells]).first()
-    h = np.zeros((len(p), len(p)))
-    for (i, j), x in zip(cells, got, strict=True):
-        h[i, j] = h[j, i] = x / (scale[i] * scale[j])
-    steps = 1 / np.maximum(np.linalg.eigvalsh(h)[::-1], 1e-9 * np.trace(h))
-
-    def rate_after(moves: list[list[float]]) -> Column:
-        """The rate after all steps so far, as one fold over their constants."""
-        if not moves:
-            return F.lit(1.0)
-
-        def one(r: Column, m: Column) -> Column:
-            r = F.greatest(F.lit(0.0), r - sum((F.element_at(m, j + 1) * x for j, x in enumerate(p)), F.lit(0.0)))
-            return r if cap is None else F.least(F.lit(float(cap)), r)
-
-        return F.aggregate(F.array(*[F.array(*[F.lit(x) for x in m]) for m in moves]), F.lit(1.0), one)
-
+    cells = [(i, j) for i in range(d) for j in range(i + 1)]
     moves: list[list[float]] = []
-    rate = rate_after(moves)
-    best, best_error, safe, error_before = rate, math.inf, 0, math.inf
-    for k in range(iterations):
-        totals = np.array([float(x) for x in profiles.agg(*[F.sum(F.col("tokens") * x * rate) for x in p]).first()])
-        miss = (totals - t) / scale
+    step, accepted, size = np.zeros(d), math.inf, 1.0
+    for _ in range(iterations):
+        rows = soft.select("tokens", *p, rate_after(moves, p, cap).alias("r"))
+        free = F.lit(True) if not moves else F.col("r") > 0 if cap is None else (F.col("r") > 0) & (F.col("r") < cap)
+        h_of = [F.coalesce(F.sum(F.when(free, F.col("tokens") * p[i] * p[j])), F.lit(0.0)) for i, j in cells]
+        got = [float(x) for x in rows.agg(*[F.sum(F.col("tokens") * x * F.col("r")) for x in p], *h_of).first()]
+        miss = (np.array(got[:d]) - t) / scale
         error = float(miss @ miss)
-        if error < best_error:
-            best, best_error = rate, error
+        if moves and error >= accepted:  # the bounds took more than the step foresaw: half of it
+            size /= 2
+            moves[-1] = [float(x) for x in size * step / scale]
+            continue
+        accepted = error
         if np.abs(miss).max() < tolerance:
             break
-        if error > error_before and k % len(steps) == 0:  # a whole round of steps made it worse
-            safe = iterations
-        if k % len(steps) == 0:
-            error_before = error
-        step = steps[0] if safe else steps[k % len(steps)]
-        moves.append([float(step * m / s) for m, s in zip(miss, scale, strict=True)])
-        rate = rate_after(moves)
-    return best, target
+        h = np.zeros((d, d))
+        for (i, j), x in zip(cells, got[d:], strict=True):
+            h[i, j] = h[j, i] = x / (scale[i] * scale[j])
+        step, size = np.linalg.solve(h + np.eye(d) * 1e-6 * max(np.trace(h), 1e-12), miss), 1.0
+        moves.append([float(x) for x in step / scale])
+    else:
+        moves = moves[:-1]  # the last one was not tried, or was no gain
+    return rate_after(moves, p, cap), target
+
+
+def posteriors_of(model: Classifier, docs: DataFrame) -> DataFrame:
+    """doc_id, tokens and p_<domain> of every row of ``docs``."""
+    return model.apply(featured(docs.select("doc_id", "text")), ["doc_id"])
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float | None = None, cap: float | None = None) -> DataFrame:
     """doc_id, tokens, p_<domain> and rate of every row of ``docs``; ``labels``: doc_id, domain."""
-    domains = list(weights)
-    rows = staged(featured(docs), "features")
-    soft = posteriors(rows, labels, domains)
+    model = fit_classifier(docs, labels, list(weights))
+    soft = staged(posteriors_of(model, docs), "soft")
     rate, _ = fit_rates(soft, weights, budget, cap)
     return soft.withColumn("rate", rate)
 
 
 def sample_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Rows of ``docs`` drawn with the chance of their rate (at most 1) by a hash of the id; all columns."""
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rates = staged(mix_documents(docs, labels, weights, cap=1.0).select("doc_id", "rate"), "rates")
-    drawn = rates.where(chance < F.col("rate")).select(F.col("doc_id").alias("__drawn")).distinct()
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__drawn")), "left_semi")
+    """Rows of ``docs`` drawn with the chance of their rate (at most 1) by a hash of the id; all columns of ``docs``."""
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+    model = fit_classifier(docs, labels, list(weights))
+    soft = staged(model.apply(featured(packed), ["row"]), "soft")
+    rate, _ = fit_rates(soft, weights, cap=1.0)
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "row.doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return soft.where(chance < rate).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
