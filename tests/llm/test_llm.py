@@ -50,9 +50,22 @@ def test_exact_dedup_and_collisions(spark, docs):
     assert got == want
     weak = exact_dedup.exact_dedup(docs, digest=F.lit("same"))  # all digests collide: bytes decide
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in weak.collect()} == {k: v[:3] for k, v in want.items()}
+    small = exact_dedup.exact_dedup(docs, memtable_rows=3, fan_in=2)  # many runs, and compactions between them
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in small.collect()} == want
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_index_finds_hits_after_compaction(spark):
+    digests = lambda a, b: spark.createDataFrame([(f"d{i}", i) for i in range(a, b)], "digest string, id long")
+    index = exact_dedup.DigestIndex(spark)
+    assert index.insert(digests(0, 50)).count() == 0 and index.insert(digests(50, 100)).count() == 0
+    index.compact()
+    assert len(index.runs) == 1
+    got = index.insert(digests(60, 110).unionByName(digests(200, 201)).unionByName(digests(200, 201)))
+    assert sorted(r.digest for r in got.collect()) == sorted([f"d{i}" for i in range(60, 100)] + ["d200"])
+    assert {r.first_id for r in index.compact().where("digest = 'd60'").collect()} == {60}
+
+
 def test_jaccard_components(spark, docs):
     rng = random.Random(2)
     base = [f"v{i}" for i in range(40)]
@@ -159,6 +172,28 @@ def test_secrets_spans_and_ledger(spark, docs):
     more = versions.unionByName(spark.createDataFrame([(99, "new text", "")], versions.schema))
     secrets.scan_versions(more, "text", ledger)
     assert spark.read.parquet(ledger).count() == before + 1  # only the unseen blob was scanned
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "2")
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "2")  # as if two scans had run at once
+    assert secrets.scan_versions(versions, "text", ledger + "2").count() == versions.count()
+    assert secrets.scan_versions(versions.limit(0), "text", f"{shared_dir(spark)}/ledger").count() == 0
+    import pytest as _pytest
+
+    with _pytest.raises(Exception, match="no findings in the ledger"):
+        secrets.with_findings(versions, versions.withColumn("__blob", F.lit("x")), spark.createDataFrame([], secrets.LEDGER)).collect()
+
+
+def test_secrets_equal_plain_scan(spark):
+    rng = random.Random(8)
+    bits = ["token", "API_KEY", "apikey", "secret", "Passwd", "=", ": ", "'", '"', " ", "é", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef" * 2, "abcdefgh", "x", "\n", "ghp_" + "a" * 40, "日"]
+    data = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for i in range(300)] + [(400, "z" * 200000 + " token=abcdefghij"), (401, None), (401, None)]
+    kinds = [("assign", re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("(AKIA[A-Z0-9]+)"), 1, 16), ("hex", re.compile("([0-9a-f]+)"), 1, 32)]
+    want = []
+    for i, t in data:
+        found = sorted((m.start(), n, m.end()) for n, (_, p, g, least) in enumerate(kinds) for m in p.finditer(t or "") if len(m.group(g)) >= least)
+        text = ",".join(f"{kinds[n][0]}:{a}:{z}" for a, n, z in found)
+        want.append((i, *(sum(n == k for _, n, _ in found) for k in range(3)), hashlib.sha256(text.encode()).hexdigest()))
+    got = secrets.scan_versions(spark.createDataFrame(data, "doc_id long, text string"), "text", f"{shared_dir(spark)}/ledger").collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted(want)
 
 
 def test_warc_rejects_magic_in_payloads(spark):
@@ -183,6 +218,21 @@ def test_warc_headers_beyond_ascii(spark):
     assert got == {i: (len(h), hashlib.sha256(h.encode()).hexdigest(), True) for i, _, h in data}
 
 
+def test_warc_nulls_repeats_long_and_empty(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice(["WARC/1.1\r\n", "x" * 50, "é", "\r\n\r\n", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\na\r\n\r\n"]) for _ in range(4000))
+    data = [(5, None, "q" * 120), (5, None, "q" * 120), (None, "u", "q" * 120), (3, "u", "q" * 120), (None, "n", "r" * 120), (None, "n", "r" * 120), (8, "l", long), (9, "l", long), (10, "m", long + "!")]
+    path = f"{shared_dir(spark)}/warc"
+    warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).coalesce(2), path)
+    got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in warc.read_archives(spark, path).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = Counter((i, "revisit" if i in (5, 9) else "response", {5: 3, 9: 8}.get(i), sha(h)) for i, _, h in data)
+    assert got == want
+    empty = f"{shared_dir(spark)}/warc"
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
 def test_exact_topk_brute_force(spark):
     rng = np.random.default_rng(4)
     data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
@@ -198,6 +248,25 @@ def test_exact_topk_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_exact_topk_ties_repeats_and_empty(spark):
+    rng = random.Random(3)
+    same = [1.0, 0.5]
+    data = [(i, same if i % 3 == 0 else [rng.randrange(3) / 2, rng.randrange(3) / 2], "x") for i in range(90)] + [(5, [9.0, 9.0], "x"), (5, [8.0, 8.0], "x"), (7, [1.0, 1.0, 1.0], "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string")
+    v = topk.integer_vectors(df)
+    ints = {}
+    for i, x, _ in data:
+        ints[i] = min(ints.get(i, [10**9]), [int(np.floor(64 * c)) for c in x])
+    want = []
+    for q in range(0, 90, 20):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[i], strict=False)), i) for i in ints if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    got = topk.exact_topk(v, v.where("id % 20 = 0"), block_rows=8, query_rows=2, bits=1)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
+    assert topk.exact_topk(v.limit(0), v.limit(0)).count() == 0
+    assert topk.exact_topk(v.where("id < 2"), v.where("id = 0")).count() == 1
+
+
 def test_toxicity_learns_a_marker(spark):
     rng = random.Random(1)
     text = lambda bad: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(50)) for _ in range(30)) + (" hideous" if bad else "")
@@ -233,14 +302,44 @@ def test_language_id(spark):
     assert [got[i][0] for i in range(1, 6)] == ["de", "fr", "und", "und", "fr"] and got[3][1] == 0 and 0.5 < got[5][1] <= 1
 
 
-def test_mixing_hits_targets(spark, docs):
+def mixing_rows(spark):
     rng = random.Random(3)
-    rows = spark.createDataFrame([(i, ("plain words here " * rng.randrange(3, 30)) if i % 3 else ("### %% 12 " * rng.randrange(2, 20))) for i in range(120)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, "clean" if i % 3 else "low") for i in range(60)], "doc_id long, domain string")
-    out = mixing.mix_documents(rows, labels, {"clean": 0.6, "low": 0.4}).toPandas()
-    a, b = (out.tokens * out.rate * out.p_clean).sum(), (out.tokens * out.rate * out.p_low).sum()
-    assert abs(a / (a + b) - 0.6) < 1e-3 and (out.rate >= 0).all()
-    assert np.allclose(out.p_clean + out.p_low, 1)
+    rows = [(i, " ".join(rng.choice(["plain", "words", "here", "and"]) for _ in range(rng.randrange(3, 60))) + (" ### 12" if i % 3 == 0 else "")) for i in range(600)]
+    labels = [(i, "low" if i % 3 == 0 else "clean") for i in range(400)]
+    return rows, labels, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, domain string")
+
+
+def test_mixing_hits_targets(spark, docs):
+    _, _, rows, labels = mixing_rows(spark)
+    for cap in (None, 1.0):
+        out = mixing.mix_documents(rows, labels, {"clean": 0.4, "low": 0.6}, cap=cap).toPandas()
+        a, b = (out.tokens * out.rate * out.p_clean).sum(), (out.tokens * out.rate * out.p_low).sum()
+        before = (out.tokens * out.p_clean).sum() / out.tokens.sum()
+        assert abs(a / (a + b) - 0.4) < (1e-3 if cap is None else before - 0.4) and (out.rate >= 0).all() and (cap is None or out.rate.max() <= cap)
+        assert np.allclose(out.p_clean + out.p_low, 1)
+        assert ((out.p_low > 0.5) == (out.doc_id % 3 == 0)).mean() > 0.95
     odd = mixing.mix_documents(docs, labels.limit(0), {"clean": 0.6, "low": 0.4})
     assert odd.count() == docs.count()
     assert mixing.mix_documents(docs.limit(0), labels, {"clean": 1.0}).count() == 0
+    drawn = mixing.sample_documents(docs, labels, {"clean": 0.6, "low": 0.4})
+    assert drawn.columns == docs.columns and mixing.sample_documents(docs.limit(0), labels, {"clean": 0.6, "low": 0.4}).count() == 0
+
+
+def test_mixing_posteriors_and_rates_by_brute_force(spark):
+    rows, labels, docs, known = mixing_rows(spark)
+    model = mixing.fit_classifier(docs, known, ["clean", "low"])
+    soft = mixing.posteriors_of(model, docs).orderBy("doc_id").collect()
+    pieces = lambda t: re.findall(r"[^\W_]+|[^\w\s]+", t.lower())
+    slot = {w: r.s for w in {w for _, t in rows for w in pieces(t)} for r in spark.sql(f"SELECT cast(pmod(xxhash64('{w}'), {mixing.SLOTS}) AS INT) AS s").collect()}
+    for (i, t), r in zip(rows, soft, strict=True):
+        z = model.prior[0] + sum(round(float(model.weights[0][s]), 4) for s in {slot[w] for w in pieces(t)}) / model.temperature[0]
+        assert (r.doc_id, r.tokens) == (i, len(pieces(t))) and abs(r.p_low - 1 / (1 + np.exp(-z))) < 1e-9
+    # Projected gradient with many small steps, in memory: the same totals, and rates of the same form.
+    p, n = np.array([[r.p_clean, r.p_low] for r in soft]), np.array([r.tokens for r in soft], float)
+    have = (n[:, None] * p).sum(axis=0)
+    t = min(have / [0.4, 0.6]) * np.array([0.4, 0.6])
+    rate = np.ones(len(n))
+    for _ in range(4000):
+        rate = np.maximum(0, rate - 0.5 * (p * (((n * rate) @ p - t) / have)).sum(axis=1))
+    got = mixing.mix_documents(docs, known, {"clean": 0.4, "low": 0.6}).orderBy("doc_id").toPandas()
+    assert np.allclose((n * rate) @ p, t, rtol=1e-3) and np.allclose((n * got.rate.to_numpy()) @ p, t, rtol=1e-3)
