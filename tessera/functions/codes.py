@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: fixed values: first bytes of formats, in hexadecimal
-SIGNATURES = (("png", "89504E470D0A1A0A"), ("jpeg", "FFD8FF"), ("bmp", "424D"), ("gif", "474946383761"), ("gif", "474946383961"), ("zip", "504B0304"), ("rtf", "7B5C72746631"), ("compound", "D0CF11E0A1B11AE1"))
+#: fixed values: first bytes of formats
+SIGNATURES = (
+    ("png", b"\x89PNG\r\n\x1a\n"),
+    ("jpeg", b"\xff\xd8\xff"),
+    ("bmp", b"BM"),
+    ("gif", b"GIF87a"),
+    ("gif", b"GIF89a"),
+    ("zip", b"PK\x03\x04"),
+    ("rtf", b"{\\rtf1"),
+    ("compound_document", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"),
+)
+#: fixed values: words of a status
 STATUS_WORDS = {"ok": ("OK", "SUCCESS", "COMPLETE"), "partial": ("PARTIAL",), "derived": ("DERIVED",), "failed": ("FAILED", "FAIL", "ERROR"), "in_progress": ("IN PROGRESS", "IN_PROGRESS", "RUNNING")}
 
 
@@ -16,10 +26,9 @@ def micros(ts: Column) -> Column:
 
 
 def signature(content: Column) -> Column:
-    head = F.hex(F.substring(content, 1, 8))
     out = F.lit(None).cast("string")
     for name, magic in reversed(SIGNATURES):
-        out = F.when(head.startswith(magic), name).otherwise(out)
+        out = F.when(F.substring(content, 1, len(magic)) == F.lit(magic), name).otherwise(out)
     return out
 
 
@@ -29,8 +38,12 @@ def address(pos: Column, heads: int, per_track: int) -> Column:
     return F.struct(whole(pos, heads * per_track).alias("cylinder"), (whole(pos, per_track) % heads).alias("head"), (pos % per_track + 1).alias("sector"))
 
 
-def region(pos: Column, reserved: Column, root: Column, data: Column, clusters: Column, per_cluster: Column) -> Column:
-    return F.when(reserved.isNull(), "unknown_layout").when(pos == 0, "boot").when(pos < reserved, "reserved").when(pos < root, "table").when(pos < data, "root").when(pos < data + clusters * per_cluster, "data").otherwise("trailing")
+def region(pos: Column, reserved: Column, root: Column, data: Column, clusters: Column, per_cluster: Column, per_copy: Column) -> Column:
+    """struct(region, copy, sector_in_copy, cluster) of a position: the copy of the table and the place in it, or the data cluster (from 2)."""
+    whole = lambda x, n: F.floor(x / n).cast("long")
+    name = F.when(reserved.isNull(), "unknown_layout").when(pos == 0, "boot").when(pos < reserved, "reserved").when(pos < root, "fat").when(pos < data, "root_directory").when(pos < data + clusters * per_cluster, "data").otherwise("trailing_volume_sectors")
+    fat, held = name == "fat", name == "data"
+    return F.struct(name.alias("region"), F.when(fat, whole(pos - reserved, per_copy)).alias("copy"), F.when(fat, ((pos - reserved) % per_copy).cast("long")).alias("sector_in_copy"), F.when(held, whole(pos - data, per_cluster) + 2).alias("cluster"))
 
 
 def severity(missing: Column, total: Column) -> Column:
@@ -55,9 +68,10 @@ def normal_hash(text: Column) -> Column:
     return F.when(low.rlike("^[0-9a-f]{64}$"), low)
 
 
-def disposition(presence: Column, log_state: Column, attention: Column) -> Column:
-    """What to do with an attempt: manual work first, then invalid output, open logs, missing logs, attention."""
-    return (
+def disposition(presence: Column, log_state: Column, attention: Column, log_file: Column, damaged: Column, status: Column) -> Column:
+    """struct(action, reason) of an attempt: manual work first, then invalid output, open logs, missing logs, attention. ``presence``:
+    manual, invalid, attention (a recovery that asks for a look) or other; ``log_state`` null: no log could be read."""
+    action = (
         F.when(presence == "manual", "manual_recovered")
         .when(presence == "invalid", "recovery")
         .when(log_state == "in_progress", "in_progress")
@@ -65,10 +79,51 @@ def disposition(presence: Column, log_state: Column, attention: Column) -> Colum
         .when(attention | (presence == "attention"), "recovery")
         .otherwise("extract")
     )
+    reason = (
+        F.when(action != "recovery", None)
+        .when(presence == "attention", "recovered, completeness is not verified")
+        .when(presence == "invalid", "invalid extraction")
+        .when(log_state.isNull(), F.when(F.coalesce(log_file, F.lit("")) == "", "missing log").otherwise("unrecognized log"))
+        .otherwise(F.concat(F.lit("not clean: "), F.coalesce(damaged.cast("string"), F.lit("unknown")), F.lit(" damaged ("), F.coalesce(status, F.lit("")), F.lit(")")))
+    )
+    return F.struct(action.alias("action"), reason.alias("reason"))
+
+
+def conversion_status(modern_ok: Column, pdf_ok: Column) -> Column:
+    """OK if both outputs succeeded, PARTIAL with one, else FAILED; an unknown output has not succeeded."""
+    good = F.coalesce(modern_ok, F.lit(False)).cast("int") + F.coalesce(pdf_ok, F.lit(False)).cast("int")
+    return F.when(good == 2, "OK").when(good == 1, "PARTIAL").otherwise("FAILED")
+
+
+def dos_time(date: Column, time: Column) -> Column:
+    """The timestamp of a DOS date (year from 1980, month, day in 7, 4 and 5 bits) and time (hour, minute, two seconds in 5, 6 and 5); null
+    if that is no date."""
+    bits = lambda c, low, width: F.shiftright(c, low).bitwiseAND((1 << width) - 1)
+    parts = [bits(date, 9, 7) + 1980, bits(date, 5, 4), bits(date, 0, 5), bits(time, 11, 5), bits(time, 5, 6), bits(time, 0, 5) * 2]
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    text = F.concat(parts[0].cast("string"), F.lit("-"), two(parts[1]), F.lit("-"), two(parts[2]), F.lit(" "), two(parts[3]), F.lit(":"), two(parts[4]), F.lit(":"), two(parts[5]))
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+
+
+def final_status(invalid: Column, failed: Column, sources: Column, filesystem: Column, partial: Column, imaging: Column, damaged: Column, evidence: Column, issues: Column) -> Column:
+    """One status per item in the final report; its order differs from ``item_status``: failed conversions go first, and evidence last.
+
+    ``filesystem`` tells why there are no files, ``damaged`` is null where no map is known, ``issues`` counts open ones.
+    """
+    return (
+        F.when((invalid > 0) | (failed > 0), "CHECK: CONVERSION FAILED")
+        .when(sources == 0, F.when(filesystem.startswith("UNSUPPORTED/UNKNOWN"), "CHECK: UNSUPPORTED FILESYSTEM").when(filesystem.startswith("NO REACHABLE LIVE"), "CHECK: NO REACHABLE LIVE FILES").otherwise("CHECK: NO RECOVERED FILES"))
+        .when(partial > 0, "PARTIAL: CONVERSION")
+        .when(~imaging.eqNullSafe(F.lit("OK")) | F.coalesce(damaged > 0, F.lit(False)), "PARTIAL: IMAGE READ")
+        .when(evidence == "DERIVED_RECOVERY", "CHECK: DERIVED RECOVERY")
+        .when(evidence == "PARTIAL_IMAGE_READ", "CHECK: FILESYSTEM COMPLETENESS")
+        .when(~evidence.eqNullSafe(F.lit("IMAGE_FILES_CONVERSIONS_VERIFIED")) | (issues > 0), "CHECK: EVIDENCE")
+        .otherwise("OK")
+    )
 
 
 def item_status(image: Column, sources: Column, invalid: Column, failed: Column, partial: Column, imaging: Column) -> Column:
-    """One status per item, by fixed precedence."""
+    """One status per item, by fixed precedence. The labels are fixed values."""
     return (
         F.when(~image, "CHECK: IMAGE MISSING")
         .when(sources == 0, "CHECK: NO RECOVERED FILES")

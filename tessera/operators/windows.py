@@ -55,31 +55,53 @@ def surviving_fragments(units: DataFrame, item: str, seq: str, size: str, ok: st
     return u.groupBy(item, "__run").agg(F.min("__off").alias("offset"), F.sum("__len").alias("bytes"), F.count("*").alias("units")).drop("__run")
 
 
-def attempt_changes(units: DataFrame, item: str, attempt: str, pos: str) -> DataFrame:
-    """Damaged positions of the last two attempts of each item: recovered, newly_bad, still_bad."""
+def attempt_changes(units: DataFrame, item: str, attempt: str, pos: str, totals: DataFrame | None = None) -> DataFrame:
+    """Damaged positions of the last two attempts of each item: recovered, newly_bad, still_bad.
+
+    ``totals``: item, attempt, total. Two attempts of different sizes cannot be compared: all three are null.
+    """
     last = units.select(item, attempt).distinct().withColumn("__rk", F.row_number().over(Window.partitionBy(item).orderBy(F.desc(attempt)))).where("__rk <= 2")
     marks = units.join(last, [item, attempt]).groupBy(item, pos).agg(F.max(F.col("__rk") == 1).alias("now"), F.max(F.col("__rk") == 2).alias("before"))
     both = last.groupBy(item).agg(F.count("*").alias("__n")).where("__n = 2").drop("__n")
-    return marks.join(both, item, "left_semi").groupBy(item).agg(F.count_if(~F.col("now")).alias("recovered"), F.count_if(~F.col("before")).alias("newly_bad"), F.count_if(F.col("now") & F.col("before")).alias("still_bad"))
+    out = marks.join(both, item, "left_semi").groupBy(item).agg(F.count_if(~F.col("now")).alias("recovered"), F.count_if(~F.col("before")).alias("newly_bad"), F.count_if(F.col("now") & F.col("before")).alias("still_bad"))
+    if totals is None:
+        return out
+    sizes = totals.join(last, [item, attempt]).groupBy(item).agg((F.min("total") == F.max("total")).alias("__same"))
+    return out.join(sizes, item, "left").select(item, *[F.when(F.col("__same"), F.col(c)).alias(c) for c in ("recovered", "newly_bad", "still_bad")])
+
+
+def complete_units(units: DataFrame, item: str, attempt: str, pos: str, good: str, payload: str) -> DataFrame:
+    """Units of attempts that all cover every position of their item; a position that an attempt does not have is not good."""
+    attempts, positions = units.select(item, attempt).distinct(), units.select(item, pos).distinct()
+    full = attempts.join(positions, item).join(units, [item, attempt, pos], "left")
+    return full.select(item, attempt, pos, F.coalesce(F.col(good), F.lit(False)).alias(good), F.col(payload))
 
 
 def composite(units: DataFrame, item: str, attempt: str, pos: str, good: str, payload: str) -> tuple[DataFrame, DataFrame]:
-    """(merged positions, refused items).
+    """(merged positions, refused items with reason and conflicts).
 
     The base is the attempt with the least damage, of equals the newest. A position that is bad there is filled from the first
-    attempt in that order where it is good. Two good copies that differ refuse the item: nothing is voted on.
-    Returned positions have source (null: unresolved) and filled (not from the base).
+    attempt in that order where it is good. Attempts that cover different numbers of positions refuse the item (mixed_totals), and so do
+    two good copies that differ (conflict): nothing is padded and nothing is voted on.
+    Returned positions have source (null: unresolved) and filled (whether it is not from the base; false where unresolved).
     """
-    damage = units.groupBy(item, attempt).agg(F.count_if(~F.col(good)).alias("__bad"))
-    order = damage.withColumn("__rank", F.row_number().over(Window.partitionBy(item).orderBy("__bad", F.desc(attempt))))
-    ranked = units.join(order.select(item, attempt, "__rank"), [item, attempt])
+    dealt = units.repartition(item)  # damage, order and cells of an item share this shuffle
+    one = Window.partitionBy(item)
+    per = Window.partitionBy(item, attempt)
+    marked = dealt.withColumns({"__bad": F.count_if(~F.col(good)).over(per), "__size": F.count("*").over(per)})
+    ranked = marked.withColumns({"__rank": F.dense_rank().over(one.orderBy("__bad", F.desc(attempt))), "__mixed": F.min("__size").over(one) != F.max("__size").over(one)})
     fine = F.when(F.col(good), F.col("__rank"))
+    value = F.when(F.col(good), F.col(payload))
     cells = ranked.groupBy(item, pos).agg(
-        F.min_by(F.when(F.col(good), F.col(attempt)), fine).alias("source"), F.min(fine).alias("__first"),
-        F.min(F.when(F.col(good), F.col(payload))).alias("__lo"), F.max(F.when(F.col(good), F.col(payload))).alias("__hi"),
+        F.min_by(F.when(F.col(good), F.col(attempt)), fine).alias("source"), F.min(fine).alias("__first"), F.max("__mixed").alias("__mixed"), F.count("*").alias("__n"),
+        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count_if(F.col(good) & F.col(payload).isNull()).alias("__null"), F.count_if(F.col(good)).alias("__good"),
     )
-    refused = cells.where("__lo <> __hi").groupBy(item).agg(F.count("*").alias("conflicts"))
-    merged = cells.join(refused, item, "left_anti").select(item, pos, "source", (F.col("__first") > 1).alias("filled"))
+    clash = F.coalesce(F.col("__lo") != F.col("__hi"), F.lit(False)) | ((F.col("__null") > 0) & (F.col("__null") < F.col("__good")))
+    judged = cells.withColumns({"__conflicts": F.count_if(clash).over(one), "__mixed": F.max("__mixed").over(one)})
+    bad = F.col("__mixed") | (F.col("__conflicts") > 0)
+    reason = F.when(F.col("__mixed"), "mixed_totals").otherwise("conflict")
+    refused = judged.where(bad).groupBy(item).agg(F.first(reason).alias("reason"), F.max("__conflicts").alias("conflicts"))
+    merged = judged.where(~bad).select(item, pos, "source", F.coalesce(F.col("__first") > 1, F.lit(False)).alias("filled"))
     return merged, refused
 
 
@@ -91,18 +113,47 @@ def consensus(units: DataFrame, item: str, pos: str, source: str, good: str, pay
     return agg.select(item, pos, "copies", state.alias("state"), "sources")
 
 
+def consensus_of_one_item(units: DataFrame, item: str, pos: str, source: str, good: str, payload: str, width: int, controls: int = 2, least: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(``consensus`` rows of accepted items, refused items with reason).
+
+    The first ``controls`` blocks of ``width`` positions that the item's first source reads in full are its controls. Every other source has to
+    hold at least ``least`` control positions with the same payload (else: identity), and no control position may be in conflict.
+    """
+    block = F.floor(F.col(pos) / F.lit(width)).alias("__block")
+    first = units.groupBy(item).agg(F.min(source).alias("__first"), F.countDistinct(source).alias("__sources"))
+    base = units.join(first, item).where(F.col(source) == F.col("__first")).select(item, pos, block, F.col(good).alias("__ok"), F.col(payload).alias("__p"))
+    full = base.groupBy(item, "__block").agg(F.count_if("__ok").alias("__n")).where(F.col("__n") == width)
+    chosen = full.withColumn("__nth", F.row_number().over(Window.partitionBy(item).orderBy("__block"))).where(F.col("__nth") <= controls).select(item, "__block")
+    held = base.join(chosen, [item, "__block"]).select(item, pos, "__p")
+    match = units.join(held, [item, pos]).where(F.col(good) & F.col(payload).eqNullSafe(F.col("__p"))).groupBy(item, source).agg(F.count("*").alias("__match"))
+    others = units.select(item, source).distinct().join(first, item).where(F.col(source) != F.col("__first")).join(match, [item, source], "left")
+    strange = others.groupBy(item).agg(F.min(F.coalesce("__match", F.lit(0))).alias("__match")).where(F.col("__match") < least).select(item, F.lit("identity").alias("reason"))
+    rows = consensus(units, item, pos, source, good, payload)
+    torn = rows.where("state = 'conflict'").join(held.select(item, pos), [item, pos], "left_semi").select(item, F.lit("control_conflict").alias("reason")).distinct()
+    refused = strange.unionByName(torn).groupBy(item).agg(F.max("reason").alias("reason"))  # identity before control_conflict
+    return rows.join(refused, item, "left_anti"), refused
+
+
 def keep_first(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """All rows with rank in their group of equal keys and rejected (not the first)."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("rejected", F.col("rank") > 1)
 
 
-def unique_names(rows: DataFrame, name: str, order: list[Column], rounds: int = 3) -> DataFrame:
-    """``unique_name``: the kth claimant of a name (case ignored) gets `` [recovered copy k]``; repeated while that clashes."""
-    out = rows.withColumn("unique_name", F.col(name))
+def numbered_name(name: Column, k: Column) -> Column:
+    """The name with `` [recovered copy k]`` before its extension; k = 1 leaves it."""
+    ext = F.regexp_extract(name, r"[^/\\](\.[^./\\]*)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    return F.when(k > 1, F.concat(stem, F.lit(" [recovered copy "), k.cast("string"), F.lit("]"), ext)).otherwise(name)
+
+
+def unique_names(rows: DataFrame, name: str, order: list[Column], rounds: int = 4) -> DataFrame:
+    """``unique_name``: the kth claimant of a name (case ignored) gets `` [recovered copy k]``; later rounds give a higher number where
+    the new name is taken. ``clash`` marks rows whose name is still taken by an earlier row after all rounds."""
+    nth = F.row_number().over(Window.partitionBy(F.lower("unique_name")).orderBy(*order))
+    out = rows.withColumns({"unique_name": F.col(name), "__k": F.lit(1)})
     for _ in range(rounds):
-        k = F.row_number().over(Window.partitionBy(F.lower("unique_name")).orderBy(*order))
-        out = out.withColumn("__k", k).withColumn("unique_name", F.when(F.col("__k") > 1, F.concat("unique_name", F.lit(" [recovered copy "), F.col("__k").cast("string"), F.lit("]"))).otherwise(F.col("unique_name"))).drop("__k")
-    return out
+        out = out.withColumn("__nth", nth).withColumn("__k", F.col("__k") + F.col("__nth") - 1).withColumn("unique_name", numbered_name(F.col(name), F.col("__k")))
+    return out.withColumn("clash", nth > 1).drop("__k", "__nth")
 
 
 def pause_time(events: DataFrame, session: str, ts: str, kind: str, pause: str, resume: str) -> DataFrame:
@@ -127,11 +178,16 @@ def occupancy(intervals: DataFrame, item: str, lane: str, start: str, end: str)
     return spans.groupBy(item).agg(F.coalesce(F.sum(F.when(F.col("__active") >= 1, F.col("__len"))), F.lit(0)).alias("busy"), F.coalesce(F.sum(F.when(F.col("__active") >= 2, F.col("__len"))), F.lit(0)).alias("both"))
 
 
-def sequence_faults(events: DataFrame, session: str, seq: str, elapsed: str) -> DataFrame:
-    """Per session: gaps in a dense sequence from 0, and events whose elapsed time goes back."""
-    w = Window.partitionBy(session).orderBy(seq)
-    marked = events.withColumn("__gap", (F.row_number().over(w) - 1 != F.col(seq)).cast("int")).withColumn("__back", (F.col(elapsed) < F.lag(elapsed).over(w)).cast("int"))
-    return marked.groupBy(session).agg(F.count("*").alias("events"), F.sum("__gap").alias("gaps"), F.coalesce(F.sum("__back"), F.lit(0)).alias("backward"))
+def sequence_faults(events: DataFrame, session: str, seq: str, elapsed: str, kind: str, start: str, finish: str, order: list[str] | None = None) -> DataFrame:
+    """Per session, in the order of seq: gaps in a dense sequence from 0, events whose elapsed time goes back, a first event that is no
+    start, further starts, and events after a finish."""
+    w = Window.partitionBy(session).orderBy(*(order or [seq]))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    done = F.max(flag(F.col(kind) == finish)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = events.withColumns({"__n": F.row_number().over(w) - 1, "__was": F.lag(elapsed).over(w), "__done": F.coalesce(done, F.lit(0))})
+    first, begins = F.col("__n") == 0, F.col(kind) == start
+    faults = {"gaps": F.col("__n") != F.col(seq), "backward": F.col(elapsed) < F.col("__was"), "bad_start": first & ~begins, "extra_starts": ~first & begins, "after_finish": F.col("__done") == 1}
+    return marked.groupBy(session).agg(F.count("*").alias("events"), *[F.sum(flag(c)).alias(n) for n, c in faults.items()])
 
 
 def stalls(attempts: DataFrame, item: str, order: list[Column], left: str, limit: int) -> DataFrame:
@@ -144,7 +200,41 @@ def stalls(attempts: DataFrame, item: str, order: list[Column], left: str, limit
     return a.groupBy(item).agg(F.max("__run").alias("longest_stall"), F.min(F.when(F.col("__run") >= limit, F.col("__n"))).alias("stop_at"))
 
 
-def pass_attribution(retries: DataFrame, item: str, pos: str, attempt: str, ok: str) -> DataFrame:
-    """Per position: the retry that succeeded first (null: none), retries, and a contradiction if one failed after success."""
-    g = retries.groupBy(item, pos).agg(F.min(F.when(F.col(ok), F.col(attempt))).alias("succeeded"), F.count("*").alias("retries"), F.max(F.when(~F.col(ok), F.col(attempt))).alias("__bad"))
-    return g.select(item, pos, "succeeded", "retries", F.coalesce(F.col("__bad") > F.col("succeeded"), F.lit(False)).alias("contradiction"))
+def pass_attribution(log: DataFrame, positions: DataFrame, item: str, pos: str, line: str, kind: str, number: str, direction: str, bad: str) -> tuple[DataFrame, DataFrame]:
+    """(position rows, refused items) from retry logs and the final map (``positions``: item, pos, ``bad``).
+
+    Kinds are read_failed (the initial pass), retry_failed and recovered; odd passes go backward, even ones forward. A position
+    that fails needs its initial failure first and once, rising pass numbers, the right direction and nothing after a recovery; the map
+    has to agree: a recovered position is not bad, a failed one is, a bad one is in the log. One contradiction refuses the item.
+    Rows: outcome, successful_pass (null: none), last_pass, direction of that pass, evidence (a position that no log names
+    succeeded silently in the initial pass).
+    """
+    w = Window.partitionBy(item, pos).orderBy(line)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    initial, won = F.col(kind) == "read_failed", F.col(kind) == "recovered"
+    seen = log.withColumns({
+        "__started": F.coalesce(F.max(initial.cast("int")).over(before), F.lit(0)), "__won": F.coalesce(F.max(won.cast("int")).over(before), F.lit(0)),
+        "__last": F.coalesce(F.max(F.when(~initial, F.col(number))).over(before), F.lit(0)),
+    })
+    right = F.when(F.col(number) % 2 == 1, "backward").otherwise("forward")
+    wrong = F.when(initial, (F.col("__started") == 1) | (F.col("__last") > 0)).otherwise((F.col("__started") == 0) | (F.col("__won") == 1) | ~F.coalesce(F.col(number) > F.col("__last"), F.lit(False)) | ~F.col(direction).eqNullSafe(right))
+    rows = seen.groupBy(item, pos).agg(F.max(wrong).alias("__wrong"), F.max(won).alias("__won"), F.coalesce(F.max(F.when(~initial, F.col(number))), F.lit(0)).alias("__pass"))
+    met = positions.select(item, pos, F.col(bad).alias("__bad")).join(rows, [item, pos], "full_outer")
+    logged = F.col("__won").isNotNull()
+    fault = F.col("__bad").isNull() | F.coalesce("__wrong", F.lit(False)) | (logged & (F.col("__won") == F.col("__bad"))) | (~logged & F.coalesce("__bad", F.lit(False)))
+    refused = met.where(fault).groupBy(item).agg(F.count("*").alias("contradictions"))
+    last = F.coalesce("__pass", F.lit(0)).cast("int")
+    evidence = F.when(F.coalesce("__won", F.lit(False)), "explicit_recovery").when(F.col("__bad"), "explicit_failure").otherwise("implicit_initial_success")
+    out = met.join(refused, item, "left_anti").select(item, pos, F.when(F.col("__bad"), "unreadable").otherwise("readable").alias("outcome"), F.when(~F.col("__bad"), last).alias("successful_pass"), last.alias("last_pass"), F.when(last % 2 == 0, "forward").otherwise("backward").alias("direction"), evidence.alias("evidence"))
+    return out, refused
+
+
+def primary_log(paths: DataFrame, item: str, path: str) -> DataFrame:
+    """One log per item (a number): by the stem of the file name 100 for the item itself, 90 for its attempts, 70 for other names that start
+    with it but are no scan, retry or note, 20 for the rest of those; ties go to the smallest path. Other files take no part."""
+    name = F.regexp_extract(F.lower(F.translate(path, "\\", "/")), r"([^/]*)$", 1)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    label = F.lpad(F.col(item).cast("string"), 3, "0")
+    label = F.when(F.length(F.col(item).cast("string")) > 3, F.col(item).cast("string")).otherwise(label)
+    score = F.when(stem == label, 100).when(stem.startswith(F.concat(label, F.lit("_attempt_"))), 90).when(stem.startswith(label), F.when(stem.rlike("scan|retry|note"), 20).otherwise(70))
+    return best_attempt(paths.withColumn("score", score).where("score IS NOT NULL"), item, [F.desc("score"), F.col(path)])

@@ -32,13 +32,20 @@ def _units(t) -> DataFrame:
 UNITS = "u AS (SELECT l_suppkey AS item, l_linenumber AS attempt, l_partkey AS pos, l_returnflag <> 'R' AS good, l_linestatus AS payload FROM lineitem)"
 
 
-def _cells(t) -> DataFrame:
-    """One row per (item, attempt, pos): repeated observations are good if one of them is."""
-    u = t("lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_linenumber").alias("attempt"), F.col("l_partkey").alias("pos"), (F.col("l_returnflag") != "R").alias("good"), F.when(F.col("l_orderkey") % 2000 == 0, F.col("l_linestatus")).otherwise("S").alias("payload"))
+def _seen(t) -> DataFrame:
+    """One row per (item, attempt, pos); item = 50 parts of a supplier. Repeated observations are good if one of them is."""
+    u = t("lineitem").select((F.col("l_suppkey") * 1000000 + F.floor(F.col("l_partkey") / F.lit(50))).alias("item"), F.col("l_linenumber").alias("attempt"), F.col("l_partkey").alias("pos"), (F.col("l_returnflag") != "R").alias("good"), F.col("l_linestatus").alias("payload"))
     return u.groupBy("item", "attempt", "pos").agg(F.max("good").alias("good"), F.max(F.when(F.col("good"), F.col("payload"))).alias("payload"))
 
 
-CELLS = UNITS.replace("l_linestatus AS payload", "CASE WHEN l_orderkey % 2000 = 0 THEN l_linestatus ELSE 'S' END AS payload") + ", c AS (SELECT item, attempt, pos, bool_or(good) AS good, max(payload) FILTER (good) AS payload FROM u GROUP BY ALL)"
+def _cells(t) -> DataFrame:
+    """``_seen`` with a row that is not good for every position of the item that an attempt does not have."""
+    return windows.complete_units(_seen(t), "item", "attempt", "pos", "good", "payload")
+
+
+CELLS = """u AS (SELECT l_suppkey * 1000000 + l_partkey // 50 AS item, l_linenumber AS attempt, l_partkey AS pos, l_returnflag <> 'R' AS good, l_linestatus AS payload, l_tax AS tax FROM lineitem),
+c0 AS (SELECT item, attempt, pos, bool_or(good) AS good, max(payload) FILTER (good) AS payload FROM u GROUP BY ALL),
+c AS (SELECT a.item, a.attempt, p.pos, coalesce(good, FALSE) AS good, payload FROM (SELECT DISTINCT item, attempt FROM c0) a JOIN (SELECT DISTINCT item, pos FROM c0) p USING (item) LEFT JOIN c0 USING (item, attempt, pos))"""
 
 
 def _url_path():
@@ -75,9 +82,13 @@ def _(t):
     return readers.range_states(r, "item", "line", "state", "start", "n")
 
 
-@query("src6_listing_states", "SELECT lower(source) AS path, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'live' END AS state, count(*) AS n FROM documents GROUP BY 1")
+@query("src6_listing_states", """
+WITH d AS (SELECT source AS file, lower(lang || '/' || n_chars // 40) AS path, n_chars AS size, CASE doc_id % 4 WHEN 0 THEN 'deleted' WHEN 1 THEN 'live' WHEN 2 THEN 'signature_carved' ELSE 'unknown' END AS state FROM documents)
+SELECT file, path, CASE WHEN count(*) > 1 THEN 0 ELSE min(size) END AS bytes, CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE min(state) END AS state FROM d GROUP BY 1, 2""")
 def _(t):
-    return t("documents").groupBy(F.lower("source").alias("path")).agg(F.when(F.count("*") > 1, "ambiguous").otherwise("live").alias("state"), F.count("*").alias("n"))
+    mark = F.element_at(F.array(*map(F.lit, ("xf", ".", "+.doc", "?"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = t("documents").select("source", F.concat_ws("/", F.upper("lang"), F.floor(F.col("n_chars") / F.lit(40)).cast("string")).alias("name"), "n_chars", mark.alias("mark"))
+    return readers.listing_states(d, "source", "name", "n_chars", "mark").withColumnRenamed("source", "file")
 
 
 @query("src7_hash_inventory", "SELECT doc_id, strlen(text) AS bytes, sha256(text) AS sha FROM documents")
@@ -92,9 +103,15 @@ def _(t):
     return joins.cells(t("documents"), ["doc_id"], "text", 512).select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2(F.col("cell").cast("binary"), 256).alias("sha"))
 
 
-@query("src10_valid_samples", "SELECT event_type AS kind, count(*) AS n, sum(value) AS total FROM events WHERE value > 0 AND value <= 86400 GROUP BY 1")
+@query("src10_valid_samples", "SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS units FROM events WHERE event_id > 0 AND CAST(floor(value) AS BIGINT) > 0 AND user_id % 9 > 0 GROUP BY 1")
 def _(t):
-    return t("events").where("value > 0 AND value <= 86400").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return agg.usable_samples(_samples(t)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("units").alias("units"))
+
+
+def _samples(t) -> DataFrame:
+    """events as performance samples."""
+    kind = F.when(F.col("event_type") == "view", "processing").when(F.col("event_type") == "click", "packaging").otherwise(F.col("event_type"))
+    return t("events").select(F.col("event_type"), F.col("event_type").alias("kind"), kind.alias("work"), F.col("event_id").alias("units"), F.floor("value").alias("elapsed_ms"), (F.col("user_id") % 9).alias("workers"), codes.micros(F.col("ts")).alias("unix_ms"), (F.col("event_id") % 13).alias("labels"), "user_id")
 
 
 @query("snk1_safe_cells", """SELECT p_partkey, CASE WHEN regexp_matches(ltrim(v), '^[=+@-]') THEN '''' || v ELSE v END AS cell FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '=' || p_name ELSE p_name END AS v FROM part)""")
@@ -103,16 +120,24 @@ def _(t):
     return t("part").select("p_partkey", sinks.safe_cell(v).alias("cell"))
 
 
-@query("snk2_content_keys")
+@query("snk2_content_keys", """
+WITH o AS (SELECT o_custkey, count(*) AS orders, min(o_orderstatus) AS status FROM orders GROUP BY 1)
+SELECT *, sha256('{"o_custkey":' || o_custkey || ',"orders":' || orders || ',"status":"' || status || '"}') AS content_sha FROM o""")
 def _(t):
-    status = t("orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("o_totalprice").cast("decimal(18,2)").alias("total"))
+    status = t("orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.min("o_orderstatus").alias("status"))
     return status.withColumn("content_sha", sinks.content_key(status))
 
 
-@query("snk3_manifest", "SELECT source AS item, doc_id AS path, strlen(text) AS bytes, sha256(text) AS sha, count(*) OVER (PARTITION BY source) AS item_files FROM documents")
+@query("snk3_manifest", """SELECT d.source AS item, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, max(n_chars) AS modified FROM documents d GROUP BY 1""")
 def _(t):
-    d = t("documents").select(F.col("source").alias("item"), F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    return d.join(d.groupBy("item").agg(F.count("*").alias("item_files")), "item")
+    d = t("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"), "n_chars", F.sha2("text", 256).alias("sha"))
+    return sinks.build_manifest(d, "source", "doc_id", "size", "n_chars", "sha")[1]
+
+
+@query("snk3_manifest_rows", "SELECT source AS item, doc_id AS path, strlen(text) AS bytes, n_chars AS modified, sha256(text) AS sha FROM documents")
+def _(t):
+    d = t("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"), "n_chars", F.sha2("text", 256).alias("sha"))
+    return sinks.build_manifest(d, "source", "doc_id", "size", "n_chars", "sha")[0]
 
 
 @query("snk4_verify_manifest", """
@@ -140,9 +165,18 @@ def _(t):
     return t("pages").select("page_id", paths.category(_url_path(), F.octet_length("html")).alias("category"))
 
 
-@query("p2_origin", "SELECT page_id, 'filesystem' AS origin FROM pages")
+def _old_path():
+    """The url as a path below folders of all kinds that a recovery leaves."""
+    folder = F.element_at(F.array(*map(F.lit, ("$Noname 01/$Root/", "x/[$Raw Files by Signatures]/", "SignatureRecovery/", "DirectoryRecovery/", "FragmentRecovery/a/", "$Root/", ""))), (F.col("page_id") % 7 + 1).cast("int"))
+    return F.concat(folder, _url_path())
+
+
+OLD_PATH = f"list_value('$Noname 01/$Root/', 'x/[$Raw Files by Signatures]/', 'SignatureRecovery/', 'DirectoryRecovery/', 'FragmentRecovery/a/', '$Root/', '')[page_id % 7 + 1] || {URL_PATH}"
+
+
+@query("p2_origin", "SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'signature' WHEN page_id % 7 IN (0, 5) THEN 'tool_filesystem' ELSE 'filesystem' END AS origin FROM pages")
 def _(t):
-    return t("pages").select("page_id", paths.origin(_url_path()).alias("origin"))
+    return t("pages").select("page_id", paths.origin(_old_path()).alias("origin"))
 
 
 @query("p3_normalized_path", f"""
@@ -152,9 +186,12 @@ def _(t):
     return t("pages").select("page_id", paths.normalized_path(_url_path()).alias("path"))
 
 
-@query("p4_delivery", f"SELECT page_id, array_to_string(list_filter(string_split({URL_PATH}, '/'), lambda q: q <> ''), '/') AS path, 'filesystem' AS method FROM pages")
+@query("p4_delivery", f"""
+WITH x AS (SELECT page_id, page_id % 7 AS k, array_to_string(list_filter(string_split({URL_PATH}, '/'), lambda q: q <> ''), '/') AS p FROM pages)
+SELECT page_id, CASE k WHEN 1 THEN 'Signature-Recovered/x/' || p WHEN 2 THEN 'Signature-Recovered/' || p WHEN 3 THEN 'Directory-Recovered/' || p WHEN 4 THEN 'Fragment-Hypotheses/a/' || p ELSE p END AS path,
+CASE k WHEN 0 THEN 'tool_filesystem' WHEN 1 THEN 'signature' WHEN 2 THEN 'signature' WHEN 3 THEN 'directory' WHEN 4 THEN 'fragment' WHEN 5 THEN 'tool_filesystem' ELSE 'filesystem' END AS method FROM x""")
 def _(t):
-    return t("pages").select("page_id", paths.delivery(_url_path()).alias("d")).select("page_id", "d.*")
+    return t("pages").select("page_id", paths.delivery(_old_path()).alias("d")).select("page_id", "d.*")
 
 
 @query("p5_eligible", f"SELECT page_id, NOT starts_with(string_split({URL_PATH}, '/')[-1], '__') AS ok FROM pages")
@@ -163,10 +200,11 @@ def _(t):
 
 
 @query("p6_target_format", """
-SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' END AS family FROM part""")
+SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN NULL ELSE CASE p_size % 5 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' END END AS family FROM part""")
 def _(t):
     ext = F.element_at(F.array(*map(F.lit, ("doc", "wk1", "pps", "exe", "txt"))), (F.col("p_size") % 5 + 1).cast("int"))
-    return t("part").select("p_partkey", paths.target_format(F.concat(F.col("p_name"), F.lit("."), ext)).alias("family"))
+    found = F.when(F.col("p_partkey") % 7 == 0, "word").when(F.col("p_partkey") % 7 == 1, "excel").when(F.col("p_partkey") % 7 == 2, "other")
+    return t("part").select("p_partkey", paths.target_format(F.concat(F.col("p_name"), F.lit("."), ext), found).alias("family"))
 
 
 @query("p7_signature", """
@@ -182,9 +220,11 @@ def _(t):
 
 
 @query("p9_region", """
-SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 'boot' WHEN p_partkey < 4 THEN 'reserved' WHEN p_partkey < 40 THEN 'table' WHEN p_partkey < 80 THEN 'root' WHEN p_partkey < 80 + p_size * 20 THEN 'data' ELSE 'trailing' END AS region FROM part""")
+WITH x AS (SELECT p_partkey, p_partkey AS n, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey = 0 THEN 'boot' WHEN p_partkey < 4 THEN 'reserved' WHEN p_partkey < 40 THEN 'fat' WHEN p_partkey < 80 THEN 'root_directory' WHEN p_partkey < 80 + p_size * 20 THEN 'data' ELSE 'trailing_volume_sectors' END AS r FROM part)
+SELECT p_partkey, coalesce(r, 'unknown_layout') AS region, CASE WHEN r = 'fat' THEN (n - 4) // 18 END AS copy, CASE WHEN r = 'fat' THEN (n - 4) % 18 END AS sector_in_copy, CASE WHEN r = 'data' THEN (n - 80) // 2 + 2 END AS cluster FROM x""")
 def _(t):
-    return t("part").select("p_partkey", codes.region(F.col("p_partkey"), F.lit(4), F.lit(40), F.lit(80), F.col("p_size") * 10, F.lit(2)).alias("region"))
+    known = F.when(F.col("p_partkey") % 11 != 0, F.lit(4))
+    return t("part").select("p_partkey", codes.region(F.col("p_partkey"), known, F.lit(40), F.lit(80), F.col("p_size") * 10, F.lit(2), F.lit(18)).alias("r")).select("p_partkey", "r.*")
 
 
 @query("p10_severity", """
@@ -196,12 +236,52 @@ def _(t):
 
 
 @query("p11_disposition", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'manual_recovered' WHEN o_orderkey % 7 = 0 THEN 'recovery' WHEN o_orderstatus = 'P' THEN 'in_progress' WHEN o_orderpriority = '5-LOW' THEN 'recovery'
-  WHEN o_totalprice > 200000 OR o_orderkey % 5 = 0 THEN 'recovery' ELSE 'extract' END AS action FROM orders""")
+WITH x AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'manual_recovered' WHEN o_orderkey % 7 = 0 THEN 'recovery' WHEN o_orderstatus = 'P' THEN 'in_progress' WHEN o_orderpriority = '5-LOW' THEN 'recovery'
+  WHEN o_totalprice > 200000 OR o_orderkey % 5 = 0 THEN 'recovery' ELSE 'extract' END AS action FROM orders)
+SELECT o_orderkey, action, CASE WHEN action <> 'recovery' THEN NULL WHEN o_orderkey % 7 = 0 THEN 'invalid extraction' WHEN o_orderkey % 5 = 0 THEN 'recovered, completeness is not verified'
+  WHEN o_orderpriority = '5-LOW' THEN CASE WHEN o_custkey % 2 = 0 THEN 'missing log' ELSE 'unrecognized log' END ELSE 'not clean: ' || (o_custkey % 9) || ' damaged (' || o_orderstatus || ')' END AS reason FROM x""")
 def _(t):
     presence = F.when(F.col("o_orderkey") % 11 == 0, "manual").when(F.col("o_orderkey") % 7 == 0, "invalid").when(F.col("o_orderkey") % 5 == 0, "attention").otherwise("none")
     log = F.when(F.col("o_orderstatus") == "P", "in_progress").when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise("ok")
-    return t("orders").select("o_orderkey", codes.disposition(presence, log, F.col("o_totalprice") > 200000).alias("action"))
+    d = codes.disposition(presence, log, F.col("o_totalprice") > 200000, F.when(F.col("o_custkey") % 2 == 1, "x.log"), F.col("o_custkey") % 9, F.col("o_orderstatus"))
+    return t("orders").select("o_orderkey", d.alias("d")).select("o_orderkey", "d.*")
+
+
+@query("p15_conversion_status", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 'OK' WHEN o_orderstatus = 'F' OR o_totalprice > 100000 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM orders")
+def _(t):
+    return t("orders").select("o_orderkey", codes.conversion_status(F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000).alias("status"))
+
+
+@query("p16_dos_times", "SELECT o_orderkey, date_trunc('day', o_orderdate) + to_hours(o_orderkey % 24) + to_minutes(o_custkey % 60) + to_seconds(2 * (o_orderkey % 30)) AS modified FROM orders")
+def _(t):
+    d = F.col("o_orderdate")
+    date = (F.year(d) - 1980) * 512 + F.month(d) * 32 + F.dayofmonth(d)
+    time = (F.col("o_orderkey") % 24) * 2048 + (F.col("o_custkey") % 60) * 32 + F.col("o_orderkey") % 30
+    return t("orders").select("o_orderkey", codes.dos_time(date.cast("int"), time.cast("int")).alias("modified"))
+
+
+@query("p17_parsed_status", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'P' THEN 'partial' ELSE 'in_progress' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN sha256(CAST(o_orderkey AS VARCHAR)) END AS sha FROM orders""")
+def _(t):
+    word = F.when(F.col("o_orderstatus") == "F", " Success ").when(F.col("o_orderstatus") == "P", "partial").otherwise("In Progress")
+    sha = F.sha2(F.col("o_orderkey").cast("string"), 256)
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.substring(sha, 1, 63)).otherwise(F.concat(F.lit(" "), F.upper(sha)))
+    return t("orders").select("o_orderkey", codes.parsed_status(word).alias("status"), codes.normal_hash(text).alias("sha"))
+
+
+@query("p18_final_status", """
+WITH o AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS partial, count(*) FILTER (o_totalprice > 300000) AS failed FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_custkey % 31 = 0 OR coalesce(failed, 0) > 0 THEN 'CHECK: CONVERSION FAILED' WHEN n IS NULL THEN CASE c_custkey % 3 WHEN 0 THEN 'CHECK: UNSUPPORTED FILESYSTEM' WHEN 1 THEN 'CHECK: NO REACHABLE LIVE FILES' ELSE 'CHECK: NO RECOVERED FILES' END
+  WHEN partial > 0 THEN 'PARTIAL: CONVERSION' WHEN c_mktsegment = 'BUILDING' OR c_custkey % 7 = 1 THEN 'PARTIAL: IMAGE READ' WHEN c_custkey % 5 = 0 THEN 'CHECK: DERIVED RECOVERY' WHEN c_custkey % 5 = 1 THEN 'CHECK: FILESYSTEM COMPLETENESS'
+  WHEN c_custkey % 5 = 2 OR c_acctbal < 0 THEN 'CHECK: EVIDENCE' ELSE 'OK' END AS status FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def _(t):
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"), F.count_if(F.col("o_totalprice") > 300000).alias("failed"))
+    j = t("customer").join(o, "c_custkey", "left").fillna(0, ["n", "partial", "failed"])
+    k = F.col("c_custkey")
+    words = lambda base, *names: F.element_at(F.array(*map(F.lit, names)), (base + 1).cast("int"))
+    return j.select("c_custkey", codes.final_status(
+        F.when(k % 31 == 0, 1).otherwise(0), F.col("failed"), F.col("n"), words(k % 3, "UNSUPPORTED/UNKNOWN x", "NO REACHABLE LIVE x", "x"), F.col("partial"), F.when(F.col("c_mktsegment") == "BUILDING", "BAD").otherwise("OK"), F.when(k % 7 < 2, k % 7),
+        words(k % 5, "DERIVED_RECOVERY", "PARTIAL_IMAGE_READ", "x", "IMAGE_FILES_CONVERSIONS_VERIFIED", "IMAGE_FILES_CONVERSIONS_VERIFIED"), F.when(F.col("c_acctbal") < 0, 1).otherwise(0)).alias("status"))
 
 
 @query("p13_exclusions", "SELECT CASE WHEN lang <> 'en' THEN 'language' WHEN n_chars < 200 THEN 'short' ELSE 'selected' END AS reason, count(*) AS n FROM documents GROUP BY 1")
@@ -221,27 +301,33 @@ def _(t):
 
 
 # Joins -------------------------------------------------------------------------------------------------------------
-@query("j1_bound_results", "SELECT l.doc_id, d.doc_id IS NOT NULL AS found, coalesce(d.n_chars % 2 = l.quality, FALSE) AS valid FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")
+@query("j1_bound_results", """
+SELECT l.doc_id, d.doc_id IS NOT NULL AS found, coalesce(d.n_chars % 2 = l.quality, FALSE) AS valid FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND l.doc_id % 5 <> 0""")
 def _(t):
-    d = t("documents").select("doc_id", F.lit(True).alias("f"), (F.col("n_chars") % 2).alias("h"))
-    return t("labels").join(d, "doc_id", "left").select("doc_id", F.coalesce("f", F.lit(False)).alias("found"), F.coalesce(F.col("h") == F.col("quality"), F.lit(False)).alias("valid"))
+    d = t("documents").select(F.lit(1).alias("item"), F.concat(F.when(F.col("doc_id") % 5 == 0, "Q\\").otherwise("P\\"), F.col("doc_id").cast("string")).alias("path"), (F.col("n_chars") % 2).cast("string").alias("sha"))
+    results = t("labels").select("doc_id", F.lit(1).alias("item"), F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("path"), F.col("quality").cast("string").alias("sha"))
+    return joins.bound_results(results, d, "item", "path", "sha").select("doc_id", "found", "valid")
 
 
 @query("j2_file_roles", """
-SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') THEN 'original' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') THEN 'generated' ELSE 'untracked' END AS role FROM part""")
+WITH r AS (SELECT l_partkey, l_returnflag AS f, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM r WHERE f = 'R') THEN 'original' WHEN p_partkey IN (SELECT l_partkey FROM r WHERE f = 'A') THEN 'generated' ELSE 'untracked' END AS role,
+CASE WHEN p_partkey IN (SELECT l_partkey FROM r WHERE f = 'R') THEN CASE WHEN EXISTS (SELECT 1 FROM r WHERE f = 'R' AND l_partkey = p_partkey AND q = p_size) THEN 'valid' ELSE 'changed' END
+     WHEN p_partkey IN (SELECT l_partkey FROM r WHERE f = 'A') THEN CASE WHEN EXISTS (SELECT 1 FROM r WHERE f = 'A' AND l_partkey = p_partkey AND q = p_size) THEN 'valid' ELSE 'changed' END END AS integrity FROM part""")
 def _(t):
-    seen = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max(F.col("l_returnflag") == "R").alias("r"), F.max(F.col("l_returnflag") == "A").alias("a"))
-    return t("part").join(seen, "p_partkey", "left").select("p_partkey", F.when(F.col("r"), "original").when(F.col("a"), "generated").otherwise("untracked").alias("role"))
+    rows = lambda flag: t("lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("long").alias("sha"))
+    return joins.file_roles(t("part").select("p_partkey", F.col("p_size").cast("long").alias("sha")), rows("R"), rows("A"), "p_partkey", "sha").drop("sha")
 
 
 @query("j3_missing_originals", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(t):
-    return t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return joins.missing_rows(t("orders").select("o_orderkey"), t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
-@query("j4_unconverted", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("j4_unconverted", "SELECT doc_id FROM documents WHERE n_chars >= 100 AND (doc_id, n_chars % 2) NOT IN (SELECT (doc_id, quality) FROM labels)")
 def _(t):
-    return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id")
+    done = t("labels").select("doc_id", F.col("quality").cast("long").alias("sha"))
+    return joins.missing_rows(t("documents").withColumn("sha", F.col("n_chars") % 2), done, ["doc_id", "sha"], F.col("n_chars") >= 100).select("doc_id")
 
 
 @query("j5_never_scanned", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -250,53 +336,62 @@ def _(t):
 
 
 @query("j6_claim_fallback", """
-WITH o AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), k AS (SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders)
+WITH o AS (SELECT o_custkey, min(o_orderstatus) AS s FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), k AS (SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders)
 SELECT k AS item, coalesce(o.s, CASE WHEN c.c_acctbal < 0 THEN 'NEGATIVE' END, 'NO STATUS') AS claim, CASE WHEN o.s IS NOT NULL THEN 'index' WHEN c.c_acctbal < 0 THEN 'extraction' ELSE 'none' END AS origin
 FROM k LEFT JOIN o ON k.k = o.o_custkey LEFT JOIN customer c ON c.c_custkey = k.k""")
 def _(t):
-    o = t("orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("item")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
-    c = t("customer").select(F.col("c_custkey").alias("item"), F.when(F.col("c_acctbal") < 0, "NEGATIVE").alias("e"))
-    keys = t("customer").select(F.col("c_custkey").alias("item")).union(t("orders").select("o_custkey")).distinct()
-    return keys.join(o, "item", "left").join(c, "item", "left").select("item", F.coalesce("s", "e", F.lit("NO STATUS")).alias("claim"), F.when(F.col("s").isNotNull(), "index").when(F.col("e").isNotNull(), "extraction").otherwise("none").alias("origin"))
+    index = t("orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("item"), F.col("o_orderstatus").alias("status"))
+    extraction = t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("item"), F.lit("NEGATIVE").alias("status"))
+    return joins.claims_of(t("customer").select(F.col("c_custkey").alias("item")).union(t("orders").select("o_custkey")), index, extraction, "item", "status")
 
 
 @query("j7_claim_vs_inventory", """
 WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS k FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN k > 1 THEN 'duplicate' WHEN p_partkey IS NULL THEN 'missing' WHEN q <> p_size THEN 'size' ELSE 'ok' END AS state FROM l LEFT JOIN part ON l_partkey = p_partkey""")
 def _(t):
-    w = windows.Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber")
-    l = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q")).withColumn("k", F.row_number().over(w))
-    return l.join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", F.when(F.col("k") > 1, "duplicate").when(F.col("p_partkey").isNull(), "missing").when(F.col("q") != F.col("p_size"), "size").otherwise("ok").alias("state"))
+    claims = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("key"), F.col("l_quantity").cast("long").alias("size"))
+    inventory = t("part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("long").alias("size"))
+    return joins.claims_against_inventory(claims, inventory, ["l_orderkey", "key"], ["l_linenumber"], "key", "size").select("l_orderkey", "l_linenumber", "state")
 
 
 def _inventories(t):
-    d = t("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"), F.concat_ws("/", "source", "lang", (F.col("n_chars") % 50).cast("string")).alias("path"))
+    path = F.concat_ws("/", F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).otherwise(F.col("lang")), (F.col("n_chars") % 50).cast("string"))
+    d = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("item"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"), path.alias("path"), (F.col("n_chars") % 3 != 0).alias("scope"))
     return d.where("id % 2 = 0").withColumnRenamed("id", "ref_id"), d.where("id % 2 = 1").withColumnRenamed("id", "cur_id")
 
 
-INVENTORIES = """d AS (SELECT doc_id AS id, sha256(text) AS sha, strlen(text) AS bytes, concat_ws('/', source, lang, CAST(n_chars % 50 AS VARCHAR)) AS path FROM documents),
-r0 AS (SELECT id AS ref_id, sha, bytes, path FROM d WHERE id % 2 = 0), c0 AS (SELECT id AS cur_id, sha, bytes, path FROM d WHERE id % 2 = 1),
-m1 AS (SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY path, sha ORDER BY ref_id) AS k FROM r0) r JOIN (SELECT *, row_number() OVER (PARTITION BY path, sha ORDER BY cur_id) AS k FROM c0) c USING (path, sha, k)),
-r1 AS (SELECT * FROM r0 WHERE ref_id NOT IN (SELECT ref_id FROM m1)), c1 AS (SELECT * FROM c0 WHERE cur_id NOT IN (SELECT cur_id FROM m1)),
-m2 AS (SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY sha, bytes ORDER BY ref_id) AS k FROM r1) r JOIN (SELECT *, row_number() OVER (PARTITION BY sha, bytes ORDER BY cur_id) AS k FROM c1) c USING (sha, bytes, k)),
-r2 AS (SELECT * FROM r1 WHERE ref_id NOT IN (SELECT ref_id FROM m2)), c2 AS (SELECT * FROM c1 WHERE cur_id NOT IN (SELECT cur_id FROM m2)),
-m3 AS (SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ref_id) AS k FROM r2) r JOIN (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cur_id) AS k FROM c2) c USING (path, k))"""
+def _bag_sql(prefix: str, first_r: str, first_c: str, scopes: tuple[str, ...]) -> str:
+    """Every pass of the match as two numbered selections that are joined; rows of earlier passes are left out."""
+    parts, r, c = [], first_r, first_c
+    for n, (scope, keys) in enumerate((scope, keys) for scope in scopes for keys in ("key, sha", "sha, bytes", "key")):
+        m, r2, c2 = f"{prefix}m{n}", f"{prefix}r{n}", f"{prefix}c{n}"
+        parts += [
+            f"{m} AS (SELECT ref_id, cur_id FROM (SELECT item, {keys}, ref_id, row_number() OVER (PARTITION BY item, {keys} ORDER BY path, ref_id) AS k FROM {r} WHERE {scope}) JOIN (SELECT item, {keys}, cur_id, row_number() OVER (PARTITION BY item, {keys} ORDER BY path, cur_id) AS k FROM {c}) USING (item, {keys}, k))",
+            f"{r2} AS (SELECT * FROM {r} WHERE ref_id NOT IN (SELECT ref_id FROM {m}))",
+            f"{c2} AS (SELECT * FROM {c} WHERE cur_id NOT IN (SELECT cur_id FROM {m}))",
+        ]
+        r, c = r2, c2
+    return ",\n".join(parts)
 
 
-@query("j8_bag_match", f"""WITH {INVENTORIES}
-SELECT ref_id, cur_id, 'match' AS status FROM m1 UNION ALL SELECT ref_id, cur_id, 'moved' FROM m2 UNION ALL SELECT ref_id, cur_id, 'changed' FROM m3
-UNION ALL SELECT ref_id, NULL, 'missing' FROM r2 WHERE ref_id NOT IN (SELECT ref_id FROM m3) UNION ALL SELECT NULL, cur_id, 'current_only' FROM c2 WHERE cur_id NOT IN (SELECT cur_id FROM m3)""")
+_D = "d AS (SELECT doc_id AS id, source AS item, sha256(text) AS sha, strlen(text) AS bytes, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END || '/' || n_chars % 50 AS path, lower(path) AS key, n_chars % 3 <> 0 AS scope FROM documents)"
+INVENTORIES = f"{_D}, r AS (SELECT * RENAME (id AS ref_id) FROM d WHERE id % 2 = 0), c AS (SELECT * RENAME (id AS cur_id) FROM d WHERE id % 2 = 1),\n" + _bag_sql("", "r", "c", ("scope", "NOT scope"))
+MATCHED = " UNION ALL ".join(f"SELECT *, '{(joins.SAME, joins.MOVED, joins.CHANGED)[n % 3]}' AS status FROM m{n}" for n in range(6))
+
+
+@query("j8_bag_match", f"""WITH {INVENTORIES}, m AS ({MATCHED} UNION ALL SELECT ref_id, NULL, 'missing_from_current' FROM r5 UNION ALL SELECT NULL, cur_id, 'current_only' FROM c5)
+SELECT item, ref_id, cur_id, status FROM m JOIN d ON d.id = coalesce(ref_id, cur_id)""")
 def _(t):
-    return joins.bag_match(*_inventories(t))
+    return joins.bag_match(*_inventories(t), ["item"], scope="scope")
 
 
-@query("j9_residual_match", f"""WITH {INVENTORIES}, left_over AS (SELECT * FROM r2 WHERE ref_id NOT IN (SELECT ref_id FROM m3)), p AS (SELECT p_partkey AS cur_id, 'src' || CAST(p_size % 20 AS VARCHAR) || '/en/' || CAST(p_partkey % 50 AS VARCHAR) AS path FROM part)
-SELECT ref_id, cur_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ref_id) AS k FROM left_over) r JOIN (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cur_id) AS k FROM p) c USING (path, k)""")
+@query("j9_residual_match", f"""WITH {INVENTORIES}, lost AS (SELECT * FROM r5 WHERE scope), p AS (SELECT p_partkey AS cur_id, 'src' || p_size % 20 AS item, 'en/' || p_partkey % 50 AS path, path AS key, '-' AS sha, -1 AS bytes FROM part),
+{_bag_sql("x", "lost", "p", ("TRUE",))} SELECT ref_id, cur_id FROM xm2""")
 def _(t):
     left, right = _inventories(t)
-    lost = joins.bag_match(left, right).where("status = 'missing'").select("ref_id")
-    more = t("part").select(F.col("p_partkey").alias("cur_id"), F.concat(F.lit("src"), (F.col("p_size") % 20).cast("string"), F.lit("/en/"), (F.col("p_partkey") % 50).cast("string")).alias("path"), F.lit("-").alias("sha"), F.lit(-1).cast("long").alias("bytes"))
-    return joins.bag_match(left.join(lost, "ref_id", "left_semi"), more).where("status = 'changed'").select("ref_id", "cur_id")
+    more = t("part").select(F.col("p_partkey").alias("cur_id"), F.concat(F.lit("src"), (F.col("p_size") % 20).cast("string")).alias("item"), F.concat(F.lit("en/"), (F.col("p_partkey") % 50).cast("string")).alias("path"), F.lit("-").alias("sha"), F.lit(-1).cast("long").alias("bytes"))
+    matched = joins.bag_match(left, right, ["item"], scope="scope")
+    return joins.residual_match(matched, left, more, ["item"], "scope").where(F.col("status") == joins.CHANGED).select("ref_id", "cur_id")
 
 
 @query("j10_range_join", """
@@ -310,8 +405,7 @@ def _(t):
 
 
 J11 = """a AS (SELECT l_suppkey AS item, l_partkey AS pos, max(l_linestatus) AS v FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2), b AS (SELECT l_suppkey AS item, l_partkey AS pos, max(l_linestatus) AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
-g AS (SELECT item, count(*) FILTER (a.v = b.v) AS agree, count(*) FILTER (a.v <> b.v) AS conflict FROM a JOIN b USING (item, pos) GROUP BY 1), k AS (SELECT item FROM a UNION SELECT item FROM b),
-h AS (SELECT item, coalesce(agree, 0) AS agree, coalesce(conflict, 0) AS conflict FROM k LEFT JOIN g USING (item))"""
+h AS (SELECT item, count(a.v) AS a_readable, count(b.v) AS b_readable, count(*) FILTER (a.v = b.v) AS agree, count(*) FILTER (a.v <> b.v) AS conflict FROM a FULL JOIN b USING (item, pos) GROUP BY 1)"""
 
 
 def _sides(t):
@@ -319,22 +413,24 @@ def _sides(t):
     return one("l_returnflag = 'N'"), one("l_returnflag <> 'N'")
 
 
-@query("j11_conflict_gate", f"WITH {J11} SELECT item, agree, conflict, CASE WHEN conflict BETWEEN 1 AND 32 AND agree >= 128 AND 100 * conflict <= agree + conflict THEN 'pass' ELSE 'refuse' END AS gate FROM h")
+@query("j11_conflict_gate", f"WITH {J11} SELECT *, CASE WHEN a_readable = 0 AND agree = 0 AND conflict = 0 THEN 'custody_only' WHEN conflict BETWEEN 1 AND 32 AND agree >= 12 AND 100 * conflict <= agree + conflict THEN 'pass' ELSE 'refuse' END AS gate FROM h")
 def _(t):
-    return joins.conflict_gate(joins.agreement(*_sides(t), "item", "pos", "v")).drop("verdict")
+    return joins.conflict_gate(joins.agreement(*_sides(t), "item", "pos", "v"), least_agree=12).drop("verdict")
 
 
-@query("j23_agreement", f"WITH {J11} SELECT item, agree, conflict, CASE WHEN conflict > 0 THEN 'disagree' WHEN agree > 0 THEN 'consistent' ELSE 'no_overlap' END AS verdict FROM h")
+@query("j23_agreement", f"""WITH {J11} SELECT s_suppkey AS item, coalesce(a_readable, 0) AS a_readable, coalesce(b_readable, 0) AS b_readable, coalesce(agree, 0) AS agree, coalesce(conflict, 0) AS conflict,
+CASE WHEN s_suppkey % 6 = 0 THEN 'geometry' WHEN conflict > 0 THEN 'disagree' WHEN agree > 0 THEN 'consistent' ELSE 'no_overlap' END AS verdict FROM supplier LEFT JOIN h ON item = s_suppkey""")
 def _(t):
-    return joins.agreement(*_sides(t), "item", "pos", "v")
+    sizes = t("supplier").select(F.col("s_suppkey").alias("item"), F.lit(1440).alias("a_size"), F.when(F.col("s_suppkey") % 6 == 0, 2880).otherwise(1440).alias("b_size"))
+    return joins.agreement(*_sides(t), "item", "pos", "v", sizes)
 
 
 @query("j12_mirror_fill", """
-WITH u AS (SELECT l_suppkey AS item, l_partkey AS pos, bool_and(l_returnflag <> 'R') AS good FROM lineitem GROUP BY 1, 2), d AS (SELECT item, pos % 50 AS off, min(pos) AS donor FROM u WHERE good GROUP BY 1, 2)
-SELECT u.item, pos, donor FROM u LEFT JOIN d ON u.item = d.item AND u.pos % 50 = d.off WHERE NOT good""")
+WITH u AS (SELECT l_suppkey AS item, l_partkey AS pos, bool_and(l_returnflag <> 'R') AS good FROM lineitem GROUP BY 1, 2), d AS (SELECT item, (pos - 100) % 50 AS off, min(pos) AS donor FROM u WHERE good AND pos BETWEEN 100 AND 249 GROUP BY 1, 2)
+SELECT u.item, pos, donor FROM u LEFT JOIN d ON u.item = d.item AND pos BETWEEN 100 AND 249 AND (u.pos - 100) % 50 = d.off WHERE NOT good""")
 def _(t):
     u = _units(t).groupBy("item", "pos").agg(F.min("good").alias("good"))
-    return joins.mirror_fill(u, "item", "pos", "good", 50)
+    return joins.mirror_fill(u, "item", "pos", "good", 100, 50, 3)
 
 
 @query("j13_event_pairs", """
@@ -354,52 +450,62 @@ def _(t):
 
 @query("j15_cell_compare", """
 WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 256.0) AS BIGINT))) AS pos FROM documents), x AS (SELECT doc_id, pos, substring(text, pos * 256 + 1, 256) AS cell FROM c),
-a AS (SELECT doc_id // 2 AS k, pos, cell FROM x WHERE doc_id % 2 = 0), b AS (SELECT doc_id // 2 AS k, pos, cell FROM x WHERE doc_id % 2 = 1)
-SELECT k, count(*) FILTER (a.cell = b.cell) AS agree, count(*) FILTER (a.cell <> b.cell) AS differ, count(*) FILTER (a.cell IS NULL OR b.cell IS NULL) AS unavailable FROM a FULL JOIN b USING (k, pos) GROUP BY k""")
+a AS (SELECT doc_id // 2 AS k, pos, cell FROM x WHERE doc_id % 2 = 0), b AS (SELECT doc_id // 2 AS k, pos, cell FROM x WHERE doc_id % 2 = 1),
+y AS (SELECT k, CASE WHEN pos < 2 THEN 'head' ELSE 'tail' END AS name, a.cell AS p, b.cell AS q, greatest(length(a.cell), length(b.cell)) AS n FROM a FULL JOIN b USING (k, pos)),
+z AS (SELECT *, CASE WHEN p IS NULL OR q IS NULL THEN NULL WHEN p = q THEN 0 ELSE len(list_filter(range(1, n + 1), lambda i: p[i] <> q[i])) END AS d FROM y)
+SELECT k, name, CAST(sum(CASE WHEN d IS NULL THEN 0 ELSE n - d END) AS BIGINT) AS agree, CAST(sum(coalesce(d, 0)) AS BIGINT) AS differ, CAST(sum(CASE WHEN d IS NULL THEN n ELSE 0 END) AS BIGINT) AS unavailable FROM z GROUP BY k, name""")
 def _(t):
-    c = joins.cells(t("documents"), ["doc_id"], "text", 256).withColumn("cell", F.sha2("cell", 256)).withColumn("k", F.floor(F.col("doc_id") / F.lit(2)))
-    a, b = c.where("doc_id % 2 = 0").select("k", "pos", F.col("cell").alias("a")), c.where("doc_id % 2 = 1").select("k", "pos", F.col("cell").alias("b"))
-    return a.join(b, ["k", "pos"], "full_outer").groupBy("k").agg(F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if(F.col("a") != F.col("b")).alias("differ"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unavailable"))
+    c = joins.cells(t("documents"), ["doc_id"], "text", 256).withColumn("k", F.floor(F.col("doc_id") / F.lit(2)))
+    keys = t("documents").select(F.floor(F.col("doc_id") / F.lit(2)).alias("k")).distinct()
+    part = F.struct(F.lit("head").alias("name"), F.lit(0).alias("first"), F.lit(1).alias("last")), F.struct(F.lit("tail").alias("name"), F.lit(2).alias("first"), F.lit(1 << 24).alias("last"))
+    ranges = keys.select("k", F.inline(F.array(*part)))
+    return joins.compare_cells(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1"), "k", ranges=ranges)
 
 
 @query("j16_components", """
-WITH a AS (SELECT conv_id AS k, turn, text FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id - 1 AS k, turn, text FROM conversations WHERE conv_id % 2 = 1)
-SELECT k, count(*) FILTER (b.text IS NULL) AS left_only, count(*) FILTER (a.text IS NULL) AS right_only, count(*) FILTER (a.text IS NOT NULL AND b.text IS NOT NULL) AS both_sides, count(*) FILTER (a.text = b.text) AS equal_parts FROM a FULL JOIN b USING (k, turn) GROUP BY k""")
+WITH a AS (SELECT conv_id AS k, turn, text FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id - 1 AS k, turn, text FROM conversations WHERE conv_id % 2 = 1), j AS (SELECT k, turn, a.text AS x, b.text AS y, coalesce(a.text = b.text, FALSE) AS same FROM a FULL JOIN b USING (k, turn))
+SELECT k, count(*) FILTER (y IS NULL) AS left_only, count(*) FILTER (x IS NULL) AS right_only, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS both_sides, count(*) FILTER (same) AS equal_parts, bool_and(same) AS all_equal,
+NOT bool_and(same) AND count(*) FILTER (NOT same AND turn NOT IN (0, 1)) = 0 AS only_summary_differs FROM j GROUP BY k""")
 def _(t):
-    c = t("conversations")
-    a = c.where("conv_id % 2 = 0").select(F.col("conv_id").alias("k"), "turn", F.col("text").alias("a"))
-    b = c.where("conv_id % 2 = 1").select((F.col("conv_id") - 1).alias("k"), "turn", F.col("text").alias("b"))
-    return a.join(b, ["k", "turn"], "full_outer").groupBy("k").agg(F.count_if(F.col("b").isNull()).alias("left_only"), F.count_if(F.col("a").isNull()).alias("right_only"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_sides"), F.count_if(F.col("a") == F.col("b")).alias("equal_parts"))
+    c = t("conversations").select((F.col("conv_id") - F.col("conv_id") % 2).alias("k"), "turn", "text", (F.col("conv_id") % 2).alias("side"))
+    return joins.compare_components(c.where("side = 0"), c.where("side = 1"), "k", "turn", "text", [0, 1])
 
 
 @query("j17_diff_runs", """
-WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b, unnest(range(1, least(length(p_name), length(p_type)) + 1)) AS pos FROM part), d AS (SELECT p_partkey, pos FROM p WHERE a[pos] <> b[pos]),
-r AS (SELECT p_partkey, pos, pos - row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS g FROM d)
-SELECT p_partkey, min(pos) AS first, max(pos) AS last, count(*) AS length FROM r GROUP BY p_partkey, g""")
+WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b, unnest(range(1, greatest(length(p_name), length(p_type)) + 1)) AS pos FROM part), d AS (SELECT p_partkey, pos FROM p WHERE substring(a, pos, 1) <> substring(b, pos, 1)),
+r AS (SELECT p_partkey, pos, pos - row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS g FROM d), g AS (SELECT p_partkey, min(pos) - 1 AS o, count(*) AS n FROM r GROUP BY p_partkey, g), k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS k FROM g)
+SELECT p_partkey, CAST(coalesce(sum(n), 0) AS BIGINT) AS different, coalesce(string_agg(o || ':' || n, ',' ORDER BY o) FILTER (k <= 4), '') AS runs, coalesce(max(k), 0) > 4 AS more FROM part LEFT JOIN k USING (p_partkey) GROUP BY 1""")
 def _(t):
-    n = F.least(F.length("p_name"), F.length("p_type"))
-    p = t("part").select("p_partkey", "p_name", "p_type", F.explode(F.sequence(F.lit(1), n)).alias("pos")).where(F.substring(F.col("p_name"), F.col("pos"), F.lit(1)) != F.substring(F.col("p_type"), F.col("pos"), F.lit(1)))
-    return windows.islands(p.withColumn("pos", F.col("pos").cast("long")), ["p_partkey"], "pos")
+    got = joins.diff_runs(t("part"), ["p_partkey"], "p_name", "p_type", 4)
+    return got.withColumn("runs", F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["offset"].cast("string"), r["length"].cast("string"))), ","))
+
 
+HITS = "h AS (SELECT item_id, doc_id, length(b.text) AS size, list_filter(range(1, length(d.text) - length(b.text) + 2), lambda i: substring(d.text, i, length(b.text)) = b.text) AS o FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 128)"
 
-@query("j18_containment", "SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS at, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS hits FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 32")
+
+@query("j18_containment", f"WITH {HITS} SELECT item_id, doc_id, o[1] - 1 AS at, array_to_string(list_transform(o[1:16], lambda x: x - 1), ',') AS offsets, len(o) >= 16 AS further_unknown FROM h")
 def _(t):
     got = joins.containment(t("benchmark"), t("documents").withColumnRenamed("text", "hay"), "item_id", "text", "doc_id", "hay")
-    return got.withColumn("offset", F.col("offset").cast("long")).withColumnRenamed("offset", "at")
+    return got.select("item_id", "doc_id", F.col("offset").alias("at"), F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets"), "further_unknown")
 
 
-@query("j19_lineage", """WITH """ + CELLS + """, b AS (SELECT item, attempt, row_number() OVER (PARTITION BY item ORDER BY count(*) FILTER (NOT good), attempt DESC) AS k FROM c GROUP BY item, attempt),
+@query("j19_lineage", "WITH " + CELLS + """, b AS (SELECT item, attempt, row_number() OVER (PARTITION BY item ORDER BY count(*) FILTER (NOT good), attempt DESC) AS k FROM c GROUP BY item, attempt),
 x AS (SELECT c.item, pos, arg_min(c.attempt, k) FILTER (good) AS source, min(payload) FILTER (good) AS lo, max(payload) FILTER (good) AS hi FROM c JOIN b USING (item, attempt) GROUP BY 1, 2), y AS (SELECT * FROM x WHERE item NOT IN (SELECT item FROM x WHERE lo <> hi) AND source IS NOT NULL)
-SELECT y.item, y.pos, y.source, c.payload FROM y JOIN c ON c.item = y.item AND c.pos = y.pos AND c.attempt = y.source""")
+SELECT y.item, y.pos, y.source, c.payload AS donor_sha, CASE WHEN y.source = 7 THEN 'donor_is_derived' WHEN y.pos % 5 = 0 AND c.payload <> 'F' THEN 'hash_differs' ELSE 'original' END AS state FROM y JOIN c ON c.item = y.item AND c.pos = y.pos AND c.attempt = y.source""")
 def _(t):
     cells = _cells(t)
     merged, _refused = windows.composite(cells, "item", "attempt", "pos", "good", "payload")
-    return merged.where("source IS NOT NULL").join(cells.withColumnRenamed("attempt", "source"), ["item", "pos", "source"]).select("item", "pos", "source", "payload")
+    recorded = merged.join(cells.select("item", "pos", F.col("attempt").alias("source"), F.when(F.col("pos") % 5 == 0, "F").otherwise(F.col("payload")).alias("recorded")), ["item", "pos", "source"], "left")
+    return joins.lineage(recorded, cells, "item", "pos", "source", "attempt", "payload", "recorded", cells.where("attempt = 7"))
 
 
-@query("j20_extents", "SELECT conv_id, count(*) AS extents, sha256(string_agg(text, '' ORDER BY turn)) AS sha FROM conversations GROUP BY 1")
+@query("j20_extents", """
+WITH g AS (SELECT conv_id, count(*) AS extents, sha256(string_agg(text, '' ORDER BY turn)) AS sha FROM conversations GROUP BY 1)
+SELECT doc_id AS conv_id, coalesce(extents, 0) AS extents, CASE WHEN extents IS NULL THEN 'no_extents' WHEN doc_id % 3 = 0 THEN 'differs' ELSE 'traced' END AS state FROM documents LEFT JOIN g ON conv_id = doc_id""")
 def _(t):
-    return joins.trace_extents(t("conversations"), "conv_id", "turn", "text")
+    traces = joins.trace_extents(t("conversations"), "conv_id", "turn", "text")
+    files = t("documents").select(F.col("doc_id").alias("conv_id")).join(traces.select("conv_id", F.when(F.col("conv_id") % 3 == 0, "-").otherwise(F.col("sha")).alias("recorded")), "conv_id", "left")
+    return joins.check_traces(traces, files, "conv_id", "recorded").withColumn("extents", F.col("extents").cast("long"))
 
 
 @query("j21_status_disagreement", "SELECT o_orderkey, o_orderstatus AS claimed, CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_and(l_linestatus = 'O') THEN 'O' ELSE 'P' END AS derived FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2 HAVING lower(derived) <> lower(claimed)")
@@ -430,6 +536,11 @@ def _(t):
     return joins.snapshot_changes(p.where("p_partkey % 10 <> 2"), after, "p_partkey", ["p_size", "p_name"])
 
 
+@query("j26_changed_during_run", "SELECT count(*) AS rows_before, count(*) FILTER (p_partkey % 10 <> 1) AS rows_after, TRUE AS changed_during_run FROM part")
+def _(t):
+    return joins.changed_during_run(t("part"), t("part").where("p_partkey % 10 <> 1"), "p_partkey", ["p_size", "p_name"])
+
+
 # Aggregations ------------------------------------------------------------------------------------------------------
 @query("agg1_rollup", """
 WITH o AS (SELECT o_custkey, count(*) AS attempts, arg_max(o_totalprice, o_orderkey) AS latest, min(o_totalprice) AS best FROM orders GROUP BY 1)
@@ -440,10 +551,19 @@ def _(t):
 
 
 @query("agg2_summary", """
-SELECT count(*) AS units, count(*) FILTER (l_returnflag = 'R') AS bad, count(*) FILTER (l_linestatus = 'F') AS final, CASE WHEN count(*) = 0 THEN 0 ELSE 100.0 * count(*) FILTER (l_returnflag <> 'R') / count(*) END AS success FROM lineitem""")
+WITH v AS (SELECT *, o_orderstatus = 'F' AS m, o_totalprice > 100000 AS p FROM orders)
+SELECT *, conversions_ok * 100.0 / conversions AS conversion_percent FROM (SELECT (SELECT count(*) FROM customer) AS items_audited, (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS images_present, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS items_ok, (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS items_attention,
+(SELECT count(*) FROM customer WHERE c_nationkey % 2 = 0) AS imaging_ok, (SELECT count(*) FROM customer WHERE c_nationkey % 2 = 1) AS imaging_not_ok, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0) AS raw_exceptions,
+(SELECT count(*) FROM part) AS source_files, (SELECT count(*) FROM part WHERE p_size % 7 = 0) AS excluded_files, (SELECT count(*) FROM supplier) AS delivery_files, (SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 0) AS untracked_files,
+(SELECT count(*) FROM v) AS conversions, (SELECT count(*) FROM v WHERE m AND p) AS conversions_ok, (SELECT count(*) FROM v WHERE m <> p) AS conversions_partial, (SELECT count(*) FROM v WHERE NOT m AND NOT p) AS conversions_failed, (SELECT count(*) FROM v WHERE m) AS modern_good, (SELECT count(*) FROM v WHERE p) AS pdf_good,
+(SELECT count(*) FROM lineitem) AS integrity_checks, (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R' AND l_linestatus <> 'F') AS invalid_outputs)""")
 def _(t):
-    good = F.count_if(F.col("l_returnflag") != "R")
-    return t("lineitem").agg(F.count("*").alias("units"), F.count_if(F.col("l_returnflag") == "R").alias("bad"), F.count_if(F.col("l_linestatus") == "F").alias("final"), F.when(F.count("*") == 0, 0.0).otherwise(good * 100.0 / F.count("*")).alias("success"))
+    items = t("customer").select((F.col("c_acctbal") >= 0).alias("image"), F.when(F.col("c_mktsegment") == "BUILDING", "OK").otherwise("CHECK").alias("audit_status"), F.when(F.col("c_nationkey") % 2 == 0, "OK").otherwise("BAD").alias("imaging_status"), (F.col("c_custkey") % 10 == 0).alias("raw_exception"))
+    modern, pdf = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000
+    conversions = t("orders").select(codes.conversion_status(modern, pdf).alias("status"), modern.alias("modern_ok"), pdf.alias("pdf_ok"))
+    checks = t("lineitem").select((F.col("l_returnflag") != "R").alias("recorded_success"), F.when(F.col("l_linestatus") == "F", "VALID").otherwise("CHANGED").alias("integrity"))
+    deliveries = t("supplier").select(F.when(F.col("s_suppkey") % 4 == 0, "UNTRACKED").otherwise("VALID").alias("integrity"))
+    return agg.final_summary(items, t("part").select((F.col("p_size") % 7 != 0).alias("eligible")), deliveries, conversions, checks)
 
 
 @query("agg3_merged_counters", """
@@ -481,14 +601,26 @@ def _(t):
     return agg.envelope(f, ["grp"], "low", "high")
 
 
-@query("agg8_rates", "SELECT l_returnflag, l_linestatus, count(*) AS samples, sum(l_extendedprice) / sum(l_quantity) AS per_unit FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1, 2")
+@query("agg8_rates", """
+WITH s AS (SELECT CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'packaging' ELSE event_type END AS kind, user_id % 9 AS w, floor(value) / 1000.0 / event_id AS r FROM events WHERE event_id > 0 AND floor(value) > 0 AND user_id % 9 > 0)
+SELECT kind, CASE WHEN kind = 'processing' THEN w END AS workers, count(*) AS samples, round(avg(r), 9) AS per_unit, round(min(r), 9) AS least, round(max(r), 9) AS most FROM s GROUP BY 1, 2""")
 def _(t):
-    return agg.rates(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice")
+    got = agg.rates(_samples(t).withColumn("kind", F.col("work")))
+    return got.select("kind", "workers", "samples", *[F.round(c, 9).alias(c) for c in ("per_unit", "least", "most")])
 
 
-@query("agg9_action_ledger", "SELECT user_id, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type IN ('view', 'click')) AS total, count(*) FILTER (event_type IN ('view', 'click')) > 0 AS observed FROM events GROUP BY 1")
+@query("agg8_projected_volume", """
+SELECT user_id, CAST(ceil(arg_max(CAST(event_id AS DOUBLE) / (event_id % 13), epoch_us(ts)) * 136) AS BIGINT) AS projected FROM events WHERE event_type = 'click' AND event_id > 0 AND floor(value) > 0 AND user_id % 9 > 0 AND event_id % 13 > 0 GROUP BY 1""")
 def _(t):
-    return agg.action_ledger(t("events"), "user_id", "event_type", ["view", "click"])
+    return agg.projected_volume(_samples(t).withColumn("kind", F.col("work")), ["user_id"], 136)
+
+
+@query("agg9_action_ledger", """
+WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS k FROM events GROUP BY 1)
+SELECT c_custkey AS user_id, coalesce(v, 0) AS view, coalesce(k, 0) AS click, coalesce(v + k, 0) AS total, CASE WHEN c_custkey % 4 = 0 THEN 4 ELSE 2 END AS target, v IS NOT NULL AS observed FROM customer LEFT JOIN e ON user_id = c_custkey""")
+def _(t):
+    items = t("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 4 == 0).alias("transfer"))
+    return agg.action_ledger(items, t("events"), "user_id", "event_type", ["view", "click"], "transfer")
 
 
 @query("agg10_impact", "SELECT d.source, count(l.doc_id) AS inspected, count(*) FILTER (l.doc_id IS NULL) AS refused, sum(l.toxic) AS affected FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
@@ -515,15 +647,23 @@ def _(t):
 
 
 @query("agg14_consensus", """
-WITH g AS (SELECT l_suppkey AS item, l_partkey AS pos, count(DISTINCT l_linestatus) FILTER (l_returnflag <> 'R') AS hashes, bool_or(l_linestatus = 'F' AND l_returnflag <> 'R') AS hit FROM lineitem GROUP BY 1, 2)
-SELECT item, pos, hashes, CASE WHEN hashes > 1 THEN 'conflicting' WHEN coalesce(hit, FALSE) THEN 'validated' ELSE 'unconfirmed' END AS state FROM g""")
+WITH g AS (SELECT l_suppkey AS item, l_partkey AS pos, count(DISTINCT l_linestatus) FILTER (l_returnflag <> 'R') AS hashes, coalesce(bool_or(l_linestatus = 'F' AND l_returnflag <> 'R'), FALSE) AS hit, l_partkey % 4 > 0 AS reported FROM lineitem GROUP BY 1, 2)
+SELECT item, pos, hashes, CASE WHEN NOT reported THEN NULL WHEN hashes > 1 OR (hashes > 0 AND NOT hit) THEN 'conflicting' WHEN hit THEN 'validated' ELSE 'unconfirmed' END AS state FROM g""")
 def _(t):
-    return agg.observation_consensus(_units(t), ["item", "pos"], "good", "payload", F.lit("F")).withColumn("hashes", F.col("hashes").cast("long"))
+    claimed = F.when(F.col("pos") % 4 > 0, "F")
+    return agg.observation_consensus(_units(t), ["item", "pos"], "good", "payload", claimed).withColumn("hashes", F.col("hashes").cast("long"))
 
 
-@query("agg15_track_summary", "SELECT user_id, count(DISTINCT event_type) AS ids, count(*) - count(DISTINCT value) AS repeats, count(DISTINCT event_type) FILTER (value > 50) AS valid_ids FROM events GROUP BY 1")
+@query("agg15_track_summary", """
+WITH o AS (SELECT user_id, event_type AS id, CAST(ts AS DATE) AS rev, event_id % 7 <> 0 AS id_ok, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS data_ok, event_id % 11 = 0 AS odd, CAST(value > 50 AS VARCHAR) AS p FROM events),
+v AS (SELECT *, id_ok AND coalesce(data_ok, FALSE) AND NOT odd AS valid FROM o), i AS (SELECT user_id, id, count(*) FILTER (NOT id_ok OR data_ok = FALSE) AS bad, count(*) FILTER (data_ok IS NULL) AS none, bool_or(valid) AS valid, count(DISTINCT p) FILTER (valid) AS ps,
+count(DISTINCT valid) FILTER (id_ok AND data_ok IS NOT NULL) AS states FROM v GROUP BY 1, 2), d AS (SELECT DISTINCT user_id, id FROM (SELECT user_id, id, rev FROM v GROUP BY ALL HAVING count(*) > 1))
+SELECT i.user_id, count(*) AS present_ids, count(*) FILTER (valid) AS valid_ids, CAST(sum(bad) AS BIGINT) AS bad_observations, CAST(sum(none) AS BIGINT) AS missing_data, count(d.id) AS repeated_ids, count(*) FILTER (ps > 1) AS differing_ids, count(*) FILTER (states > 1) AS varying_ids
+FROM i LEFT JOIN d ON i.user_id = d.user_id AND i.id = d.id GROUP BY 1""")
 def _(t):
-    return t("events").groupBy("user_id").agg(F.countDistinct("event_type").alias("ids"), (F.count("*") - F.countDistinct("value")).alias("repeats"), F.countDistinct(F.when(F.col("value") > 50, F.col("event_type"))).alias("valid_ids"))
+    k = F.col("event_id")
+    o = t("events").select("user_id", F.col("event_type").alias("id"), F.to_date("ts").alias("rev"), (k % 7 != 0).alias("id_ok"), F.when(k % 5 == 0, None).otherwise(k % 5 != 1).alias("data_ok"), F.when(k % 11 == 0, 1).otherwise(0).alias("odd"), (F.col("value") > 50).cast("string").alias("p"))
+    return agg.track_summary(o, ["user_id"], "id", "rev", "id_ok", "data_ok", "odd", "p")
 
 
 @query("agg16_audit", """
@@ -552,18 +692,29 @@ def _(t):
     return agg.throughput(t("events"), "user_id", "ts", "event_type", "purchase", "event_type")
 
 
-@query("agg19_outcomes", "SELECT CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'P' THEN 'PARTIAL' ELSE 'FAILED' END AS outcome, count(*) AS jobs, sum(o_orderkey % 2) AS retried FROM orders GROUP BY 1")
+@query("agg19_outcomes", "SELECT CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'P' THEN 'PARTIAL' ELSE 'FAILED' END AS outcome, count(*) AS jobs, CAST(sum(o_orderkey % 2) AS BIGINT) AS retried FROM orders GROUP BY 1")
 def _(t):
     s = F.col("o_orderstatus")
-    return t("orders").groupBy(F.when(s == "F", "OK").when(s == "P", "PARTIAL").otherwise("FAILED").alias("outcome")).agg(F.count("*").alias("jobs"), F.sum(F.col("o_orderkey") % 2).alias("retried"))
+    return agg.outcomes(t("orders").select(F.when(s == "F", "OK").when(s == "P", "PARTIAL").otherwise("FAILED").alias("outcome"), (F.col("o_orderkey") % 2).alias("retry")), "outcome", "retry")
 
 
-@query("agg20_claim_check", "WITH " + CELLS + """, v AS (SELECT item, pos, count(DISTINCT payload) AS h, count(*) AS n FROM c WHERE good GROUP BY 1, 2), k AS (SELECT DISTINCT item, pos FROM c)
-SELECT k.item, count(*) FILTER (h = 1 AND n > 1) AS validated, count(*) FILTER (h = 1 AND n = 1) AS unconfirmed, count(*) FILTER (h > 1) AS conflicting, count(*) FILTER (h IS NULL) AS unresolved, count(*) AS size FROM k LEFT JOIN v USING (item, pos) GROUP BY 1""")
+@query("agg19_issues", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'PARTIAL' ELSE 'FAILED' END AS outcome, o_orderpriority AS detail FROM orders WHERE o_orderstatus <> 'F'")
 def _(t):
-    s = windows.consensus(_cells(t), "item", "pos", "attempt", "good", "payload")
-    one = lambda name: F.count_if(F.col("state") == name)
-    return s.groupBy("item").agg(one("corroborated").alias("validated"), one("single").alias("unconfirmed"), one("conflict").alias("conflicting"), one("unreadable").alias("unresolved"), F.count("*").alias("size"))
+    s = F.col("o_orderstatus")
+    return agg.job_issues(t("orders").select("o_orderkey", F.when(s == "F", "OK").when(s == "P", "PARTIAL").otherwise("FAILED").alias("outcome"), F.col("o_orderpriority").alias("detail")), "outcome", "detail", ["o_orderkey"])
+
+
+@query("agg20_claim_check", "WITH " + CELLS + """, k AS (SELECT item, pos, min(payload) FILTER (good) AS sha, count(*) FILTER (good) = 0 OR min(payload) FILTER (good) <> max(payload) FILTER (good) AS unresolved, coalesce(list(DISTINCT attempt) FILTER (good), []) AS attempts FROM c GROUP BY 1, 2),
+o AS (SELECT DISTINCT item, pos, attempt, payload FROM u WHERE good AND tax < 0.04),
+s AS (SELECT k.item, k.pos, any_value(unresolved) AS un, coalesce(bool_or(o.payload <> sha), FALSE) AS other, count(DISTINCT o.attempt) FILTER (o.payload = sha AND list_contains(attempts, o.attempt)) AS n FROM k LEFT JOIN o ON k.item = o.item AND k.pos = o.pos GROUP BY 1, 2)
+SELECT item, count(*) FILTER (NOT un AND NOT other AND n > 0) AS validated, count(*) FILTER (NOT un AND NOT other AND n = 0) AS unconfirmed, count(*) FILTER (NOT un AND other) AS conflicting, count(*) FILTER (un) AS unresolved, count(*) AS size, TRUE AS complete FROM s GROUP BY 1""")
+def _(t):
+    cells = _cells(t)
+    good = F.when(F.col("good"), F.col("payload"))
+    claims = cells.groupBy("item", "pos").agg(F.min(good).alias("sha"), (F.coalesce(F.min(good) != F.max(good), F.lit(False)) | (F.count_if("good") == 0)).alias("unresolved"), F.collect_set(F.when(F.col("good"), F.col("attempt"))).alias("attempts"))
+    read = t("lineitem").where("l_returnflag <> 'R' AND l_tax < 0.04").select((F.col("l_suppkey") * 1000000 + F.floor(F.col("l_partkey") / F.lit(50))).alias("item"), F.col("l_partkey").alias("pos"), F.col("l_linenumber").alias("attempt"), F.col("l_linestatus").alias("sha"))
+    sizes = claims.groupBy("item").agg(F.count("*").alias("size"))
+    return agg.claim_totals(agg.claim_check(claims, read, "item", "pos", "attempt", "sha"), sizes, "item", "size")
 
 
 # Windows -----------------------------------------------------------------------------------------------------------
@@ -580,9 +731,10 @@ def _(t):
 @query("w3_attempt_changes", """
 WITH u AS (SELECT DISTINCT l_suppkey AS item, l_linenumber AS a, l_partkey AS pos FROM lineitem), r AS (SELECT item, a, row_number() OVER (PARTITION BY item ORDER BY a DESC) AS k FROM (SELECT DISTINCT item, a FROM u)),
 m AS (SELECT item, pos, bool_or(k = 1) AS now, bool_or(k = 2) AS before FROM u JOIN r USING (item, a) WHERE k <= 2 GROUP BY 1, 2)
-SELECT item, count(*) FILTER (NOT now) AS recovered, count(*) FILTER (NOT before) AS newly_bad, count(*) FILTER (now AND before) AS still_bad FROM m WHERE item IN (SELECT item FROM r WHERE k = 2) GROUP BY 1""")
+SELECT item, CASE WHEN item % 4 > 0 THEN count(*) FILTER (NOT now) END AS recovered, CASE WHEN item % 4 > 0 THEN count(*) FILTER (NOT before) END AS newly_bad, CASE WHEN item % 4 > 0 THEN count(*) FILTER (now AND before) END AS still_bad FROM m WHERE item IN (SELECT item FROM r WHERE k = 2) GROUP BY 1""")
 def _(t):
-    return windows.attempt_changes(_units(t), "item", "attempt", "pos")
+    totals = _units(t).select("item", "attempt").distinct().withColumn("total", F.when(F.col("item") % 4 == 0, F.col("attempt")).otherwise(1440))
+    return windows.attempt_changes(_units(t), "item", "attempt", "pos", totals)
 
 
 @query("w4_islands", """
@@ -635,24 +787,30 @@ def _(t):
 
 
 @query("w10_sequence_faults", """
-WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + (event_id % 97 = 0)::INT AS seq, value FROM events), f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq, value) - 1 <> seq AS gap, value < lag(value) OVER (PARTITION BY user_id ORDER BY seq, value) AS back FROM e)
-SELECT user_id, count(*) AS events, count(*) FILTER (gap) AS gaps, count(*) FILTER (back) AS backward FROM f GROUP BY 1""")
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + (event_id % 97 = 0)::INT AS seq, value, event_type FROM events),
+f AS (SELECT user_id, event_type, row_number() OVER w - 1 AS n, seq, value < lag(value) OVER w AS back, coalesce(max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY seq, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM e WINDOW w AS (PARTITION BY user_id ORDER BY seq, value))
+SELECT user_id, count(*) AS events, count(*) FILTER (n <> seq) AS gaps, count(*) FILTER (back) AS backward, count(*) FILTER (n = 0 AND event_type <> 'view') AS bad_start, count(*) FILTER (n > 0 AND event_type = 'view') AS extra_starts, count(*) FILTER (done = 1) AS after_finish FROM f GROUP BY 1""")
 def _(t):
     w = windows.Window.partitionBy("user_id").orderBy("event_id")
-    e = t("events").select("user_id", F.struct((F.row_number().over(w) - 1 + (F.col("event_id") % 97 == 0).cast("int")).alias("seq"), "value").alias("o"), "value")
-    ww = windows.Window.partitionBy("user_id").orderBy("o")
-    marked = e.withColumn("gap", F.row_number().over(ww) - 1 != F.col("o.seq")).withColumn("back", F.col("value") < F.lag("value").over(ww))
-    return marked.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if("gap").alias("gaps"), F.count_if("back").alias("backward"))
+    e = t("events").select("user_id", (F.row_number().over(w) - 1 + (F.col("event_id") % 97 == 0).cast("int")).alias("seq"), "value", "event_type")
+    return windows.sequence_faults(e, "user_id", "seq", "value", "event_type", "view", "purchase", ["seq", "value"])
 
 
 @query("w11_composite", "WITH " + CELLS + """, b AS (SELECT item, attempt, row_number() OVER (PARTITION BY item ORDER BY count(*) FILTER (NOT good), attempt DESC) AS k FROM c GROUP BY item, attempt),
 x AS (SELECT item, pos, arg_min(attempt, k) FILTER (good) AS source, min(k) FILTER (good) AS first, min(payload) FILTER (good) AS lo, max(payload) FILTER (good) AS hi FROM c JOIN b USING (item, attempt) GROUP BY 1, 2)
 SELECT item, pos, source, coalesce(first > 1, FALSE) AS filled FROM x WHERE item NOT IN (SELECT item FROM x WHERE lo <> hi)""")
 def _(t):
-    return windows.composite(_cells(t), "item", "attempt", "pos", "good", "payload")[0].withColumn("filled", F.coalesce("filled", F.lit(False)))
+    return windows.composite(_cells(t), "item", "attempt", "pos", "good", "payload")[0]
+
+
+@query("w11_mixed_totals", "WITH " + CELLS + """, x AS (SELECT item, count(*) AS conflicts FROM (SELECT item, pos FROM c0 GROUP BY 1, 2 HAVING min(payload) FILTER (good) <> max(payload) FILTER (good)) GROUP BY 1),
+m AS (SELECT item, min(n) <> max(n) AS mixed FROM (SELECT item, attempt, count(*) AS n FROM c0 GROUP BY 1, 2) GROUP BY 1)
+SELECT item, CASE WHEN mixed THEN 'mixed_totals' ELSE 'conflict' END AS reason, coalesce(conflicts, 0) AS conflicts FROM m LEFT JOIN x USING (item) WHERE mixed OR conflicts > 0""")
+def _(t):
+    return windows.composite(_seen(t), "item", "attempt", "pos", "good", "payload")[1]
 
 
-@query("w11_refused_items", "WITH " + CELLS + ", x AS (SELECT item, pos, min(payload) FILTER (good) AS lo, max(payload) FILTER (good) AS hi FROM c GROUP BY 1, 2) SELECT item, count(*) AS conflicts FROM x WHERE lo <> hi GROUP BY 1")
+@query("w11_refused_items", "WITH " + CELLS + ", x AS (SELECT item, pos, min(payload) FILTER (good) AS lo, max(payload) FILTER (good) AS hi FROM c GROUP BY 1, 2) SELECT item, 'conflict' AS reason, count(*) AS conflicts FROM x WHERE lo <> hi GROUP BY 1")
 def _(t):
     return windows.composite(_cells(t), "item", "attempt", "pos", "good", "payload")[1]
 
@@ -662,14 +820,27 @@ def _(t):
     return windows.keep_first(t("documents").select("doc_id", F.sha2("text", 256).alias("sha")), "sha", [F.col("doc_id")]).drop("sha")
 
 
-@query("w13_unique_names", "SELECT p_partkey, CASE WHEN k > 1 THEN p_brand || ' [recovered copy ' || CAST(k AS VARCHAR) || ']' ELSE p_brand END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS k FROM part)")
+@query("w13_unique_names", "SELECT p_partkey, CASE WHEN k > 1 THEN p_brand || ' [recovered copy ' || CAST(k AS VARCHAR) || '].doc' ELSE p_brand || '.doc' END AS unique_name, FALSE AS clash FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS k FROM part)")
 def _(t):
-    return windows.unique_names(t("part").select("p_partkey", "p_brand"), "p_brand", [F.col("p_partkey")]).select("p_partkey", "unique_name")
+    return windows.unique_names(t("part").select("p_partkey", F.concat("p_brand", F.lit(".doc")).alias("name")), "name", [F.col("p_partkey")]).select("p_partkey", "unique_name", "clash")
 
 
-@query("w14_pass_attribution", "WITH " + CELLS + "SELECT item, pos, min(attempt) FILTER (good) AS succeeded, count(*) AS retries, coalesce(max(attempt) FILTER (NOT good) > min(attempt) FILTER (good), FALSE) AS contradiction FROM c GROUP BY 1, 2")
+@query("w14_pass_attribution", """
+WITH r AS (SELECT l_suppkey * 1000000 + l_partkey // 50 AS item, l_partkey AS pos, l_returnflag = 'R' AS hit, l_orderkey % 50 = 0 AS flip, l_quantity >= 10 AS logged, l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY item, pos ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_shipdate, hit) AS n FROM r WHERE logged),
+l AS (SELECT item, pos, n, n > 1 AND hit AS won, n > 1 AND flip AS flipped, coalesce(max((n > 1 AND hit)::INT) OVER (PARTITION BY item, pos ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+g AS (SELECT item, pos, bool_or(flipped OR n > 1 AND before = 1) AS wrong, bool_or(won) AS won, max(n) - 1 AS pass FROM l GROUP BY 1, 2), p AS (SELECT DISTINCT item, pos FROM r),
+j AS (SELECT p.item, p.pos, won, coalesce(pass, 0) AS pass, coalesce(won, TRUE) AS ok FROM p LEFT JOIN g USING (item, pos) WHERE p.item NOT IN (SELECT item FROM g WHERE wrong))
+SELECT item, pos, CASE WHEN ok THEN 'readable' ELSE 'unreadable' END AS outcome, CASE WHEN ok THEN pass END AS successful_pass, pass AS last_pass, CASE WHEN pass % 2 = 0 THEN 'forward' ELSE 'backward' END AS direction,
+CASE WHEN won THEN 'explicit_recovery' WHEN NOT ok THEN 'explicit_failure' ELSE 'implicit_initial_success' END AS evidence FROM j""")
 def _(t):
-    return windows.pass_attribution(_cells(t), "item", "pos", "attempt", "good")
+    r = t("lineitem").select((F.col("l_suppkey") * 1000000 + F.floor(F.col("l_partkey") / F.lit(50))).alias("item"), F.col("l_partkey").alias("pos"), (F.col("l_returnflag") == "R").alias("hit"), (F.col("l_orderkey") % 50 == 0).alias("flip"), "l_quantity", "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    w = windows.Window.partitionBy("item", "pos").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "hit")
+    n = r.where("l_quantity >= 10").withColumn("line", F.row_number().over(w)).withColumn("number", F.col("line") - 1)
+    log = n.select("item", "pos", "line", F.when(F.col("line") == 1, "read_failed").when(F.col("hit"), "recovered").otherwise("retry_failed").alias("kind"), "number", F.when((F.col("number") % 2 == 1) != F.col("flip"), "backward").otherwise("forward").alias("direction"))
+    lost = log.groupBy("item", "pos").agg((F.count_if(F.col("kind") == "recovered") == 0).alias("bad"))
+    positions = r.select("item", "pos").distinct().join(lost, ["item", "pos"], "left").fillna(False, ["bad"])
+    return windows.pass_attribution(log, positions, "item", "pos", "line", "kind", "number", "direction", "bad")[0]
 
 
 @query("w15_generation_fold")
@@ -679,19 +850,37 @@ def _(t):
 
 
 @query("w16_primary_log", """
-WITH u AS (SELECT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host, url, CASE WHEN contains(url, '.html') THEN 100 WHEN contains(url, '?') THEN 90 WHEN contains(url, '#') THEN 70 ELSE 20 END AS score FROM pages)
-SELECT host, url, score FROM u QUALIFY row_number() OVER (PARTITION BY host ORDER BY score DESC, url) = 1""")
+WITH u AS (SELECT p_size AS item, lpad(CAST(p_size AS VARCHAR), 3, '0') AS label, p_partkey AS k FROM part), v AS (SELECT item, CASE k % 5 WHEN 0 THEN 'logs/' || label || '.log' WHEN 1 THEN 'logs/' || label || '_attempt_' || k || '.log' WHEN 2 THEN label || '_Retry_' || k || '.txt' WHEN 3 THEN label || 'b' || k || '.log' ELSE 'other' || k END AS path,
+CASE k % 5 WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 2 THEN 20 WHEN 3 THEN 70 END AS score FROM u)
+SELECT item, path, score FROM v WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, path) = 1""")
 def _(t):
-    u = F.col("url")
-    score = F.when(u.contains(".html"), 100).when(u.contains("?"), 90).when(u.contains("#"), 70).otherwise(20)
-    rows = t("pages").select(F.split_part(_url_path(), F.lit("/"), F.lit(1)).alias("host"), "url", score.alias("score"))
-    return windows.best_attempt(rows, "host", [F.desc("score"), F.col("url")])
+    label, k = F.lpad(F.col("p_size").cast("string"), 3, "0"), F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("logs/"), label, F.lit(".log"))).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("logs/"), label, F.lit("_attempt_"), k, F.lit(".log"))).when(F.col("p_partkey") % 5 == 2, F.concat(label, F.lit("_Retry_"), k, F.lit(".txt"))).when(F.col("p_partkey") % 5 == 3, F.concat(label, F.lit("b"), k, F.lit(".log"))).otherwise(F.concat(F.lit("other"), k))
+    return windows.primary_log(t("part").select(F.col("p_size").alias("item"), name.alias("path")), "item", "path")
 
 
-@query("w17_consensus", "WITH " + CELLS + """SELECT item, pos, count(*) FILTER (good) AS copies, CASE WHEN count(*) FILTER (good) = 0 THEN 'unreadable' WHEN min(payload) FILTER (good) <> max(payload) FILTER (good) THEN 'conflict' WHEN count(*) FILTER (good) > 1 THEN 'corroborated' ELSE 'single' END AS state,
-coalesce(string_agg(CAST(attempt AS VARCHAR), ',' ORDER BY attempt) FILTER (good), '') AS sources FROM c GROUP BY 1, 2""")
+W17 = """c AS (SELECT l_suppkey AS item, l_partkey AS pos, l_returnflag AS source, bool_or(l_discount < 0.08) AS good, max(l_linestatus) FILTER (l_discount < 0.08) AS payload FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT item, min(source) AS first FROM c GROUP BY 1), k AS (SELECT item, pos, payload FROM c JOIN f USING (item) WHERE source = first AND good QUALIFY row_number() OVER (PARTITION BY item ORDER BY pos) <= 12),
+m AS (SELECT c.item, c.source, count(*) AS n FROM c JOIN k ON c.item = k.item AND c.pos = k.pos AND c.payload = k.payload WHERE good GROUP BY 1, 2),
+w AS (SELECT DISTINCT c.item FROM c JOIN f ON c.item = f.item AND c.source <> f.first LEFT JOIN m ON c.item = m.item AND c.source = m.source WHERE coalesce(n, 0) < 1),
+r AS (SELECT item, pos, count(*) FILTER (good) AS copies, CASE WHEN count(*) FILTER (good) = 0 THEN 'unreadable' WHEN min(payload) FILTER (good) <> max(payload) FILTER (good) THEN 'conflict' WHEN count(*) FILTER (good) > 1 THEN 'corroborated' ELSE 'single' END AS state, coalesce(string_agg(source, ',' ORDER BY source) FILTER (good), '') AS sources FROM c GROUP BY 1, 2),
+x AS (SELECT item, max(reason) AS reason FROM (SELECT item, 'identity' AS reason FROM w UNION ALL SELECT r.item, 'control_conflict' FROM r JOIN k USING (item, pos) WHERE state = 'conflict') GROUP BY 1)"""
+
+
+def _consensus(t):
+    ok = F.col("l_discount") < 0.08
+    u = t("lineitem").groupBy(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("source")).agg(F.max(ok).alias("good"), F.max(F.when(ok, F.col("l_linestatus"))).alias("payload"))
+    return windows.consensus_of_one_item(u, "item", "pos", "source", "good", "payload", 1, 12, 1)
+
+
+@query("w17_consensus", f"WITH {W17} SELECT * FROM r WHERE item NOT IN (SELECT item FROM x)")
+def _(t):
+    return _consensus(t)[0].withColumn("sources", F.array_join("sources", ","))
+
+
+@query("w17_refused_items", f"WITH {W17} SELECT * FROM x")
 def _(t):
-    return windows.consensus(_cells(t), "item", "pos", "attempt", "good", "payload").withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+    return _consensus(t)[1]
 
 
 @query("w18_stalls", """
@@ -721,12 +910,29 @@ def _(t):
     return t("orders").select(F.col("o_custkey").alias("label")).union(t("customer").select("c_custkey")).union(t("events").select("user_id")).distinct()
 
 
-@query("set2_differences", "SELECT pos, 'only_returned' AS side FROM (SELECT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey < 20 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey < 20) UNION ALL SELECT pos, 'both' FROM (SELECT l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey < 20 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_suppkey < 20)")
+@query("set2_differences", """
+SELECT item, pos, 'only_returned' AS side FROM (SELECT l_suppkey AS item, l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'N')
+UNION ALL SELECT item, pos, 'both' FROM (SELECT l_suppkey AS item, l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'N')""")
 def _(t):
-    side = lambda flag: t("lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_suppkey") < 20)).select(F.col("l_partkey").alias("pos"))
+    side = lambda flag: t("lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("pos"))
     return side("R").subtract(side("N")).withColumn("side", F.lit("only_returned")).union(side("R").intersect(side("N")).withColumn("side", F.lit("both")))
 
 
+@query("set3_bag_verdict", """
+WITH d AS (SELECT doc_id, source AS item, sha256(text) AS sha FROM documents), a AS (SELECT item, sha, count(*) AS n FROM d WHERE doc_id % 9 = 0 GROUP BY ALL), b AS (SELECT item, sha, count(*) AS n FROM d GROUP BY ALL HAVING min(doc_id) % 50 > 0)
+SELECT a.item, count(*) FILTER (NOT coalesce(b.n >= a.n, FALSE)) AS lacking, bool_and(coalesce(b.n >= a.n, FALSE)) AS superset FROM a LEFT JOIN b USING (item, sha) GROUP BY 1""")
+def _(t):
+    d = t("documents").select("doc_id", F.col("source").alias("item"), F.sha2("text", 256).alias("sha"))
+    large = d.groupBy("item", "sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo")).where("lo % 50 > 0")
+    return agg.bag_verdict(large, d.where("doc_id % 9 = 0").groupBy("item", "sha").agg(F.count("*").alias("n")), "item", ["sha"])
+
+
+@query("s3_report", "SELECT o_custkey, count(*) AS orders, max(o_orderpriority) AS last FROM orders GROUP BY 1 ORDER BY orders DESC, o_custkey, last")
+def _(t):
+    o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.max("o_orderpriority").alias("last"))
+    return agg.report(o, [F.desc("orders")])
+
+
 @query("set4_map_validity", "SELECT l_suppkey AS item, count(*) AS n, count(*) = count(DISTINCT l_partkey) AND max(l_partkey) < 1990 AS valid FROM lineitem GROUP BY 1")
 def _(t):
     return agg.map_validity(_units(t), "item", "pos", 1990)
@@ -745,15 +951,14 @@ def _(t):
     return c.select("c_custkey", plan["action"].alias("action"))
 
 
-@query("j18b_mapped_containment", """
-WITH h AS (SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS lo, strpos(d.text, b.text) - 2 + length(b.text) AS hi FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 32),
-m AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1),
-x AS (SELECT h.*, CASE WHEN m.doc_id IS NOT NULL THEN CASE WHEN m.toxic = 1 THEN hi // 50 - lo // 50 + CASE WHEN lo % 50 = 0 THEN 1 ELSE 0 END ELSE 0 END END AS damaged FROM h LEFT JOIN m USING (doc_id))
+@query("j18b_mapped_containment", f"""
+WITH {HITS}, e AS (SELECT item_id, doc_id, size, unnest(o[1:16]) - 1 AS lo FROM h), m AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1), g AS (SELECT *, lo + size - 1 AS hi FROM e),
+x AS (SELECT g.*, CASE WHEN m.doc_id IS NOT NULL THEN CASE WHEN m.toxic = 1 THEN hi // 50 - lo // 50 + CASE WHEN lo % 50 = 0 THEN 1 ELSE 0 END ELSE 0 END END AS damaged FROM g LEFT JOIN m USING (doc_id))
 SELECT item_id, doc_id, lo AS at, damaged, CASE WHEN damaged IS NULL THEN 'map unavailable' WHEN damaged > 0 THEN 'damaged' ELSE 'clear' END AS state FROM x""")
 def _(t):
     needles = t("benchmark").select("item_id", F.length("text").alias("size"))
     got = joins.containment(t("benchmark"), t("documents").withColumnRenamed("text", "hay"), "item_id", "text", "doc_id", "hay").join(needles, "item_id")
-    hits = got.select("item_id", "doc_id", F.col("offset").cast("long").alias("at"), (F.col("offset") + F.col("size") - 1).cast("long").alias("last"))
+    hits = got.select("item_id", "doc_id", F.explode("offsets").alias("at"), "size").withColumn("last", F.col("at") + F.col("size") - 1).drop("size")
     toxic = t("labels").where("toxic = 1").select("doc_id").distinct()
     damage = t("documents").join(toxic, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"), F.lit(50).cast("long"))).alias("pos"))
     return joins.mapped_hits(hits, t("labels"), damage, ["item_id", "doc_id", "at", "last"], "doc_id", "at", "last").drop("last")
