@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,17 +52,33 @@ def range_states(ranges: DataFrame, item: str, line: str, state: str, start: str
     return each.groupBy(item, "pos").agg(F.max_by(F.col(state), F.struct(line, state)).alias(state))
 
 
+def numbered_passes(lines: DataFrame, file: str, line: str, text: str) -> DataFrame:
+    """``lines`` with pass: the number of the START before them; null before the first one and between a STOP and the next START."""
+    word = F.upper(F.regexp_extract(text, r"^\s*(START|STOP)\b", 1))
+    w = Window.partitionBy(file).orderBy(line)
+    begun, ended = F.sum((word == "START").cast("int")).over(w), F.max(F.when(word == "STOP", F.col(line))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    started = F.max(F.when(word == "START", F.col(line))).over(w)
+    out = lines.withColumns({"__begun": begun, "__ended": ended, "__started": started})
+    inside = (F.col("__begun") > 0) & (F.col("__ended").isNull() | (F.col("__ended") < F.col("__started")))
+    return out.withColumn("pass", F.when(inside, F.col("__begun"))).drop("__begun", "__ended", "__started")
+
+
 def read_range_map(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos, state, pass of the record that decides."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     pattern = r"^\s*([CE])\b.*?(\d+)\s*:\s*(\d+)\s*$"
-    got = rows.where(F.col("text").rlike(pattern)).select("file", "line", F.regexp_extract("text", pattern, 1).alias("state"), F.regexp_extract("text", pattern, 2).cast("long").alias("start"), F.regexp_extract("text", pattern, 3).cast("long").alias("count"))
-    return range_states(got, "file", "line", "state", "start", "count")
+    part = lambda i: F.regexp_extract("text", pattern, i)
+    got = numbered_passes(rows, "file", "line", "text").where(F.col("text").rlike(pattern))
+    got = got.select("file", "line", F.struct(part(1).alias("state"), "pass").alias("record"), part(2).cast("long").alias("start"), part(3).cast("long").alias("count"))
+    return range_states(got, "file", "line", "record", "start", "count").select("file", "pos", "record.state", "record.pass")
 
 
 def read_attempt_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per attempt; label is the file's name. Repeated documents of an attempt count once."""
+    """One JSON document per attempt, ordered by item and attempt; label is the file's name. Of repeated documents of an attempt the
+    one with the smallest label counts."""
     rows = spark.read.option("multiLine", True).schema(schema).json(path).withColumn("label", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1))
-    return rows.dropDuplicates(["disk_number", "attempt_number"])
+    first = F.row_number().over(Window.partitionBy("disk_number", "attempt_number").orderBy("label"))
+    return rows.withColumn("__nth", first).where("__nth = 1").drop("__nth").orderBy("disk_number", "attempt_number")
 
 
 def read_claims_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -73,17 +90,23 @@ def read_claims_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*names)
 
 
+def listing_states(rows: DataFrame, file: str, path: str, size: str, mark: str) -> DataFrame:
+    """State of every path (lower case) of a listing; a path that occurs more than once is ambiguous and has no size."""
+    state = F.when(F.col(mark).isin("x", "xf"), "deleted").when(F.col(mark).isin(".", "f"), "live").when(F.col(mark).startswith("+."), "signature_carved").otherwise("unknown")
+    g = rows.groupBy(file, F.lower(path).alias("path")).agg(F.count("*").alias("__n"), F.min(state).alias("__state"), F.min(size).alias("__size"))
+    return g.select(file, "path", F.when(F.col("__n") > 1, 0).otherwise(F.col("__size")).cast("long").alias("bytes"), F.when(F.col("__n") > 1, "ambiguous").otherwise(F.col("__state")).alias("state"))
+
+
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Six columns and a path per line, UTF-8 or UTF-16; a repeated path is ambiguous."""
+    """Six columns (the third is the size, the sixth the state) and a path per line, UTF-8 or UTF-16; lines without a size are headings."""
     raw = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 2))
-    text = F.when(head == "FFFE", F.decode("content", F.lit("UTF-16LE"))).when(head == "FEFF", F.decode("content", F.lit("UTF-16BE"))).otherwise(F.decode("content", F.lit("UTF-8")))
+    text = F.when(head == "FFFE", F.decode("content", "UTF-16LE")).when(head == "FEFF", F.decode("content", "UTF-16BE")).otherwise(F.decode("content", "UTF-8"))
     line = F.explode(F.split(F.regexp_replace(text, "^﻿", ""), r"\r?\n")).alias("line")
-    pattern = r"^\s*(\S+)\s+(\S+\s+){5}(.+)$"
+    pattern = r"^\s*\S+\s+\S+\s+(\d+)\s+\S+\s+\S+\s+(\S+)\s+(.*\S)\s*$"
     rows = raw.select(F.col("path").alias("file"), line).where(F.col("line").rlike(pattern))
-    rows = rows.select("file", F.regexp_extract("line", pattern, 1).alias("mark"), F.regexp_extract("line", pattern, 3).alias("path"))
-    state = F.when(F.col("mark").startswith("x"), "deleted").when(F.col("mark").startswith("+"), "carved").otherwise("live")
-    return rows.groupBy("file", "path").agg(F.when(F.count("*") > 1, "ambiguous").otherwise(F.first(state)).alias("state"))
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    return listing_states(rows.select("file", part(1).cast("long").alias("size"), part(2).alias("mark"), part(3).alias("name")), "file", "name", "size", "mark")
 
 
 def hash_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -95,16 +118,23 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             rows = []
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for m in z.infolist():
-                    if not m.is_dir():
-                        rows.append((path, m.filename, m.file_size, hashlib.sha256(z.read(m)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["archive", "name", "bytes", "sha"])
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for m in z.infolist():
+                        if not m.is_dir():
+                            try:
+                                rows.append((path, m.filename, m.file_size, hashlib.sha256(z.read(m)).hexdigest(), None))
+                            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, zlib.error) as e:
+                                rows.append((path, m.filename, m.file_size, None, f"member: {e}"))
+            except (zipfile.BadZipFile, ValueError, OSError) as e:
+                rows = [(path, None, None, None, f"archive: {e}")]
+            yield pd.DataFrame(rows, columns=["archive", "name", "bytes", "sha", "error"]).astype({"bytes": "Int64"})
 
 
 def archive_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ZIP member, with flags for unsafe names and for names that differ by case alone."""
-    got = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_members, "archive string, name string, bytes long, sha string")
+    """One row per ZIP member, with flags for unsafe names and for names that differ by case alone. A damaged archive or member is a row
+    with an error and without a hash; it does not stop the others."""
+    got = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_members, "archive string, name string, bytes long, sha string, error string")
     unsafe = F.col("name").rlike(r"^(/|\\|[A-Za-z]:)") | F.exists(F.split(F.translate("name", "\\", "/"), "/"), lambda x: x.isin("..", "."))
     return got.withColumn("unsafe", unsafe).withColumn("collides", F.count("*").over(Window.partitionBy("archive", F.lower("name"))) > 1)
 

@@ -18,7 +18,23 @@ def safe_line(df: DataFrame) -> Column:
 
 
 def write_safe_csv(df: DataFrame, path: str) -> None:
-    df.select(safe_line(df).alias("value")).write.option("lineSep", "\r\n").text(path)
+    """Quoted lines with a header line in every part file. There is no byte-order mark: it would have to stand in each part."""
+    head = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    lines = df.select(F.monotonically_increasing_id().alias("__id"), safe_line(df).alias("value"))
+    first = F.col("__id") % F.lit(1 << 33) == 0  # the first row of a partition, which is a part file
+    lines.select(F.when(first, F.concat(F.lit(head + "\r\n"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.option("lineSep", "\r\n").text(path)
+
+
+def build_manifest(files: DataFrame, item: str, path: str, size: str, modified: str, sha: str) -> tuple[DataFrame, DataFrame]:
+    """(rows in the order of item and path, totals per item: files, bytes, last modification)."""
+    rows = files.select(F.col(item).alias("item"), F.col(path).alias("path"), F.col(size).alias("bytes"), F.col(modified).alias("modified"), F.col(sha).alias("sha")).orderBy("item", "path")
+    return rows, rows.groupBy("item").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.max("modified").alias("modified"))
+
+
+def write_manifest(files: DataFrame, folder: str, **columns: str) -> None:
+    rows, totals = build_manifest(files, **columns)
+    rows.write.mode("errorifexists").parquet(f"{folder}/rows")
+    totals.write.mode("errorifexists").parquet(f"{folder}/totals")
 
 
 def content_key(df: DataFrame) -> Column:
