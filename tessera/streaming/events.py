@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 DELAY = "10 minutes"
 SESSION_OUT = "session string, events long, finished boolean, faults long"
@@ -46,26 +47,66 @@ def session_states(stream: DataFrame) -> DataFrame:
 
 
 def live_pace(stream: DataFrame, ts: str, item: str, window: str = "1 hour", delay: str = DELAY) -> DataFrame:
-    """Items per window; a window with fewer than three has no pace."""
-    g = stream.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w")).agg(F.approx_count_distinct(item).alias("items"))
-    return g.select(F.col("w.start").alias("start"), "items", F.when(F.col("items") >= 3, F.col("items")).alias("pace"))
+    """start, item: each item once per window, as far as the watermark reaches. ``pace_of`` counts them exactly."""
+    w = stream.withWatermark(ts, delay).select(F.window(ts, window).alias("w"), F.col(item).alias("item"))
+    return w.dropDuplicates(["w", "item"]).select(F.col("w.start").alias("start"), "item")
 
 
-def merge_latest(path: str, keys: list[str], order: str):
-    """For ``foreachBatch``: keeps the latest row per key in numbered versions of a Parquet table below ``path``."""
+def pace_of(saved: DataFrame, state: DataFrame) -> DataFrame:
+    """Pace and estimate of each session, from items (session, item, unix_ms, fresh) and its state (session, started_ms, now_ms, remaining, paused).
+
+    Items per hour of the distinct items (null without one); minutes for what remains, from fresh items: null, with a reason, below three of
+    them, while paused, or without a known endpoint.
+    """
+    g = saved.groupBy("session").agg(F.countDistinct("item").alias("saved"), F.countDistinct(F.when(F.col("fresh"), F.col("item"))).alias("fresh_saved"))
+    s = state.join(g, "session", "left").fillna(0, ["saved", "fresh_saved"])
+    ms, left = F.col("now_ms") - F.col("started_ms"), F.col("remaining")
+    paused = F.coalesce("paused", F.lit(False))
+    reason = F.when(left.isNull(), "no_endpoint").when(left == 0, "complete").when(paused, "paused").when((F.col("fresh_saved") < 3) | (ms <= 0), "fewer_than_three")
+    return s.select("session", "saved", F.when((ms > 0) & (F.col("saved") > 0), F.col("saved") * 3.6e6 / ms).alias("per_hour"), F.when(reason.isNull(), left * ms / F.col("fresh_saved") / 60000.0).alias("eta_minutes"), reason.alias("reason"))
+
+
+def merge_latest(path: str, keys: list[str], order: str, slots: int = 64):
+    """For ``foreachBatch``: keeps the latest row per key in a Parquet table below ``path``, in ``slots`` folders by a hash of the key.
+
+    An epoch writes a new version of only those slots that its keys fall into; ``latest_state`` reads the newest version of each.
+    Epochs may be repeated (the same version is written again) or skipped.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = [] if epoch == 0 else [batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}")]
-        rows = batch
-        for o in old:
-            rows = rows.unionByName(o)
+        spark = batch.sparkSession
+        rows = batch.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
+        old = latest_state(spark, path, batch, before=epoch)
+        if old is not None:
+            rows = rows.unionByName(old.join(F.broadcast(rows.select("slot").distinct()), "slot", "left_semi"))  # ``slots`` numbers at most
         rest = [c for c in batch.columns if c not in keys]
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*batch.columns)
-        latest.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        latest = rows.groupBy("slot", *keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select("slot", *keys, "r.*")
+        latest.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/epoch={epoch}")
 
     return merge
 
 
+def latest_state(spark: SparkSession, path: str, like: DataFrame, before: int | None = None) -> DataFrame | None:
+    """The rows of the newest version of each slot (of the epochs below ``before``); None if nothing was written."""
+    from pyspark.errors import AnalysisException
+
+    schema = StructType([*like.schema.fields, StructField("slot", IntegerType()), StructField("epoch", LongType())])
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    rows = rows if before is None else rows.where(F.col("epoch") < before)
+    newest = rows.groupBy("slot").agg(F.max("epoch").alias("epoch"))  # ``slots`` rows at most
+    return rows.join(F.broadcast(newest), ["slot", "epoch"], "left_semi").select(*like.columns, "slot")
+
+
+def pending(state: DataFrame, status: str) -> DataFrame:
+    """Work that is not done: queued, processing or failed."""
+    return state.where(F.col(status).isin("queued", "processing", "failed"))
+
+
 def reconcile(state: DataFrame, authoritative: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in which a streamed state and the batch result differ; none after a correct run."""
     a = state.withColumn("__side", F.lit("stream"))
