@@ -17,30 +17,125 @@ def test_islands_and_gaps(spark):
     assert rows(windows.gaps(df, ["item"], "pos"), "first", "last") == [(3, 3), (5, 6)]
 
 
-def test_composite_fills_refuses_and_leaves_unresolved(spark):
-    def units(cells):
-        return spark.createDataFrame([("d", a, p, g, s) for a, p, g, s in cells], "item string, attempt int, pos int, good boolean, payload string")
+def units(spark, cells):
+    return spark.createDataFrame([("d", a, p, g, s) for a, p, g, s in cells], "item string, attempt int, pos int, good boolean, payload string")
+
 
-    fill = units([(1, 0, True, "x"), (1, 1, False, None), (2, 0, True, "x"), (2, 1, True, "y"), (2, 2, False, None), (2, 3, False, None), (1, 2, True, "z"), (1, 3, True, "w")])
+def test_composite_fills_refuses_and_leaves_unresolved(spark):
+    fill = units(spark, [(1, 0, True, "x"), (1, 1, False, None), (2, 0, True, "x"), (2, 1, True, "y"), (2, 2, False, None), (2, 3, False, None), (1, 2, True, "z"), (1, 3, True, "w")])
     merged, refused = windows.composite(fill, "item", "attempt", "pos", "good", "payload")
     assert rows(merged, "pos", "source", "filled") == [(0, 1, False), (1, 2, True), (2, 1, False), (3, 1, False)]
     assert refused.count() == 0
-    bad = units([(1, 0, True, "x"), (2, 0, True, "y")])
+    bad = units(spark, [(1, 0, True, "x"), (2, 0, True, "y")])
     merged, refused = windows.composite(bad, "item", "attempt", "pos", "good", "payload")
-    assert merged.count() == 0 and rows(refused, "item", "conflicts") == [("d", 1)]
-    none = units([(1, 0, False, None), (2, 0, False, None)])
-    assert rows(windows.composite(none, "item", "attempt", "pos", "good", "payload")[0], "source") == [(None,)]
-
-
-def test_bag_match_statuses_and_invariants(spark):
-    ref = spark.createDataFrame([(1, "r/a", "same", 1), (2, "r/b", "same", 1), (3, "r/c", "old", 1), (4, "lost", "l", 1)], "ref_id long, path string, sha string, bytes long")
-    cur = spark.createDataFrame([(1, "r/b", "same", 1), (2, "renamed", "same", 1), (3, "r/c", "new", 1), (4, "extra", "e", 1)], "cur_id long, path string, sha string, bytes long")
-    got = joins.bag_match(ref, cur)
-    assert sorted(r.status for r in got.collect()) == ["changed", "current_only", "match", "missing", "moved"]
+    assert merged.count() == 0 and rows(refused, "item", "reason", "conflicts") == [("d", "conflict", 1)]
+    none = units(spark, [(1, 0, False, None), (2, 0, False, None)])
+    assert rows(windows.composite(none, "item", "attempt", "pos", "good", "payload")[0], "source", "filled") == [(None, False)]
+
+
+def test_composite_refuses_attempts_of_other_sizes(spark):
+    short = units(spark, [(1, 0, True, "x"), (2, 0, False, None), (2, 1, True, "y"), (2, 2, True, "z")])
+    merged, refused = windows.composite(short, "item", "attempt", "pos", "good", "payload")
+    assert merged.count() == 0 and rows(refused, "reason", "conflicts") == [("mixed_totals", 0)]
+    full = windows.complete_units(short, "item", "attempt", "pos", "good", "payload")
+    assert rows(windows.composite(full, "item", "attempt", "pos", "good", "payload")[0], "pos", "source", "filled") == [(0, 1, True), (1, 2, False), (2, 2, False)]
+
+
+def test_consensus_needs_the_same_item(spark):
+    cells = [(s, p, True, f"v{p}") for s in (1, 2) for p in range(4)]
+    got = lambda c, least=2: windows.consensus_of_one_item(units(spark, c), "item", "pos", "attempt", "good", "payload", 2, 1, least)
+    ok, refused = got(cells)
+    assert refused.count() == 0 and rows(ok, "pos", "state") == [(p, "corroborated") for p in range(4)]
+    assert rows(got(cells, 3)[1], "reason") == [("identity",)]  # the control block has two positions
+    other = [c if c[:2] != (2, 3) else (2, 3, True, "x") for c in cells]
+    assert rows(got(other)[0], "pos", "state")[3] == (3, "conflict")
+    assert rows(got([c if c[:2] != (2, 1) else (2, 1, True, "x") for c in cells], 1)[1], "reason") == [("control_conflict",)]
+    assert got([c for c in cells if c[0] == 1], 99)[1].count() == 0  # one source needs no match
+
+
+INVENTORY = "item string, {} long, path string, sha string, bytes long, scope boolean"
+
+
+def greedy(ref, cur):
+    """The match as a loop: payload rows finish all modes first, every row takes the first candidate that is left."""
+    out, left = [], sorted(cur, key=lambda c: (c[2], c[1]))
+    open_ = sorted(ref, key=lambda r: (not r[5], r[2], r[1]))
+    for scope in (True, False):
+        for name, same in ((joins.SAME, lambda r, c: (r[2].lower(), r[3]) == (c[2].lower(), c[3])), (joins.MOVED, lambda r, c: r[3:5] == c[3:5]), (joins.CHANGED, lambda r, c: r[2].lower() == c[2].lower())):
+            for r in [r for r in open_ if r[5] == scope]:
+                hit = next((c for c in left if c[0] == r[0] and same(r, c)), None)
+                if hit:
+                    out.append((r[0], r[1], hit[1], name))
+                    open_.remove(r)
+                    left.remove(hit)
+    return out + [(r[0], r[1], None, joins.MISSING) for r in open_] + [(c[0], None, c[1], joins.CURRENT_ONLY) for c in left]
+
+
+def test_bag_match_equals_greedy_passes(spark):
+    key = lambda x: tuple(str(v) for v in x)
+    frame = lambda data, name: spark.createDataFrame(data, INVENTORY.format(name))
+    ref = [("d", 1, "r/a", "same", 1, True), ("d", 2, "r/b", "same", 1, True), ("d", 3, "r/c", "old", 1, True), ("d", 4, "lost", "l", 1, True)]
+    cur = [("d", 1, "r/b", "same", 1, None), ("d", 2, "renamed", "same", 1, None), ("d", 3, "r/c", "new", 1, None), ("d", 4, "extra", "e", 1, None)]
+    got = joins.bag_match(frame(ref, "ref_id"), frame(cur, "cur_id"), ["item"], scope="scope")
+    assert {r.status for r in got.collect()} == {joins.SAME, joins.MOVED, joins.CHANGED, joins.MISSING, joins.CURRENT_ONLY}
+    # A payload row that moved goes before a temporary row that stayed.
+    ref, cur = [("d", 1, "p/old", "S", 1, True), ("d", 2, "t/x", "S", 1, False)], [("d", 1, "t/x", "S", 1, None)]
+    got = joins.bag_match(frame(ref, "ref_id"), frame(cur, "cur_id"), ["item"], scope="scope")
+    assert rows(got, "ref_id", "status") == [(1, joins.MOVED), (2, joins.MISSING)]
     rng = random.Random(3)
-    make = lambda name: spark.createDataFrame([(i, f"p{rng.randrange(9)}", f"s{rng.randrange(5)}", 1) for i in range(40)], f"{name} long, path string, sha string, bytes long")
-    got = joins.bag_match(make("ref_id"), make("cur_id")).collect()
-    assert sorted(r.ref_id for r in got if r.ref_id is not None) == list(range(40)) == sorted(r.cur_id for r in got if r.cur_id is not None)
+    make = lambda: [(rng.choice("de"), i, rng.choice("pP") + str(rng.randrange(9)), f"s{rng.randrange(5)}", 1, rng.random() < 0.6) for i in range(60)]
+    ref, cur = make(), make()
+    got = [(r.item, r.ref_id, r.cur_id, r.status) for r in joins.bag_match(frame(ref, "ref_id"), frame(cur, "cur_id"), ["item"], scope="scope").collect()]
+    assert sorted(got, key=key) == sorted(greedy(ref, cur), key=key)
+
+
+def test_range_join_with_long_ranges(spark):
+    rng = random.Random(4)
+    ranges = [("i", k, s := rng.randrange(5000), s + rng.choice([0, 3, 70, 1500, 100000, -1])) for k in range(60)] + [("i", 99, 0, 10_000_000)]
+    points = [("i", rng.randrange(7000)) for _ in range(80)]
+    got = joins.range_join(spark.createDataFrame(points, "item string, pos long"), spark.createDataFrame(ranges, "item string, k int, lo long, hi long"), ["item"], "pos", "lo", "hi")
+    assert rows(got, "pos", "k") == sorted((p, k) for _, p in points for _, k, lo, hi in ranges if lo <= p <= hi)
+    damage = spark.createDataFrame([("i", 5), ("i", 50)], "item string, pos long")
+    extents = spark.createDataFrame([("i", "f", 4, 9, 1024)], "item string, path string, lo long, hi long, at long")
+    assert rows(joins.damaged_files(damage, extents, ["item"], "pos", "lo", "hi", "at", 512), "pos", "path", "file_byte", "known_dependency") == [(5, "f", 1536, True), (50, None, None, False)]
+
+
+def test_containment_equals_search(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    needles = [(i, text(rng.choice([20, 40, 64, 90]))) for i in range(12)] + [(50, "ab" * 20)]
+    hays = [(i, text(rng.randrange(300)) + "".join(rng.choice(needles)[1] + text(rng.randrange(60)) for _ in range(3))) for i in range(40)] + [(90, "ab" * 60), (91, None), (92, "")]
+    got = joins.containment(spark.createDataFrame(needles, "n int, needle string"), spark.createDataFrame(hays, "h int, hay string"), "n", "needle", "h", "hay", 40, 16, 5)
+    want = []
+    for n, x in needles:
+        for h, y in hays:
+            at = [i for i in range(len(y or "") - len(x) + 1) if y[i : i + len(x)] == x] if len(x) >= 40 else []
+            if at:
+                want.append((n, h, at[0], at[:5], len(at) >= 5))
+    assert rows(got, "n", "h", "offset", "offsets", "further_unknown") == sorted(want)
+
+
+def test_differences_components_and_cells(spark):
+    df = spark.createDataFrame([(1, "abcdef", "abXdYY"), (2, "abc", "abcdef"), (3, "", ""), (4, "x", None), (5, "a-" * 40, "b-" * 40)], "k int, a string, b string")
+    got = {r.k: (r.different, [tuple(x) for x in r.runs][:2], len(r.runs), r.more) for r in joins.diff_runs(df, ["k"], "a", "b").collect()}
+    assert got == {1: (3, [(2, 1), (4, 2)], 2, False), 2: (3, [(3, 3)], 1, False), 3: (0, [], 0, False), 4: (1, [(0, 1)], 1, False), 5: (40, [(0, 1), (2, 1)], 32, True)}
+    a = spark.createDataFrame([("c", "/text", "t"), ("c", "/info", "i"), ("d", "/text", "t")], "c string, s string, v string")
+    b = spark.createDataFrame([("c", "/text", "t"), ("c", "/info", "j"), ("d", "/text", "u")], "c string, s string, v string")
+    assert rows(joins.compare_components(a, b, "c", "s", "v", ["/info"]), "c", "equal_parts", "all_equal", "only_summary_differs") == [("c", 1, False, True), ("d", 0, False, False)]
+    x = spark.createDataFrame([("i", 0, "abc"), ("i", 1, "abc"), ("i", 2, None)], "item string, pos int, cell string")
+    y = spark.createDataFrame([("i", 0, "abc"), ("i", 1, "aXcd"), ("i", 3, "zz")], "item string, pos int, cell string")
+    assert rows(joins.compare_cells(x, y, "item"), "agree", "differ", "unavailable") == [(5, 2, 2)]
+
+
+def test_agreement_gate_and_mirror(spark):
+    cell = lambda x: spark.createDataFrame(x, "i string, p long, v string")
+    a = cell([("i", p, "x") for p in range(200)] + [("z", 1, "q")])
+    b = cell([("i", p, "y" if p == 7 else "x") for p in range(200)] + [("g", 1, "q")])
+    sizes = spark.createDataFrame([("i", 9, 9), ("z", 9, 9), ("g", 9, 8)], "i string, a_size int, b_size int")
+    got = joins.conflict_gate(joins.agreement(a, b, "i", "p", "v", sizes))
+    assert rows(got, "i", "agree", "conflict", "verdict", "gate") == [("g", 0, 0, "geometry", "custody_only"), ("i", 199, 1, "disagree", "pass"), ("z", 0, 0, "no_overlap", "refuse")]
+    u = spark.createDataFrame([("d", p, p not in (1, 12, 15, 30)) for p in range(31) if p != 5], "i string, p long, g boolean")
+    assert rows(joins.mirror_fill(u, "i", "p", "g", 10, 5, 2), "p", "donor") == [(1, None), (12, 17), (15, 10), (30, None)]
 
 
 def test_occupancy_is_union_and_intersection(spark):
@@ -57,6 +152,16 @@ def test_forecast_needs_three_samples(spark):
     assert rows(aggregates.forecast(df, ["k"], "v", 2), "k", "samples", "low", "high", "median", "reason") == [("a", 2, None, None, None, "fewer_than_three"), ("b", 3, 2.0, 6.0, 2.0, None)]
 
 
+def test_ranks_of_any_values(spark):
+    rng = random.Random(2)
+    data = [("a", rng.choice([0.0, -1.5, 3.25, 1e-9, 1e12, rng.random(), -rng.random() * 1000])) for _ in range(501)]
+    got = aggregates.timing_stats(spark.createDataFrame(data, "k string, v double"), ["k"], "v").first()
+    v = sorted(x for _, x in data)
+    assert (got.n, got.median, got.p95) == (501, v[250], v[(501 * 95 + 99) // 100 - 1])
+    none = aggregates.forecast(spark.createDataFrame([("a", 1.0)], "k string, v double"), ["k"], "v", 0).first()
+    assert (none.low, none.high, none.reason) == (0.0, 0.0, None)
+
+
 def test_timing(spark):
     df = spark.createDataFrame([("a", 10.0), ("a", 30.0)], "k string, v double")
     assert rows(aggregates.timing_stats(df, ["k"], "v"), "n", "mean", "median", "p95") == [(2, 20.0, 20.0, 30.0)]
@@ -102,9 +207,50 @@ def test_generation_fold_query_reads_whole_texts(spark, tmp_path):
     assert rows(catalog.QUERIES["w15_generation_fold"](spark, str(tmp_path)), "generation", "state") == [("de", "promoted"), ("en", "alternate")]
 
 
-def test_pass_attribution_and_stalls(spark):
-    df = spark.createDataFrame([("d", 1, 1, False), ("d", 1, 2, True), ("d", 2, 1, False), ("d", 2, 2, False)], "item string, pos int, attempt int, ok boolean")
-    assert rows(windows.pass_attribution(df, "item", "pos", "attempt", "ok"), "pos", "succeeded", "contradiction") == [(1, 2, False), (2, None, False)]
+def test_pass_attribution(spark):
+    def run(log, bad):
+        rows_ = [("d", n, *x) for n, x in enumerate(log)]
+        log_ = spark.createDataFrame(rows_, "item string, line int, pos int, kind string, number int, direction string")
+        where = spark.createDataFrame([("d", p, p in bad) for p in range(3)], "item string, pos int, bad boolean")
+        return windows.pass_attribution(log_, where, "item", "pos", "line", "kind", "number", "direction", "bad")
+
+    good = [(1, "read_failed", None, None), (2, "read_failed", None, None), (1, "retry_failed", 1, "backward"), (2, "retry_failed", 1, "backward"), (1, "recovered", 2, "forward"), (2, "retry_failed", 2, "forward")]
+    out, refused = run(good, {2})
+    assert refused.count() == 0 and rows(out, "pos", "successful_pass", "last_pass", "direction") == [(0, 0, 0, "forward"), (1, 2, 2, "forward"), (2, None, 2, "forward")]
+    assert rows(out, "evidence") == [("explicit_failure",), ("explicit_recovery",), ("implicit_initial_success",)]
+    for log, bad in ((good[:4] + [(1, "recovered", 2, "backward"), good[5]], {2}), (good, {1, 2}), (good, {0, 2}), (good[1:], {2}), (good + [(1, "retry_failed", 3, "backward")], {2})):
+        assert run(log, bad)[1].count() == 1
+
+
+def test_sequences_names_and_logs(spark):
+    e = spark.createDataFrame([("s", 0, 5, "start"), ("s", 1, 4, "x"), ("s", 3, 6, "start"), ("s", 4, 7, "end"), ("s", 5, 8, "x"), ("t", 0, 1, "x")], "s string, seq long, ms long, kind string")
+    got = windows.sequence_faults(e, "s", "seq", "ms", "kind", "start", "end")
+    assert rows(got, "s", "events", "gaps", "backward", "bad_start", "extra_starts", "after_finish") == [("s", 5, 3, 1, 0, 1, 1), ("t", 1, 0, 0, 1, 0, 0)]
+    n = spark.createDataFrame([(1, "A.doc"), (2, "a.DOC"), (3, "a [recovered copy 2].doc"), (4, "d/x"), (5, "a.doc"), (6, "D/x")], "k int, n string")
+    got = windows.unique_names(n, "n", [F.col("k")])
+    assert [r.unique_name for r in got.orderBy("k").collect()] == ["A.doc", "a [recovered copy 2].DOC", "a [recovered copy 2] [recovered copy 2].doc", "d/x", "a [recovered copy 3].doc", "D/x [recovered copy 2]"] and not any(r.clash for r in got.collect())
+    assert [r.clash for r in windows.unique_names(n, "n", [F.col("k")], 0).orderBy("k").collect()] == [False, True, False, False, True, True]
+    logs = spark.createDataFrame([(7, "x/007.txt"), (7, "x/007_attempt_1.log"), (8, "008_retry.log"), (8, "008b.log"), (9, "note.log")], "i int, p string")
+    assert rows(windows.primary_log(logs, "i", "p"), "i", "p", "score") == [(7, "x/007.txt", 100), (8, "008b.log", 70)]
+    u = spark.createDataFrame([("i", 1, 5), ("i", 2, 5), ("i", 2, 6)], "i string, a int, p int")
+    sizes = spark.createDataFrame([("i", 1, 10), ("i", 2, 12)], "i string, a int, total int")
+    assert rows(windows.attempt_changes(u, "i", "a", "p"), "recovered", "newly_bad", "still_bad") == [(0, 1, 1)]
+    assert rows(windows.attempt_changes(u, "i", "a", "p", sizes), "recovered", "newly_bad", "still_bad") == [(None, None, None)]
+
+
+def test_claims_and_observations(spark):
+    o = spark.createDataFrame([(1, True, "x"), (2, True, "y"), (3, True, "x"), (3, True, "y"), (4, False, "x")], "p int, ok boolean, s string")
+    got = aggregates.observation_consensus(o, ["p"], "ok", "s", F.lit("x"))
+    assert rows(got, "p", "state") == [(1, "validated"), (2, "conflicting"), (3, "conflicting"), (4, "unconfirmed")]
+    claims = spark.createDataFrame([("i", 1, "x", False, [1, 2]), ("i", 2, "x", False, [1]), ("i", 3, "x", False, [1]), ("i", 4, None, True, [])], "i string, p int, s string, unresolved boolean, attempts array<int>")
+    read = spark.createDataFrame([("i", 1, 1, "x"), ("i", 1, 3, "x"), ("i", 2, 2, "x"), ("i", 3, 1, "x"), ("i", 3, 2, "z")], "i string, p int, a int, s string")
+    checked = aggregates.claim_check(claims, read, "i", "p", "a", "s")
+    assert rows(checked, "p", "state", "supporting") == [(1, "validated", [1]), (2, "unconfirmed", None), (3, "conflicting", None), (4, "unresolved", None)]
+    sizes = spark.createDataFrame([("i", 5)], "i string, size int")
+    assert rows(aggregates.claim_totals(checked, sizes, "i", "size"), "validated", "unresolved", "complete") == [(1, 1, False)]
+
+
+def test_stalls(spark):
     left = spark.createDataFrame([("d", i, v) for i, v in enumerate((9, 7, 7, 7, 3))], "item string, n int, v int")
     assert rows(windows.stalls(left, "item", [F.col("n")], "v", 2), "longest_stall", "stop_at") == [(2, 4)]
 
@@ -126,7 +272,77 @@ def test_event_log_and_listing(spark, tmp_path):
     (tmp_path / "kv.log").write_text("[1] BEGIN | x=1\n[2] BAD_SECTOR | lba=7\n[3] END | status=OK\n")
     assert rows(readers.read_kv_log(spark, str(tmp_path / "kv.log")), "status") == [("OK",)]
     (tmp_path / "map.log").write_text("START\nC 1 > > 0 : 3\nE 2 > > 1 : 1\nSTOP\n")
-    assert rows(readers.read_range_map(spark, str(tmp_path / "map.log")), "pos", "state") == [(0, "C"), (1, "E"), (2, "C")]
+    (tmp_path / "map.log").write_text("START\nC 1 > > 0 : 3\nSTOP\nSTART\nE 2 > > 1 : 1\nSTOP\n")
+    assert rows(readers.read_range_map(spark, str(tmp_path / "map.log")), "pos", "state", "pass") == [(0, "C", 1), (1, "E", 2), (2, "C", 1)]
+
+
+def test_catalog_claims_listing_archives_and_samples(spark, tmp_path):
+    import io
+    import zipfile
+
+    d = tmp_path / "cat"
+    d.mkdir()
+    for name, n in (("002_attempt_001", 2), ("001_attempt_002", 1), ("001_attempt_002_copy", 1)):
+        (d / f"{name}.json").write_text('{\n "disk_number": %d, "attempt_number": 1, "status": "%s"}' % (n, name))
+    assert [tuple(r) for r in readers.read_attempt_catalog(spark, str(d), "disk_number int, attempt_number int, status string").collect()] == [(1, 1, "001_attempt_002", "001_attempt_002"), (2, 1, "002_attempt_001", "002_attempt_001")]
+    (tmp_path / "c.csv").write_text('\ufeffFloppy,Note\n1,"two\nlines ""q"""\n', encoding="utf-8")
+    got = readers.read_claims_csv(spark, str(tmp_path / "c.csv"))
+    assert got.columns == ["Floppy", "Note"] and rows(got, "Note") == [('two\nlines "q"',)]
+    (tmp_path / "l.txt").write_text("name size\na b 10 c d . Dir/My File.doc\na b 12 c d xf dir/my file.doc\na b 7 c d +.jpg x.jpg\na b 0 c d ? y\n", encoding="utf-16")
+    assert rows(readers.read_listing(spark, str(tmp_path / "l.txt")), "path", "bytes", "state") == [("dir/my file.doc", 0, "ambiguous"), ("x.jpg", 7, "signature_carved"), ("y", 0, "unknown")]
+    z = tmp_path / "z"
+    z.mkdir()
+    with zipfile.ZipFile(z / "ok.zip", "w") as f:
+        f.writestr("A.txt", "1")
+        f.writestr("a.TXT", "2")
+        f.writestr("../up", "3")
+    (z / "bad.zip").write_bytes(b"no archive")
+    got = readers.archive_inventory(spark, str(z))
+    assert [(r.name, r.unsafe, r.collides, r.error is None) for r in got.orderBy("name").collect()] == [(None, None, False, False), ("../up", True, False, True), ("A.txt", False, True, True), ("a.TXT", False, True, True)]
+    (tmp_path / "s.json").write_text('{"kind":"k","units":2,"elapsed_ms":4,"workers":1}\n{"kind":"k","units":0,"elapsed_ms":4,"workers":1}\n{"kind":"k","units":1')
+    assert readers.read_samples(spark, str(tmp_path / "s.json")).count() == 1
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "x").write_bytes(b"abc")
+    assert rows(readers.hash_inventory(spark, str(tmp_path / "h")), "bytes") == [(3,)]
+    df = spark.createDataFrame([("=1", 'a"b'), ("x", None)], "p string, q string").coalesce(1)
+    sinks.write_safe_csv(df, str(tmp_path / "csv"))
+    text = b"".join(f.read_bytes() for f in (tmp_path / "csv").glob("part-*"))
+    assert text == b'"p","q"\r\n"\'=1","a""b"\r\n"x",""\r\n'
+    sinks.write_manifest(spark.createDataFrame([("i", "b", 2, 5, "s"), ("i", "a", 1, 9, "t")], "i string, p string, n long, m long, s string"), str(tmp_path / "m"), item="i", path="p", size="n", modified="m", sha="s")
+    assert rows(spark.read.parquet(str(tmp_path / "m" / "totals")), "files", "bytes", "modified") == [(2, 3, 9)]
+    assert io
+
+
+def test_pairs_pace_and_latest_state_on_streams(spark, tmp_path):
+    from tessera.streaming import events
+
+    def stream(name, data, schema):
+        path = str(tmp_path / name)
+        spark.createDataFrame(data, schema).withColumn("ts", F.timestamp_seconds("n")).coalesce(1).write.parquet(path)
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    def run(q, name, mode="append"):
+        q = q.writeStream.format("memory").outputMode(mode).queryName(name).option("checkpointLocation", str(tmp_path / ("c" + name))).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return spark.table(name)
+
+    starts = stream("starts", [("a", 100), ("b", 110), ("z", 90000)], "k string, n int")
+    results = stream("results", [("a", 160), ("z", 90000)], "k string, n int")
+    pairs = run(events.pair_stream(starts, results, ["k"], "ts", "ts", "1 HOUR"), "pairs")
+    assert {(r.k, r.finished is not None) for r in pairs.collect()} == {("a", True), ("b", False), ("z", True)}
+    paced = run(events.live_pace(stream("pace", [("a", 1), ("a", 2), ("b", 3), ("c", 9)], "k string, n int"), "ts", "k"), "paced")
+    assert rows(paced, "item") == [("a",), ("b",), ("c",)]
+    saved = spark.createDataFrame([("s", i, True) for i in (1, 2, 3, 3)] + [("p", 1, True)], "session string, item int, fresh boolean")
+    state = spark.createDataFrame([("s", 0, 3600000, 6, False), ("p", 0, 3600000, 6, False), ("n", 0, 1, None, False)], "session string, started_ms long, now_ms long, remaining long, paused boolean")
+    assert rows(events.pace_of(saved, state), "session", "saved", "per_hour", "eta_minutes", "reason") == [("n", 0, None, None, "no_endpoint"), ("p", 1, 1.0, None, "fewer_than_three"), ("s", 3, 3.0, 120.0, None)]
+    batch = lambda x: spark.createDataFrame(x, "k string, v string, n int")
+    merge = events.merge_latest(str(tmp_path / "state"), ["k"], "n", 4)
+    for epoch, x in ((0, [("a", "queued", 1), ("b", "queued", 1)]), (3, [("a", "done", 2)]), (3, [("a", "done", 2)]), (4, [("c", "failed", 3), ("b", "old", 0)])):
+        merge(batch(x), epoch)
+    now = events.latest_state(spark, str(tmp_path / "state"), batch([]))
+    assert rows(now, "k", "v") == [("a", "done"), ("b", "queued"), ("c", "failed")] and rows(events.pending(now, "v"), "k") == [("b",), ("c",)]
+    truth = batch([("a", "done", 2), ("b", "queued", 1), ("c", "lost", 3)])
+    assert rows(events.reconcile(now.drop("slot"), truth, ["k"]), "k", "only_in") == [("c", "batch"), ("c", "stream")]
 
 
 def test_snapshot_is_idempotent_and_refuses_changes(spark, tmp_path):
