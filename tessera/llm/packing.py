@@ -3,8 +3,9 @@
 1. Tokens. A word's ids do not depend on its neighbours (the tokenizer drops white space before it splits), so each task
    tokenizes a word once and keeps the ids of the words it has met. Document frequencies of all ids are counted over the
    whole corpus; the vocabulary bounds their number.
-2. Shards. Rows are ordered by the smallest hash of a text's id pairs, so that texts with shared phrases lie close together, and cut
-   into ranges of about ``shard_tokens`` tokens. A shard is read in parts of bounded size; each part has its own BM25 inverted index.
+2. Shards. Rows are placed by the smallest hash of a text's id pairs, hashed again, so that texts with shared phrases lie close
+   together and a place says nothing about the length. Tokens are counted by slot of the places, and slots are cut into shards of about
+   ``shard_tokens`` tokens; a slot that holds more (copies of one text) is dealt into several shards. Each shard has one BM25 inverted index.
 3. Packing. The next unused text is the seed of a window. While the window has room, the index returns unused texts by BM25 score
    for the seed's rarest ids, and they are placed one after another. The last one is cut where the window ends; its rest
    opens the next window and is its seed. What a shard leaves over is cut into sequences whose lengths are powers of
@@ -24,12 +25,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, staged, text_chunks
-from .textnum import words
+from .textnum import mix, words
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -40,6 +40,8 @@ CACHE_PIECES = 150_000
 #: words whose pieces the tokenizer finds by these rules alone: visible ASCII but the apostrophe, and Latin-1 letters
 _SAFE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
 _RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: ranges of the places whose tokens are counted
+SLOT_BITS = 14
 TOKENS = "doc_id long, n long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -125,7 +127,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def _place(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The smallest hash of each text's pairs of neighbouring ids."""
+    """The smallest hash of each text's pairs of neighbouring ids, hashed again: the smallest one alone would be smaller for longer texts."""
     x = ids.astype(np.uint32)
     h = x.copy()
     h[:-1] = (h[:-1] << np.uint32(16)) ^ x[1:]
@@ -133,7 +135,7 @@ def _place(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA77)
     h[bounds[1:] - 1] = np.uint32(0xFFFFFFFF)  # no pair reaches over the end
-    return np.minimum.reduceat(h, bounds[:-1]).astype(np.int64)
+    return (mix(np.minimum.reduceat(h, bounds[:-1]).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
 def _tokenize(path: str):
@@ -180,9 +182,9 @@ def _frequencies(width: str):
 
 
 class Index:
-    """BM25 inverted index of a part of a shard. ``query`` returns unused texts for a seed, best first."""
+    """BM25 inverted index of a shard. ``query`` returns unused texts for a seed, best first. ``terms`` None: a seed asks with all its ids."""
 
-    def __init__(self, ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, common: np.ndarray, terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, common: np.ndarray, terms: int | None, k1: float = 1.2, b: float = 0.75):
         n = len(bounds) - 1
         doc, tok, tf = _distinct(ids, bounds)
         use = ~common[tok]
@@ -197,7 +199,7 @@ class Index:
         order = np.lexsort((-idf[tok], doc))
         start = np.searchsorted(doc, np.arange(n + 1))
         rank = np.arange(len(doc)) - np.repeat(start[:-1], np.diff(start))
-        pick = order[rank < terms]
+        pick = order if terms is None else order[rank < terms]
         lo, hi = np.searchsorted(tok_sorted, tok[pick], "left"), np.searchsorted(tok_sorted, tok[pick], "right")
         self.lo, self.hi = lo.tolist(), hi.tolist()
         self.first = np.searchsorted(doc[pick], np.arange(n + 1)).tolist()
@@ -215,7 +217,7 @@ class Index:
 
 
 class Packer:
-    """Fills windows with texts; holds the open window between parts of a shard."""
+    """Fills windows with texts."""
 
     def __init__(self, window: int, base: int):
         self.window, self.base = window, base
@@ -258,7 +260,7 @@ class Packer:
             left -= size
 
 
-def _pack(width: str, window: int, idf: np.ndarray, common: np.ndarray, part_tokens: int, part_rows: int, terms: int, neighbours: int):
+def _pack(width: str, window: int, idf: np.ndarray, common: np.ndarray, terms: int | None, neighbours: int):
     def fill(packer: Packer, docs: list, ids: np.ndarray, bounds: np.ndarray) -> None:
         index = Index(ids, bounds, idf, common, terms)
         wide, cut = ids.astype("<u4"), bounds.tolist()
@@ -281,39 +283,40 @@ def _pack(width: str, window: int, idf: np.ndarray, common: np.ndarray, part_tok
             elif new_seed or crossed:
                 queue = index.query(d, neighbours)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window, TaskContext.get().partitionId() << 32)
-        held: list[pa.RecordBatch] = []
-        size = rows = 0
-
-        def flush() -> pa.RecordBatch:
-            if held:
-                docs = [x for b in held for x in b.column("doc_id").to_pylist()]
-                flat = [_flat(b.column("ids"), width) for b in held]
-                bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in flat]))])
-                fill(packer, docs, np.concatenate([x for x, _ in flat]), bounds)
-            cols = list(zip(*packer.rows, strict=True)) or [[]] * 7
-            packer.rows = []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECES.split(", ")])
-
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            i = 0
-            while i < len(n):
-                ends = size + np.cumsum(n[i:])
-                j = i + max(1, min(int(np.searchsorted(ends, part_tokens, "right")), part_rows - rows))
-                j = min(j, len(n))
-                held.append(batch.slice(i, j - i))
-                size, rows, i = int(size + n[i:j].sum()), rows + j - i, j
-                if size >= part_tokens or rows >= part_rows or i < len(n):
-                    yield flush()
-                    held, size, rows = [], 0, 0
-        yield flush()
+    def pack(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
+        packer = Packer(window, shard.column("shard")[0].as_py() << 32)
+        flat = [_flat(chunk, width) for chunk in shard.column("ids").chunks if len(chunk)]
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in flat]))])
+        fill(packer, shard.column("doc_id").to_pylist(), np.concatenate([x for x, _ in flat]), bounds)
         packer.finish()
-        held = []
-        yield flush()
-
-    return run
+        cols = list(zip(*packer.rows, strict=True)) or [[]] * 7
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PIECES.split(", ")])
+
+    return pack
+
+
+def shard_of(tokens: DataFrame, shard_tokens: int) -> tuple[Column, int]:
+    """(shard of a row of ``tokens``, number of shards): SLOTS ranges of the places, cut by their cumulated tokens."""
+    slot = F.shiftright("place", 63 - SLOT_BITS).cast("int")
+    seen = tokens.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect()  # 1 << SLOT_BITS rows at most
+    size = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in seen:
+        size[r.slot] = r.n
+    first, parts, shard, room = np.zeros(len(size), np.int64), np.ones(len(size), np.int64), -1, 0
+    for i in range(len(size)):
+        if size[i] > shard_tokens:  # shards of its own
+            parts[i] = -(-size[i] // shard_tokens)
+            first[i], shard, room = shard + 1, shard + int(parts[i]), 0
+        else:
+            if size[i] > room:
+                shard, room = shard + 1, shard_tokens
+            first[i] = max(shard, 0)
+            room -= size[i]
+    table = lambda x: F.from_json(F.lit(str(x.tolist())), "array<bigint>")
+    at = slot + 1
+    salt = F.pmod(F.xxhash64("doc_id", "place", "n"), F.element_at(table(parts), at))
+    return F.element_at(table(first), at) + salt, max(shard + 1, 1)
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -321,24 +324,25 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path), TOKENS)
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, shard_tokens: int = 4_000_000, part_tokens: int = 2_000_000, part_rows: int = 2048, terms: int = 16, neighbours: int = 8, common_share: float = 0.125) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, shard_tokens: int = 2_000_000, terms: int | None = 16, neighbours: int = 8, common_share: float = 0.125) -> DataFrame:
     """Pieces (PIECES) of all rows of ``docs`` in sequences of ``window`` tokens.
 
-    ``terms``: ids a seed asks with; ids in more than ``common_share`` of all texts are left out of the index, though
-    their idf there is still about log(8). Neighbours are searched only in the seed's own part of ``part_rows`` rows or ``part_tokens``. ``path``: the tokenizer's file, at the same place on every executor.
+    ``terms``: ids a seed asks with (None: all, which is exact in a shard); ids in more than ``common_share`` of all texts are left out of the
+    index (1: none). Neighbours are searched in the seed's own shard. A text is never cut into shards: one with more than ``shard_tokens``
+    tokens makes its shard longer. ``path``: the tokenizer's file, at the same place on every executor.
     """
     tokens = staged(tokenized(docs, path), "tokens")
     width = _tokenizer(path).width
-    total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rows = tokens.count()
     counted = tokens.select("ids").mapInArrow(_frequencies(width), "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()  # the vocabulary at most
     df = np.zeros(_tokenizer(path).stop + 1, np.int64)
     for r in counted:
         df[r.id] = r.df
     idf = np.log1p((rows - df + 0.5) / (df + 0.5)).astype(np.float32)
     common = df > max(1.0, common_share * rows)
-    shards = max(1, -(-total // shard_tokens))
-    dealt = tokens.repartitionByRange(shards, "place", F.xxhash64("doc_id")).sortWithinPartitions("place", "doc_id", "n")
-    return dealt.mapInArrow(_pack(width, window, idf, common, part_tokens, part_rows, terms, neighbours), PIECES)
+    shard, shards = shard_of(tokens, shard_tokens)
+    dealt = tokens.withColumn("shard", shard).repartition(shards, "shard")
+    return dealt.groupBy("shard").applyInArrow(_pack(width, window, idf, common, terms, neighbours), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
