@@ -3,7 +3,7 @@
 The probability of a token after its predecessor mixes the maximum-likelihood bigram and unigram estimates and a uniform
 floor. The weights depend on how often the predecessor occurs (buckets by powers of two) and are learned by
 expectation-maximisation on held-out counts: each training text is deleted from the counts before its own tokens are
-looked up. The look-ups of all training texts are gathered in a grid of (bucket, quantised ratios of the estimates), whose
+looked up, when weights are learned and when a training text is scored, so that scores of training and other texts compare. The look-ups of all training texts are gathered in a grid of (bucket, quantised ratios of the estimates), whose
 size is bounded, and the iterations run on that grid.
 
 Counts cover all training texts exactly; see ``blockcounts`` for how they reach the texts.
@@ -84,6 +84,20 @@ def _looked_up(t: Tokens, table: pa.Table) -> tuple[np.ndarray, ...]:
     return c1[i1], c1[ic], c2[i2], i1, ic, i2
 
 
+def _deleted(t: Tokens, found: tuple[np.ndarray, ...], n_train: int) -> tuple[np.ndarray, ...]:
+    """Counts of token, context and pair and of all tokens, without those of the token's own text if that is a training text."""
+    c, ctx, pair, i1, ic, i2 = found
+    train = t.train[t.doc]
+
+    def own(i: np.ndarray) -> np.ndarray:
+        _, inv, k = np.unique((t.doc.astype(np.uint64) << np.uint64(32)) | i.astype(np.uint64), return_inverse=True, return_counts=True)
+        return k[inv] * train
+
+    length = np.bincount(t.doc, minlength=t.n)[t.doc] * train
+    # A context's own count is that of the predecessor as a token of the same text (an end for a start): each is followed once.
+    return c - own(i1), ctx - own(ic), pair - own(i2), n_train - length
+
+
 def _bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(c, 0) + 1).astype(np.int64), CONTEXTS - 1)
 
@@ -93,16 +107,8 @@ def _gather(n_train: int, n_types: int):
         cols = [np.empty(0, np.int64)] * 4
         if left.num_rows:
             t = Tokens(left)
-            c, ctx, pair, i1, ic, i2 = _looked_up(t, right)
-
-            def own(i: np.ndarray) -> np.ndarray:
-                _, inv, k = np.unique((t.doc.astype(np.uint64) << np.uint64(32)) | i.astype(np.uint64), return_inverse=True, return_counts=True)
-                return k[inv]
-
             use = t.train[t.doc]
-            length = np.bincount(t.doc, minlength=t.n)[t.doc]
-            # The context's own count is that of the predecessor as a token of the same text (an end for a start).
-            c, pair, ctx, n = (x[use] for x in (c - own(i1), pair - own(i2), ctx - own(ic), n_train - length))
+            c, ctx, pair, n = (x[use] for x in _deleted(t, _looked_up(t, right), n_train))
             floor = 1 / (n_types + 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 f1, f2 = np.where(c > 0, c / n, 0), np.where(pair > 0, pair / ctx, 0)
@@ -136,9 +142,11 @@ def _scorer(n_train: int, n_types: int, weights: np.ndarray):
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         t = Tokens(left)
-        c, ctx, pair, *_ = _looked_up(t, right)
+        found = _looked_up(t, right)
+        c = found[0]
+        uni, ctx, pair, n = _deleted(t, found, n_train)
         w = weights[_bucket(ctx)]
-        p = w[:, 0] * pair / np.maximum(ctx, 1) + w[:, 1] * c / max(n_train, 1) + w[:, 2] / (n_types + 1)
+        p = w[:, 0] * pair / np.maximum(ctx, 1) + w[:, 1] * uni / np.maximum(n, 1) + w[:, 2] / (n_types + 1)
         base = np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
         per = lambda x: np.bincount(t.doc, x, t.n)
         return pa.table({
@@ -149,8 +157,8 @@ def _scorer(n_train: int, n_types: int, weights: np.ndarray):
     return score
 
 
-def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs``: doc_id, text, train (boolean). Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def _fitted(docs: DataFrame, block_bytes: int) -> tuple:
+    """Blocks of texts, the answers to them, tokens and types of the training texts, and the weights."""
     rows, n = into_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "train"), block_bytes)
     got = staged(answers(rows, n, _keys), "answers")
     n_types, n_train = got.where(f"kind = {UNI}").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
@@ -158,6 +166,17 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     grid = rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_gather(n_train, n_types), "context long, bin2 long, bin1 long, n long")
     cells = grid.groupBy("context", "bin2", "bin1").agg(F.sum("n").alias("n")).toArrow()  # at most CONTEXTS * 257 * 257 cells
     weights = learn_weights(np.stack([cells.column(x).to_numpy() for x in ("context", "bin2", "bin1", "n")], axis=1))
+    return rows, mine, n_train, n_types, weights
+
+
+def fitted_weights(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """(CONTEXTS, 3): weights of bigram, unigram and floor by the bucket of the context's count."""
+    return _fitted(docs, block_bytes)[-1]
+
+
+def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs``: doc_id, text, train (boolean). Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    rows, mine, n_train, n_types, weights = _fitted(docs, block_bytes)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_scorer(n_train, n_types, weights), out)
 
