@@ -128,7 +128,7 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOK)
-    got = packing.pack_documents(docs, TOK, window=64, part_rows=5, shard_tokens=500).collect()
+    got = packing.pack_documents(docs, TOK, window=64, shard_tokens=500).collect()
     want = Counter((i, tuple([*tok.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in plain(docs))
     by = {}
     for r in got:
@@ -146,6 +146,30 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack_documents(docs.limit(0), TOK).count() == 0
 
 
+def test_packing_shards_by_tokens(spark):
+    rows = [(i, "the same text again and again " * 4) for i in range(300)] + [(1000 + i, " ".join(f"w{(i * 7 + j) % 900}" for j in range(20))) for i in range(300)]
+    tokens = packing.tokenized(spark.createDataFrame(rows, "doc_id long, text string"), TOK)
+    shard, n = packing.shard_of(tokens, 2000)
+    sizes = {r.shard: r.n for r in tokens.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n")).collect()}
+    assert set(sizes) <= set(range(n)) and max(sizes.values()) <= 1.6 * 2000  # copies are dealt by a hash
+
+
+def test_bm25_equals_plain_scores():
+    rng = random.Random(6)
+    texts = [[rng.randrange(40) for _ in range(rng.randrange(1, 30))] for _ in range(60)]
+    ids, bounds = np.array(sum(texts, []), np.uint16), np.cumsum([0] + [len(t) for t in texts])
+    df = np.array([sum(w in t for t in texts) for w in range(40)])
+    idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = np.mean([len(t) for t in texts])
+    index = packing.Index(ids, bounds, idf, np.zeros(40, bool), None)
+    for q in range(0, 60, 7):
+        index.unused[q] = False
+        score = [sum(idf[w] * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(texts[q])) for t in texts]
+        want = sorted((i for i in range(60) if index.unused[i] and score[i] > 0), key=lambda i: (-score[i], i))[:8]
+        got = index.query(q, 8)
+        assert np.allclose([score[i] for i in got], [score[i] for i in want], rtol=1e-5) and len(got) == 8
+
+
 def test_word_tokenizer_equals_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -248,6 +272,32 @@ def test_exact_topk_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_language_model_scores_by_brute_force(spark):
+    rng = random.Random(17)
+    data = [(i, " ".join(f"w{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randrange(12))), i % 4 != 1) for i in range(40)]
+    rows = spark.createDataFrame(data, "doc_id long, text string, train boolean")
+    toks = {i: [*words(t), "\0"] for i, t, _ in data}
+    uni, bi, ctx = Counter(), Counter(), Counter()
+    for i, _, train in data:
+        if train:
+            prev = ["^", *toks[i][:-1]]
+            uni.update(toks[i])
+            bi.update(zip(prev, toks[i], strict=True))
+            ctx.update(prev)
+    n, v = sum(uni.values()), len(uni)
+    own = lambda i, train: (Counter(toks[i]), Counter(zip(["^", *toks[i][:-1]], toks[i], strict=True)), Counter(["^", *toks[i][:-1]])) if train else (Counter(),) * 3
+    got = {r.doc_id: r.score for r in lm.score_documents(rows).collect()}
+    weights = lm.fitted_weights(rows)
+    for i, _, train in data:
+        u, b, c = own(i, train)
+        total = 0.0
+        for p, w in zip(["^", *toks[i][:-1]], toks[i], strict=True):
+            k = ctx[p] - c[p]
+            a = weights[min(int(np.log2(max(k, 0) + 1)), lm.CONTEXTS - 1)]
+            total += np.log10(a[0] * (bi[p, w] - b[p, w]) / max(k, 1) + a[1] * (uni[w] - u[w]) / max(n - (len(toks[i]) if train else 0), 1) + a[2] / (v + 1))
+        assert abs(total - got[i]) < 1e-6
+
+
 def test_exact_topk_ties_repeats_and_empty(spark):
     rng = random.Random(3)
     same = [1.0, 0.5]
