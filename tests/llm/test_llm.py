@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, jaccard, langid, lm, mixing, packing, secrets, topk, toxicity, warc
+from tessera.llm import blockcounts, exact_dedup, jaccard, langid, lm, mixing, packing, secrets, topk, toxicity, warc
 from tessera.llm.common import shared_dir
 
 TOK = public_tokenizers.path(packing.TOKENIZER)
@@ -116,6 +117,35 @@ def test_language_model_base_and_em(spark, docs):
     assert lm.score_documents(rows.limit(0)).count() == 0
 
 
+def test_block_counts_add_up_in_a_tree(spark):
+    from tessera.llm.textnum import mix
+
+    rng = random.Random(9)
+    data = [(b, rng.randrange(300) if rng.random() < 0.7 else 7, kind) for b in range(23) for kind in (0, 1) for _ in range(60)]
+    spread = lambda x: mix(np.array(x, np.uint64) + np.uint64(5))
+
+    def keys_of(table):
+        out = []
+        for kind, drop, width in ((0, 0, 8), (1, 11, 6)):
+            x = spread([v for v, k in zip(table.column("v").to_pylist(), table.column("kind").to_pylist(), strict=True) if k == kind])
+            keys, n = np.unique(x >> np.uint64(drop) << np.uint64(drop), return_counts=True)
+            out.append((kind, keys, n, drop, width))
+        return out
+
+    rows = spark.createDataFrame(data, "block long, v long, kind int")
+    total = Counter((k, v) for _, v, k in data)
+    for fan in (2, 3, 256):  # four levels, three, one
+        got = blockcounts.answers(rows, 23, keys_of, fan).toArrow()
+        for b in range(23):
+            mine = got.filter(np.array(got.column("block")) == b)
+            for kind in (0, 1):
+                own = {v for c, v, k in data if c == b and k == kind}
+                want = [total[kind, v] for v in sorted(own, key=lambda v: int(spread([v])[0]))]
+                assert blockcounts.counts_of(mine, kind).tolist() == want
+        sums = got.group_by("kind").aggregate([("distinct", "sum"), ("total", "sum")]).sort_by("kind").to_pylist()
+        assert [(r["distinct_sum"], r["total_sum"]) for r in sums] == [(sum(k == kind for k, _ in total), 23 * 60) for kind in (0, 1)]
+
+
 def test_language_model_weights_come_from_all_blocks(spark):
     rng = random.Random(7)
     text = lambda: " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(60))
@@ -352,6 +382,33 @@ def test_language_id(spark):
     assert [got[i][0] for i in range(1, 6)] == ["de", "fr", "und", "und", "fr"] and got[3][1] == 0 and 0.5 < got[5][1] <= 1
 
 
+def test_forward_backward_equals_all_paths(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(langid, "SEGMENT", 2)
+    sizes, k = [0, 1, 5, 2, 0, 3], 3
+    first = np.cumsum([0, *sizes])
+    score, trans = rng.normal(size=(first[-1], k)), rng.normal(size=(k, k))
+    post, pairs = langid.forward_backward(first, score, trans)
+    want, want_pairs = np.zeros_like(score), np.zeros((k, k))
+    for a, n in zip(first[:-1], sizes, strict=True):
+        paths = list(itertools.product(range(k), repeat=n + 1)) if n else []  # a label before the first word, of any kind
+        mass = np.array([np.exp(sum(trans[p[i], p[i + 1]] + score[a + i, p[i + 1]] for i in range(n))) for p in paths])
+        for p, m in zip(paths, mass / mass.sum(), strict=True):
+            for i in range(n):
+                want[a + i, p[i + 1]] += m
+                want_pairs[p[i], p[i + 1]] += m
+    assert np.allclose(post, want) and np.allclose(pairs, want_pairs)
+
+
+def test_language_id_ties_repeats_clashes_long_and_empty(spark):
+    ex = spark.createDataFrame([("ab cd", "x"), ("ab cd", "y")] * 30, "text string, lang string")
+    test = spark.createDataFrame([(1, "ab cd", 5.0), (1, "ab cd", 5.0), (2, "ab " * 30000, 1.0), (None, "日本", None)], "doc_id long, text string, n double")
+    got = langid.identify(test, ex, ["doc_id", "n"]).orderBy("doc_id").collect()
+    assert len(got) == 4 and {r.lang_pred for r in got} <= {"x", "y"} and all(0.4 < r.score <= 1 for r in got) and [r.n for r in got][1:] == [5.0, 5.0, 1.0]
+    assert langid.identify(test.limit(0), ex, ["doc_id"]).count() == 0
+    assert {r.lang_pred for r in langid.identify(test, ex.limit(0), ["doc_id"]).collect()} == {"und"}
+
+
 def mixing_rows(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["plain", "words", "here", "and"]) for _ in range(rng.randrange(3, 60))) + (" ### 12" if i % 3 == 0 else "")) for i in range(600)]
