@@ -7,7 +7,7 @@
    together and a place says nothing about the length. Tokens are counted by slot of the places, and slots are cut into shards of about
    ``shard_tokens`` tokens; a slot that holds more (copies of one text) is dealt into several shards. Each shard has one BM25 inverted index.
 3. Packing. The next unused text is the seed of a window. While the window has room, the index returns unused texts by BM25 score
-   for the seed's rarest ids, and they are placed one after another. The last one is cut where the window ends; its rest
+   for all of the seed's ids, and they are placed one after another. The last one is cut where the window ends; its rest
    opens the next window and is its seed. What a shard leaves over is cut into sequences whose lengths are powers of
    two, so no padding is needed anywhere.
 
@@ -182,7 +182,10 @@ def _frequencies(width: str):
 
 
 class Index:
-    """BM25 inverted index of a shard. ``query`` returns unused texts for a seed, best first. ``terms`` None: a seed asks with all its ids."""
+    """BM25 inverted index of a shard. ``query`` returns unused texts for a seed, best first; ties go to the first text in the shard.
+
+    ``terms`` None: a seed asks with all its ids, and the answer is exact; else with that many of its rarest ones. ``common``: ids that are left out.
+    """
 
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, common: np.ndarray, terms: int | None, k1: float = 1.2, b: float = 0.75):
         n = len(bounds) - 1
@@ -193,25 +196,29 @@ class Index:
         norm = k1 * (1 - b + b * length / max(1.0, float(length.mean())))
         weight = (idf[tok] * tf * (k1 + 1) / (tf + norm[doc])).astype(np.float32)
         by_id = np.argsort(tok.astype(np.uint32), kind="stable")
-        self.doc, self.weight = doc[by_id], weight[by_id]
-        tok_sorted = tok[by_id]
-        # A seed asks with its rarest ids.
-        order = np.lexsort((-idf[tok], doc))
-        start = np.searchsorted(doc, np.arange(n + 1))
-        rank = np.arange(len(doc)) - np.repeat(start[:-1], np.diff(start))
-        pick = order if terms is None else order[rank < terms]
-        lo, hi = np.searchsorted(tok_sorted, tok[pick], "left"), np.searchsorted(tok_sorted, tok[pick], "right")
-        self.lo, self.hi = lo.tolist(), hi.tolist()
-        self.first = np.searchsorted(doc[pick], np.arange(n + 1)).tolist()
+        self.doc, self.weight = doc[by_id].astype(np.int32), weight[by_id]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(tok, minlength=len(idf)))])
+        if terms is not None:
+            order = np.lexsort((-idf[tok], doc))
+            start = np.searchsorted(doc, np.arange(n + 1))
+            pick = order[np.arange(len(doc)) - np.repeat(start[:-1], np.diff(start)) < terms]
+            doc, tok = doc[pick], tok[pick]
+        self.asked, self.first = tok, np.searchsorted(doc, np.arange(n + 1))
         self.unused = np.ones(n, bool)
 
     def query(self, seed: int, k: int) -> list[int]:
-        spans = [slice(self.lo[i], self.hi[i]) for i in range(self.first[seed], self.first[seed + 1])]
+        asked = self.asked[self.first[seed] : self.first[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.begin[asked].tolist(), self.begin[asked + 1].tolist(), strict=True)]
         if not spans:
             return []
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.unused))
         score *= self.unused
-        best = np.argpartition(score, -k)[-k:] if len(score) > k else np.arange(len(score))
+        if len(score) > k:
+            kth = np.partition(score, -k)[-k]
+            best = np.flatnonzero(score > kth)
+            best = np.concatenate([best, np.flatnonzero(score == kth)[: k - len(best)]])
+        else:
+            best = np.arange(len(score))
         best = best[score[best] > 0]
         return best[np.lexsort((best, -score[best]))].tolist()
 
@@ -265,10 +272,10 @@ def _pack(width: str, window: int, idf: np.ndarray, common: np.ndarray, terms: i
         index = Index(ids, bounds, idf, common, terms)
         wide, cut = ids.astype("<u4"), bounds.tolist()
         unused, n, ahead = index.unused, len(docs), 0
-        queue: list[int] = []
+        mean = max(1, len(ids) // n)
+        queue: Iterator[int] = iter(())
         while True:
             d = next((x for x in queue if unused[x]), None)
-            queue = queue[queue.index(d) + 1 :] if d is not None else []
             new_seed = d is None
             if new_seed:
                 while ahead < n and not unused[ahead]:
@@ -279,9 +286,9 @@ def _pack(width: str, window: int, idf: np.ndarray, common: np.ndarray, terms: i
             unused[d] = False
             crossed = packer.place(docs[d], wide[cut[d] : cut[d + 1]])
             if packer.used == 0:
-                queue = []
+                queue = iter(())
             elif new_seed or crossed:
-                queue = index.query(d, neighbours)
+                queue = iter(index.query(d, neighbours + (packer.window - packer.used) // mean))
 
     def pack(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
@@ -324,11 +331,12 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path), TOKENS)
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, shard_tokens: int = 2_000_000, terms: int | None = 16, neighbours: int = 8, common_share: float = 0.125) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, shard_tokens: int = 2_000_000, terms: int | None = None, neighbours: int = 8, common_share: float = 1.0) -> DataFrame:
     """Pieces (PIECES) of all rows of ``docs`` in sequences of ``window`` tokens.
 
     ``terms``: ids a seed asks with (None: all, which is exact in a shard); ids in more than ``common_share`` of all texts are left out of the
-    index (1: none). Neighbours are searched in the seed's own shard. A text is never cut into shards: one with more than ``shard_tokens``
+    index (1: none). A seed asks for ``neighbours`` texts more than those of mean length that its window has room for, and asks anew in
+    its own shard as a new seed when they are used up. A text is never cut into shards: one with more than ``shard_tokens``
     tokens makes its shard longer. ``path``: the tokenizer's file, at the same place on every executor.
     """
     tokens = staged(tokenized(docs, path), "tokens")
@@ -340,6 +348,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, shard_tokens:
         df[r.id] = r.df
     idf = np.log1p((rows - df + 0.5) / (df + 0.5)).astype(np.float32)
     common = df > max(1.0, common_share * rows)
+    common[END_ID] = True  # no id of the text
     shard, shards = shard_of(tokens, shard_tokens)
     dealt = tokens.withColumn("shard", shard).repartition(shards, "shard")
     return dealt.groupBy("shard").applyInArrow(_pack(width, window, idf, common, terms, neighbours), PIECES)
