@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, paths
 from ..operators import aggregates as agg
-from ..operators import generations, joins, windows
+from ..operators import carving, generations, joins, windows
 from ..sources import readers, sinks
 
 QUERIES: dict = {}
@@ -820,6 +820,18 @@ def _(t):
     return windows.keep_first(t("documents").select("doc_id", F.sha2("text", 256).alias("sha")), "sha", [F.col("doc_id")]).drop("sha")
 
 
+@query("carve_elements", """
+WITH m AS (SELECT page_id, regexp_extract_all(html, '(?s)<title>.*?</title>|<h1>.*?</h1>|<title>|<h1>') AS l FROM pages), x AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM m),
+r AS (SELECT page_id, n, CASE WHEN x LIKE '<t%' THEN 'title' ELSE 'heading' END AS format, CASE WHEN x NOT IN ('<title>', '<h1>') THEN strlen(x) END AS bytes, CASE WHEN x NOT IN ('<title>', '<h1>') THEN sha256(x) END AS sha FROM x)
+SELECT *, CASE WHEN sha IS NULL THEN 'rejected' WHEN row_number() OVER (PARTITION BY sha ORDER BY page_id, n) = 1 THEN 'kept' ELSE 'duplicate' END AS state FROM r""")
+def _(t):
+    pages = t("pages").select("page_id", F.lit(0).cast("long").alias("offset"), F.encode("html", "UTF-8").alias("body"))
+    formats = {"title": carving.between(b"<title>", b"</title>"), "heading": carving.between(b"<h1>", b"</h1>")}
+    found = carving.carve(pages, "page_id", "offset", "body", formats)
+    n = F.row_number().over(windows.Window.partitionBy("page_id").orderBy("offset")).cast("long")
+    return found.select("page_id", n.alias("n"), "format", "bytes", "sha", "state")
+
+
 @query("w13_unique_names", "SELECT p_partkey, CASE WHEN k > 1 THEN p_brand || ' [recovered copy ' || CAST(k AS VARCHAR) || '].doc' ELSE p_brand || '.doc' END AS unique_name, FALSE AS clash FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS k FROM part)")
 def _(t):
     return windows.unique_names(t("part").select("p_partkey", F.concat("p_brand", F.lit(".doc")).alias("name")), "name", [F.col("p_partkey")]).select("p_partkey", "unique_name", "clash")

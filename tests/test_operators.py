@@ -376,3 +376,32 @@ def test_mapped_hits_tell_unknown_from_clear(spark):
     maps = spark.createDataFrame([("a",), ("a",)], "hay string")
     got = joins.mapped_hits(hits, maps, damage, ["hit", "hay", "lo", "hi"], "hay", "lo", "hi")
     assert rows(got, "hit", "damaged", "state") == [(1, 2, "damaged"), (2, 0, "clear"), (3, None, "map unavailable")]
+
+
+def test_carving_by_format(spark):
+    import struct
+    import zlib
+
+    from tessera.operators import carving
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"IEND") + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x21\xf9\x01\x00\x00" + b"\x2c" + bytes(8) + b"\x00" + b"\x02\x02;;\x00" + b";"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04\xff\xd9" + b"\xff\xda\x00\x02ab\xff\x00c\xff\xd0d" + b"\xff\xd9"
+    rtf = b"{\\rtf1 a\\}{b\\bin3 }}}c}}"
+    good = [png, gif, jpeg, rtf]
+    data = [(1, 10, b"..".join(good) + b".."), (2, 0, b"x" + png + gif[:-1]), (3, 0, png[:-1]), (4, 0, rtf[:-1] + png.replace(b"IDAT", b"IDAX")), (5, 0, None), (6, 0, b"")]
+    regions = spark.createDataFrame(data, "i int, o long, c binary")
+    got = rows(carving.carve(regions, "i", "o", "c"), "i", "o", "format", "bytes", "state", "reason")
+    at = [10 + sum(len(x) + 2 for x in good[:k]) for k in range(4)]
+    want = [(1, at[k], name, len(good[k]), "kept", None) for k, name in enumerate(("png", "gif", "jpeg", "rtf"))]
+    want += [(2, 1, "png", len(png), "duplicate", None), (2, 1 + len(png), "gif", None, "rejected", "gif: cut off"), (3, 0, "png", None, "rejected", "png: cut off")]
+    want += [(4, 0, "rtf", None, "rejected", "rtf: open group"), (4, len(rtf) - 1, "png", None, "rejected", "png: checksum")]
+    assert sorted(got, key=lambda r: r[:2]) == want
+    assert rows(carving.carve(regions, "i", "o", "c", max_probes=1).where("i < 3"), "i", "state") == [(1, "kept"), (1, "limit"), (2, "duplicate"), (2, "limit")]
+    known = carving.carve(regions, "i", "o", "c").where("format = 'png' AND state = 'kept'")
+    assert carving.carve(regions, "i", "o", "c", known=known).where("format = 'png' AND state = 'kept'").count() == 0
+    cut = spark.createDataFrame([(1, 0, at[1] - 10), (1, at[2] - 10, 4)], "i int, offset long, bytes long")
+    part = carving.readable_regions(regions, cut, "i", "c")
+    assert rows(carving.carve(part, "i", "offset", "c"), "i", "offset", "state") == [(1, 0, "kept"), (1, at[2] - 10, "rejected")]
+    assert carving.carve(regions.limit(0), "i", "o", "c").count() == 0
