@@ -112,8 +112,9 @@ def test_language_model_base_and_em(spark, docs):
     got = lm.score_documents(rows, block_bytes=4000).collect()
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 for r in got)
-    w = lm.learn_weights(np.array([[3, 120, 80, 90], [3, 0, 80, 8], [3, 0, 0, 2]]))
-    assert np.allclose(w.sum(axis=1), 1) and w[3, 0] > w[3, 1] > w[3, 2]
+    w = lm.learn_weights(lm.CONTEXTS + 3, np.array([[150, 120, 80, 90], [0, 120, 80, 30], [0, 0, 80, 8], [0, 0, 0, 2]]))
+    assert np.isclose(w.sum(), 1) and w[0] > w[1] > w[2] > w[3]
+    assert lm.learn_weights(3, np.array([[0, 120, 80, 9]]))[0] == 0 == lm.learn_weights(0, np.array([[0, 0, 80, 9]]))[1]
     assert lm.score_documents(rows.limit(0)).count() == 0
 
 
@@ -307,25 +308,38 @@ def test_language_model_scores_by_brute_force(spark):
     data = [(i, " ".join(f"w{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randrange(12))), i % 4 != 1) for i in range(40)]
     rows = spark.createDataFrame(data, "doc_id long, text string, train boolean")
     toks = {i: [*words(t), "\0"] for i, t, _ in data}
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    before = {i: list(zip([None, "^", *t[:-2]], ["^", *t[:-1]], strict=False))[: len(t)] for i, t in toks.items()}
+
+    def counts(i):
+        """Of the tokens, the contexts of one and of two tokens, the pairs and the threes of a text."""
+        t, b = toks[i], before[i]
+        return [Counter(t), Counter(p for _, p in b), Counter(b), Counter((p, w) for (_, p), w in zip(b, t, strict=True)), Counter((*x, w) for x, w in zip(b, t, strict=True))]
+
+    every = [Counter() for _ in range(5)]
     for i, _, train in data:
-        if train:
-            prev = ["^", *toks[i][:-1]]
-            uni.update(toks[i])
-            bi.update(zip(prev, toks[i], strict=True))
-            ctx.update(prev)
-    n, v = sum(uni.values()), len(uni)
-    own = lambda i, train: (Counter(toks[i]), Counter(zip(["^", *toks[i][:-1]], toks[i], strict=True)), Counter(["^", *toks[i][:-1]])) if train else (Counter(),) * 3
+        for x, y in zip(every, counts(i), strict=True):
+            x.update(y if train else {})
+    n, v = sum(every[0].values()), len(every[0])
     got = {r.doc_id: r.score for r in lm.score_documents(rows).collect()}
     weights = lm.fitted_weights(rows)
+    grid = Counter()
+    power = lambda x: min(int(np.log2(max(x, 0) + 1)), lm.CONTEXTS - 1)
+    cut = lambda k, of: min(max(round(4 * np.log2(k / of * (v + 1))) + 65, 1), lm.BINS) if k else 0
     for i, _, train in data:
-        u, b, c = own(i, train)
-        total = 0.0
-        for p, w in zip(["^", *toks[i][:-1]], toks[i], strict=True):
-            k = ctx[p] - c[p]
-            a = weights[min(int(np.log2(max(k, 0) + 1)), lm.CONTEXTS - 1)]
-            total += np.log10(a[0] * (bi[p, w] - b[p, w]) / max(k, 1) + a[1] * (uni[w] - u[w]) / max(n - (len(toks[i]) if train else 0), 1) + a[2] / (v + 1))
+        u, c, long, b, three = (lambda k, o=o, e=e: e[k] - (o[k] if train else 0) for o, e in zip(counts(i), every, strict=True))
+        total, left = 0.0, n - (len(toks[i]) if train else 0)
+        for (pp, p), w in zip(before[i], toks[i], strict=True):
+            shared, one = long((pp, p)), c(p)
+            at = lm.CONTEXTS + power(shared) if shared > 0 else power(one)
+            a = weights[at]
+            total += np.log10(a[0] * three((pp, p, w)) / max(shared, 1) + a[1] * b((p, w)) / max(one, 1) + a[2] * u(w) / max(left, 1) + a[3] / (v + 1))
+            if train:
+                grid[at, cut(three((pp, p, w)), shared), cut(b((p, w)), one), cut(u(w), left)] += 1
         assert abs(total - got[i]) < 1e-6
+    for at in {k[0] for k in grid}:
+        want = lm.learn_weights(at, np.array(sorted([*k[1:], m] for k, m in grid.items() if k[0] == at)))
+        assert np.allclose(want, weights[at], rtol=1e-9)
+    assert {k[0] >= lm.CONTEXTS for k in grid} == {True, False}
 
 
 def test_exact_topk_ties_repeats_and_empty(spark):
