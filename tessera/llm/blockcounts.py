@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import pack_counts, pack_keys, unpack_counts, unpack_keys
+from .textnum import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 
 REQUESTS = "kind int, bucket int, block long, n int, keys binary, weights binary"
 ANSWERS = "kind int, bucket int, block long, n int, counts binary, distinct long, total long"
@@ -37,18 +37,18 @@ def into_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), n
 
 
-def requester(keys_of: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray, int, int]]], buckets: int):
-    """``keys_of`` gives (kind, sorted distinct 64-bit keys, weights, low bits to drop, bytes to send) of a block's texts."""
+def requester(keys_of: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarray, int]]], buckets: int):
+    """``keys_of`` gives (kind, sorted distinct 64-bit keys, weights, low bits to drop) of a block's texts."""
 
     def request(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         rows = []
-        for kind, keys, weights, drop, width in keys_of(table):
+        for kind, keys, weights, drop in keys_of(table):
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[b], cut[b + 1])
-                rows.append((kind, int(b), block, int(cut[b + 1] - cut[b]), pack_keys(keys[part] >> np.uint64(drop), width), pack_counts(weights[part])))
+                rows.append((kind, int(b), block, int(cut[b + 1] - cut[b]), pack_sorted(keys[part] >> np.uint64(drop)), pack_counts(weights[part])))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in REQUESTS.split(", ")])
@@ -59,9 +59,7 @@ def requester(keys_of: Callable[[pa.Table], list[tuple[int, np.ndarray, np.ndarr
 def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Entries of each row of ``table``; keys and weights of all rows, one after the other."""
     n = table.column("n").to_numpy().astype(np.int64)
-    raw = table.column("keys").to_pylist()
-    width = len(raw[0]) // int(n[0])
-    keys = np.concatenate([unpack_keys(x, width) for x in raw])
+    keys = np.concatenate([unpack_sorted(x, k) for x, k in zip(table.column("keys").to_pylist(), n.tolist(), strict=True)])
     return n, keys, np.concatenate([unpack_counts(x, k) for x, k in zip(table.column("weights").to_pylist(), n, strict=True)])
 
 
@@ -90,10 +88,9 @@ def _merger(parts: int, cuts: int):
     def merge(table: pa.Table) -> pa.Table:
         kind, bucket, parent = (table.column(c)[0].as_py() for c in ("kind", "bucket", "parent"))
         _, keys, weights = _entries(table)
-        width = len(table.column("keys")[0].as_py()) // table.column("n")[0].as_py()
         keys, inv = np.unique(keys, return_inverse=True)
         sums, part = np.bincount(inv, weights).astype(np.int64), _finer(keys, parts, cuts)
-        rows = [(kind, bucket * parts + int(p), parent, int(at.sum()), pack_keys(keys[at], width), pack_counts(sums[at])) for p in np.unique(part) for at in [part == p]]
+        rows = [(kind, bucket * parts + int(p), parent, int(at.sum()), pack_sorted(keys[at]), pack_counts(sums[at])) for p in np.unique(part) for at in [part == p]]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in REQUESTS.split(", ")])
 

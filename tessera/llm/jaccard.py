@@ -66,7 +66,7 @@ def _requests(k: int):
     def keys_of(table: pa.Table) -> list:
         _, keys, _ = _sets(table, k)
         u, n = np.unique(keys, return_counts=True)
-        return [(0, u << DROP, n, int(DROP), 6)]
+        return [(0, u << DROP, n, int(DROP))]
 
     return keys_of
 

@@ -25,7 +25,7 @@ from .blockcounts import answers, counts_of, into_blocks
 from .common import fold, read_table, staged, text_chunks
 from .textnum import mix, words
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
 ITERATIONS = 30
 CONTEXTS = 24
@@ -75,9 +75,9 @@ def _keys(table: pa.Table) -> list:
     t = Tokens(table)
     learn = t.train[t.doc].astype(np.float64)
     out = []
-    for kind, x, drop, width in ((UNI, t.uni, 0, 8), (BI, t.bi, 11, 6), (TRI, t.tri, 11, 6)):
+    for kind, x, drop in ((UNI, t.uni, 0), (BI, t.bi, 11), (TRI, t.tri, 11)):
         keys, inv = np.unique(x >> np.uint64(drop) << np.uint64(drop), return_inverse=True)
-        out.append((kind, keys, np.bincount(inv, learn, len(keys)).astype(np.int64), drop, width))
+        out.append((kind, keys, np.bincount(inv, learn, len(keys)).astype(np.int64), drop))
     return out
 
 
