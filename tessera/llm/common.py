@@ -45,6 +45,17 @@ def fold(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
+def usable(vec_col: str) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    x = F.col(vec_col).cast("array<double>")
+    return x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+
+
+def whole_numbers(vec_col: str, scale: int) -> Column:
+    """Every component x as floor(scale * x); what lies beyond a long is its end."""
+    return F.transform(F.col(vec_col).cast("array<double>"), lambda c: F.floor(c * scale))
+
+
 def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values and the n+1 offsets into them; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):
