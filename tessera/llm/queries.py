@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, langid, lm, mixing, packing, secrets, topk, toxicity, warc
+from . import codebooks, exact_dedup, hardneg, jaccard, langid, lm, mixing, orc_tokens, packing, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_language_id": langid.query,
+    "op11_codebooks": codebooks.query,
+    "op12_orc_tokens": orc_tokens.query,
+    "op13_hard_negatives": hardneg.query,
 }
-ORACLE_SQL = {"op2_warc": warc.ORACLE, "op6_exact_topk": topk.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op2_warc": warc.ORACLE, "op6_exact_topk": topk.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_codebooks": codebooks.ORACLE, "op13_hard_negatives": hardneg.ORACLE}
