@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, shared_dir, text_chunks
-from .packing import CHUNK, TOKENIZER, WordTokenizer
+from .packing import CHUNK, TOKENIZER, _tokenizer
 
 STORED = "doc_id long, range int, before long, n_tokens long, tokens array<int>"
 STRIPE_BYTES = 16 << 20
@@ -37,7 +37,7 @@ FPP = 0.01
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, before = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        tok, part, before = _tokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, data, offs in text_chunks(batch, "text", CHUNK):
                 ids, bounds = tok(data, offs)
