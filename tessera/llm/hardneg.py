@@ -66,20 +66,26 @@ def tiled(classes: DataFrame, tile_rows: int) -> tuple[DataFrame, int]:
     spread = classes.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("spread")).orderBy(F.desc("spread"), "pos").limit(levels)
     axes = [r.pos for r in spread.collect()] or [0]
     tie = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / F.lit(float(1 << 20))  # equal components are cut, too
-    out, tiles = classes.withColumn("tile", F.lit(0).cast("long")), 1
+    out, tiles = classes, 1
     for level in range(levels):
         slabs = math.ceil((wanted / tiles) ** (1 / (levels - level)) - 1e-9)
         if slabs < 2:
             continue
         axis = axes[level % len(axes)]
         key = F.coalesce(F.try_element_at("v", F.lit(axis + 1)), F.lit(0)).cast("double") + tie
-        cuts = out.select("tile", key.alias("key")).groupBy("tile").agg(F.percentile_approx("key", [(i + 1) / slabs for i in range(slabs - 1)], 10000).alias("cuts"))
-        below = F.size(F.filter("cuts", lambda c: c < F.col("__key")))
-        out = out.withColumn("__key", key).join(cuts, "tile").withColumn("tile", F.col("tile") * slabs + below).drop("__key", "cuts")
+        cuts = F.percentile_approx("key", [(i + 1) / slabs for i in range(slabs - 1)], 10000).alias("cuts")
+        below = F.size(F.filter("cuts", lambda c: c < F.col("__key"))).cast("long")
+        if tiles == 1:  # FAN_OUT numbers at most
+            first = out.select(key.alias("key")).agg(cuts).first().cuts
+            out = out.withColumns({"__key": key, "cuts": F.lit(first or []).cast("array<double>")}).withColumn("tile", below)
+        else:
+            by_tile = out.select("tile", key.alias("key")).groupBy("tile").agg(cuts)
+            out = out.withColumn("__key", key).join(by_tile, "tile").withColumn("tile", F.col("tile") * slabs + below)
+        out = out.drop("__key", "cuts")
         tiles *= slabs
         if level < levels - 1:
             out = staged(out, "slabs")
-    return out, tiles
+    return (out if tiles > 1 else out.withColumn("tile", F.lit(0).cast("long"))), tiles
 
 
 def _order(key: np.ndarray, leaf: int, axes: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
@@ -174,10 +180,9 @@ class Block:
         self.least, self.most = 0.5 * s - room, np.where(self.negative, 0.95 * s + room, np.inf)
 
 
-def _scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products: exact as doubles while they are small, else as longs."""
-    size = float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(1, len(q))
-    return (v.astype(float) @ q.astype(float)).astype(np.int64) if size < 2.0**52 else v.astype(np.int64) @ q
+def _window(positive: int) -> tuple[int, int]:
+    """The least and the largest score with 50 * positive <= 100 * score <= 95 * positive."""
+    return -(-50 * positive // 100), 95 * positive // 100
 
 
 class Tree:
@@ -195,53 +200,48 @@ class Tree:
         self.nodes = self.leaves.grouped(self.node_cut)
 
     def search(self, b: Block, k_own: int, k_other: int) -> list[tuple[int, int, int, int]]:
-        """(class, positive_score, id, score) of the best rows of every query of the block."""
-        bounds = [(boxes.needed(b, *ends), ends[1]) for boxes in (self.nodes, self.leaves) for ends in [boxes.intervals(b.v)]]
-        (node_ok, node_high), (leaf_ok, leaf_high) = bounds
+        """(class, positive_score, id, score) of the best rows of every query of the block. The windows of a class share one pass."""
+        d = min(self.v.shape[1], b.v.shape[1])
+        size = lambda x: float(np.abs(x.astype(float)).max(initial=0))
+        small = size(self.v) * size(b.v) * max(1, d) < 2.0**52  # doubles are exact
+        rows, asked = ((x[:, :d].astype(float if small else np.int64)) for x in (self.v, b.v))
+        (node_ok, node_high), (leaf_ok, leaf_high) = [(boxes.needed(b, *ends), ends[1]) for boxes in (self.nodes, self.leaves) for ends in [boxes.intervals(b.v)]]
+        cut, node_cut = self.cut.tolist(), self.node_cut.tolist()
         out: list[tuple[int, int, int, int]] = []
-        read: dict[int, np.ndarray] = {}  # scores by leaf, for queries that differ in the window only
-        for i in range(len(b.v)):
-            if not i or b.classes[i] != b.classes[i - 1]:
-                read = {}
-            k = k_other if b.negative[i] else k_own
-            best: list[tuple[int, int]] = []
-            floor, most = int(b.floors[i]), b.most[i]
-            # Of equal bounds leaves (negative numbers) come first.
-            queue = [(-min(node_high[i, j], most), j) for j in np.flatnonzero(node_ok[i]).tolist()]
+        starts = np.flatnonzero(np.append(True, b.classes[1:] != b.classes[:-1])).tolist()
+        for i, j in zip(starts, [*starts[1:], len(b.v)], strict=True):
+            negative = bool(b.negative[i])
+            k = k_other if negative else k_own
+            windows = [_window(int(s)) if negative else (NONE, -NONE - 1) for s in b.scores[i:j]]
+            floors = [max(int(f), low) for f, (low, _) in zip(b.floors[i:j], windows, strict=True)]
+            best: list[list[tuple[int, int]]] = [[] for _ in windows]
+            least, most = min(floors), max(high for _, high in windows)
+            top = np.minimum(leaf_high[i], b.most[i:j].max())
+            wanted = leaf_ok[i:j].any(axis=0)
+            queue = [(-min(node_high[i, n], most), n) for n in np.flatnonzero(node_ok[i:j].any(axis=0)).tolist()]
             heapq.heapify(queue)
-            while queue and -queue[0][0] >= floor:
-                _, j = heapq.heappop(queue)
-                if j >= 0:
-                    for leaf in range(int(self.node_cut[j]), int(self.node_cut[j + 1])):
-                        if leaf_ok[i, leaf] and leaf_high[i, leaf] >= floor:
-                            heapq.heappush(queue, (-min(leaf_high[i, leaf], most), -1 - leaf))
+            while queue and -queue[0][0] >= least:
+                _, n = heapq.heappop(queue)
+                if n >= 0:  # a node: its leaves (as negative numbers, so that they come first of equals)
+                    for leaf in range(node_cut[n], node_cut[n + 1]):
+                        if wanted[leaf] and top[leaf] >= least:
+                            heapq.heappush(queue, (-top[leaf], -1 - leaf))
                     continue
-                leaf = -1 - j
-                a, z = int(self.cut[leaf]), int(self.cut[leaf + 1])
-                if leaf not in read:
-                    d = min(self.v.shape[1], b.v.shape[1])
-                    read[leaf] = _scores(self.v[a:z, :d], b.v[i, :d])
-                score = read[leaf]
-                fits = score >= floor
-                if b.negative[i]:
-                    fits &= (self.labels[a:z] != b.labels[i]) & _in_window(score, int(b.scores[i]))
-                else:
-                    fits &= self.labels[a:z] == b.labels[i]
-                for at in np.flatnonzero(fits).tolist():
-                    best += [(-int(score[at]), x) for x in self.ids[self.first[a + at] : self.first[a + at + 1]]]
-                best = sorted(best)[:k]
-                if len(best) == k:
-                    floor = max(floor, -best[-1][0])
-            out += [(int(b.classes[i]), int(b.scores[i]), x, -s) for s, x in best]
+                a, z = cut[-1 - n], cut[-n]
+                score = rows[a:z] @ asked[i]
+                label = self.labels[a:z] != b.labels[i] if negative else self.labels[a:z] == b.labels[i]
+                for at in np.flatnonzero((score >= least) & (score <= most) & label).tolist():
+                    s = int(score[at])
+                    for w, (low, high) in enumerate(windows):
+                        if max(low, floors[w]) <= s <= high:
+                            best[w] = sorted(best[w] + [(-s, x) for x in self.ids[self.first[a + at] : self.first[a + at + 1]]])[:k]
+                            if len(best[w]) == k:
+                                floors[w] = max(floors[w], -best[w][-1][0])
+                least = min(floors)
+            out += [(int(b.classes[i]), int(b.scores[i + w]), x, -s) for w in range(j - i) for s, x in best[w]]
         return out
 
 
-def _in_window(score: np.ndarray, positive: int) -> np.ndarray:
-    """50 * positive <= 100 * score <= 95 * positive, in whole numbers."""
-    # The least and the largest score that fit, as longs: no product can overflow.
-    return (score >= -(-50 * positive // 100)) & (score <= 95 * positive // 100)
-
-
 def _searched(k_own: int, k_other: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
