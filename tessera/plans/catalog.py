@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, paths
 from ..operators import aggregates as agg
 from ..operators import carving, generations, joins, windows
-from ..sources import readers, sinks
+from ..sources import logs, readers, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,7 +70,9 @@ def _(t):
     w = windows.Window.partitionBy("user_id").orderBy("ts", "event_id")
     text = F.when(F.col("event_type") == "purchase", F.concat(F.lit("[x] END | status="), F.when(F.col("event_id") % 2 == 0, "OK").otherwise("PARTIAL"))).when(F.col("event_type") == "click", F.concat(F.lit("[x] BAD_SECTOR | lba="), F.col("event_id").cast("string"), F.lit(" | why=click"))).otherwise("[x] NOTE | a=b")
     lines = t("events").withColumn("line", F.row_number().over(w)).withColumn("text", text)
-    return readers.summarize_kv(readers.parse_kv_lines(lines, "user_id", "line", "text"), "user_id", "line").withColumn("bad", F.array_join(F.col("bad").cast("array<string>"), ","))
+    records, positions, _ = logs.fold_log(logs.log_records(lines, "user_id", "line", "text"))
+    bad = positions.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("pos")).cast("array<string>"), ",").alias("bad"))
+    return records.join(bad, "file", "left").select(F.col("file").alias("user_id"), "status", F.coalesce("bad", F.lit("")).alias("bad"))
 
 
 @query("src3_range_states", """

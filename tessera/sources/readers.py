@@ -1,4 +1,4 @@
-"""Readers of evidence: event logs, key-value logs, range maps, catalogs, claims, listings and archives."""
+"""Readers of evidence: event logs, range maps, catalogs, claims, listings and archives. Acquisition logs are in ``logs``."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EVENT = "session string, seq long, kind string, unix_ms long, elapsed_ms long, data string"
 
@@ -26,26 +27,6 @@ def read_event_log(spark: SparkSession, path: str, schema: str = EVENT) -> tuple
     return whole.where("e IS NOT NULL AND e._corrupt IS NULL").select("file", "line", "e.*").drop("_corrupt"), torn.unionByName(bad)
 
 
-def parse_kv_lines(lines: DataFrame, file: str, line: str, text: str) -> DataFrame:
-    """kind and fields of ``[ts] KIND | k=v | k=v`` lines."""
-    body = F.regexp_replace(text, r"^\[[^\]]*\]\s*", "")
-    parts = F.split(body, r"\s*\|\s*")
-    pairs = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
-    return lines.select(file, line, F.upper(F.trim(F.element_at(parts, 1))).alias("kind"), F.map_from_entries(F.filter(pairs, lambda p: p["k"] != "")).alias("fields"))
-
-
-def summarize_kv(parsed: DataFrame, file: str, line: str) -> DataFrame:
-    """Per file: status of the last END record (IN PROGRESS without one) and the damaged positions."""
-    end = F.max_by(F.when(F.col("kind") == "END", F.col("fields")["status"]), F.when(F.col("kind") == "END", F.col(line)))
-    bad = F.array_sort(F.collect_set(F.when(F.col("kind") == "BAD_SECTOR", F.col("fields")["lba"].cast("long"))))
-    return parsed.groupBy(file).agg(F.coalesce(end, F.lit("IN PROGRESS")).alias("status"), bad.alias("bad"))
-
-
-def read_kv_log(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    return summarize_kv(parse_kv_lines(rows.where("trim(text) <> ''"), "file", "line", "text"), "file", "line")
-
-
 def range_states(ranges: DataFrame, item: str, line: str, state: str, start: str, count: str) -> DataFrame:
     """State per position of overlapping ranges: the last record wins, of equal lines the largest state."""
     each = ranges.where(F.col(count) > 0).select(item, line, state, F.explode(F.sequence(F.col(start), F.col(start) + F.col(count) - 1)).alias("pos"))
@@ -97,16 +78,49 @@ def listing_states(rows: DataFrame, file: str, path: str, size: str, mark: str)
     return g.select(file, "path", F.when(F.col("__n") > 1, 0).otherwise(F.col("__size")).cast("long").alias("bytes"), F.when(F.col("__n") > 1, "ambiguous").otherwise(F.col("__state")).alias("state"))
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Six columns (the third is the size, the sixth the state) and a path per line, UTF-8 or UTF-16; lines without a size are headings."""
-    raw = spark.read.format("binaryFile").load(path)
-    head = F.hex(F.substring("content", 1, 2))
-    text = F.when(head == "FFFE", F.decode("content", "UTF-16LE")).when(head == "FEFF", F.decode("content", "UTF-16BE")).otherwise(F.decode("content", "UTF-8"))
-    line = F.explode(F.split(F.regexp_replace(text, "^﻿", ""), r"\r?\n")).alias("line")
-    pattern = r"^\s*\S+\s+\S+\s+(\d+)\s+\S+\s+\S+\s+(\S+)\s+(.*\S)\s*$"
-    rows = raw.select(F.col("path").alias("file"), line).where(F.col("line").rlike(pattern))
+def safe_relative(name: Column) -> Column:
+    """Whether a path stays below its folder and has no empty, dotted, device or control parts."""
+    p = F.translate(name, "\\", "/")
+    return (F.octet_length(p) <= 4096) & ~p.rlike(r"[:\x00-\x1f\x7f-\x9f]") & ~F.exists(F.split(p, "/"), lambda x: x.isin("", ".", ".."))
+
+
+@F.pandas_udf(StringType())
+def _decoded(content: pd.Series) -> pd.Series:
+    def one(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        little = b[:2] == b"\xff\xfe" or (len(b) > 8 and not b[1] and not b[3])
+        try:
+            return b.decode("utf-16-le" if little else "utf-16-be" if b[:2] == b"\xfe\xff" else "utf-8").removeprefix("\ufeff")
+        except UnicodeDecodeError:
+            return None
+
+    return content.map(one)
+
+
+def decode_listing(raw: DataFrame) -> DataFrame:
+    """``raw`` (file, content) with text: UTF-16 by its mark or by zero bytes in the second and fourth place, else UTF-8. Null if it is
+    not what it claims to be (Spark's own decoding fails the job for that)."""
+    return raw.withColumn("text", _decoded("content"))
+
+
+def parse_listing(files: DataFrame, file: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(states of ``listing_states``, refused files with reason) of listings: six columns (the third is the size, the sixth the state), then a path with
+    spaces. Lines without a size are headings. A file that is no text (encoding) or has an unsafe path (unsafe_path) is refused whole."""
+    line = F.explode(F.split(F.col(text), r"\r?\n")).alias("line")
+    pattern = r"^\s*\S+\s+\S+\s+\+?(\d+)\s+\S+\s+\S+\s+(\S+)\s+(\S(?:.*\S)?)\s*$"
     part = lambda i: F.regexp_extract("line", pattern, i)
-    return listing_states(rows.select("file", part(1).cast("long").alias("size"), part(2).alias("mark"), part(3).alias("name")), "file", "name", "size", "mark")
+    rows = files.where(F.col(text).isNotNull()).select(F.col(file).alias("file"), line).where(F.col("line").rlike(pattern))
+    rows = rows.select("file", part(1).try_cast("long").alias("size"), part(2).alias("mark"), part(3).alias("name")).where("size IS NOT NULL")
+    unsafe = rows.where(~safe_relative(F.col("name"))).select("file", F.lit("unsafe_path").alias("reason")).distinct()
+    refused = unsafe.unionByName(files.where(F.col(text).isNull()).select(F.col(file).alias("file"), F.lit("encoding").alias("reason")))
+    states = listing_states(rows.withColumn("name", F.translate("name", "\\", "/")).join(unsafe.select("file"), "file", "left_anti"), "file", "name", "size", "mark")
+    return states, refused
+
+
+def read_listing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    return parse_listing(decode_listing(raw), "file", "text")
 
 
 def hash_inventory(spark: SparkSession, path: str) -> DataFrame:

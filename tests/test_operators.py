@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import codes, paths
 from tessera.operators import aggregates, generations, joins, windows
-from tessera.sources import readers, sinks
+from tessera.sources import logs, readers, sinks
 
 
 def rows(df, *cols):
@@ -270,7 +270,7 @@ def test_event_log_and_listing(spark, tmp_path):
     events, faults = readers.read_event_log(spark, str(tmp_path / "log.jsonl"))
     assert rows(events, "session", "seq") == [("s", 0)] and rows(faults, "line", "fault") == [(1, "malformed"), (2, "torn_tail")]
     (tmp_path / "kv.log").write_text("[1] BEGIN | x=1\n[2] BAD_SECTOR | lba=7\n[3] END | status=OK\n")
-    assert rows(readers.read_kv_log(spark, str(tmp_path / "kv.log")), "status") == [("OK",)]
+    assert rows(logs.read_kv_log(spark, str(tmp_path / "kv.log"))[0], "status", "bad_positions") == [("OK", 1)]
     (tmp_path / "map.log").write_text("START\nC 1 > > 0 : 3\nE 2 > > 1 : 1\nSTOP\n")
     (tmp_path / "map.log").write_text("START\nC 1 > > 0 : 3\nSTOP\nSTART\nE 2 > > 1 : 1\nSTOP\n")
     assert rows(readers.read_range_map(spark, str(tmp_path / "map.log")), "pos", "state", "pass") == [(0, "C", 1), (1, "E", 2), (2, "C", 1)]
@@ -289,7 +289,7 @@ def test_catalog_claims_listing_archives_and_samples(spark, tmp_path):
     got = readers.read_claims_csv(spark, str(tmp_path / "c.csv"))
     assert got.columns == ["Floppy", "Note"] and rows(got, "Note") == [('two\nlines "q"',)]
     (tmp_path / "l.txt").write_text("name size\na b 10 c d . Dir/My File.doc\na b 12 c d xf dir/my file.doc\na b 7 c d +.jpg x.jpg\na b 0 c d ? y\n", encoding="utf-16")
-    assert rows(readers.read_listing(spark, str(tmp_path / "l.txt")), "path", "bytes", "state") == [("dir/my file.doc", 0, "ambiguous"), ("x.jpg", 7, "signature_carved"), ("y", 0, "unknown")]
+    assert rows(readers.read_listing(spark, str(tmp_path / "l.txt"))[0], "path", "bytes", "state") == [("dir/my file.doc", 0, "ambiguous"), ("x.jpg", 7, "signature_carved"), ("y", 0, "unknown")]
     z = tmp_path / "z"
     z.mkdir()
     with zipfile.ZipFile(z / "ok.zip", "w") as f:
