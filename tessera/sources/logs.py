@@ -40,8 +40,8 @@ def without_stamp(text: Column) -> Column:
 
 
 def parse_status(word: Column) -> Column:
-    word = F.upper(F.trim(word))
-    return reduce(lambda c, s: c.when(word.isin(*STATUS[s]), s), list(STATUS)[1:], F.when(word.isin(*STATUS["OK"]), "OK")).otherwise("UNKNOWN")
+    labels = F.create_map(*[F.lit(x) for label, words in STATUS.items() for w in words for x in (w, label)])
+    return F.coalesce(F.try_element_at(labels, F.upper(F.trim(word))), F.lit("UNKNOWN"))
 
 
 def parse_number(word: Column) -> Column:
@@ -53,9 +53,8 @@ def _at_most(number: str, most: int) -> Column:
     return F.when(F.col(number) <= most, F.col(number))
 
 
-def _hash_in(text: Column) -> Column:
-    found = F.regexp_extract(text, "(?<![0-9A-Fa-f])([0-9A-Fa-f]{64})(?![0-9A-Fa-f])", 1)
-    return F.lower(F.when(found != "", found))
+def _hash_in(text: str) -> Column:
+    return F.lower(F.nullif(F.regexp_extract(text, "(?<![0-9A-Fa-f])([0-9A-Fa-f]{64})(?![0-9A-Fa-f])", 1), F.lit("")))
 
 
 def log_records(lines: DataFrame, file: str, line: str, text: str) -> DataFrame:
@@ -95,31 +94,33 @@ def fold_log(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.min_by(F.struct("line", F.col("__fault").alias("reason")), F.when(F.col("__fault").isNotNull(), order)).alias("f"), F.max("policy_retries").alias("policy_retries"), F.max("__first").alias("__first"), F.max("__end").alias("__end")
     ).select("file", "f.line", "f.reason", "policy_retries", "__first", "__end")
 
-    found = F.when((kind == "END") & F.upper("body").contains("SHA256=") & F.trim(field("sha256")).rlike("^[0-9A-Fa-f]{64}$"), F.lower(F.trim(field("sha256")))).when(hashed | (kind == "END"), _hash_in(F.col("body")))
-    counted = records.groupBy("file").agg(
-        F.count_if(kind.isin(*known) | hashed).alias("__records"), F.max(F.when(kind == "END", order)).alias("__last_end"), F.count_if(kind.isin(*RETRY_FAILED)).alias("retry_failures"),
-        F.count_if(kind.isin(*RECOVERED)).alias("__recovered"), last(found).alias("sha256"), (F.count_if(kind == "BEGIN") > 0).alias("begin_seen"),
+    own = F.lower(F.regexp_extract(F.coalesce(field("sha256"), F.lit("")), "^[0-9A-Fa-f]{64}$", 0))
+    found = F.when(kind == "END", F.coalesce(F.nullif(own, F.lit("")), _hash_in("body"))).when(F.col("__hashed"), _hash_in("body"))
+    end_of = F.when(kind == "END", F.struct("line", "body", parse_status(field("status")).alias("status")))
+    marked = records.withColumn("__hashed", hashed).withColumns({"__found": found, "__end": end_of, "__class": F.when(kind.isin(*RETRY_FAILED), "failed").when(kind.isin(*RECOVERED), "recovered").when(kind.isin(*known) | F.col("__hashed"), kind)})
+    counted = marked.groupBy("file").agg(
+        F.count("__class").alias("__records"), F.max("__end").alias("__last_end"), F.count_if(F.col("__class") == "failed").alias("retry_failures"),
+        F.count_if(F.col("__class") == "recovered").alias("__recovered"), last(F.col("__found")).alias("sha256"), (F.count_if(F.col("__class") == "BEGIN") > 0).alias("begin_seen"),
     )
 
     # One row a pair of key and value; of a key that a line repeats the last one.
     pair = F.explode(F.regexp_extract_all("body", F.lit(r"(?i)[|\s]([^|\s=]+)=[^|\s]*(?!.*[|\s]\1=)"), F.lit(0)))
     pairs = records.where(kind.isin("BEGIN", "GEOMETRY", "END")).select("file", "line", "body", "kind", pair.alias("pair"))
     pairs = pairs.select("file", "line", "body", "kind", F.lower(F.substring(F.substring_index("pair", "=", 1), 2, 1 << 20)).alias("key"), F.regexp_replace("pair", "^[^=]*=", "").alias("value"))
-    pairs = pairs.withColumn("n", parse_number(F.col("value"))).withColumn("narrow", _at_most("n", WIDEST))
+    pairs = pairs.withColumn("n", parse_number(F.col("value"))).withColumn("narrow", _at_most("n", WIDEST)).withColumn("__at", F.struct("line", "body", F.col("key").isin("disk", "retry_recovered")))
 
     def value(kind_: str, column: str, *keys: str) -> Column:
-        """Of the last line of a kind that has one of the keys with such a value, the first of them."""
+        """Of the last line of a kind that has one of the keys with such a value; disk and retry_recovered go before their other names."""
         mine = (kind == kind_) & F.col("key").isin(*keys) & F.col(column).isNotNull()
-        return F.max_by(column, F.when(mine, F.struct("line", "body", F.col("key") == keys[0])))
+        return F.max_by(column, F.when(mine, F.col("__at")))
 
     named = pairs.groupBy("file").agg(
         value("BEGIN", "narrow", "disk", "floppy").alias("disk"), value("BEGIN", "narrow", "attempt").alias("attempt"), value("BEGIN", "value", "source").alias("source"),
         *[value("GEOMETRY", "narrow" if g in NARROW else "n", g).alias(g) for g in GEOMETRY],
         value("END", "n", "retry_recovered", "recovered_after_retry").alias("__claimed"), value("END", "n", "bytes").alias("bytes_written"),
     )
-    folded = counted.join(named, "file", "left").join(special, "file", "left").withColumn("body", F.col("__last_end.body"))
-    status = F.when(F.col("body").isNull(), "IN PROGRESS").otherwise(parse_status(field("status")))
-    folded = folded.withColumns({"status": status, "end_seen": F.col("body").isNotNull(), "retry_recovered": F.coalesce("__claimed", "__recovered")})
+    folded = counted.join(named, "file", "left").join(special, "file", "left")
+    folded = folded.withColumns({"status": F.coalesce("__last_end.status", F.lit("IN PROGRESS")), "end_seen": F.col("__last_end").isNotNull(), "retry_recovered": F.coalesce("__claimed", "__recovered")})
     number = lambda *names: F.coalesce(*[parse_number(field(n)) for n in names])
     digits = F.regexp_extract("body", "[0-9]+", 0)
     at = F.coalesce(number("lba", "sector"), digits.try_cast("long"))
