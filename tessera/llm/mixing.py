@@ -1,9 +1,9 @@
 """Mixing towards target weights with soft membership; DataFrame expressions only.
 
-1. A labelled table gives some documents a domain. A naive Bayes classifier over hashed words and runs of marks (each distinct one of a
-   text counts once) gives every document a posterior over the domains. Words weigh by their smoothed log-count ratios, if their
-   likelihood-ratio statistic is ``CERTAINTY`` at least; sums of many words are overconfident, so each domain's is divided by a temperature, those of a
-   short list with the best likelihood on labelled rows that were held out.
+1. A labelled table gives some documents a domain. Logistic regression over slots of hashed words and runs of marks (each distinct one of a
+   text counts once), of the text's length and of its share of distinct words gives every document a posterior over the domains. It uses the
+   ``MOST`` slots of the largest likelihood-ratio statistic, of those with ``CERTAINTY`` at least, and of a short list the penalty with the best
+   likelihood on labelled rows that were held out. Spark counts slots and applies the weights; the driver fits them on the bounded sample.
 2. Nonnegative rates r are fitted so that the expected tokens of each domain, sum of r * tokens * posterior, match the targets:
    least squares, by projected gradient from r = 1. The residuals are whitened by the (domains x domains) normal matrix of the
    documents whose rate is not at a bound, so that few steps are needed. A document's rate follows from its posterior and the short
@@ -18,7 +18,6 @@ without labels posteriors are even. Extra columns do not matter, unless ``sample
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 
@@ -32,10 +31,12 @@ from .common import read_table, staged
 WEIGHTS = {"clean": 0.82, "low": 0.12, "toxic": 0.06}
 #: slots of the hash of words
 SLOTS = 1 << 16
-TEMPERATURES = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 8.0, 16.0)
+#: then 16 slots of the share of distinct words, and those of the length by powers of two
+WIDTH = SLOTS + 64
+PENALTIES = (0.1, 1.0, 10.0)
 PIECE = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]+"
-#: likelihood-ratio statistic that a slot needs to count
-CERTAINTY = 100.0
+#: likelihood-ratio statistic that a slot needs to count, and the most slots that do
+CERTAINTY, MOST = 16.0, 512
 
 
 def label_domain() -> Column:
@@ -52,7 +53,10 @@ def featured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with __tokens and __slots."""
     rows = docs.withColumn("__pieces", pieces_of(F.col(text_col)))
     slots = F.array_distinct(F.transform("__pieces", lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))
-    return rows.withColumns({"__tokens": F.size("__pieces").cast("long"), "__slots": slots}).drop("__pieces")
+    rows = rows.withColumns({"__tokens": F.size("__pieces").cast("long"), "__words": slots}).drop("__pieces")
+    n = F.greatest("__tokens", F.lit(1))
+    share, length = F.floor(10 * F.size("__words") / n).cast("int"), F.floor(F.log2(n)).cast("int")
+    return rows.withColumn("__slots", F.concat("__words", F.array(share + SLOTS, length + SLOTS + 16))).drop("__words")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,21 +80,20 @@ def evidence(a: np.ndarray, b: np.ndarray, rows_a: np.ndarray, rows_b: float) ->
 
 
 class Classifier:
-    """Weights of the slots, priors and temperatures of every domain but the first."""
+    """Weights of the slots and priors of every domain but the first, against the first."""
 
     def __init__(self, domains: list[str], prior: np.ndarray, weights: np.ndarray):
-        self.domains, self.prior, self.weights, self.temperature = domains, prior, weights, [1.0] * len(weights)
+        self.domains, self.prior, self.weights = domains, prior, weights
 
     def evidence(self, slots: str) -> list[Column]:
         """The sum of the slots' weights for every domain but the first."""
-        # One constant of SLOTS numbers each, which Spark reads once: as text, it takes one call to pass.
+        # One constant of WIDTH numbers each, which Spark reads once: as text, it takes one call to pass.
         table = lambda w: F.from_json(F.lit(json.dumps([round(float(x), 4) for x in w])), "array<double>")
         one = lambda w: F.aggregate(slots, F.lit(0.0), lambda acc, s: acc + F.element_at(table(w), s + 1))
         return [one(w) for w in self.weights]
 
-    def posterior(self, evidence: list[Column], temperature: list[Column] | None = None) -> list[Column]:
-        t = temperature or [F.lit(float(x)) for x in self.temperature]
-        score = [F.lit(0.0), *[F.lit(float(p)) + e / x for p, e, x in zip(self.prior, evidence, t, strict=True)]]
+    def posterior(self, evidence: list[Column]) -> list[Column]:
+        score = [F.lit(0.0), *[F.lit(float(p)) + e for p, e in zip(self.prior, evidence, strict=True)]]
         top = F.greatest(*score) if len(score) > 1 else score[0]
         parts = [F.exp(s - top) for s in score]
         total = sum(parts[1:], parts[0])
@@ -103,11 +106,35 @@ class Classifier:
         return out.select(*keep, "tokens", *[x.alias(f"p_{d}") for x, d in zip(p, self.domains, strict=True)])
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = 20000, smoothing: float = 1.0) -> Classifier:
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> np.ndarray:
+    """Weights (slots and, last, the constant, which is not penalised; by domain) of rows of 0 and 1 with one-hot domains, by accelerated descent."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    lift = np.ones(x.shape[1])
+    for _ in range(30):  # the largest curvature, by power iteration
+        lift = x.T @ (x @ lift)
+        curve = float(np.linalg.norm(lift))
+        lift /= curve
+    pull = np.full((x.shape[1], 1), penalty)
+    pull[-1] = 0
+    w = ahead = np.zeros((x.shape[1], y.shape[1]))
+    t = 1.0
+    for _ in range(steps):
+        new = ahead - (x.T @ (softmax(x @ ahead) - y) + pull * ahead) / (0.55 * curve + penalty)
+        t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        w, ahead = new, new + (last - 1) / t * (new - w)
+    return w
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = 20000) -> Classifier:
     """``labels``: doc_id, domain."""
-    rest = len(domains) - 1
-    none = Classifier(domains, np.zeros(rest), np.zeros((rest, SLOTS)))
-    if not rest:
+    d = len(domains)
+    none = Classifier(domains, np.zeros(d - 1), np.zeros((d - 1, WIDTH)))
+    if d == 1:
         return none
     sample = staged(labelled(docs, labels, domains, max_train), "sample")
     seen = staged(featured(sample, "__text").select("domain", "fold", "__slots"), "slots")
@@ -115,28 +142,30 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_t
     rows = {r.domain: r["count"] for r in learn.groupBy("domain").count().collect()}  # one row a domain
     if not rows:
         return none
-    # SLOTS rows at most leave the executors.
-    counted = learn.select("domain", F.explode("__slots").alias("slot")).groupBy("slot").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]).toArrow()
-    n = np.zeros((len(domains), SLOTS))
+    # WIDTH rows at most leave the executors.
+    counted = learn.select("domain", F.explode("__slots").alias("slot")).groupBy("slot").agg(*[F.count_if(F.col("domain") == x).alias(f"n{i}") for i, x in enumerate(domains)]).toArrow()
+    n = np.zeros((d, WIDTH))
     at = counted.column("slot").to_numpy()
-    for i in range(len(domains)):
+    for i in range(d):
         n[i, at] = counted.column(f"n{i}").to_numpy()
-    of = np.array([rows.get(d, 0) for d in domains], float)
-    # Of the rows of a domain, the share that has a slot.
-    share = np.log((n + smoothing) / (of[:, None] + 2 * smoothing))
-    ratio = share[1:] - share[0]
-    weights = np.where(evidence(n[1:], n[0], of[1:, None], of[0]) >= CERTAINTY, ratio, 0.0)
-    prior = np.log((of[1:] + smoothing) / (of[0] + smoothing))
-    model = Classifier(domains, prior, weights)
-    tried = seen.where("fold = 0").select("domain", *[e.alias(f"e{i}") for i, e in enumerate(model.evidence("__slots"))])
-    choices = list(itertools.product(TEMPERATURES, repeat=rest)) if rest <= 2 else [(t,) * rest for t in TEMPERATURES]
-    at_each = tried.withColumn("t", F.explode(F.lit([list(c) for c in choices])))
-    p = model.posterior([F.col(f"e{i}") for i in range(rest)], [F.element_at("t", i + 1) for i in range(rest)])
-    chosen = F.coalesce(*[F.when(F.col("domain") == d, x) for d, x in zip(domains, p, strict=True)])
-    best = at_each.groupBy("t").agg(F.sum(-F.log(F.greatest(chosen, F.lit(1e-12)))).alias("loss")).orderBy("loss", "t").first()
-    if best is not None:
-        model.temperature = list(best.t)
-    return model
+    of = np.array([rows.get(x, 0) for x in domains], float)
+    certain = evidence(n[1:], n[0], of[1:, None], of[0]).max(axis=0)
+    used = np.sort(np.argsort(-certain, kind="stable")[:MOST])
+    used = used[certain[used] >= CERTAINTY]
+    # About max_train rows, of each the used ones of its slots; in an order that does not depend on tasks.
+    few = F.array_sort(F.array_intersect("__slots", F.lit(used.tolist()).cast("array<int>")))
+    given = sorted((r.domain, r.fold, tuple(r.s)) for r in seen.select("domain", "fold", few.alias("s")).collect())
+    x, y = np.zeros((len(given), len(used)), np.float32), np.zeros((len(given), d))
+    for i, (domain, _, slots) in enumerate(given):
+        x[i, np.searchsorted(used, slots)] = 1
+        y[i, domains.index(domain)] = 1
+    held = np.array([f == 0 for _, f, _ in given])
+    tried = [fit_logistic(x[~held], y[~held], p) for p in PENALTIES]
+    loss = [-float((y[held] * np.log(np.maximum(softmax(x[held] @ w[:-1] + w[-1]), 1e-12))).sum()) for w in tried]
+    w = tried[int(np.argmin(loss))]
+    weights = np.zeros((d - 1, WIDTH))
+    weights[:, used] = (w[:-1, 1:] - w[:-1, :1]).T
+    return Classifier(domains, w[-1, 1:] - w[-1, 0], weights)
 
 
 def held_out_accuracy(docs: DataFrame, labels: DataFrame, domains: list[str], model: Classifier, max_train: int = 20000) -> DataFrame:
