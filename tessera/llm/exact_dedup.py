@@ -8,8 +8,9 @@ filter of the merged run. Hits alone decide what is compared: every row of a hit
 digest's smallest identifier; rows that differ although their digests agree are split off and compared among themselves, so that a
 collision merges nothing. Rows without a hit are single.
 
-Nulls, ties and repeats: null text is empty text; rows that repeat both id and text are one document; a null id is an id
-of its own that sorts before all others; equal rows with different ids are one group. An empty table gives no rows. Other columns
+Nulls, ties and repeats: null text is empty text; rows that repeat both id and text are one document; rows of one id whose texts
+differ, in blanks alone too, are documents of their own, of which at most one stays; a null id is an id of its own that sorts before all others;
+equal rows with different ids are one group. An empty table gives no rows. Other columns
 of the table do not matter, whatever their names.
 Texts move through one shuffle, everything else is digests. A digest that a third of the rows share is one entry per task before the
 shuffle (partial aggregation); where its rows meet texts, they are dealt into ``SALTS`` parts, and where they meet the text of their
@@ -95,18 +96,19 @@ class DigestIndex:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = MEMTABLE_ROWS, digest: Column | None = None, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per document: id, n_chars, digest, variant (0 but for collisions), n_rows (rows of the digest); equal texts share
-    digest and variant. ``digest``: another digest expression, for tests with collisions."""
+    """One row per document: id, n_chars, digest, whole (a hash of the original text), variant (0 but for collisions), n_rows (rows of the
+    digest); equal texts share digest and variant. ``digest``: another digest expression, for tests with collisions."""
     spark = docs.sparkSession
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
         (digest_of(F.col(text_col)) if digest is None else digest).alias("digest"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("whole"),
         F.col(text_col).alias("body"),
     )
     batches = max(2, -(-docs.count() // memtable_rows))
     path = f"{shared_dir(spark)}/digests"
-    dealt = rows.select("id", "n_chars", "digest", F.pmod(F.xxhash64("id", "n_chars"), F.lit(batches)).alias("batch"))
+    dealt = rows.select("id", "n_chars", "digest", "whole", F.pmod(F.xxhash64("id", "n_chars"), F.lit(batches)).alias("batch"))
     dealt.write.option("compression", "zstd").partitionBy("batch").parquet(path)
     thin = spark.read.schema(dealt.schema).parquet(path)
     index = DigestIndex(spark, fan_in)
@@ -115,7 +117,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     many = staged(reduce(DataFrame.union, hits).distinct().join(index.compact(), "digest"), "many")
     salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
     met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "n_chars"), F.lit(SALTS))).join(salted, ["digest", "salt"])
-    members = staged(met.select("digest", "id", "first_id", "n_rows", "n_chars", normalised(F.col("body")).alias("body")), "members")
+    members = staged(met.select("digest", "id", "first_id", "n_rows", "n_chars", "whole", normalised(F.col("body")).alias("body")), "members")
     parts = F.floor((F.col("n_rows") - 1) / F.lit(PART_ROWS)) + 1
     variants, variant = [], 0
     while True:
@@ -124,15 +126,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # The rows behind the heads' aggregation and the members are two shuffles, so that Spark can split what is still large.
         checked = members.withColumn("part", F.pmod(F.xxhash64("id", "n_chars"), parts)).join(heads, ["digest", "part"])
         same = F.col("body") == F.col("head")
-        verdict = staged(checked.select("digest", "id", "n_rows", "n_chars", same.alias("same"), F.when(~same, F.col("body")).alias("body")), "verified")
-        variants.append(verdict.where("same").select("digest", "id", "n_rows", "n_chars", F.lit(variant).alias("variant")))
+        verdict = staged(checked.select("digest", "id", "n_rows", "n_chars", "whole", same.alias("same"), F.when(~same, F.col("body")).alias("body")), "verified")
+        variants.append(verdict.where("same").select("digest", "id", "n_rows", "n_chars", "whole", F.lit(variant).alias("variant")))
         rest = verdict.where("not same")
         if rest.isEmpty():
             break
         first = rest.groupBy("digest").agg(F.min("id").alias("first_id"))
-        members, variant = staged(rest.join(first, "digest").select("digest", "id", "first_id", "n_rows", "n_chars", "body"), "collisions"), variant + 1
-    single = thin.join(many.select("digest"), "digest", "left_anti").select("digest", "id", F.lit(1).cast("long").alias("n_rows"), "n_chars", F.lit(0).alias("variant"))
-    groups = reduce(DataFrame.unionByName, variants).dropDuplicates(["digest", "variant", "id", "n_chars"])
+        members, variant = staged(rest.join(first, "digest").select("digest", "id", "first_id", "n_rows", "n_chars", "whole", "body"), "collisions"), variant + 1
+    single = thin.join(many.select("digest"), "digest", "left_anti").select("digest", "id", F.lit(1).cast("long").alias("n_rows"), "n_chars", "whole", F.lit(0).alias("variant"))
+    groups = reduce(DataFrame.unionByName, variants).dropDuplicates(["digest", "variant", "id", "whole"])
     return single.unionByName(groups)
 
 
@@ -141,14 +143,15 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest: Col
     rows = staged(exact_groups(docs, memtable_rows=memtable_rows, digest=digest, fan_in=fan_in), "groups")
     parts = F.floor((F.col("n_rows") - 1) / F.lit(64 * PART_ROWS)) + 1
     several = rows.where("n_rows > 1")
-    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), "id"))
-    groups = staged(several.groupBy("digest", "variant", "n_rows").agg(best["id"].alias("keep"), F.count("*").alias("group_size")), "best")
+    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), "id", "whole"))
+    groups = staged(several.groupBy("digest", "variant", "n_rows").agg(best["id"].alias("keep"), best["whole"].alias("keep_whole"), F.count("*").alias("group_size")), "best")
     groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n_rows")
     joined = several.withColumn("part", F.pmod(F.xxhash64("id", "n_chars"), parts)).join(groups, ["digest", "variant", "part"])
-    alone = rows.where("n_rows = 1").select("digest", "id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("group_size"))
-    out = joined.select("digest", "id", "keep", "group_size").unionByName(alone)
+    kept = (F.col("id") == F.col("keep")) & (F.col("whole") == F.col("keep_whole"))
+    alone = rows.where("n_rows = 1").select("digest", "id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    out = joined.select("digest", "id", "keep", "group_size", kept.alias("kept")).unionByName(alone)
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), real("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("id") == F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return out.select(real("id").alias("doc_id"), real("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

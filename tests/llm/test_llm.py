@@ -462,7 +462,9 @@ def test_mixing_posteriors_and_rates_by_brute_force(spark):
     pieces = lambda t: re.findall(r"[^\W_]+|[^\w\s]+", t.lower())
     slot = {w: r.s for w in {w for _, t in rows for w in pieces(t)} for r in spark.sql(f"SELECT cast(pmod(xxhash64('{w}'), {mixing.SLOTS}) AS INT) AS s").collect()}
     for (i, t), r in zip(rows, soft, strict=True):
-        z = model.prior[0] + sum(round(float(model.weights[0][s]), 4) for s in {slot[w] for w in pieces(t)}) / model.temperature[0]
+        have = {slot[w] for w in pieces(t)}
+        traits = [mixing.SLOTS + 10 * len(have) // len(pieces(t)), mixing.SLOTS + 16 + len(pieces(t)).bit_length() - 1]
+        z = model.prior[0] + sum(round(float(model.weights[0][s]), 4) for s in [*have, *traits])
         assert (r.doc_id, r.tokens) == (i, len(pieces(t))) and abs(r.p_low - 1 / (1 + np.exp(-z))) < 1e-9
     # Projected gradient with many small steps, in memory: the same totals, and rates of the same form.
     p, n = np.array([[r.p_clean, r.p_low] for r in soft]), np.array([r.tokens for r in soft], float)
@@ -473,3 +475,28 @@ def test_mixing_posteriors_and_rates_by_brute_force(spark):
         rate = np.maximum(0, rate - 0.5 * (p * (((n * rate) @ p - t) / have)).sum(axis=1))
     got = mixing.mix_documents(docs, known, {"clean": 0.4, "low": 0.6}).orderBy("doc_id").toPandas()
     assert np.allclose((n * rate) @ p, t, rtol=1e-3) and np.allclose((n * got.rate.to_numpy()) @ p, t, rtol=1e-3)
+
+
+def test_mixing_logistic_regression_is_at_its_optimum():
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 12)) < 0.3).astype(np.float32)
+    y = np.eye(3)[np.argmax(x[:, :3] * 2 + rng.gumbel(size=(300, 3)), axis=1)]
+    w = mixing.fit_logistic(x, y, 1.0, steps=2000)
+    slope = x.T @ (mixing.softmax(x @ w[:-1] + w[-1]) - y) + w[:-1]
+    assert np.abs(slope).max() < 1e-3 and np.abs((mixing.softmax(x @ w[:-1] + w[-1]) - y).sum(axis=0)).max() < 1e-3
+
+
+def test_mixing_long_texts_repeated_ids_and_clashes(spark):
+    rows, labels, docs, known = mixing_rows(spark)
+    more = [(3, "plain words " * 300000), (3, "plain words " * 300000), (None, "### 12"), (7, None)]
+    odd = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({"tokens": F.lit("clash"), "p_clean": F.lit("clash"), "rate": F.lit("clash")})
+    got = mixing.mix_documents(odd, known, {"clean": 0.4, "low": 0.6}).collect()
+    assert len(got) == len(rows) + 4 and [r.tokens for r in got if r.tokens > 1000] == [600000] * 2
+    assert next(r for r in got if r.doc_id is None).p_low > 0.5 and sum(r.doc_id == 3 for r in got) == 3 and {r.tokens for r in got if r.doc_id == 7} >= {0}
+
+
+def test_exact_dedup_keeps_rows_that_differ_in_blanks_alone(spark):
+    data = [(None, "a b"), (None, "ab "), (None, "ab "), (5, "x y"), (5, "xy "), (6, "x  y"), (7, "alone")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in got) == [(0, 0, 2), (0, 0, 2), (5, 6, 3), (5, 6, 3), (6, 6, 3), (7, 7, 1)]
+    assert sorted((r.doc_id or 0) for r in got if r.kept) == [0, 6, 7]
