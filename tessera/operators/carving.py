@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import SIGNATURES
-from .windows import keep_first
+from .ranks import keep_first
 
 #: (content, first byte) -> end; a ValueError tells why the object has none
 End = Callable[[bytes, int], int]

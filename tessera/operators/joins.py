@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+from .ranks import HOT_ROWS, ranked
+
 #: fixed values: labels of the five outcomes of a match, in the order in which they are tried
 SAME, MOVED, CHANGED = "same_path_and_hash", "same_hash_different_path", "same_path_changed_bytes"
 MISSING, CURRENT_ONLY = "missing_from_current", "current_only"
+SALTS = 64
 #: needles that are sent to every executor; more of them are joined by a shuffle
 BROADCAST_NEEDLES = 20_000
 
@@ -19,12 +23,13 @@ def folded(path: Column) -> Column:
     return F.lower(F.translate(path, "\\", "/"))
 
 
-def bag_match(reference: DataFrame, current: DataFrame, item: list[str], sha: str = "sha", size: str = "bytes", path: str = "path", scope: str | None = None) -> DataFrame:
+def bag_match(reference: DataFrame, current: DataFrame, item: list[str], sha: str = "sha", size: str = "bytes", path: str = "path", scope: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One-to-one match of two inventories, item by item: item columns, ref_id, cur_id, status. Inputs have ref_id and cur_id.
 
     Reference rows in ``scope`` go through three modes (same path and hash; same hash and size; same path) before any other row
     starts. A row is used once; equal candidates are taken in the order of path and id. Each mode deals all rows by its key once; the kth open row
-    of a key on one side takes the kth on the other. Rows in which a key is null match nothing by it.
+    of a key on one side takes the kth on the other. Rows in which a key is null match nothing by it. Where a key has more than ``hot_rows`` rows,
+    finished rows are set aside after every mode, and open ones are ranked by ranges (``ranked``) and paired by place.
     """
 
     def side(df: DataFrame, name: str, row: str) -> DataFrame:
@@ -33,17 +38,30 @@ def bag_match(reference: DataFrame, current: DataFrame, item: list[str], sha: st
 
     pool = side(reference, "ref", "ref_id").unionByName(side(current, "cur", "cur_id")).withColumns({"status": F.lit(None).cast("string"), "__other": F.lit(None).cast("long")})
     ref = F.col("__side") == "ref"
+    modes = ((SAME, ["__key", "__sha"]), (MOVED, ["__sha", "__size"]), (CHANGED, ["__key"]))
+    # Only a group of all rows that one mode can bring together may be too large for a task.
+    large = pool.count() > hot_rows and not pool.select(*item, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.xxhash64(*k).alias("h")) for m, k in modes])).alias("g")).groupBy(*item, "g").count().where(F.col("count") > hot_rows).isEmpty()
     for wanted in (True, False) if scope else (True,):
-        for status, keys in ((SAME, ["__key", "__sha"]), (MOVED, ["__sha", "__size"]), (CHANGED, ["__key"])):
+        for status, keys in modes:
             known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
             open_ = F.col("status").isNull() & known & (~ref | (F.col("__in") == wanted))
-            dealt = pool.withColumn("__open", open_).repartition(*item, *keys)
-            nth = F.row_number().over(Window.partitionBy(*item, *keys, "__open", "__side").orderBy("__path", "__id"))
-            pair = Window.partitionBy(*item, *keys, "__open", "__nth")
-            met = dealt.withColumn("__nth", nth).withColumns({"__r": F.max(F.when(ref, F.col("__id"))).over(pair), "__c": F.max(F.when(~ref, F.col("__id"))).over(pair)})
+            if large:
+                pool = kept(pool)
+                live = ranked(pool.where(open_), [*item, *keys, "__side"], [F.col("__path"), F.col("__id")], "__nth", hot_rows).withColumns({"__open": F.lit(True), "__salt": F.lit(0).cast("long")})
+                rest = pool.where(~open_)
+            else:
+                # Rows that take no part are dealt by id, so that those without a key do not meet in one task.
+                salt = F.when(open_, F.lit(0)).otherwise(F.pmod(F.xxhash64("__id"), F.lit(SALTS))).cast("long")
+                dealt = pool.withColumns({"__open": open_, "__salt": salt}).repartition(*item, *keys, "__salt")
+                live = dealt.withColumn("__nth", F.row_number().over(Window.partitionBy(*item, *keys, "__salt", "__open", "__side").orderBy("__path", "__id")))
+                rest = None
+            pair = Window.partitionBy(*item, *keys, "__salt", "__open", "__nth")
+            met = live.withColumns({"__r": F.max(F.when(ref, F.col("__id"))).over(pair), "__c": F.max(F.when(~ref, F.col("__id"))).over(pair)})
             hit = F.col("__open") & F.col("__r").isNotNull() & F.col("__c").isNotNull()
             other = F.when(hit, F.when(ref, F.col("__c")).otherwise(F.col("__r"))).otherwise(F.col("__other"))
-            pool = met.withColumns({"__other": other, "status": F.when(hit, status).otherwise(F.col("status"))}).drop("__open", "__nth", "__r", "__c")
+            pool = met.withColumns({"__other": other, "status": F.when(hit, status).otherwise(F.col("status"))}).drop("__open", "__nth", "__salt", "__r", "__c")
+            if rest is not None:
+                pool = pool.unionByName(rest)
     done = pool.where(ref | F.col("status").isNull())
     return done.select(*item, F.when(ref, F.col("__id")).alias("ref_id"), F.when(ref, F.col("__other")).otherwise(F.col("__id")).alias("cur_id"), F.coalesce("status", F.when(ref, MISSING).otherwise(CURRENT_ONLY)).alias("status"))
 

@@ -1,6 +1,8 @@
 """Window-shaped operators: choosing attempts, ranges of positions, merges of copies, intervals and event order.
 
-Every operator takes DataFrames and column names and returns a DataFrame. Windows are partitioned by the item, never global.
+Every operator takes DataFrames and column names and returns a DataFrame. Windows are partitioned by the item, never global. An item may be
+of any size where positions are merged or ranged: they are dealt in cells of ``width`` positions, each solved in its own task, and an item
+alone only meets a few rows of each of its cells.
 """
 
 from __future__ import annotations
@@ -13,6 +15,32 @@ from pyspark.sql import functions as F
 from ..functions.codes import micros
 
 
+#: positions of a cell
+WIDTH = 1 << 16
+
+
+def cell_of(pos: str, width: int) -> Column:
+    return F.floor(F.col(pos) / F.lit(width)).alias("__cell")
+
+
+def met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` on ``keys``, where null meets null."""
+    renamed = b.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return a.join(renamed, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def running(rows: DataFrame, item: list[str], order: str, sums: dict[str, Column], width: int = WIDTH) -> DataFrame:
+    """``rows`` with sums over the rows of the item before each, in the order of a number: sums inside its cell and of the cells before it."""
+    dealt = rows.withColumn("__cell", cell_of(order, width))
+    totals = dealt.groupBy(*item, "__cell").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    cells = totals.select(*item, "__cell", *[F.coalesce(F.sum(n).over(before(*item).orderBy("__cell")), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    inside = dealt.withColumns({f"__i_{n}": F.coalesce(F.sum(c).over(before(*item, "__cell").orderBy(order)), F.lit(0)) for n, c in sums.items()})
+    out = met(inside, cells, [*item, "__cell"])
+    return out.withColumns({n: F.col(f"__b_{n}") + F.col(f"__i_{n}") for n in sums}).drop("__cell", *[f"__{x}_{n}" for n in sums for x in "bi"])
+
+
 def best_attempt(attempts: DataFrame, item: str, order: list[Column]) -> DataFrame:
     """The first row of each item in ``order``."""
     return attempts.withColumn("__rn", F.row_number().over(Window.partitionBy(item).orderBy(*order))).where("__rn = 1").drop("__rn")
@@ -24,33 +52,44 @@ def latest_attempt(attempts: DataFrame, item: str, attempt: str) -> DataFrame:
     return attempts.groupBy(item).agg(row, F.count("*").alias("attempts")).select(item, "r.*", "attempts")
 
 
-def islands(positions: DataFrame, item: list[str], pos: str) -> DataFrame:
-    """Runs of consecutive positions: first, last, length. Repeated positions count once."""
-    w = Window.partitionBy(*item).orderBy(pos)
-    runs = positions.select(*item, pos).distinct().withColumn("__run", F.col(pos) - F.row_number().over(w))
-    return runs.groupBy(*item, "__run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("length")).drop("__run")
-
-
-def gaps(positions: DataFrame, item: list[str], pos: str) -> DataFrame:
-    """Runs of positions that are missing between the first and the last one of each item."""
-    w = Window.partitionBy(*item).orderBy(pos)
-    nxt = positions.select(*item, pos).distinct().withColumn("__next", F.lead(pos).over(w))
-    return nxt.where(F.col("__next") > F.col(pos) + 1).select(*item, (F.col(pos) + 1).alias("first"), (F.col("__next") - 1).alias("last"), (F.col("__next") - F.col(pos) - 1).alias("length"))
-
+def islands(positions: DataFrame, item: list[str], pos: str, width: int = WIDTH) -> DataFrame:
+    """Runs of consecutive positions: first, last, length. Repeated positions count once.
 
-def coalesce_extents(extents: DataFrame, item: list[str], seq: str, pos: str) -> DataFrame:
-    """Extents that follow each other both in the file and in the source become one."""
-    w = Window.partitionBy(*item).orderBy(seq)
-    step = ((F.col(seq) - F.lag(seq).over(w) == 1) & (F.col(pos) - F.lag(pos).over(w) == 1)).cast("int")
-    run = extents.withColumn("__new", F.lit(1) - F.coalesce(step, F.lit(0))).withColumn("__run", F.sum("__new").over(w))
-    return run.groupBy(*item, "__run").agg(F.min(seq).alias("first_seq"), F.min(pos).alias("first_pos"), F.count("*").alias("length")).drop("__run")
+    Runs are found in every cell; those that touch a border of their cell, two a cell at most, are stitched item by item.
+    """
+    cells = positions.select(*item, pos, cell_of(pos, width)).repartition(*item, "__cell").distinct()
+    runs = cells.withColumn("__run", F.col(pos) - F.row_number().over(Window.partitionBy(*item, "__cell").orderBy(pos)))
+    runs = runs.groupBy(*item, "__cell", "__run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("length")).drop("__run")
+    touches = (F.col("first") == F.col("__cell") * width) | (F.col("last") == (F.col("__cell") + 1) * width - 1)
+    w = Window.partitionBy(*item).orderBy("first")
+    new = F.coalesce(F.lag("last").over(w) != F.col("first") - 1, F.lit(True)).cast("int")
+    border = runs.where(touches).withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
+    stitched = border.groupBy(*item, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length")).drop("__run")
+    return runs.where(~touches).drop("__cell").unionByName(stitched)
+
+
+def gaps(positions: DataFrame, item: list[str], pos: str, width: int = WIDTH) -> DataFrame:
+    """Runs of positions that are missing between the first and the last one of each item, inside cells and between them."""
+    cells = positions.select(*item, pos, cell_of(pos, width)).repartition(*item, "__cell").distinct()
+    inside = cells.withColumn("__next", F.lead(pos).over(Window.partitionBy(*item, "__cell").orderBy(pos))).select(*item, pos, "__next")
+    ends = cells.groupBy(*item, "__cell").agg(F.min(pos).alias("__from"), F.max(pos).alias(pos))
+    between = ends.withColumn("__next", F.lead("__from").over(Window.partitionBy(*item).orderBy("__cell"))).select(*item, pos, "__next")
+    missing = inside.unionByName(between).where(F.col("__next") > F.col(pos) + 1)
+    return missing.select(*item, (F.col(pos) + 1).alias("first"), (F.col("__next") - 1).alias("last"), (F.col("__next") - F.col(pos) - 1).alias("length"))
+
+
+def coalesce_extents(extents: DataFrame, item: list[str], seq: str, pos: str, width: int = WIDTH) -> DataFrame:
+    """Extents that follow each other both in the file and in the source become one. Extents that repeat count once.
+
+    Such a run has one distance of pos and seq, so that it is an island of seq within that distance.
+    """
+    runs = islands(extents.withColumn("__d", F.col(pos) - F.col(seq)), [*item, "__d"], seq, width)
+    return runs.select(*item, F.col("first").alias("first_seq"), (F.col("first") + F.col("__d")).alias("first_pos"), "length")
 
 
-def surviving_fragments(units: DataFrame, item: str, seq: str, size: str, ok: str, declared: str) -> DataFrame:
+def surviving_fragments(units: DataFrame, item: str, seq: str, size: str, ok: str, declared: str, width: int = WIDTH) -> DataFrame:
     """Runs of readable units, with their offset and length clipped to the declared size."""
-    w = Window.partitionBy(item).orderBy(seq)
-    u = units.withColumn("__off", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    u = u.withColumn("__run", F.sum(F.when(F.col(ok), 0).otherwise(1)).over(w)).where(ok)
+    u = running(units, [item], seq, {"__off": F.col(size), "__run": F.when(F.col(ok), 0).otherwise(1)}, width).where(ok)
     u = u.withColumn("__len", F.greatest(F.lit(0), F.least(F.col(size), F.col(declared) - F.col("__off")))).where("__len > 0")
     return u.groupBy(item, "__run").agg(F.min("__off").alias("offset"), F.sum("__len").alias("bytes"), F.count("*").alias("units")).drop("__run")
 
@@ -77,66 +116,79 @@ def complete_units(units: DataFrame, item: str, attempt: str, pos: str, good: st
     return full.select(item, attempt, pos, F.coalesce(F.col(good), F.lit(False)).alias(good), F.col(payload))
 
 
-def composite(units: DataFrame, item: str, attempt: str, pos: str, good: str, payload: str) -> tuple[DataFrame, DataFrame]:
+def _copies(units: DataFrame, item: str, pos: str, good: str, payload: str, width: int, *more: Column) -> DataFrame:
+    """Per position (item, __cell, pos): copies that are good, and __clash, whether two of them differ (a null and a value do)."""
+    value = F.when(F.col(good), F.col(payload))
+    cells = units.groupBy(item, cell_of(pos, width), pos).agg(F.count_if(F.col(good)).alias("copies"), F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__set"), *more)
+    clash = F.coalesce(F.col("__lo") != F.col("__hi"), F.lit(False)) | ((F.col("__set") > 0) & (F.col("__set") < F.col("copies")))
+    return cells.withColumn("__clash", clash).drop("__lo", "__hi", "__set")
+
+
+def _by_cell(units: DataFrame, items: DataFrame, item: str, pos: str, width: int) -> DataFrame:
+    """Columns of ``items``, one row a cell of the item, so that no task gets all of its positions."""
+    return met(units.select(item, cell_of(pos, width)).distinct(), items, [item])
+
+
+def composite(units: DataFrame, item: str, attempt: str, pos: str, good: str, payload: str, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(merged positions, refused items with reason and conflicts).
 
     The base is the attempt with the least damage, of equals the newest. A position that is bad there is filled from the first
     attempt in that order where it is good. Attempts that cover different numbers of positions refuse the item (mixed_totals), and so do
     two good copies that differ (conflict): nothing is padded and nothing is voted on.
     Returned positions have source (null: unresolved) and filled (whether it is not from the base; false where unresolved).
+
+    Units meet by position; the order of an item's attempts is a short list, which its cells are given.
     """
-    dealt = units.repartition(item)  # damage, order and cells of an item share this shuffle
-    one = Window.partitionBy(item)
-    per = Window.partitionBy(item, attempt)
-    marked = dealt.withColumns({"__bad": F.count_if(~F.col(good)).over(per), "__size": F.count("*").over(per)})
-    ranked = marked.withColumns({"__rank": F.dense_rank().over(one.orderBy("__bad", F.desc(attempt))), "__mixed": F.min("__size").over(one) != F.max("__size").over(one)})
-    fine = F.when(F.col(good), F.col("__rank"))
-    value = F.when(F.col(good), F.col(payload))
-    cells = ranked.groupBy(item, pos).agg(
-        F.min_by(F.when(F.col(good), F.col(attempt)), fine).alias("source"), F.min(fine).alias("__first"), F.max("__mixed").alias("__mixed"), F.count("*").alias("__n"),
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count_if(F.col(good) & F.col(payload).isNull()).alias("__null"), F.count_if(F.col(good)).alias("__good"),
-    )
-    clash = F.coalesce(F.col("__lo") != F.col("__hi"), F.lit(False)) | ((F.col("__null") > 0) & (F.col("__null") < F.col("__good")))
-    judged = cells.withColumns({"__conflicts": F.count_if(clash).over(one), "__mixed": F.max("__mixed").over(one)})
-    bad = F.col("__mixed") | (F.col("__conflicts") > 0)
-    reason = F.when(F.col("__mixed"), "mixed_totals").otherwise("conflict")
-    refused = judged.where(bad).groupBy(item).agg(F.first(reason).alias("reason"), F.max("__conflicts").alias("conflicts"))
-    merged = judged.where(~bad).select(item, pos, "source", F.coalesce(F.col("__first") > 1, F.lit(False)).alias("filled"))
-    return merged, refused
+    sizes = units.groupBy(item, attempt).agg(F.count_if(~F.col(good)).alias("__bad"), F.count("*").alias("__size"))
+    ranked = sizes.withColumn("__rank", F.row_number().over(Window.partitionBy(item).orderBy("__bad", F.desc(attempt))))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("__rank", F.col(attempt).alias("a")))), lambda x: x["a"])
+    items = ranked.groupBy(item).agg(order.alias("__order"), (F.min("__size") != F.max("__size")).alias("__mixed"))
+    cells = _copies(units, item, pos, good, payload, width, F.collect_set(F.when(F.col(good), F.col(attempt))).alias("__from"))
+    conflicts = cells.where("__clash").groupBy(item).agg(F.count("*").alias("conflicts"))
+    judged = met(items, conflicts, [item], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0).cast("long")))
+    bad = F.col("__mixed") | (F.col("conflicts") > 0)
+    refused = judged.where(bad).select(item, F.when(F.col("__mixed"), "mixed_totals").otherwise("conflict").alias("reason"), "conflicts")
+    merged = met(cells, _by_cell(units, judged.where(~bad).select(item, "__order"), item, pos, width), [item, "__cell"])
+    source = F.try_element_at(F.filter("__order", lambda a: F.array_contains("__from", a)), F.lit(1))
+    return merged.select(item, pos, source.alias("source"), F.coalesce(source != F.element_at("__order", 1), F.lit(False)).alias("filled")), refused
+
+
+def _states(cells: DataFrame) -> Column:
+    return F.when(F.col("copies") == 0, "unreadable").when(F.col("__clash"), "conflict").when(F.col("copies") > 1, "corroborated").otherwise("single")
 
 
 def consensus(units: DataFrame, item: str, pos: str, source: str, good: str, payload: str) -> DataFrame:
-    """Per position: corroborated, single, conflict or unreadable, with the sources that read it."""
-    ok = F.col(good)
-    agg = units.groupBy(item, pos).agg(F.count_if(ok).alias("copies"), F.min(F.when(ok, F.col(payload))).alias("__lo"), F.max(F.when(ok, F.col(payload))).alias("__hi"), F.array_sort(F.collect_set(F.when(ok, F.col(source)))).alias("sources"))
-    state = F.when(F.col("copies") == 0, "unreadable").when(F.col("__lo") != F.col("__hi"), "conflict").when(F.col("copies") > 1, "corroborated").otherwise("single")
-    return agg.select(item, pos, "copies", state.alias("state"), "sources")
+    """Per position: corroborated, single, conflict or unreadable, with the sources that read it. A null payload is a value of its own."""
+    cells = _copies(units, item, pos, good, payload, WIDTH, F.array_sort(F.collect_set(F.when(F.col(good), F.col(source)))).alias("sources"))
+    return cells.select(item, pos, "copies", _states(cells).alias("state"), "sources")
 
 
-def consensus_of_one_item(units: DataFrame, item: str, pos: str, source: str, good: str, payload: str, width: int, controls: int = 2, least: int = 16) -> tuple[DataFrame, DataFrame]:
+def consensus_of_one_item(units: DataFrame, item: str, pos: str, source: str, good: str, payload: str, width: int, controls: int = 2, least: int = 16, cell: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(``consensus`` rows of accepted items, refused items with reason).
 
     The first ``controls`` blocks of ``width`` positions that the item's first source reads in full are its controls. Every other source has to
     hold at least ``least`` control positions with the same payload (else: identity), and no control position may be in conflict.
+
+    Units meet once, by position, with the short list of their good copies; all else are counts by block, and the controls alone are opened.
     """
-    block = F.floor(F.col(pos) / F.lit(width)).alias("__block")
-    first = units.groupBy(item).agg(F.min(source).alias("__first"), F.countDistinct(source).alias("__sources"))
-    base = units.join(first, item).where(F.col(source) == F.col("__first")).select(item, pos, block, F.col(good).alias("__ok"), F.col(payload).alias("__p"))
-    full = base.groupBy(item, "__block").agg(F.count_if("__ok").alias("__n")).where(F.col("__n") == width)
+    read = F.collect_list(F.when(F.col(good), F.struct(F.col(source).alias("s"), F.col(payload).alias("p")))).alias("__read")
+    cells = _copies(units, item, pos, good, payload, cell, read)
+    items = units.groupBy(item).agg(F.min(source).alias("__first"), F.collect_set(source).alias("__all"))
+    dealt = met(cells, _by_cell(units, items.select(item, "__first"), item, pos, cell), [item, "__cell"])
+    based = dealt.withColumns({"__base": F.filter("__read", lambda r: r["s"] == F.col("__first")), "__block": F.floor(F.col(pos) / F.lit(width))})
+    full = based.groupBy(item, "__block").agg(F.count_if(F.size("__base") > 0).alias("__n")).where(F.col("__n") == width)
     chosen = full.withColumn("__nth", F.row_number().over(Window.partitionBy(item).orderBy("__block"))).where(F.col("__nth") <= controls).select(item, "__block")
-    held = base.join(chosen, [item, "__block"]).select(item, pos, "__p")
-    match = units.join(held, [item, pos]).where(F.col(good) & F.col(payload).eqNullSafe(F.col("__p"))).groupBy(item, source).agg(F.count("*").alias("__match"))
-    others = units.select(item, source).distinct().join(first, item).where(F.col(source) != F.col("__first")).join(match, [item, source], "left")
-    strange = others.groupBy(item).agg(F.min(F.coalesce("__match", F.lit(0))).alias("__match")).where(F.col("__match") < least).select(item, F.lit("identity").alias("reason"))
-    rows = consensus(units, item, pos, source, good, payload)
-    torn = rows.where("state = 'conflict'").join(held.select(item, pos), [item, pos], "left_semi").select(item, F.lit("control_conflict").alias("reason")).distinct()
+    held = met(based, chosen.withColumn("__control", F.lit(True)), [item, "__block"])
+    agreeing = F.filter("__read", lambda r: F.exists("__base", lambda x: x["p"].eqNullSafe(r["p"])))
+    matches = held.select(item, F.explode(F.array_distinct(F.transform(agreeing, lambda r: r["s"]))).alias("__s")).groupBy(item, "__s").agg(F.count("*").alias("__match"))
+    others = items.select(item, "__first", F.explode("__all").alias("__s")).where("__s <> __first")
+    strange = met(others, matches, [item, "__s"], "left").where(F.coalesce("__match", F.lit(0)) < least).select(item, F.lit("identity").alias("reason"))
+    torn = held.where("__clash").select(item, F.lit("control_conflict").alias("reason"))
     refused = strange.unionByName(torn).groupBy(item).agg(F.max("reason").alias("reason"))  # identity before control_conflict
-    return rows.join(refused, item, "left_anti"), refused
-
-
-def keep_first(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """All rows with rank in their group of equal keys and rejected (not the first)."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("rejected", F.col("rank") > 1)
+    kept = met(items, refused.withColumn("__no", F.lit(True)), [item], "left").where("__no IS NULL").select(item)
+    rows = met(cells, _by_cell(units, kept, item, pos, cell), [item, "__cell"])
+    sources = F.array_sort(F.array_distinct(F.transform("__read", lambda r: r["s"])))
+    return rows.select(item, pos, "copies", _states(rows).alias("state"), sources.alias("sources")), refused
 
 
 def numbered_name(name: Column, k: Column) -> Column:
@@ -146,16 +198,6 @@ def numbered_name(name: Column, k: Column) -> Column:
     return F.when(k > 1, F.concat(stem, F.lit(" [recovered copy "), k.cast("string"), F.lit("]"), ext)).otherwise(name)
 
 
-def unique_names(rows: DataFrame, name: str, order: list[Column], rounds: int = 4) -> DataFrame:
-    """``unique_name``: the kth claimant of a name (case ignored) gets `` [recovered copy k]``; later rounds give a higher number where
-    the new name is taken. ``clash`` marks rows whose name is still taken by an earlier row after all rounds."""
-    nth = F.row_number().over(Window.partitionBy(F.lower("unique_name")).orderBy(*order))
-    out = rows.withColumns({"unique_name": F.col(name), "__k": F.lit(1)})
-    for _ in range(rounds):
-        out = out.withColumn("__nth", nth).withColumn("__k", F.col("__k") + F.col("__nth") - 1).withColumn("unique_name", numbered_name(F.col(name), F.col("__k")))
-    return out.withColumn("clash", nth > 1).drop("__k", "__nth")
-
-
 def pause_time(events: DataFrame, session: str, ts: str, kind: str, pause: str, resume: str) -> DataFrame:
     """Seconds paused per session: repeated pauses are ignored, an open pause ends with the session's last event."""
     w = Window.partitionBy(session).orderBy(ts, kind)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, paths
 from ..operators import aggregates as agg
-from ..operators import carving, generations, joins, windows
+from ..operators import carving, generations, joins, ranks, windows
 from ..sources import logs, readers, sinks
 
 QUERIES: dict = {}
@@ -819,7 +819,7 @@ def _(t):
 
 @query("w12_keep_first", "SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rank, rank > 1 AS rejected FROM documents")
 def _(t):
-    return windows.keep_first(t("documents").select("doc_id", F.sha2("text", 256).alias("sha")), "sha", [F.col("doc_id")]).drop("sha")
+    return ranks.keep_first(t("documents").select("doc_id", F.sha2("text", 256).alias("sha")), "sha", [F.col("doc_id")]).drop("sha")
 
 
 @query("carve_elements", """
@@ -836,7 +836,7 @@ def _(t):
 
 @query("w13_unique_names", "SELECT p_partkey, CASE WHEN k > 1 THEN p_brand || ' [recovered copy ' || CAST(k AS VARCHAR) || '].doc' ELSE p_brand || '.doc' END AS unique_name, FALSE AS clash FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS k FROM part)")
 def _(t):
-    return windows.unique_names(t("part").select("p_partkey", F.concat("p_brand", F.lit(".doc")).alias("name")), "name", [F.col("p_partkey")]).select("p_partkey", "unique_name", "clash")
+    return ranks.unique_names(t("part").select("p_partkey", F.concat("p_brand", F.lit(".doc")).alias("name")), "name", [F.col("p_partkey")]).select("p_partkey", "unique_name", "clash")
 
 
 @query("w14_pass_attribution", """

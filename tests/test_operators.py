@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import codes, paths
-from tessera.operators import aggregates, generations, joins, windows
+from tessera.operators import aggregates, generations, joins, ranks, windows
 from tessera.sources import logs, readers, sinks
 
 
@@ -227,9 +227,9 @@ def test_sequences_names_and_logs(spark):
     got = windows.sequence_faults(e, "s", "seq", "ms", "kind", "start", "end")
     assert rows(got, "s", "events", "gaps", "backward", "bad_start", "extra_starts", "after_finish") == [("s", 5, 3, 1, 0, 1, 1), ("t", 1, 0, 0, 1, 0, 0)]
     n = spark.createDataFrame([(1, "A.doc"), (2, "a.DOC"), (3, "a [recovered copy 2].doc"), (4, "d/x"), (5, "a.doc"), (6, "D/x")], "k int, n string")
-    got = windows.unique_names(n, "n", [F.col("k")])
+    got = ranks.unique_names(n, "n", [F.col("k")])
     assert [r.unique_name for r in got.orderBy("k").collect()] == ["A.doc", "a [recovered copy 2].DOC", "a [recovered copy 2] [recovered copy 2].doc", "d/x", "a [recovered copy 3].doc", "D/x [recovered copy 2]"] and not any(r.clash for r in got.collect())
-    assert [r.clash for r in windows.unique_names(n, "n", [F.col("k")], 0).orderBy("k").collect()] == [False, True, False, False, True, True]
+    assert [r.clash for r in ranks.unique_names(n, "n", [F.col("k")], 0).orderBy("k").collect()] == [False, True, False, False, True, True]
     logs = spark.createDataFrame([(7, "x/007.txt"), (7, "x/007_attempt_1.log"), (8, "008_retry.log"), (8, "008b.log"), (9, "note.log")], "i int, p string")
     assert rows(windows.primary_log(logs, "i", "p"), "i", "p", "score") == [(7, "x/007.txt", 100), (8, "008b.log", 70)]
     u = spark.createDataFrame([("i", 1, 5), ("i", 2, 5), ("i", 2, 6)], "i string, a int, p int")
