@@ -14,8 +14,8 @@ from .ranks import HOT_ROWS, ranked
 SAME, MOVED, CHANGED = "same_path_and_hash", "same_hash_different_path", "same_path_changed_bytes"
 MISSING, CURRENT_ONLY = "missing_from_current", "current_only"
 SALTS = 64
-#: needles that are sent to every executor; more of them are joined by a shuffle
-BROADCAST_NEEDLES = 20_000
+#: windows of needles, and bytes of their texts, that are sent to every executor; more of them are joined by a shuffle
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def folded(path: Column) -> Column:
@@ -156,19 +156,61 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str, fields: list
     return both.select(key, F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(same, "same").otherwise("changed").alias("change")).where("change <> 'same'")
 
 
-def snapshot_digest(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row: the number of rows and a digest that does not depend on their order (the sum of row hashes modulo 2**61 - 1, in two lanes)."""
+def leaf_digits(rows: int, per_leaf: int = 4096) -> int:
+    """Hex digits of a key's hash that name a leaf of a digest tree, so that a leaf has about ``per_leaf`` rows."""
+    digits = 2
+    while rows > per_leaf << (4 * digits):
+        digits += 2
+    return digits
+
+
+def _hashed(rows: DataFrame, key: str, fields: list[str], digits: int) -> DataFrame:
+    """prefix (of the key's SHA-256) and the SHA-256 of key and fields, nulls included."""
     row = F.to_json(F.struct(key, *fields), {"ignoreNullFields": "false"})
-    lane = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), row), F.lit((1 << 31) - 1)))
-    return rows.agg(F.count("*").alias("rows"), F.coalesce(lane("a"), F.lit(0)).alias("digest_a"), F.coalesce(lane("b"), F.lit(0)).alias("digest_b"))
+    return rows.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits).alias("prefix"), F.sha2(row, 256).alias("digest"))
+
+
+def digest_tree(rows: DataFrame, key: str, fields: list[str], digits: int) -> list[DataFrame]:
+    """The levels of a tree of digests, leaves first: prefix, rows, digest. A leaf's digest is the SHA-256 of the sorted digests of its rows, a
+    node's that of the digests of its at most 256 children in the order of their prefixes, two hex digits a level; the root's prefix is empty.
+
+    Null keys are one leaf with a null prefix, a child of the root. Groups stay small if ``digits`` comes from ``leaf_digits``.
+    """
+    leaves = _hashed(rows, key, fields, digits).groupBy("prefix").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"))
+    levels = [leaves]
+    for n in range(digits - 2, -1, -2):
+        children = F.array_sort(F.collect_list(F.struct("prefix", "digest")))
+        up = levels[-1].groupBy((F.substring("prefix", 1, n) if n else F.lit("")).alias("__up")).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"))
+        levels.append(up.withColumnRenamed("__up", "prefix"))
+    return levels
+
+
+def snapshot_digest(rows: DataFrame, key: str, fields: list[str], digits: int | None = None) -> DataFrame:
+    """One row: the number of rows and the root of ``digest_tree``, which does not depend on their order. Without rows, the digest is that of nothing."""
+    root = digest_tree(rows, key, fields, digits or leaf_digits(rows.count()))[-1]
+    return root.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))
+
+
+def changed_leaves(before: DataFrame, after: DataFrame, key: str, fields: list[str], digits: int) -> DataFrame:
+    """Prefixes of the leaves whose rows differ."""
+    a, b = (digest_tree(x, key, fields, digits)[0].withColumnsRenamed({"prefix": f"__{n}", "digest": f"__d{n}"}).drop("rows") for n, x in (("a", before), ("b", after)))
+    both = a.join(b, F.col("__a").eqNullSafe(F.col("__b")), "full_outer").where(~F.col("__da").eqNullSafe(F.col("__db")))
+    return both.select(F.coalesce("__a", "__b").alias("prefix"))
+
+
+def changes_in_leaves(before: DataFrame, after: DataFrame, key: str, fields: list[str], digits: int) -> DataFrame:
+    """``snapshot_changes`` of the rows of changed leaves alone: all other rows are the same. Null keys take no part."""
+    leaves = changed_leaves(before, after, key, fields, digits)
+    inside = lambda df: df.join(leaves, F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits) == F.col("prefix"), "left_semi")
+    return snapshot_changes(inside(before), inside(after), key, fields)
 
 
-def changed_during_run(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row: rows and digests of the inventory at both ends of a run, and whether they differ."""
-    ends = snapshot_digest(before, key, fields).withColumn("__end", F.lit(0)).unionByName(snapshot_digest(after, key, fields).withColumn("__end", F.lit(1)))
+def changed_during_run(before: DataFrame, after: DataFrame, key: str, fields: list[str], digits: int | None = None) -> DataFrame:
+    """One row: rows of the inventory at both ends of a run, and whether their digests differ."""
+    digits = digits or leaf_digits(before.count())
+    ends = snapshot_digest(before, key, fields, digits).withColumn("__end", F.lit(0)).unionByName(snapshot_digest(after, key, fields, digits).withColumn("__end", F.lit(1)))
     one = lambda c, e: F.max(F.when(F.col("__end") == e, F.col(c)))
-    changed = reduce(lambda x, y: x | y, [one(c, 0) != one(c, 1) for c in ("rows", "digest_a", "digest_b")])
-    return ends.agg(one("rows", 0).alias("rows_before"), one("rows", 1).alias("rows_after"), changed.alias("changed_during_run"))
+    return ends.agg(one("rows", 0).alias("rows_before"), one("rows", 1).alias("rows_after"), (one("digest", 0) != one("digest", 1)).alias("changed_during_run"))
 
 
 def cut(content: Column, size: int) -> Column:
@@ -240,17 +282,19 @@ def containment(needles: DataFrame, haystacks: DataFrame, needle_id: str, needle
     n = needles.where(F.length(needle) >= least).select(needle_id, F.col(needle).alias("__needle"))
     window = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("__needle") - anchor + 1), lambda i: F.xxhash64(F.substring(F.col("__needle"), i, F.lit(anchor))))).alias("__w", "__h")
     windows = n.select(needle_id, window)
-    few = n.count() <= BROADCAST_NEEDLES
+    size = n.agg(F.coalesce(F.sum(F.length("__needle") - anchor + 1), F.lit(0)).alias("windows"), F.coalesce(F.sum(F.octet_length("__needle")), F.lit(0)).alias("bytes")).first()
+    few, light = size.windows <= BROADCAST_WINDOWS, size.bytes <= BROADCAST_BYTES
     # A cell and the start of the next one; a cell starts at every multiple of the stride.
     texts = haystacks.select(hay_id, cut(F.col(hay), stride).alias("__cells"))
     probe = F.transform("__cells", lambda x, i: F.substring(F.concat(x, F.coalesce(F.try_element_at("__cells", i + 2), F.lit(""))), 1, anchor))
     probes = texts.select(hay_id, F.posexplode(probe).alias("__cell", "__probe")).where(F.length("__probe") == anchor)
     probes = probes.select(hay_id, (F.col("__cell") * stride).cast("long").alias("__at"), F.xxhash64("__probe").alias("__h"))
     places = probes.join(F.broadcast(windows) if few else windows, "__h").select(needle_id, hay_id, (F.col("__at") - F.col("__w")).alias("__place")).where("__place >= 0").distinct()
-    known = places.join(F.broadcast(n) if few else n, needle_id)
+    known = places.join(F.broadcast(n) if light else n, needle_id)
     whole = known.join(haystacks.select(hay_id, F.col(hay).alias("__hay")), hay_id).where(F.substring(F.col("__hay"), (F.col("__place") + 1).cast("int"), F.length("__needle")) == F.col("__needle"))
-    found = whole.groupBy(needle_id, hay_id).agg(F.array_sort(F.collect_list("__place")).alias("__all"))
-    return found.select(needle_id, hay_id, F.element_at("__all", 1).alias("offset"), F.slice("__all", 1, most).alias("offsets"), (F.size("__all") >= most).alias("further_unknown"))
+    nth = F.row_number().over(Window.partitionBy(needle_id, hay_id).orderBy("__place"))  # no more than ``most`` places leave a task
+    found = whole.select(needle_id, hay_id, "__place").withColumn("__nth", nth).where(F.col("__nth") <= most).groupBy(needle_id, hay_id).agg(F.array_sort(F.collect_list("__place")).alias("offsets"))
+    return found.select(needle_id, hay_id, F.element_at("offsets", 1).alias("offset"), "offsets", (F.size("offsets") >= most).alias("further_unknown"))
 
 
 def trace_extents(extents: DataFrame, item: str, seq: str, payload: str) -> DataFrame:

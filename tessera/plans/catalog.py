@@ -514,7 +514,7 @@ def _(t):
 def _(t):
     g = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("lo"), F.max("l_linestatus").alias("hi"))
     derived = F.when((F.col("lo") == "F") & (F.col("hi") == "F"), "F").when((F.col("lo") == "O") & (F.col("hi") == "O"), "O").otherwise("P")
-    return t("orders").join(g, "o_orderkey").select("o_orderkey", F.col("o_orderstatus").alias("claimed"), derived.alias("derived")).where(F.lower("claimed") != F.lower("derived"))
+    return joins.status_disagreement(t("orders").select("o_orderkey", F.col("o_orderstatus").alias("claimed")), g.select("o_orderkey", derived.alias("derived")), "o_orderkey")
 
 
 @query("j22_retirable", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import joins, windows
 from ..sources import logs, readers
 from .catalog import ORACLE_SQL, QUERIES, query
 
@@ -133,3 +133,65 @@ def _(t):
 @query("src6_refused_listings", f"WITH {LISTING} SELECT file, reason FROM x WHERE reason IS NOT NULL")
 def _(t):
     return _listings(t)[1]
+
+
+# Digest trees: two states of the parts --------------------------------------------------------------------------------
+TREE = """r AS (SELECT p_partkey, substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 4) AS b, p_size + CASE WHEN p_partkey % 97 = 3 THEN 1 ELSE 0 END AS new, p_size, p_brand FROM part),
+d AS (SELECT b, sha256('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || ',"p_brand":"' || p_brand || '"}') AS old, sha256('{"p_partkey":' || p_partkey || ',"p_size":' || new || ',"p_brand":"' || p_brand || '"}') AS new, p_partkey FROM r),
+l AS (SELECT b AS prefix, count(*) AS rows, sha256(string_agg(old, '' ORDER BY old)) AS digest, sha256(string_agg(new, '' ORDER BY new) FILTER (p_partkey % 89 <> 5)) AS now FROM d GROUP BY 1),
+n AS (SELECT substr(prefix, 1, 2) AS prefix, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(digest, '' ORDER BY prefix)) AS digest FROM l GROUP BY 1)"""
+
+
+def _part_states(t):
+    before = t("part").select("p_partkey", "p_size", "p_brand")
+    size = F.when(F.col("p_partkey") % 97 == 3, F.col("p_size") + 1).otherwise(F.col("p_size"))
+    return before, before.where("p_partkey % 89 <> 5").withColumn("p_size", size)
+
+
+@query("j26_digest_tree", f"WITH {TREE} SELECT prefix, rows, digest FROM l UNION ALL SELECT * FROM n UNION ALL SELECT '' AS prefix, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(digest, '' ORDER BY prefix)) AS digest FROM n")
+def _(t):
+    leaves, nodes, root = joins.digest_tree(_part_states(t)[0], "p_partkey", ["p_size", "p_brand"], 4)
+    return leaves.unionByName(nodes).unionByName(root)
+
+
+@query("j26_changed_leaves", f"WITH {TREE} SELECT prefix FROM l WHERE digest IS DISTINCT FROM now")
+def _(t):
+    return joins.changed_leaves(*_part_states(t), "p_partkey", ["p_size", "p_brand"], 4)
+
+
+@query("j26_changes_in_leaves", "SELECT p_partkey, CASE WHEN p_partkey % 89 = 5 THEN 'removed' ELSE 'changed' END AS change FROM part WHERE p_partkey % 89 = 5 OR p_partkey % 97 = 3")
+def _(t):
+    return joins.changes_in_leaves(*_part_states(t), "p_partkey", ["p_size", "p_brand"], 4)
+
+
+# Consensus by the rule itself: two control blocks of 16 positions, 16 matches ------------------------------------------------
+W17 = """u AS (SELECT o_custkey // 40 AS item, (o_custkey % 40) * 4 + n % 4 AS pos, n // 4 % 2 AS source, o_orderkey % 153 > 0 AS good, CASE WHEN o_orderkey % 301 = 0 THEN 'x' WHEN o_orderkey % 307 = 0 THEN NULL ELSE 'y' END AS payload
+           FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)),
+p AS (SELECT item, pos, count(*) FILTER (good) AS copies, count(DISTINCT coalesce(payload, '-')) FILTER (good) > 1 AS clash, list_sort(list_distinct(list(source) FILTER (good))) AS sources FROM u GROUP BY 1, 2),
+f AS (SELECT item, min(source) AS first FROM u GROUP BY 1),
+g AS (SELECT item, pos, any_value(coalesce(payload, '-')) AS base FROM u JOIN f USING (item) WHERE source = first AND good GROUP BY 1, 2),
+k AS (SELECT item, pos // 16 AS block, row_number() OVER (PARTITION BY item ORDER BY pos // 16) AS nth FROM g GROUP BY 1, 2 HAVING count(*) = 16),
+c AS (SELECT g.item, pos, base FROM g JOIN k ON g.item = k.item AND g.pos // 16 = k.block AND nth <= 2),
+m AS (SELECT item, source, count(*) AS n FROM u JOIN c USING (item, pos) WHERE good AND coalesce(payload, '-') = base GROUP BY 1, 2),
+x AS (SELECT item, 'identity' AS reason FROM (SELECT DISTINCT item, source FROM u) s JOIN f USING (item) LEFT JOIN m USING (item, source) WHERE source <> first AND coalesce(n, 0) < 16
+      UNION ALL SELECT item, 'control_conflict' AS reason FROM c JOIN p USING (item, pos) WHERE clash),
+y AS (SELECT item, max(reason) AS reason FROM x GROUP BY 1)"""
+
+
+def _sixteen(t):
+    n = F.row_number().over(windows.Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = t("orders").select("o_custkey", "o_orderkey", n.alias("n"))
+    key = F.col("o_orderkey")
+    payload = F.when(key % 301 == 0, "x").when(key % 307 == 0, F.lit(None)).otherwise("y")
+    u = o.select(F.floor(F.col("o_custkey") / 40).alias("item"), (F.col("o_custkey") % 40 * 4 + F.col("n") % 4).alias("pos"), (F.floor(F.col("n") / 4) % 2).alias("source"), (key % 153 > 0).alias("good"), payload.alias("payload"))
+    return windows.consensus_of_one_item(u, "item", "pos", "source", "good", "payload", 16)
+
+
+@query("w17_sixteen_matches", f"WITH {W17} SELECT item, pos, copies, CASE WHEN copies = 0 THEN 'unreadable' WHEN clash THEN 'conflict' WHEN copies > 1 THEN 'corroborated' ELSE 'single' END AS state, coalesce(array_to_string(sources, ','), '') AS sources FROM p WHERE item NOT IN (SELECT item FROM y)")
+def _(t):
+    return _sixteen(t)[0].withColumn("sources", F.array_join("sources", ","))
+
+
+@query("w17_sixteen_refused", f"WITH {W17} SELECT * FROM y")
+def _(t):
+    return _sixteen(t)[1]

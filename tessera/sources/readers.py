@@ -123,6 +123,18 @@ def read_listing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_listing(decode_listing(raw), "file", "text")
 
 
+def binary_cells(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """pos, cell, sha of the cells of ``size`` bytes (128 to 4096) of one file, which may be too large for a row: Spark reads its fixed-length
+    records in splits. A file that does not end with a whole cell is refused; an empty one has no cells."""
+    if not 128 <= size <= 4096:
+        raise ValueError("cells have 128 to 4096 bytes")
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getLen() % size:
+        raise ValueError("the last cell is not whole")
+    records = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
+    return spark.createDataFrame(records, "pos long, cell binary").withColumn("sha", F.sha2("cell", 256))
+
+
 def hash_inventory(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return df.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha"))

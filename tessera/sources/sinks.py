@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def safe_cell(value: Column) -> Column:
@@ -18,8 +21,12 @@ def safe_line(df: DataFrame) -> Column:
 
 
 def write_safe_csv(df: DataFrame, path: str) -> None:
-    """Quoted lines with a header line in every part file. There is no byte-order mark: it would have to stand in each part."""
+    """Quoted lines with a header line in every part file, and in one alone if there is no row. There is no byte-order mark: it would have
+    to stand in each part."""
     head = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(path)
+        return
     lines = df.select(F.monotonically_increasing_id().alias("__id"), safe_line(df).alias("value"))
     first = F.col("__id") % F.lit(1 << 33) == 0  # the first row of a partition, which is a part file
     lines.select(F.when(first, F.concat(F.lit(head + "\r\n"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.option("lineSep", "\r\n").text(path)
@@ -41,18 +48,63 @@ def content_key(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def _commits(spark: SparkSession, path: str):
+    """(file system, folder of commit records, number of the next one, batches that records name, in order)."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return fs, folder, 0, []
+    names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(folder)) if n.isdigit())
+    batches = []
+    for n in names:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, n))
+        try:
+            batches.append(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    return fs, folder, int(names[-1]) + 1 if names else 0, [b for b in batches if len(b) == 32]  # a record cut short by a crash names none
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Published rows (with content_sha): those of committed batches alone."""
+    batches = _commits(spark, path)[3]
+    full = StructType([*(f for f in schema.fields if f.name != "content_sha"), StructField("content_sha", StringType())])
+    return spark.read.schema(full).parquet(*[f"{path}/rows/{b}" for b in batches]) if batches else spark.createDataFrame([], full)
+
+
 def write_snapshot(df: DataFrame, path: str, key: str) -> int:
-    """Append rows that are not there yet; equal content is reused, other content under a known key is refused. Rows written."""
+    """Publish rows that are not there yet; equal content is reused, two contents of one key are refused, in the batch too. Rows published.
+
+    A batch is a folder of its own, which readers do not see before its commit record. Records are numbered and created only where there is none: of
+    two writers at once one gets the number, the other compares itself with what is there now and takes the next. A job that is
+    repeated finds its rows published and adds nothing; what it left without a commit is never read. A row without a key is refused.
+    """
     spark = df.sparkSession
-    new = df.withColumn("content_sha", content_key(df))
-    spark.createDataFrame([], new.schema).write.mode("append").parquet(path)
-    old = spark.read.schema(new.schema).parquet(path).select(F.col(key), F.col("content_sha").alias("old_sha"))
-    if not new.join(old, key).where("content_sha <> old_sha").isEmpty():
-        raise ValueError("published content differs")
-    fresh = new.join(old, key, "left_anti")
-    n = fresh.count()
-    fresh.write.mode("append").parquet(path)
-    return n
+    new = df.withColumn("content_sha", content_key(df)).dropDuplicates([key, "content_sha"])
+    faults = new.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1))
+    if not faults.isEmpty():
+        raise ValueError("a batch holds two contents of one key, or a row without a key")
+    batch = uuid.uuid4().hex
+    while True:
+        fs, folder, number, _ = _commits(spark, path)
+        old = read_snapshot(spark, path, df.schema).select(F.col(key), F.col("content_sha").alias("old_sha"))
+        if not new.join(old, key).where("content_sha <> old_sha").isEmpty():
+            raise ValueError("published content differs")
+        fresh = new.join(old, key, "left_anti")
+        n = fresh.count()
+        if not n:
+            return 0
+        fresh.write.mode("overwrite").parquet(f"{path}/rows/{batch}")
+        try:
+            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}"), False)
+        except Exception as e:
+            if "AlreadyExists" not in str(e) and "already exists" not in str(e):
+                raise
+            continue  # another writer was first: look at what it has published
+        out.write(bytearray(batch.encode()))
+        out.close()
+        return n
 
 
 def verify_manifest(manifest: DataFrame, stored: DataFrame, path: str = "path") -> DataFrame:

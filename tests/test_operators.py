@@ -348,11 +348,80 @@ def test_pairs_pace_and_latest_state_on_streams(spark, tmp_path):
 def test_snapshot_is_idempotent_and_refuses_changes(spark, tmp_path):
     import pytest
 
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    assert sinks.write_snapshot(df, str(tmp_path / "s"), "k") == 2
-    assert sinks.write_snapshot(df, str(tmp_path / "s"), "k") == 0
-    with pytest.raises(ValueError):
-        sinks.write_snapshot(df.withColumn("v", F.lit("z")), str(tmp_path / "s"), "k")
+    path, schema = str(tmp_path / "s"), "k int, v string"
+    df = spark.createDataFrame([(1, "a"), (2, None), (1, "a")], schema)
+    published = lambda: rows(sinks.read_snapshot(spark, path, df.schema), "k", "v")
+    assert published() == [] and sinks.write_snapshot(df.limit(0), path, "k") == 0
+    assert sinks.write_snapshot(df, path, "k") == 2  # a row that is repeated is published once
+    assert sinks.write_snapshot(df, path, "k") == 0  # so is a job
+    for bad in ([(1, "z")], [(3, "x"), (3, "y")], [(4, None), (4, "")], [(None, "x")]):
+        with pytest.raises(ValueError):
+            sinks.write_snapshot(spark.createDataFrame(bad, schema), path, "k")
+    assert published() == [(1, "a"), (2, None)]
+    assert sinks.write_snapshot(spark.createDataFrame([(1, "a"), (3, "c")], schema), path, "k") == 1
+
+
+def test_snapshot_readers_go_by_commit_records(spark, tmp_path, monkeypatch):
+    path, schema = tmp_path / "s", "k int, v string"
+    one, two = (spark.createDataFrame([r], schema) for r in ((1, "a"), (2, "b")))
+    sinks.write_snapshot(one, str(path), "k")
+    # What a lost job left, and a record that was cut short, are not read.
+    two.withColumn("content_sha", F.lit("x")).write.parquet(str(path / "rows" / "lost"))
+    (path / "commits" / "000000000001").write_text("half")
+    assert rows(sinks.read_snapshot(spark, str(path), one.schema), "k") == [(1,)]
+    # Another writer takes the number between the look and the record: the loser looks again, and finds its row published.
+    look, calls = sinks._commits, []
+
+    def late(s, p):
+        got = look(s, p)
+        if not calls and calls.append(1) is None:
+            monkeypatch.setattr(sinks, "_commits", look)
+            assert sinks.write_snapshot(two, p, "k") == 1
+        return got
+
+    monkeypatch.setattr(sinks, "_commits", late)
+    assert sinks.write_snapshot(two, str(path), "k") == 0
+    assert rows(sinks.read_snapshot(spark, str(path), one.schema), "k", "v") == [(1, "a"), (2, "b")]
+
+
+def test_safe_csv_of_an_empty_table_has_a_header(spark, tmp_path):
+    sinks.write_safe_csv(spark.createDataFrame([], 'a string, `b"c` int'), str(tmp_path / "c"))
+    assert [p.read_bytes() for p in (tmp_path / "c").glob("part-*")] == [b'"a","b""c"\r\n']
+
+
+def test_digest_tree_tells_changed_leaves(spark):
+    rng = random.Random(2)
+    data = [(i, rng.choice(("x", None, "y"))) for i in range(500)]
+    schema = "k int, v string"
+    a, b = spark.createDataFrame(data, schema).repartition(4), spark.createDataFrame(data[::-1], schema).repartition(2)
+    for digits in (2, 4):
+        assert joins.digest_tree(a, "k", ["v"], digits)[-1].collect() == joins.digest_tree(b, "k", ["v"], digits)[-1].collect()
+        assert joins.changed_leaves(a, b, "k", ["v"], digits).count() == 0
+        other = spark.createDataFrame([(i, "new" if i in (7, 70) else v) for i, v in data if i != 9] + [(900, None)], schema)
+        assert rows(joins.changes_in_leaves(a, other, "k", ["v"], digits), "k", "change") == [(7, "changed"), (9, "removed"), (70, "changed"), (900, "added")]
+        assert 1 <= joins.changed_leaves(a, other, "k", ["v"], digits).count() <= 4
+    # A null and a value, and repeated rows, are told apart.
+    less = spark.createDataFrame([*data, data[0]], schema)
+    assert [r.changed_during_run for r in joins.changed_during_run(a, less, "k", ["v"]).collect()] == [True]
+    assert [tuple(r) for r in joins.changed_during_run(a.limit(0), a.limit(0), "k", ["v"]).collect()] == [(0, 0, False)]
+    assert (joins.leaf_digits(10), joins.leaf_digits(4096 << 8), joins.leaf_digits((4096 << 8) + 1)) == (2, 2, 4)
+
+
+def test_binary_cells_of_a_large_file(spark, tmp_path):
+    import hashlib
+
+    import pytest
+
+    body = random.Random(1).randbytes(512 * 5000)
+    (tmp_path / "image").write_bytes(body)
+    got = rows(readers.binary_cells(spark, str(tmp_path / "image"), 512), "pos", "sha")
+    assert got == [(i, hashlib.sha256(body[i * 512 : i * 512 + 512]).hexdigest()) for i in range(5000)]
+    (tmp_path / "torn").write_bytes(body[:-1])
+    (tmp_path / "empty").write_bytes(b"")
+    assert readers.binary_cells(spark, str(tmp_path / "empty"), 512).count() == 0
+    for size, name in ((512, "torn"), (64, "image")):
+        with pytest.raises(ValueError):
+            readers.binary_cells(spark, str(tmp_path / name), size)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -405,3 +474,22 @@ def test_carving_by_format(spark):
     part = carving.readable_regions(regions, cut, "i", "c")
     assert rows(carving.carve(part, "i", "offset", "c"), "i", "offset", "state") == [(1, 0, "kept"), (1, at[2] - 10, "rejected")]
     assert carving.carve(regions.limit(0), "i", "o", "c").count() == 0
+
+
+def test_carving_ends_in_linear_time(spark):
+    import time
+
+    from tessera.operators import carving
+
+    open_groups = b"{\\rtf1 a" * 120_000  # a megabyte of groups that never end
+    closed = b"{\\rtf1 a" * 60_000 + b"}" * 59_999
+    markers = carving.between(b"<h>", b"</h>")
+    regions = spark.createDataFrame([(1, 0, open_groups), (2, 0, closed), (3, 0, b"<h>" * 300_000)], "i int, o long, c binary")
+    start = time.time()
+    got = carving.carve(regions, "i", "o", "c")
+    assert rows(got.where("i < 3").groupBy("i", "state").count(), "i", "state", "count") == [(1, "limit", 1), (1, "rejected", 1024), (2, "kept", 1), (2, "rejected", 1)]
+    whole = carving.carve(regions.where("i <> 2"), "i", "o", "c", {**carving.FORMATS, "h": markers}, None, None)
+    assert rows(whole.groupBy("i", "state").count(), "i", "state", "count") == [(1, "rejected", 120_000), (3, "rejected", 300_000)]
+    assert time.time() - start < 60
+    work = carving.carve(regions.where("i = 1"), "i", "o", "c", max_work=1000)
+    assert rows(work, "state") == [("limit",), ("rejected",)]
