@@ -113,21 +113,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> np.ndarray:
     """Weights (slots and, last, the constant, which is not penalised; by domain) of rows of 0 and 1 with one-hot domains, by accelerated descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    lift = np.ones(x.shape[1])
+    kind = x.dtype  # all in one type: no copies of the rows
+    x, y = np.hstack([x, np.ones((len(x), 1), kind)]), y.astype(kind)
+    lift = np.ones(x.shape[1], kind)
     for _ in range(30):  # the largest curvature, by power iteration
         lift = x.T @ (x @ lift)
         curve = float(np.linalg.norm(lift))
         lift /= curve
-    pull = np.full((x.shape[1], 1), penalty)
+    pull = np.full((x.shape[1], 1), penalty, kind)
     pull[-1] = 0
-    w = ahead = np.zeros((x.shape[1], y.shape[1]))
-    t = 1.0
+    w = ahead = np.zeros((x.shape[1], y.shape[1]), kind)
+    pace, t = kind.type(1 / (0.55 * curve + penalty)), 1.0
     for _ in range(steps):
-        new = ahead - (x.T @ (softmax(x @ ahead) - y) + pull * ahead) / (0.55 * curve + penalty)
+        new = ahead - pace * (x.T @ (softmax(x @ ahead) - y) + pull * ahead)
         t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
-        w, ahead = new, new + (last - 1) / t * (new - w)
-    return w
+        w, ahead = new, new + kind.type((last - 1) / t) * (new - w)
+    return w.astype(float)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_train: int = 20000) -> Classifier:

@@ -479,7 +479,7 @@ def test_mixing_posteriors_and_rates_by_brute_force(spark):
 
 def test_mixing_logistic_regression_is_at_its_optimum():
     rng = np.random.default_rng(2)
-    x = (rng.random((300, 12)) < 0.3).astype(np.float32)
+    x = (rng.random((300, 12)) < 0.3).astype(float)
     y = np.eye(3)[np.argmax(x[:, :3] * 2 + rng.gumbel(size=(300, 3)), axis=1)]
     w = mixing.fit_logistic(x, y, 1.0, steps=2000)
     slope = x.T @ (mixing.softmax(x @ w[:-1] + w[-1]) - y) + w[:-1]
