@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .scratch import Records
+
 
 def safe_cell(value: Column) -> Column:
     """A value that no spreadsheet runs as a formula."""
@@ -48,27 +50,17 @@ def content_key(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def _commits(spark: SparkSession, path: str):
-    """(file system, folder of commit records, number of the next one, batches that records name, in order)."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return fs, folder, 0, []
-    names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(folder)) if n.isdigit())
-    batches = []
-    for n in names:
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, n))
-        try:
-            batches.append(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-    return fs, folder, int(names[-1]) + 1 if names else 0, [b for b in batches if len(b) == 32]  # a record cut short by a crash names none
+def _commits(spark: SparkSession, path: str) -> tuple[Records, int, list[str]]:
+    """(commit records, number of the next one, batches that records name, in order)."""
+    records = Records(spark, f"{path}/commits")
+    names = [n for n in records.names() if n.isdigit()]
+    batches = [records.read(n) for n in names]
+    return records, int(names[-1]) + 1 if names else 0, [b for b in batches if len(b) == 32]  # a record cut short by a crash names none
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Published rows (with content_sha): those of committed batches alone."""
-    batches = _commits(spark, path)[3]
+    batches = _commits(spark, path)[2]
     full = StructType([*(f for f in schema.fields if f.name != "content_sha"), StructField("content_sha", StringType())])
     return spark.read.schema(full).parquet(*[f"{path}/rows/{b}" for b in batches]) if batches else spark.createDataFrame([], full)
 
@@ -87,7 +79,7 @@ def write_snapshot(df: DataFrame, path: str, key: str) -> int:
         raise ValueError("a batch holds two contents of one key, or a row without a key")
     batch = uuid.uuid4().hex
     while True:
-        fs, folder, number, _ = _commits(spark, path)
+        records, number, _ = _commits(spark, path)
         old = read_snapshot(spark, path, df.schema).select(F.col(key), F.col("content_sha").alias("old_sha"))
         if not new.join(old, key).where("content_sha <> old_sha").isEmpty():
             raise ValueError("published content differs")
@@ -96,15 +88,9 @@ def write_snapshot(df: DataFrame, path: str, key: str) -> int:
         if not n:
             return 0
         fresh.write.mode("overwrite").parquet(f"{path}/rows/{batch}")
-        try:
-            out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}"), False)
-        except Exception as e:
-            if "AlreadyExists" not in str(e) and "already exists" not in str(e):
-                raise
-            continue  # another writer was first: look at what it has published
-        out.write(bytearray(batch.encode()))
-        out.close()
-        return n
+        if records.create(f"{number:012d}", batch):
+            return n
+        # Another writer was first: look at what it has published.
 
 
 def verify_manifest(manifest: DataFrame, stored: DataFrame, path: str = "path") -> DataFrame:

@@ -339,10 +339,63 @@ def test_pairs_pace_and_latest_state_on_streams(spark, tmp_path):
     merge = events.merge_latest(str(tmp_path / "state"), ["k"], "n", 4)
     for epoch, x in ((0, [("a", "queued", 1), ("b", "queued", 1)]), (3, [("a", "done", 2)]), (3, [("a", "done", 2)]), (4, [("c", "failed", 3), ("b", "old", 0)])):
         merge(batch(x), epoch)
-    now = events.latest_state(spark, str(tmp_path / "state"), batch([]))
+    now = events.latest_state(spark, str(tmp_path / "state"), batch([]).schema)
     assert rows(now, "k", "v") == [("a", "done"), ("b", "queued"), ("c", "failed")] and rows(events.pending(now, "v"), "k") == [("b",), ("c",)]
     truth = batch([("a", "done", 2), ("b", "queued", 1), ("c", "lost", 3)])
-    assert rows(events.reconcile(now.drop("slot"), truth, ["k"]), "k", "only_in") == [("c", "batch"), ("c", "stream")]
+    assert rows(events.reconcile(now, truth, ["k"]), "k", "only_in") == [("c", "batch"), ("c", "stream")]
+
+
+def test_latest_state_keeps_two_versions_and_survives_restarts(spark, tmp_path):
+    from tessera.streaming import events
+
+    path = tmp_path / "state"
+    batch = lambda x: spark.createDataFrame(x, "k string, n int, v string")
+    assert events.latest_state(spark, str(path), batch([]).schema) is None
+    merge = events.merge_latest(str(path), ["k"], "n", 4)
+    for epoch in range(12):
+        merge(batch([(f"k{i}", epoch, f"v{epoch}") for i in range(40)]), epoch)
+    merge(batch([]), 12)
+    state = lambda: dict(rows(events.latest_state(spark, str(path), batch([]).schema), "k", "v"))
+    assert state() == {f"k{i}": "v11" for i in range(40)}
+    assert len(list((path / "rows").glob("version=*/slot=*"))) == 8 and len(list((path / "live").glob("[0-9]*"))) == 2
+    # A query with a new checkpoint starts at epoch 0 again, and a batch that is repeated or old changes nothing.
+    again = events.merge_latest(str(path), ["k"], "n", 4)
+    again(batch([("k1", 20, "new"), ("k2", 3, "old")]), 0)
+    again(batch([("k1", 20, "new"), ("k2", 3, "old")]), 0)
+    assert state() == {f"k{i}": "v11" for i in range(40)} | {"k1": "new"}
+    # Rows without a pointer, and a pointer that was cut short, are not read.
+    batch([("k1", 99, "lost")]).write.parquet(str(path / "rows" / "version=99" / "slot=0"))
+    (path / "live" / "000000000098").write_text('{"0":')
+    assert state()["k1"] == "new"
+    merge(batch([("k3", 30, "last")]), 1)
+    assert state()["k3"] == "last" and state()["k1"] == "new"
+
+
+def test_late_rows_go_to_quarantine(spark, tmp_path):
+    from tessera.streaming import events
+
+    source, schema = str(tmp_path / "in"), "k int, at long"
+    stamped = lambda data: spark.createDataFrame(data, schema).withColumn("ts", F.timestamp_seconds("at"))
+    parts = [[(1, 1000), (2, 5000)], [(3, 4401), (4, 4399), (5, None), (6, 9000)], [(7, 8400), (8, 8399)], [(9, 1), (10, 9001)]]
+    kept = str(tmp_path / "kept")
+
+    def run(n):
+        for i in n:
+            stamped(parts[i]).coalesce(1).write.mode("append").parquet(source)
+            split = events.quarantine_late(str(tmp_path / "q"), "ts", lambda df, epoch: df.write.mode("overwrite").parquet(f"{kept}/epoch={epoch}"))
+            q = spark.readStream.schema(stamped([]).schema).parquet(source).writeStream.foreachBatch(split).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            q.awaitTermination(60)
+            assert q.exception() is None
+
+    run([0, 1])
+    run([2, 3])  # a restarted query goes on with the watermark that was written down
+    late = rows(spark.read.parquet(str(tmp_path / "q" / "late")), "k", "reason")
+    assert late == [(4, "late"), (5, "no_time"), (8, "late"), (9, "late")]
+    assert sorted(r.k for r in spark.read.parquet(kept).collect()) == [1, 2, 3, 6, 7, 10]
+    # A batch that is repeated is split as before.
+    again = []
+    events.quarantine_late(str(tmp_path / "q"), "ts", lambda df, epoch: again.extend(r.k for r in df.collect()))(stamped(parts[3]), 3)
+    assert again == [10] and rows(spark.read.parquet(str(tmp_path / "q" / "late")), "k", "reason") == late
 
 
 def test_snapshot_is_idempotent_and_refuses_changes(spark, tmp_path):
