@@ -67,6 +67,16 @@ def delivery(path: Column) -> Column:
     return F.struct(F.array_join(whole, "/").alias("path"), method.alias("method"))
 
 
+def counted(path: Column) -> Column:
+    """Whether a file counts as coverage: it is not below a system folder."""
+    return ~F.arrays_overlap(parts(F.lower(path)), F.array(*map(F.lit, SYSTEM_FOLDERS[:2])))
+
+
+def reachable(path: Column) -> Column:
+    """Whether a file was found through the file system: no part of its path is a folder of recoveries."""
+    return ~F.arrays_overlap(parts(F.lower(path)), F.array(*map(F.lit, (*SIGNATURE_FOLDERS[1:], DIRECTORY_FOLDER, FRAGMENT_FOLDER))))
+
+
 def eligible(path: Column, internal_prefix: str = "__") -> Column:
     return ~file_name(path).startswith(internal_prefix) & ~F.arrays_overlap(parts(F.lower(path)), F.array(*map(F.lit, SYSTEM_FOLDERS[:2])))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import joins, windows
+from ..operators import generations, joins, windows
 from ..sources import logs, readers
 from .catalog import ORACLE_SQL, QUERIES, query
 
@@ -195,3 +195,39 @@ def _(t):
 @query("w17_sixteen_refused", f"WITH {W17} SELECT * FROM y")
 def _(t):
     return _sixteen(t)[1]
+
+
+# Generations: every document is in up to four recoveries of its item; some lose it, find it by signature or name it ----------------------
+CHOICE = """f0 AS (SELECT doc_id // 12 AS item, unnest([1, 2, 3, 4]) AS g, doc_id AS d, sha256(text) AS sha, strlen(text) AS bytes FROM documents),
+f AS (SELECT item, g, {'s': sha, 'n': bytes} AS key, bytes, d % 29 <> 0 AS counted, NOT (d % 7 = 0 AND g < 3) AS reach, d % 5 < g AND d % 31 > g AS named FROM f0 WHERE d % 61 <> g AND (g < 4 OR item % 5 > 0)),
+x AS (SELECT DISTINCT item FROM f WHERE item % 17 = 3 AND g = 2),
+b AS (SELECT item, g, key, count(*) AS n, count(*) FILTER (reach) AS r FROM f WHERE counted GROUP BY ALL),
+t AS (SELECT item, g, count(*) FILTER (counted) AS files, coalesce(CAST(sum(bytes) FILTER (counted) AS BIGINT), 0) AS bytes, count(*) FILTER (counted AND reach) AS reachable, count(*) FILTER (counted AND named) AS names,
+      row_number() OVER (PARTITION BY item ORDER BY g) AS step FROM f WHERE item NOT IN (SELECT item FROM x) GROUP BY item, g),
+p AS (SELECT o.item, o.step AS old, n.step AS new, n.names >= o.names AND NOT EXISTS (SELECT 1 FROM b WHERE b.item = o.item AND b.g = o.g AND NOT EXISTS (SELECT 1 FROM b AS c WHERE c.item = n.item AND c.g = n.g AND c.key = b.key AND c.n >= b.n AND c.r >= b.r)) AS ok
+      FROM t AS o JOIN t AS n ON o.item = n.item AND n.step > o.step),
+c AS (SELECT item, step, step AS chosen, CAST(NULL AS BIGINT) AS before, TRUE AS ok FROM t WHERE step = 1
+      UNION ALL SELECT c.item, p.new AS step, CASE WHEN p.ok THEN p.new ELSE c.chosen END AS chosen, c.chosen AS before, p.ok FROM c JOIN p ON p.item = c.item AND p.old = c.chosen AND p.new = c.step + 1)"""
+
+
+def _choice(t):
+    d, g = F.col("doc_id"), F.col("g")
+    f = t("documents").select("doc_id", F.floor(d / 12).alias("item"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("g"))
+    f = f.where((d % 61 != g) & ((g < 4) | (F.col("item") % 5 > 0)))
+    folder = F.when(d % 29 == 0, "System Volume Information\\x").when((d % 7 == 0) & (g < 3), "DirectoryRecovery/").otherwise("docs/")
+    image = F.when((F.col("item") % 17 == 3) & (g == 2), "other").otherwise("image")
+    f = f.withColumns({"path": F.concat(folder, d.cast("string")), "image": image, "named": (d % 5 < g) & (d % 31 > g)})
+    return generations.generation_choice(f, "item", "g", "image", "path", "sha", "bytes", F.col("named"))
+
+
+@query("w15_generation_choice", f"""WITH RECURSIVE {CHOICE}
+SELECT t.item, t.g AS generation, CASE WHEN c.ok THEN 'promoted' ELSE 'alternate' END AS state,
+  CASE WHEN NOT c.ok THEN 'loses' WHEN before IS NULL THEN 'first' WHEN t.files > o.files THEN 'more' WHEN t.names > o.names THEN 'names' ELSE 'newer' END AS reason, t.files, t.bytes, t.reachable, t.names
+FROM c JOIN t USING (item, step) LEFT JOIN t AS o ON o.item = c.item AND o.step = c.before""")
+def _(t):
+    return _choice(t)[0]
+
+
+@query("w15_refused_items", f"WITH {CHOICE.split('b AS (SELECT item, g, key')[0].rstrip().rstrip(',')} SELECT item, 'different_images' AS reason FROM x")
+def _(t):
+    return _choice(t)[1]

@@ -199,6 +199,17 @@ def test_generation_fold_brute_force(spark):
     assert got == want
 
 
+def test_generation_choice_reasons_and_binding(spark):
+    f = lambda g, path, sha, named=False, image="i", item="d": (item, g, image, path, sha, 1, named)
+    data = [f(1, "a", "x"), f(2, "a", "x"), f(2, "b", "y"), f(3, "a", "x"), f(4, "a", "x"), f(4, "b", "y", True), f(5, "a", "x", True), f(5, "b", "y"), f(6, "FragmentRecovery\\a", "x", True), f(6, "b", "y", True)]
+    data += [f(1, "$Recycle.Bin/a", "x", item="e"), f(2, "a", "x", item="e"), f(1, "a", "x", item="r"), f(2, "a", "x", image="j", item="r"), f(1, "a", "x", image=None, item="n"), f(1, "b", "x", image="i", item="n")]
+    df = spark.createDataFrame(data, "item string, g int, image string, path string, sha string, bytes long, named boolean")
+    got, refused = generations.generation_choice(df, "item", "g", "image", "path", "sha", "bytes", F.col("named"))
+    assert rows(got.where("item = 'd'"), "generation", "state", "reason") == [(1, "promoted", "first"), (2, "promoted", "more"), (3, "alternate", "loses"), (4, "promoted", "names"), (5, "promoted", "newer"), (6, "alternate", "loses")]
+    assert rows(got.where("item = 'e'"), "generation", "reason", "files", "bytes", "reachable") == [(1, "first", 0, 0, 0), (2, "more", 1, 1, 1)]
+    assert rows(refused, "item", "reason") == [("n", "different_images"), ("r", "different_images")] and got.where("item IN ('n', 'r')").count() == 0
+
+
 def test_generation_fold_query_reads_whole_texts(spark, tmp_path):
     from tessera.plans import catalog
 
