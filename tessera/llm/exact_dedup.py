@@ -116,7 +116,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A hit of an early batch can be found again later; a hit of a late one is in the compacted run like all others.
     many = staged(reduce(DataFrame.union, hits).distinct().join(index.compact(), "digest"), "many")
     salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "n_chars"), F.lit(SALTS))).join(salted, ["digest", "salt"])
+    # By a shuffle at every size: hits grow with the corpus.
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("id", "n_chars"), F.lit(SALTS))).join(salted.hint("merge"), ["digest", "salt"])
     members = staged(met.select("digest", "id", "first_id", "n_rows", "n_chars", "whole", normalised(F.col("body")).alias("body")), "members")
     parts = F.floor((F.col("n_rows") - 1) / F.lit(PART_ROWS)) + 1
     variants, variant = [], 0
