@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import generations, joins, windows
+from ..operators import audit, generations, joins, windows
 from ..sources import logs, readers
 from .catalog import ORACLE_SQL, QUERIES, query
 
@@ -231,3 +231,51 @@ def _(t):
 @query("w15_refused_items", f"WITH {CHOICE.split('b AS (SELECT item, g, key')[0].rstrip().rstrip(',')} SELECT item, 'different_images' AS reason FROM x")
 def _(t):
     return _choice(t)[1]
+
+
+# Audit: customers as items, their orders as recovered files ---------------------------------------------------------------
+AUDIT = """o AS (SELECT o_custkey AS item, count(*) AS files, CAST(sum(o_orderkey) AS BIGINT) AS bytes, count(*) FILTER (o_orderstatus = 'P') AS issues FROM orders GROUP BY 1),
+a AS (SELECT c_custkey AS item, CASE c_custkey % 5 WHEN 0 THEN 'DERIVED' WHEN 1 THEN 'PARTIAL' ELSE 'OK' END AS status, CASE WHEN c_custkey % 5 = 1 THEN 3 ELSE 0 END AS bad, c_custkey % 41 = 0 AS unread, c_custkey % 37 > 0 AS recorded, c_custkey % 29 = 0 AS legacy,
+      c_custkey % 5 = 1 OR c_custkey % 43 = 0 OR c_custkey % 10 = 0 AS attention, c_custkey % 86 = 0 AS custody, c_custkey % 31 > 0 AS has_image, c_custkey % 23 > 0 AS readable, c_custkey % 19 = 0 AND c_custkey % 37 > 0 AS other, c_custkey % 58 = 0 AS short,
+      CASE WHEN c_custkey % 13 = 0 THEN 'manual' WHEN c_custkey % 17 = 0 THEN 'invalid' WHEN o.item IS NOT NULL THEN 'automatic' END AS kind, c_custkey % 16 > 0 AS checked, c_custkey % 14 = 0 AS native, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, issues, c_nationkey % 6 > 0 AND o.item IS NOT NULL AS converted
+      FROM customer LEFT JOIN o ON c_custkey = item),
+s AS (SELECT *, CASE WHEN NOT has_image THEN 'image_missing' WHEN NOT readable THEN 'image_unreadable' WHEN recorded AND other THEN 'image_hash_differs' END AS stop FROM a),
+e AS (SELECT *, stop IS NULL AND recorded AS hashed, kind = 'automatic' AND checked AND stop IS NULL AS files_ok, stop IS NULL AND coalesce(kind = 'automatic' AND native, FALSE) AS attn,
+      CASE WHEN stop IS NOT NULL OR kind IS NULL THEN 'MISSING' WHEN kind = 'manual' THEN 'MANUAL_UNVERIFIED' WHEN kind = 'automatic' AND checked THEN CASE WHEN native THEN 'PARTIAL_VERIFIED_FILES' ELSE 'VERIFIED' END ELSE 'INVALID' END AS ex,
+      CASE WHEN stop IS NOT NULL THEN 'NOT_RUN' WHEN NOT converted THEN 'NO_CANDIDATES' WHEN issues = 0 THEN 'VERIFIED' ELSE 'CHECK' END AS conv FROM s),
+f AS (SELECT *, CASE WHEN ex IN ('VERIFIED', 'PARTIAL_VERIFIED_FILES', 'MANUAL_UNVERIFIED') THEN files ELSE 0 END AS n, list_filter(CASE WHEN stop IS NOT NULL THEN [stop] ELSE [CASE WHEN legacy AND short THEN 'extent_differs' END, CASE WHEN legacy AND item % 3 = 0 THEN 'log_hash_differs' END,
+      CASE WHEN unread THEN 'unread_positions' END, CASE ex WHEN 'INVALID' THEN 'extraction_invalid' WHEN 'MANUAL_UNVERIFIED' THEN 'manual_recovery' WHEN 'MISSING' THEN 'no_extraction' END, CASE WHEN conv = 'CHECK' THEN 'conversion_issues' END] END, lambda x: x IS NOT NULL) AS found FROM e),
+g AS (SELECT *, hashed AND len(found) = 0 AND NOT attention AND NOT attn AND coalesce(files_ok, FALSE) AND n > 0 AS proven, stop IS NULL AND NOT legacy AND attention AND custody AS cust, stop IS NULL AND NOT legacy AND attention AND status = 'OK' AND bad = 0 AS crossed FROM f),
+r AS (SELECT item, hashed AS image_hash_verified, ex AS extraction_status, n AS extracted_files, CASE WHEN ex IN ('VERIFIED', 'PARTIAL_VERIFIED_FILES', 'MANUAL_UNVERIFIED') THEN bytes ELSE 0 END AS extracted_bytes, conv AS conversion_status,
+      CASE WHEN stop IS NULL AND converted THEN files ELSE 0 END AS conversion_jobs, CASE WHEN stop IS NULL AND converted THEN files - issues ELSE 0 END AS outputs_verified,
+      CASE WHEN cust THEN 'OPERATOR_CUSTODY_ONLY' WHEN crossed THEN 'CONFIRMED_CROSS_READER_CONFLICTS' WHEN stop IS NOT NULL THEN 'CHECK' WHEN proven THEN 'IMAGE_FILES_CONVERSIONS_VERIFIED' WHEN attention OR attn THEN CASE WHEN status = 'DERIVED' THEN 'DERIVED_RECOVERY' ELSE 'PARTIAL_IMAGE_READ' END
+           WHEN len(found) = 0 AND (n = 0 OR NOT hashed) THEN 'CHECK' WHEN conv = 'CHECK' THEN 'CHECK_CONVERSION' ELSE 'CHECK' END AS evidence_status,
+      concat_ws(';', CASE WHEN len(found) > 0 THEN array_to_string(found, ';') END, CASE WHEN stop IS NOT NULL OR proven OR len(found) > 0 THEN NULL WHEN attention OR attn THEN 'unresolved_positions' WHEN n = 0 THEN 'no_recovered_files' WHEN NOT hashed THEN 'no_recorded_hash' END,
+           CASE WHEN cust THEN 'custody_only' WHEN crossed THEN 'reader_conflicts' END) AS issues FROM g)"""
+
+
+def _audited(t):
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    orders = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("b"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"))
+    c = t("customer").select("c_custkey", "c_nationkey").join(orders, "c_custkey", "left")
+    status = F.when(k % 5 == 0, "DERIVED").when(k % 5 == 1, "PARTIAL").otherwise("OK")
+    attempts = c.select(
+        k.alias("item"), status.alias("status"), F.when(k % 5 == 1, 3).otherwise(0).alias("bad"), F.when(k % 41 == 0, 2).alias("unread"), F.when(k % 37 > 0, F.upper(F.sha2(text, 256))).alias("sha"), (k % 29 == 0).alias("legacy"),
+        ((k % 5 == 1) | (k % 43 == 0) | (k % 10 == 0)).alias("attention"), (k % 86 == 0).alias("custody"), F.when(k % 3 == 0, "x").alias("log_sha"), F.when(k % 58 == 0, 1).otherwise(512).alias("expected_bytes"),
+    )
+    images = c.where(k % 31 > 0).select(k.alias("item"), F.when(k % 23 > 0, F.sha2(F.when((k % 19 == 0) & (k % 37 > 0), "other").otherwise(text), 256)).alias("sha"), F.lit(512).alias("bytes"))
+    kind = F.when(k % 13 == 0, "manual").when(k % 17 == 0, "invalid").when(F.col("n").isNotNull(), "automatic")
+    extractions = c.where(kind.isNotNull()).select(k.alias("item"), kind.alias("kind"), (k % 16 > 0).alias("verified"), F.col("n").alias("files"), F.col("b").alias("bytes"), (k % 14 == 0).alias("attention"))
+    conversions = c.where((F.col("c_nationkey") % 6 > 0) & F.col("n").isNotNull()).select(k.alias("item"), F.col("n").alias("jobs"), (F.col("n") - F.col("partial")).alias("verified"), F.col("partial").alias("issues"))
+    return audit.audit_items(attempts, images, extractions, conversions)
+
+
+@query("agg16_evidence", f"WITH {AUDIT} SELECT * FROM r")
+def _(t):
+    return _audited(t).withColumn("issues", F.array_join("issues", ";"))
+
+
+@query("agg16_totals", f"WITH {AUDIT} SELECT count(*) AS items, count(*) FILTER (evidence_status = 'IMAGE_FILES_CONVERSIONS_VERIFIED') AS verified, count(*) FILTER (evidence_status <> 'IMAGE_FILES_CONVERSIONS_VERIFIED') AS attention FROM r")
+def _(t):
+    return audit.audit_totals(_audited(t))
