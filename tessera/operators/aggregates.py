@@ -236,3 +236,44 @@ def affected_files(damage: DataFrame, item: str, path: str, role: str, pos: str)
     one = damage.groupBy(item, path).agg(*[F.countDistinct(F.when(F.col(role) == r, F.col(pos))).alias(r) for r in ("payload", "metadata")])
     kind = F.when((F.col("payload") > 0) & (F.col("metadata") > 0), "both").when(F.col("payload") > 0, "payload").otherwise("metadata")
     return one.withColumn("incomplete", F.col("payload") > 0).withColumn("class", kind)
+
+
+def item_summaries(attempts: DataFrame, item: str, attempt: str, attention: str, bad: str, total: str, preferred: str | None = None) -> DataFrame:
+    """Per item: attempts, figures of the latest one and of the best one. The best is the preferred one, else needs no attention, has the least damage, is the newest.
+
+    One aggregation: both are the row of an extreme order, nothing is sorted.
+    """
+    first = F.coalesce(F.col(preferred), F.lit(False)) if preferred else F.lit(False)
+    needs = F.coalesce(F.col(attention), F.lit(True))
+    best = F.max_by(F.struct(F.col(attempt).alias("n"), F.col(bad).alias("b"), needs.alias("a"), F.col(total).alias("t")), F.struct(first, ~needs, -F.col(bad), F.col(attempt)))
+    latest = F.max_by(F.struct(F.col(attempt).alias("n"), F.col(bad).alias("b")), F.col(attempt))
+    g = attempts.groupBy(item).agg(F.count("*").alias("attempts"), latest.alias("l"), best.alias("x"))
+    return g.select(item, "attempts", F.col("l.n").alias("latest_attempt"), F.col("l.b").alias("latest_bad"), F.col("x.n").alias("best_attempt"), F.col("x.b").alias("best_bad"), F.col("x.a").alias("attention"), F.col("x.t").alias("total"))
+
+
+def project_rollup(summaries: DataFrame) -> DataFrame:
+    """One row of ``item_summaries``: items, attempts, items whose best attempt is fine (ok) or needs attention (partial), damage of the latest and of the best."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return summaries.agg(F.count("*").alias("items"), total("attempts").alias("attempts"), F.count_if(~F.col("attention")).alias("ok"), F.count_if("attention").alias("partial"), total("latest_bad").alias("latest_bad"), total("best_bad").alias("best_bad"))
+
+
+def counts_by(rows: DataFrame, label: Column, name: str, missing: str = "unknown") -> DataFrame:
+    """Rows by label; a null label is ``missing``."""
+    return rows.groupBy(F.coalesce(label, F.lit(missing)).alias(name)).agg(F.count("*").alias("n"))
+
+
+def impact(items: DataFrame, inspected: DataFrame, key: str, by: list[str], affected: str) -> DataFrame:
+    """By group: items inspected, items refused (without a result, which is not zero), and the sum of what is affected."""
+    j = items.select(key, *by).join(inspected.select(key, F.col(affected), F.lit(1).alias("__hit")), key, "left")
+    return j.groupBy(*by).agg(F.count("__hit").alias("inspected"), F.count_if(F.col("__hit").isNull()).alias("refused"), F.sum(affected).alias("affected"))
+
+
+def counterfactual(rows: DataFrame, by: list[str], passes: Column, gate: Column) -> DataFrame:
+    """By group: rows that pass with the gate (ok), and those that would without it."""
+    return rows.groupBy(*by).agg(F.count_if(passes & gate).alias("ok"), F.count_if(passes).alias("without_gate"))
+
+
+def verified_by_both(items: DataFrame, reports: DataFrame, key: str, own: Column, reported: Column) -> DataFrame:
+    """Items with verified: their own check and that of their report say so; a missing report says no."""
+    told = reports.select(key, F.coalesce(reported, F.lit(False)).alias("__told"))
+    return items.withColumn("__own", F.coalesce(own, F.lit(False))).join(told, key, "left").select(key, (F.col("__own") & F.coalesce("__told", F.lit(False))).alias("verified"))

@@ -288,7 +288,7 @@ def _(t):
 
 @query("p13_exclusions", "SELECT CASE WHEN lang <> 'en' THEN 'language' WHEN n_chars < 200 THEN 'short' ELSE 'selected' END AS reason, count(*) AS n FROM documents GROUP BY 1")
 def _(t):
-    return t("documents").groupBy(F.when(F.col("lang") != "en", "language").when(F.col("n_chars") < 200, "short").otherwise("selected").alias("reason")).agg(F.count("*").alias("n"))
+    return agg.counts_by(t("documents"), F.when(F.col("lang") != "en", "language").when(F.col("n_chars") < 200, "short"), "reason", "selected")
 
 
 @query("p14_single_candidate", """
@@ -528,7 +528,7 @@ def _(t):
 
 @query("j24_verified", "SELECT d.doc_id, coalesce(l.quality = 1, FALSE) AND d.n_chars > 100 AS verified FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def _(t):
-    return t("documents").join(t("labels"), "doc_id", "left").select("doc_id", (F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.col("n_chars") > 100)).alias("verified"))
+    return agg.verified_by_both(t("documents"), t("labels"), "doc_id", F.col("n_chars") > 100, F.col("quality") == 1)
 
 
 @query("j26_snapshot_changes", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 1 THEN 'removed' WHEN p_partkey % 10 = 2 THEN 'added' ELSE 'changed' END AS change FROM part WHERE p_partkey % 10 IN (1, 2, 3)")
@@ -627,25 +627,24 @@ def _(t):
 
 @query("agg10_impact", "SELECT d.source, count(l.doc_id) AS inspected, count(*) FILTER (l.doc_id IS NULL) AS refused, sum(l.toxic) AS affected FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
 def _(t):
-    j = t("documents").select("doc_id", "source").join(t("labels").withColumn("hit", F.lit(1)), "doc_id", "left")
-    return j.groupBy("source").agg(F.count("hit").alias("inspected"), F.count_if(F.col("hit").isNull()).alias("refused"), F.sum("toxic").alias("affected"))
+    return agg.impact(t("documents"), t("labels"), "doc_id", ["source"], "toxic")
 
 
 @query("agg11_class_counts", "SELECT CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'partial' ELSE 'attention' END AS class, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
     s = F.col("o_orderstatus")
-    return t("orders").groupBy(F.when(s == "F", "complete").when(s == "P", "partial").otherwise("attention").alias("class")).agg(F.count("*").alias("n"))
+    return agg.counts_by(t("orders"), F.when(s == "F", "complete").when(s == "P", "partial"), "class", "attention")
 
 
 @query("agg12_status_counts", "SELECT coalesce(CAST(l.quality AS VARCHAR), 'unknown') AS status, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
 def _(t):
-    return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+    return agg.counts_by(t("documents").select("doc_id").join(t("labels"), "doc_id", "left"), F.col("quality").cast("string"), "status")
 
 
 @query("agg13_counterfactual", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice < 100000) AS ok, count(*) FILTER (o_orderstatus = 'F') AS without_gate FROM orders GROUP BY 1")
 def _(t):
     f = F.col("o_orderstatus") == "F"
-    return t("orders").groupBy("o_orderpriority").agg(F.count_if(f & (F.col("o_totalprice") < 100000)).alias("ok"), F.count_if(f).alias("without_gate"))
+    return agg.counterfactual(t("orders"), ["o_orderpriority"], f, F.col("o_totalprice") < 100000)
 
 
 @query("agg14_consensus", """

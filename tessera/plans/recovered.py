@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, generations, joins, windows
+from ..operators import aggregates, audit, generations, joins, windows
 from ..sources import logs, readers
 from .catalog import ORACLE_SQL, QUERIES, query
 
@@ -279,3 +279,25 @@ def _(t):
 @query("agg16_totals", f"WITH {AUDIT} SELECT count(*) AS items, count(*) FILTER (evidence_status = 'IMAGE_FILES_CONVERSIONS_VERIFIED') AS verified, count(*) FILTER (evidence_status <> 'IMAGE_FILES_CONVERSIONS_VERIFIED') AS attention FROM r")
 def _(t):
     return audit.audit_totals(_audited(t))
+
+
+# Roll-up: the orders of a customer are attempts, cents of their price the damage ------------------------------------------------
+ROLLUP = """o AS (SELECT o_custkey, o_orderkey, o_orderstatus <> 'F' AS attention, CAST(floor(o_totalprice) AS BIGINT) % 500 AS bad, o_orderkey % 2880 AS total, o_orderkey % 53 = 0 AS preferred FROM orders),
+b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY preferred DESC, attention, bad, o_orderkey DESC) = 1),
+i AS (SELECT o_custkey, count(*) AS attempts, max(o.o_orderkey) AS latest_attempt, arg_max(o.bad, o.o_orderkey) AS latest_bad, any_value(b.o_orderkey) AS best_attempt, any_value(b.bad) AS best_bad, any_value(b.attention) AS attention, any_value(b.total) AS total FROM o JOIN b USING (o_custkey) GROUP BY 1)"""
+
+
+def _summaries(t):
+    key = F.col("o_orderkey")
+    o = t("orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") != "F").alias("attention"), (F.floor("o_totalprice") % 500).alias("bad"), (key % 2880).alias("total"), (key % 53 == 0).alias("preferred"))
+    return aggregates.item_summaries(o, "o_custkey", "o_orderkey", "attention", "bad", "total", "preferred")
+
+
+@query("agg1_items", f"WITH {ROLLUP} SELECT * FROM i")
+def _(t):
+    return _summaries(t)
+
+
+@query("agg1_project", f"WITH {ROLLUP} SELECT count(*) AS items, CAST(sum(attempts) AS BIGINT) AS attempts, count(*) FILTER (NOT attention) AS ok, count(*) FILTER (attention) AS partial, CAST(sum(latest_bad) AS BIGINT) AS latest_bad, CAST(sum(best_bad) AS BIGINT) AS best_bad FROM i")
+def _(t):
+    return aggregates.project_rollup(_summaries(t))

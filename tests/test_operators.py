@@ -557,3 +557,12 @@ def test_carving_ends_in_linear_time(spark):
     assert time.time() - start < 60
     work = carving.carve(regions.where("i = 1"), "i", "o", "c", max_work=1000)
     assert rows(work, "state") == [("limit",), ("rejected",)]
+
+
+def test_rollup_of_attempts(spark):
+    data = [("a", 1, True, 5, 9, None), ("a", 2, False, 7, 9, None), ("a", 3, False, 7, 9, None), ("a", 4, True, 1, 9, None), ("b", 1, True, 3, 9, True), ("b", 2, False, 0, 9, False), ("c", 1, None, 2, 9, None)]
+    df = spark.createDataFrame(data, "item string, n int, attention boolean, bad long, total long, preferred boolean")
+    s = aggregates.item_summaries(df, "item", "n", "attention", "bad", "total", "preferred")
+    assert rows(s, "item", "attempts", "latest_attempt", "latest_bad", "best_attempt", "best_bad", "attention") == [("a", 4, 4, 1, 3, 7, False), ("b", 2, 2, 0, 1, 3, True), ("c", 1, 1, 2, 1, 2, True)]
+    assert [tuple(r) for r in aggregates.project_rollup(s).collect()] == [(3, 7, 1, 2, 3, 12)]
+    assert [tuple(r) for r in aggregates.project_rollup(s.limit(0)).collect()] == [(0, 0, 0, 0, 0, 0)]
