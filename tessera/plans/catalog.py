@@ -856,7 +856,13 @@ def _(t):
     return windows.pass_attribution(log, positions, "item", "pos", "line", "kind", "number", "direction", "bad")[0]
 
 
-@query("w15_generation_fold")
+@query("w15_generation_fold", """
+WITH RECURSIVE b AS (SELECT source AS item, lang AS g, sha256(text) AS s, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT item, g, sum(n) AS files, row_number() OVER (PARTITION BY item ORDER BY g) AS step FROM b GROUP BY item, g),
+p AS (SELECT o.item, o.step AS old, n.step AS new, NOT EXISTS (SELECT 1 FROM b WHERE b.item = o.item AND b.g = o.g AND NOT EXISTS (SELECT 1 FROM b AS c WHERE c.item = n.item AND c.g = n.g AND c.s = b.s AND c.n >= b.n)) AS ok FROM t AS o JOIN t AS n ON o.item = n.item AND n.step > o.step),
+c AS (SELECT item, step, step AS chosen, CAST(NULL AS BIGINT) AS before, TRUE AS ok FROM t WHERE step = 1
+      UNION ALL SELECT c.item, p.new AS step, CASE WHEN p.ok THEN p.new ELSE c.chosen END AS chosen, c.chosen AS before, p.ok FROM c JOIN p ON p.item = c.item AND p.old = c.chosen AND p.new = c.step + 1)
+SELECT t.item, t.g AS generation, CASE WHEN c.ok THEN 'promoted' ELSE 'alternate' END AS state, CASE WHEN NOT c.ok THEN 'loses' WHEN before IS NULL THEN 'first' WHEN t.files > o.files THEN 'more' ELSE 'newer' END AS reason
+FROM c JOIN t USING (item, step) LEFT JOIN t AS o ON o.item = c.item AND o.step = c.before""")
 def _(t):
     d = t("documents").select("source", "lang", F.sha2("text", 256).alias("sha"))
     return generations.generation_fold(d, "source", "lang", "sha")
