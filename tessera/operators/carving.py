@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import SIGNATURES
+from ..sources.scratch import kept
 from .ranks import keep_first
 
 #: starts that one region may try, and bytes that its searches for ends may visit
@@ -178,7 +179,8 @@ def carve(regions: DataFrame, item: str, offset: str, content: str, formats: dic
     fields = {f.name: f.dataType.simpleString() for f in regions.select(item, offset).schema}
     schema = ", ".join([*(f"`{k}` {v}" for k, v in fields.items()), FOUND])
     found = regions.select(item, offset, F.col(content).alias("__content")).mapInArrow(_scan(formats, list(fields), max_probes, max_work), schema)
-    found = found.withColumn(offset, F.col(offset) + F.col("at")).drop("at")
+    # Regions are scanned once; what is kept of them is written, and then counted and ranked.
+    found = kept(found.withColumn(offset, F.col(offset) + F.col("at")).drop("at"))
     # What has no content has a key of its own, so that one scan serves all states.
     own = F.concat_ws(":", F.col(item).cast("string"), F.col(offset).cast("string"))
     found = keep_first(found.withColumn("__key", F.coalesce("sha", own)), "__key", [F.col(item), F.col(offset)])

@@ -22,6 +22,7 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str = "r
 
     Groups of more than ``hot_rows`` rows are dealt by range over key and order and written in that order. The place is the one in the range, plus
     the counts of the group's ranges before it; no task holds such a group. Rows of equal order may be told apart by any of their columns.
+    ``rows`` are counted first, so that what is costly to make should be written before.
     """
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     if rows.count() <= hot_rows:
