@@ -70,7 +70,7 @@ def normal_hash(text: Column) -> Column:
 
 def disposition(presence: Column, log_state: Column, attention: Column, log_file: Column, damaged: Column, status: Column) -> Column:
     """struct(action, reason) of an attempt: manual work first, then invalid output, open logs, missing logs, attention. ``presence``:
-    manual, invalid, attention (a recovery that asks for a look) or other; ``log_state`` null: no log could be read."""
+    manual, invalid, attention (a recovery that asks for a look) or other; ``log_state`` null: no log could be read. Actions and their order are fixed values."""
     action = (
         F.when(presence == "manual", "manual_recovered")
         .when(presence == "invalid", "recovery")
@@ -106,7 +106,8 @@ def dos_time(date: Column, time: Column) -> Column:
 
 
 def final_status(invalid: Column, failed: Column, sources: Column, filesystem: Column, partial: Column, imaging: Column, damaged: Column, evidence: Column, issues: Column) -> Column:
-    """One status per item in the final report; its order differs from ``item_status``: failed conversions go first, and evidence last.
+    """One status per item in the final report; its order differs from ``item_status``: failed conversions go first, and evidence last. The labels
+    and the evidence that they ask for are fixed values.
 
     ``filesystem`` tells why there are no files, ``damaged`` is null where no map is known, ``issues`` counts open ones.
     """

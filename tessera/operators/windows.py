@@ -273,7 +273,8 @@ def pass_attribution(log: DataFrame, positions: DataFrame, item: str, pos: str,
 
 def primary_log(paths: DataFrame, item: str, path: str) -> DataFrame:
     """One log per item (a number): by the stem of the file name 100 for the item itself, 90 for its attempts, 70 for other names that start
-    with it but are no scan, retry or note, 20 for the rest of those; ties go to the smallest path. Other files take no part."""
+    with it but are no scan, retry or note, 20 for the rest of those; ties go to the smallest path. Other files take no part. Words and scores are
+    fixed values."""
     name = F.regexp_extract(F.lower(F.translate(path, "\\", "/")), r"([^/]*)$", 1)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
     label = F.lpad(F.col(item).cast("string"), 3, "0")
