@@ -352,8 +352,9 @@ def claims_of(labels: DataFrame, index: DataFrame, extraction: DataFrame, item:
 
 
 def claims_against_inventory(claims: DataFrame, inventory: DataFrame, by: list[str], order: list[str], key: str, size: str) -> DataFrame:
-    """Claims with a state: duplicate (a later record of ``by``), missing from the inventory, size differs, or ok."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    """Claims with a state: duplicate (a later record of ``by``), missing from the inventory, size differs, or ok. Of records equal in
+    ``order`` that with the smaller size is first, null before all."""
+    w = Window.partitionBy(*by).orderBy(*order, size)
     have = inventory.select(key, F.col(size).alias("__have"), F.lit(True).alias("__in"))
     state = F.when(F.col("__nth") > 1, "duplicate").when(F.col("__in").isNull(), "missing").when(~F.col(size).eqNullSafe(F.col("__have")), "size").otherwise("ok")
     return claims.withColumn("__nth", F.row_number().over(w)).join(have, key, "left").withColumn("state", state).drop("__nth", "__have", "__in")

@@ -566,3 +566,11 @@ def test_rollup_of_attempts(spark):
     assert rows(s, "item", "attempts", "latest_attempt", "latest_bad", "best_attempt", "best_bad", "attention") == [("a", 4, 4, 1, 3, 7, False), ("b", 2, 2, 0, 1, 3, True), ("c", 1, 1, 2, 1, 2, True)]
     assert [tuple(r) for r in aggregates.project_rollup(s).collect()] == [(3, 7, 1, 2, 3, 12)]
     assert [tuple(r) for r in aggregates.project_rollup(s.limit(0)).collect()] == [(0, 0, 0, 0, 0, 0)]
+
+
+def test_claims_of_one_line_number_go_by_size(spark):
+    inventory = spark.createDataFrame([("a", 5)], "key string, size long")
+    for sizes, want in (((9, 5), [(5, "ok"), (9, "duplicate")]), ((5, 9), [(5, "ok"), (9, "duplicate")]), ((7, None), [(None, "size"), (7, "duplicate")])):
+        claims = spark.createDataFrame([(1, 1, "a", n) for n in sizes], "o int, line int, key string, size long").coalesce(1)
+        got = joins.claims_against_inventory(claims, inventory, ["o", "key"], ["line"], "key", "size")
+        assert sorted(((r.size, r.state) for r in got.collect()), key=str) == sorted(want, key=str)
