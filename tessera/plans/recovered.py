@@ -88,7 +88,7 @@ def _map_lines(t) -> DataFrame:
     start = F.when(s % 29 == 0, "x").when((s % 31 == 0) & (s % 19 > 0), "1048570").otherwise((p % 60).cast("string"))
     record = F.when(s % 19 == 0, F.concat(state, F.lit(" 1 > > 5"))).otherwise(F.concat_ws(" ", state, F.lit("1"), way, start, F.lit(":"), F.when(s % 31 == 0, q + 7).otherwise(q % 20 + 1).cast("string")))
     text = F.when(p % 10 == 0, "Start scan").when(p % 10 == 1, "STOP scan").when(p % 10 == 2, F.concat(F.lit("logsec="), (q + 512).cast("string"))).otherwise(F.concat(F.lit("  "), record))
-    return t("lineitem").select(F.col("l_orderkey").alias("file"), line.alias("line"), text.alias("text")).repartition("file")
+    return t("lineitem").select(F.col("l_orderkey").alias("file"), line.alias("line"), text.alias("text"))
 
 
 @query("src3_map_log", f"""WITH {MAP},

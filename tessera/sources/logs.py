@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .readers import range_states
+from .scratch import tasks_for
 
 #: fixed values: kinds of records, words of status, and the bounds and reason of a range that was not read on purpose
 RETRY_FAILED = ("SECTOR_READ_FAILED", "SECTOR_RETRY_FAILED", "READ_RETRY", "RETRY")
@@ -148,38 +148,60 @@ def map_log(lines: DataFrame, file: str, line: str, text: str, most_records: int
     A pass is what lies between two of START and STOP; it goes in the direction of its first record. A START without its STOP is in progress; else
     the log is OK without a position whose last state is E. A record with a fault refuses its file, as do more records, positions
     or a further end than the three bounds allow (None: no bound). Reasons: row, direction, number, bound; then no_records.
+    Line numbers lie below 2^62. ``lines`` are counted first, so that what is costly to make should be written before.
     """
     clean = F.trim(F.regexp_replace(F.trim(F.coalesce(F.col(text), F.lit(""))), "^﻿+", ""))
-    rows = lines.select(F.col(file).alias("file"), F.col(line).cast("long").alias("line"), clean.alias("text"))
-    words = F.split("text", r"\s+")
-    word = lambda i: F.try_element_at(words, F.lit(i))
-    mark = F.when(F.upper("text").startswith("START "), "start").when(F.upper("text").startswith("STOP "), "stop")
-    record = word(1).isin("C", "E")
-    rows = rows.withColumns({"mark": mark, "sector": F.when(F.col("text").startswith("logsec="), parse_number(F.substring_index("text", "=", -1))), "record": mark.isNull() & record})
-    # A log's passes follow its lines; logs are small by contract, and each is dealt to one task.
-    rows = rows.withColumn("pass", F.count("mark").over(Window.partitionBy("file").orderBy("line", "text")))
-    start, count = parse_number(word(5)), parse_number(word(7))
-    direction = F.when((word(3) == ">") & (word(4) == ">"), "forward").when((word(3) == "<") & (word(4) == "<"), "reverse")
-    fault = F.when((F.size(words) < 7) | ~word(6).eqNullSafe(F.lit(":")), "row").when(direction.isNull(), "direction").when(start.isNull() | count.isNull() | (count == 0), "number")
+
+    def parsed(words: Column, whole: Column) -> Column:
+        word = lambda i: F.try_element_at(words, F.lit(i))
+        mark = F.when(F.upper(whole).startswith("START "), "start").when(F.upper(whole).startswith("STOP "), "stop")
+        start, count = parse_number(word(5)), parse_number(word(7))
+        direction = F.when((word(3) == ">") & (word(4) == ">"), "forward").when((word(3) == "<") & (word(4) == "<"), "reverse")
+        state = F.when(mark.isNull() & word(1).isin("C", "E"), word(1))
+        sector = F.when(whole.startswith("logsec="), parse_number(F.substring_index(whole, "=", -1)))
+        return F.struct(
+            whole.alias("text"), mark.alias("mark"), sector.alias("sector"), state.alias("state"), direction.alias("direction"), start.alias("start"), count.alias("count"),
+            ((F.size(words) >= 7) & word(6).eqNullSafe(F.lit(":"))).alias("row"),
+        )
+
+    # Each line is split and matched once, before its file is dealt to one task; all branches read the few columns that this gives.
+    once = F.transform(F.array(clean), lambda x: F.transform(F.array(F.split(x, r"\s+")), lambda w: parsed(w, x))[0])
+    rows = lines.select(F.col(file).alias("file"), F.col(line).cast("long").alias("line"), F.inline(once)).repartition(tasks_for(lines), "file")
+    fault = F.when(~F.col("row"), "row").when(F.col("direction").isNull(), "direction").when(F.col("start").isNull() | F.col("count").isNull() | (F.col("count") == 0), "number")
     if end is not None:
-        fault = F.coalesce(fault, F.when(start.cast("decimal(38,0)") + count > end, "bound"))
-    records = rows.where("record").select("file", "line", "text", "pass", word(1).alias("state"), direction.alias("direction"), start.alias("start"), count.alias("count"), fault.alias("fault"))
-    sized = records.where("fault IS NULL").groupBy("file").agg(F.count("*").alias("records"), F.sum("count").alias("positions"), F.max(F.col("start") + F.col("count")).alias("end"))
-    first = records.where("fault IS NOT NULL").groupBy("file").agg(F.min_by(F.struct("line", F.col("fault").alias("reason")), F.struct("line", "text")).alias("f")).select("file", "f.*")
-    seen = rows.groupBy("file").agg(F.count_if(F.col("mark") == "start").alias("starts"), F.count_if(F.col("mark") == "stop").alias("stops"), F.max_by("sector", F.when(F.col("sector").isNotNull(), F.struct("line", "text"))).alias("sector_size"))
+        fault = F.coalesce(fault, F.when(F.col("start").cast("decimal(38,0)") + F.col("count") > end, "bound"))
+    rows = rows.withColumn("fault", F.when(F.col("state").isNotNull(), fault)).withColumn("good", F.col("state").isNotNull() & F.col("fault").isNull())
+    # A log's passes follow its lines; logs are small by contract. All sums over a file follow the same order of its lines.
+    of_file = Window.partitionBy("file").orderBy("line", "text")
+    whole = of_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    good = lambda value: F.when(F.col("good"), value)
+    first = F.first(F.when(F.col("fault").isNotNull(), F.struct("line", F.col("fault").alias("reason"))), ignorenulls=True)
+    rows = rows.withColumn("pass", F.count("mark").over(of_file)).withColumns({
+        "starts": F.count_if(F.col("mark") == "start").over(whole), "stops": F.count_if(F.col("mark") == "stop").over(whole), "sector_size": F.last("sector", ignorenulls=True).over(whole),
+        "records": F.count_if(F.col("good")).over(whole), "positions": F.sum(good(F.col("count"))).over(whole), "end": F.max(good(F.col("start") + F.col("count"))).over(whole), "f": first.over(whole),
+        "__nth": F.row_number().over(of_file),
+    })
     over = [F.col(c) > most for c, most in (("records", most_records), ("positions", most_positions)) if most is not None]
-    late = F.when(F.col("records").isNull(), "no_records")
+    late = F.when(F.col("records") == 0, "no_records")
     late = late.when(reduce(lambda a, b: a | b, over), "bound") if over else late
-    judged = seen.join(sized, "file", "left").join(first, "file", "left").withColumn("reason", F.coalesce("reason", late))
-    fine = judged.where("reason IS NULL").select("file", "starts", "stops", "sector_size", "end")
-    kept = records.where("fault IS NULL").join(fine.select("file"), "file", "left_semi")
-    states = range_states(kept, "file", "line", "state", "start", "count")
-    counts = states.groupBy("file").agg(F.count_if(F.col("state") == "C").alias("copied"), F.count_if(F.col("state") == "E").alias("bad"))
-    ways = kept.groupBy("file", "pass").agg(F.min_by("direction", F.struct("line", "text")).alias("way")).groupBy("file").agg(F.count_if(F.col("way") == "forward").alias("forward"), F.count_if(F.col("way") == "reverse").alias("reverse"))
-    out = fine.join(counts, "file").join(ways, "file")
+    judged = rows.withColumn("reason", F.coalesce("f.reason", late))
+    refused = judged.where("__nth = 1 AND reason IS NOT NULL").select("file", F.col("f.line").alias("line"), "reason")
+    kept = judged.where("reason IS NULL AND good")
+    # A file's first line and the first record of each of its passes carry what is counted once; C and E of one line are told apart by the last bit.
+    opens = F.coalesce(F.lag("pass").over(of_file) != F.col("pass"), F.lit(True))
+    code = F.shiftleft(F.coalesce("line", F.lit(-(1 << 61))), 1) + (F.col("state") == "E").cast("long")
+    coded = kept.select("file", "starts", "stops", "sector_size", "end", "start", "count", code.alias("code"), *[(opens & (F.col("direction") == w)).cast("long").alias(w) for w in ("forward", "reverse")])
+    at = F.posexplode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("__i", "pos")
+    each = coded.select("file", "starts", "stops", "sector_size", "end", "code", "forward", "reverse", at)
+    first = F.col("__i") == 0
+    kept_once = [F.max(c).alias(c) for c in ("starts", "stops", "sector_size", "end")]
+    last = each.groupBy("file", "pos").agg(F.max("code").alias("code"), *[F.sum(F.when(first, F.col(w))).alias(w) for w in ("forward", "reverse")], *kept_once)
+    bit = F.col("code") % 2 == 0
+    states = last.select("file", "pos", F.when(bit, "C").otherwise("E").alias("state"))
+    out = last.groupBy("file").agg(F.count_if(bit).alias("copied"), F.count_if(~bit).alias("bad"), *[F.coalesce(F.sum(w), F.lit(0).cast("long")).alias(w) for w in ("forward", "reverse")], *kept_once)
     status = F.when(F.col("starts") > F.col("stops"), "IN PROGRESS").when(F.col("bad") == 0, "OK").otherwise("PARTIAL")
     out = out.select("file", status.alias("status"), "sector_size", F.greatest(F.col("forward") + F.col("reverse"), "starts").alias("passes"), "forward", "reverse", "copied", "bad", F.col("end").alias("highest"), "starts", "stops")
-    return out, states, judged.where("reason IS NOT NULL").select("file", "line", "reason")
+    return out, states, refused
 
 
 def read_kv_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

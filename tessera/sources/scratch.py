@@ -26,6 +26,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: rows that one task is dealt
+TASK_ROWS = 1 << 18
+
+
+def tasks_for(rows: DataFrame, most: int = TASK_ROWS) -> int:
+    """How many tasks to deal ``rows`` to, so that none gets many more than ``most``: it grows with the rows, and so a task's memory does not."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+
+
 class Records:
     """Small text files of one folder, by Hadoop's file system: each is written once, whole, and only where there is none."""
 

@@ -6,6 +6,10 @@ RANGE = "UNREAD_RANGE | first=5 | end_exclusive=9 | reason=usb_fast_handoff"
 SIZE, PARTIAL = "GEOMETRY | total_sectors=9", "END | status=PARTIAL"
 
 
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def fold(spark, *files):
     lines = [(i, n, x) for i, text in enumerate(files) for n, x in enumerate(text)]
     got = logs.fold_log(logs.log_records(spark.createDataFrame(lines, "file int, line int, text string"), "file", "line", "text"))
@@ -66,6 +70,21 @@ def test_map_log_status_passes_and_bounds(spark, tmp_path):
     assert [r.highest for r in wide] == [1048577]
 
 
+def test_map_log_splits_each_line_once(spark, capsys):
+    lines = [("a", 0, "C 1 > > 0 : 3"), ("a", 1, "STOP"), ("a", 1, "E 1 > > 2 : 1"), ("a", 1, "C 1 < < 2 : 2"), ("a", None, "E 1 < < 0 : 1"), ("b", 0, None), ("c", 5, "C 1 > > x : 1"), ("c", None, "C 1 > < 1 : 1")]
+    out, states, refused = logs.map_log(spark.createDataFrame(lines, "file string, line int, text string").repartition(3), "file", "line", "text")
+    for df in (out, states, refused):
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        # The plan before any run; a line's words are made in one place, which no other branch repeats.
+        assert plan.count("split(") == 1 and plan.count("Generate inline") == 1
+    # Of one line the state E counts, and a line without a number is before all.
+    assert rows(states) == [("a", 0, "C"), ("a", 1, "C"), ("a", 2, "E"), ("a", 3, "C")]
+    assert rows(out) == [("a", "PARTIAL", None, 1, 0, 1, 3, 1, 4, 0, 0)]
+    assert rows(refused) == [("b", None, "no_records"), ("c", None, "direction")]
+
+
 def test_listings_in_any_encoding_and_unsafe_paths(spark, tmp_path):
     head, line = "a b size c d state path\n", "a b {} c d . {}\n"
     good = head + line.format(5, "Dir\\Mÿ file.doc") + line.format("x", "heading") + line.format(7, "")
