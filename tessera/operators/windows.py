@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import micros
+from ..sources.scratch import tasks_for
 
 
 #: positions of a cell
@@ -55,11 +56,15 @@ def latest_attempt(attempts: DataFrame, item: str, attempt: str) -> DataFrame:
 def islands(positions: DataFrame, item: list[str], pos: str, width: int = WIDTH) -> DataFrame:
     """Runs of consecutive positions: first, last, length. Repeated positions count once.
 
-    Runs are found in every cell; those that touch a border of their cell, two a cell at most, are stitched item by item.
+    Runs are found in every cell, by one sort: its first and last rows are those without a neighbour. Runs that touch a border of their cell, two a
+    cell at most, are stitched item by item. Positions are counted first, so that what is costly to make should be written before.
     """
-    cells = positions.select(*item, pos, cell_of(pos, width)).repartition(*item, "__cell").distinct()
-    runs = cells.withColumn("__run", F.col(pos) - F.row_number().over(Window.partitionBy(*item, "__cell").orderBy(pos)))
-    runs = runs.groupBy(*item, "__cell", "__run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("length")).drop("__run")
+    cells = _by_position(positions, item, pos, width)
+    w = Window.partitionBy(*item, "__cell").orderBy(pos)
+    lone = lambda apart: F.coalesce(apart, F.lit(True))
+    ends = cells.withColumns({"__opens": lone(F.col(pos) - 1 > F.lag(pos).over(w)), "__ends": lone(F.lead(pos).over(w) - 1 > F.col(pos))}).where("__opens OR __ends")
+    runs = ends.withColumn("last", F.when(F.col("__ends"), F.col(pos)).otherwise(F.lead(pos).over(w))).where("__opens")
+    runs = runs.select(*item, "__cell", F.col(pos).alias("first"), "last", (F.col("last") - F.col(pos) + 1).cast("long").alias("length"))
     touches = (F.col("first") == F.col("__cell") * width) | (F.col("last") == (F.col("__cell") + 1) * width - 1)
     w = Window.partitionBy(*item).orderBy("first")
     new = F.coalesce(F.lag("last").over(w) != F.col("first") - 1, F.lit(True)).cast("int")
@@ -68,13 +73,20 @@ def islands(positions: DataFrame, item: list[str], pos: str, width: int = WIDTH)
     return runs.where(~touches).drop("__cell").unionByName(stitched)
 
 
+def _by_position(positions: DataFrame, item: list[str], pos: str, width: int) -> DataFrame:
+    """Item, position and cell of ``positions`` but nulls, a cell in one task; repeats stay."""
+    return positions.where(F.col(pos).isNotNull()).select(*item, pos, cell_of(pos, width)).repartition(tasks_for(positions), *item, "__cell")
+
+
 def gaps(positions: DataFrame, item: list[str], pos: str, width: int = WIDTH) -> DataFrame:
-    """Runs of positions that are missing between the first and the last one of each item, inside cells and between them."""
-    cells = positions.select(*item, pos, cell_of(pos, width)).repartition(*item, "__cell").distinct()
+    """Runs of positions that are missing between the first and the last one of each item, inside cells and between them.
+
+    Positions are counted first, so that what is costly to make should be written before."""
+    cells = _by_position(positions, item, pos, width)
     inside = cells.withColumn("__next", F.lead(pos).over(Window.partitionBy(*item, "__cell").orderBy(pos))).select(*item, pos, "__next")
     ends = cells.groupBy(*item, "__cell").agg(F.min(pos).alias("__from"), F.max(pos).alias(pos))
     between = ends.withColumn("__next", F.lead("__from").over(Window.partitionBy(*item).orderBy("__cell"))).select(*item, pos, "__next")
-    missing = inside.unionByName(between).where(F.col("__next") > F.col(pos) + 1)
+    missing = inside.unionByName(between).where(F.col("__next") - 1 > F.col(pos))
     return missing.select(*item, (F.col(pos) + 1).alias("first"), (F.col("__next") - 1).alias("last"), (F.col("__next") - F.col(pos) - 1).alias("length"))
 
 

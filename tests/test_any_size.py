@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from tessera.operators import joins, ranks, windows
+from tessera.sources import scratch
 
 
 def rows(df, *cols):
@@ -159,3 +160,17 @@ def test_bag_match_with_hot_and_missing_keys(spark):
     match = lambda hot: Counter(map(tuple, joins.bag_match(ref, cur, ["item"], scope="scope", hot_rows=hot).collect()))
     want = match(1 << 20)
     assert match(10) == want and len(want) >= 160
+
+
+def test_runs_and_gaps_take_one_sort_of_a_bounded_share(spark, capsys, monkeypatch):
+    df = spark.range(1000).selectExpr("id % 3 AS item", "id * 2 AS pos", "id AS seq")
+    monkeypatch.setattr(scratch.tasks_for, "__defaults__", (50,))
+    made = {"islands": windows.islands(df, ["item"], "pos"), "gaps": windows.gaps(df, ["item"], "pos"), "extents": windows.coalesce_extents(df, ["item"], "seq", "pos")}
+    for name, got in made.items():
+        capsys.readouterr()
+        got.explain()
+        plan = capsys.readouterr().out
+        # Tasks grow with the rows (20 here, not the 4 of the session), and no row of a position goes through a hash table.
+        assert "__cell" in plan and ", 20), REPARTITION_BY_NUM" in plan, name
+        assert not any("HashAggregate" in x and "pos#" in x.split("functions=")[0] for x in plan.splitlines()), name
+    assert made["gaps"].count() == 997 and made["islands"].count() == 1000 == made["extents"].count()
