@@ -141,7 +141,7 @@ def _by_cell(units: DataFrame, items: DataFrame, item: str, pos: str, width: int
     return met(units.select(item, cell_of(pos, width)).distinct(), items, [item])
 
 
-def composite(units: DataFrame, item: str, attempt: str, pos: str, good: str, payload: str, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def composite(units: DataFrame, item: str, attempt: str, pos: str, good: str, payload: str, width: int = WIDTH, complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """(merged positions, refused items with reason and conflicts).
 
     The base is the attempt with the least damage, of equals the newest. A position that is bad there is filled from the first
@@ -149,18 +149,25 @@ def composite(units: DataFrame, item: str, attempt: str, pos: str, good: str, pa
     two good copies that differ (conflict): nothing is padded and nothing is voted on.
     Returned positions have source (null: unresolved) and filled (whether it is not from the base; false where unresolved).
 
-    Units meet by position; the order of an item's attempts is a short list, which its cells are given.
+    Units meet by position; the order of an item's attempts is a short list, which its cells are given. ``complete`` gives what ``complete_units``
+    would, without its rows: a position that an attempt does not have is not good, so that the least damage is the most good positions.
     """
-    sizes = units.groupBy(item, attempt).agg(F.count_if(~F.col(good)).alias("__bad"), F.count("*").alias("__size"))
+    size, bad = (F.lit(0), -F.count_if(F.col(good))) if complete else (F.count("*"), F.count_if(~F.col(good)))
+    sizes = units.groupBy(item, attempt).agg(bad.alias("__bad"), size.alias("__size"))
     ranked = sizes.withColumn("__rank", F.row_number().over(Window.partitionBy(item).orderBy("__bad", F.desc(attempt))))
     order = F.transform(F.array_sort(F.collect_list(F.struct("__rank", F.col(attempt).alias("a")))), lambda x: x["a"])
     items = ranked.groupBy(item).agg(order.alias("__order"), (F.min("__size") != F.max("__size")).alias("__mixed"))
     cells = _copies(units, item, pos, good, payload, width, F.collect_set(F.when(F.col(good), F.col(attempt))).alias("__from"))
     conflicts = cells.where("__clash").groupBy(item).agg(F.count("*").alias("conflicts"))
-    judged = met(items, conflicts, [item], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0).cast("long")))
-    bad = F.col("__mixed") | (F.col("conflicts") > 0)
-    refused = judged.where(bad).select(item, F.when(F.col("__mixed"), "mixed_totals").otherwise("conflict").alias("reason"), "conflicts")
-    merged = met(cells, _by_cell(units, judged.where(~bad).select(item, "__order"), item, pos, width), [item, "__cell"])
+    if complete:
+        refused = conflicts.select(item, F.lit("conflict").alias("reason"), "conflicts")
+        fine = met(items, conflicts, [item], "left").where("conflicts IS NULL").select(item, "__order")
+    else:
+        judged = met(items, conflicts, [item], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0).cast("long")))
+        bad = F.col("__mixed") | (F.col("conflicts") > 0)
+        refused = judged.where(bad).select(item, F.when(F.col("__mixed"), "mixed_totals").otherwise("conflict").alias("reason"), "conflicts")
+        fine = judged.where(~bad).select(item, "__order")
+    merged = met(cells, _by_cell(units, fine, item, pos, width), [item, "__cell"])
     source = F.try_element_at(F.filter("__order", lambda a: F.array_contains("__from", a)), F.lit(1))
     return merged.select(item, pos, source.alias("source"), F.coalesce(source != F.element_at("__order", 1), F.lit(False)).alias("filled")), refused
 

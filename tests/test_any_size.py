@@ -174,3 +174,18 @@ def test_runs_and_gaps_take_one_sort_of_a_bounded_share(spark, capsys, monkeypat
         assert "__cell" in plan and ", 20), REPARTITION_BY_NUM" in plan, name
         assert not any("HashAggregate" in x and "pos#" in x.split("functions=")[0] for x in plan.splitlines()), name
     assert made["gaps"].count() == 997 and made["islands"].count() == 1000 == made["extents"].count()
+
+
+def test_composite_of_incomplete_attempts_needs_no_filler_rows(spark, capsys):
+    rng = random.Random(11)
+    units = [(i, a, p, rng.random() < 0.7, str(p + (rng.random() < 0.02 * (i % 3 == 0)))) for i in range(12) for a in range(4) for p in range(15) if rng.random() < 0.5] + [(None, 1, 2, True, "x"), (None, 2, 3, True, "y")]
+    df = spark.createDataFrame(units, "item int, attempt int, pos long, good boolean, payload string").repartition(3)
+    full = windows.complete_units(df.where("item IS NOT NULL"), "item", "attempt", "pos", "good", "payload")
+    got = lambda parts: [Counter(map(tuple, x.where("item IS NOT NULL").collect())) for x in parts]
+    want = got(windows.composite(full, "item", "attempt", "pos", "good", "payload"))
+    parts = windows.composite(df, "item", "attempt", "pos", "good", "payload", 4, complete=True)
+    assert got(parts) == want and all(want)
+    assert sorted((r.pos, r.source) for r in parts[0].where("item IS NULL").collect()) == [(2, 1), (3, 2)]
+    capsys.readouterr()
+    parts[1].explain()
+    assert "Join" not in capsys.readouterr().out
