@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, audit, generations, joins, windows
 from ..sources import logs, readers
+from ..sources.scratch import kept
 from .catalog import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -40,14 +41,14 @@ def _log_lines(t) -> DataFrame:
         .when((row == 4) & (u % 2 == 0), join("UNREAD_RANGE | first=", 2800 + u % 5 * 40, " | end_exclusive=", F.when(u % 7 == 0, 2900).otherwise(3000), " | reason=usb_fast_handoff"))
         .when(row <= 5, "NOTE | lba=1").when(k == "click", bad).when(k == "purchase", end).when(k == "view", "SECTOR_READ_FAILED | lba=3").when(k == "signup", "RETRY_RECOVERED | lba=4").otherwise("NOTE | a=b")
     )
-    # Dealt once, read by every branch of the fold.
-    lines = t("events").withColumn("r", r).select(F.col("user_id").alias("file"), (F.col("r") - 1).alias("line"), text.alias("text")).repartition("file")
+    lines = t("events").withColumn("r", r).select(F.col("user_id").alias("file"), (F.col("r") - 1).alias("line"), text.alias("text"))
     stamped = F.when(F.col("line") % 2 == 1, F.concat(F.lit("[2026-01-01 00:00:00.000] "), "text")).otherwise(F.concat(F.lit("2026-01-01 00:00:00.000  "), F.translate("text", "|", " ")))
     return lines.withColumn("text", stamped)
 
 
 def _folded(t):
-    return logs.fold_log(logs.log_records(_log_lines(t), "file", "line", "text"))
+    # Lines are matched once; every branch of the fold reads what was written.
+    return logs.fold_log(kept(logs.log_records(_log_lines(t), "file", "line", "text")))
 
 
 @query("src2_log_records", f"""WITH {LOG},

@@ -1,4 +1,5 @@
-from tessera.sources import logs, readers
+from tessera.plans import recovered
+from tessera.sources import logs, readers, scratch
 
 HASH = "0f" * 32
 POLICY = "USB_HANDOFF_POLICY | retries=1"
@@ -98,3 +99,22 @@ def test_listings_in_any_encoding_and_unsafe_paths(spark, tmp_path):
     name = lambda r: r.file.rpartition("/")[2].removesuffix(".txt")
     assert sorted((name(r), r.path, r.bytes, r.state) for r in states.collect()) == [(n, "dir/mÿ file.doc", 5, "live") for n in ("bare", "marked", "utf8")]
     assert sorted((name(r), r.reason) for r in refused.collect()) == [("climb", "unsafe_path"), ("control", "unsafe_path"), ("drive", "unsafe_path"), ("latin", "encoding"), ("lone", "encoding"), ("odd", "encoding"), ("rooted", "unsafe_path")]
+
+
+def test_log_queries_match_lines_once_and_consensus_is_dealt_by_rows(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(scratch.tasks_for, "__defaults__", (50,))
+    spark.range(60).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 3 AS user_id", "'click' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(1000).selectExpr("id % 3 AS l_suppkey", "id AS l_partkey", "'A' AS l_returnflag", "0.0D AS l_discount", "'F' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    def plan(name):
+        df = recovered.QUERIES[name](spark, str(tmp_path))
+        capsys.readouterr()
+        df.explain()
+        return df, capsys.readouterr().out
+
+    for name in ("src2_log_records", "src2_log_positions"):
+        df, text = plan(name)
+        assert "/kept" in text and "events.parquet" not in text
+        assert df.count() == {"src2_log_records": 1, "src2_log_positions": 15}[name]
+    for name in ("w17_consensus", "w17_refused_items"):
+        assert ", 20), REPARTITION_BY_NUM" in plan(name)[1]
