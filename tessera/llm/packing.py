@@ -1,11 +1,12 @@
 """Lexical retrieval packing of texts into sequences of a fixed number of tokens.
 
-1. Tokens. A word's ids do not depend on its neighbours (the tokenizer drops white space before it splits), so each task
-   tokenizes a word once and keeps the ids of the words it has met. Document frequencies of all ids are counted over the
-   whole corpus; the vocabulary bounds their number.
+1. Tokens. A word's ids do not depend on its neighbours (the tokenizer drops white space before it splits), and those of plain words are
+   those of its pieces: runs of letters, digits, runs of marks. Chunks are cut into pieces at once, and a worker keeps the ids of the pieces
+   it has met in a table of fixed size. Document frequencies of all ids are counted over the whole corpus; the vocabulary bounds their number.
 2. Shards. Rows are placed by the smallest hash of a text's id pairs, hashed again, so that texts with shared phrases lie close
    together and a place says nothing about the length. Tokens are counted by slot of the places, and slots are cut into shards of about
-   ``shard_tokens`` tokens; a slot that holds more (copies of one text) is dealt into several shards. Each shard has one BM25 inverted index.
+   ``shard_tokens`` tokens; a slot that holds more (copies of one text) is dealt into several shards. Each shard has one BM25 inverted index,
+   in which frequent ids have a row of weights over all texts of the shard in place of postings.
 3. Packing. The next unused text is the seed of a window. While the window has room, the index returns unused texts by BM25 score
    for all of the seed's ids, and they are placed one after another. The last one is cut where the window ends; its rest
    opens the next window and is its seed. What a shard leaves over is cut into sequences whose lengths are powers of
@@ -18,9 +19,9 @@ ties of score go to the earlier row. An empty table gives no rows. A very long t
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -29,25 +30,88 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, staged, text_chunks
-from .textnum import mix, words
+from .textnum import mix
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CHUNK = 1 << 20
-#: words and pieces of words whose ids a worker remembers
-CACHE_WORDS = 1_000_000
-CACHE_PIECES = 150_000
-#: words whose pieces the tokenizer finds by these rules alone: visible ASCII but the apostrophe, and Latin-1 letters
-_SAFE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
-_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: slots of the table of pieces that a worker remembers, and ids it keeps for them
+TABLE_BITS = 21
+POOL_IDS = 1 << 23
+#: bytes from which a piece is hashed alone
+LONG = 64
+#: kinds of bytes: white space; ASCII letters (and the Latin-1 letters, two bytes each); digits; visible ASCII but the apostrophe; all else
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[0x21:0x7F] = _MARK
+_KINDS[0x27] = _OTHER
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+#: second bytes of Latin-1 letters (behind 0xC3): all but those of the signs of multiplication and division
+_LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
+#: masks of the first 0 to 8 bytes; what sets pieces of different sizes apart
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SIZES = mix(np.arange(1, LONG + 2, dtype=np.uint64))
+#: an id that one in so many texts of a shard has is frequent; cells of such ids that are added up at once
+DENSE = 8
+CELLS = 1 << 15
 #: ranges of the places whose tokens are counted
 SLOT_BITS = 14
 TOKENS = "doc_id long, n long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, whether it is a whole word) of the pieces: runs of letters, single digits and runs of marks of words made of these
+    alone; other words, and those with ``<|`` (special tokens), are left whole."""
+    n = len(data)
+    kind = _KINDS[data]
+    begin = np.zeros(n + 1, bool)
+    begin[offs] = True
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_LATIN[data[lead + 1]] & ~begin[lead + 1]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    cut = (kind == _DIGIT) | begin[:n]
+    cut[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(cut)
+    what = kind[at]
+    whole = np.zeros(len(at), bool)
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    odd = np.concatenate([np.flatnonzero(what == _OTHER), np.searchsorted(at, special, "right") - 1])
+    if len(odd):
+        opens = (what != _SPACE) & (begin[at] | np.concatenate([[True], what[:-1] == _SPACE]))
+        word = np.cumsum(opens)
+        whole = np.zeros(int(word[-1]) + 1, bool)
+        whole[word[odd]] = True
+        whole = whole[word] & (what != _SPACE)
+        keep = ~whole | opens
+        at, what, whole = at[keep], what[keep], whole[keep]
+    solid = what != _SPACE
+    return at[solid], np.diff(np.append(at, n))[solid], whole[solid]
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces, eight bytes at a time."""
+    raw = np.concatenate([data, np.zeros(16 - len(data) % 8, np.uint8)]).view("<u8")
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        word, shift = at >> 3, (at.astype(np.uint64) & np.uint64(7)) << np.uint64(3)
+        return (raw[word] >> shift | raw[word + 1] << np.uint64(1) << (np.uint64(63) - shift)) & _LOW[np.minimum(left, 8)]
+
+    out = mix(eight(start, size) ^ _SIZES[np.minimum(size, LONG)])
+    at, more = 8, np.flatnonzero((size > 8) & (size < LONG))
+    while len(more):
+        out[more] = mix(out[more] ^ eight(start[more] + at, size[more] - at))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class WordTokenizer:
-    """Ids of whole texts from the ids of their words."""
+    """Ids of whole texts from the ids of their pieces. A table keeps the piece seen last in each slot of the hashes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,61 +122,67 @@ class WordTokenizer:
         self.stop = self.tok.get_vocab_size(with_added_tokens=True) - 1
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(0xC0, 0x100)]
-        self.codes: dict[int, str] = {b: m for x in letters for b, m in zip(x.encode(), level.pre_tokenize_str(x)[0][0], strict=True)}
-        self.codes |= {b: chr(b) for b in range(0x21, 0x7F)}
+        codes = {chr(b): m for x in letters for b, m in zip(x.encode(), level.pre_tokenize_str(x)[0][0], strict=True)}
+        self.codes = [(b, m) for b, m in codes.items() if b != m]  # bytes of letters that the model has under another character
         self.width = "<u2" if self.stop < 65536 else "<u4"
         self._clear()
 
     def _clear(self) -> None:
-        self.pieces: dict[str, list[int]] = {}
-        self.known = np.empty(0, np.uint64)
-        self.start = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int32)
-        self.pool = np.empty(0, self.width)
-
-    def _safe_ids(self, text: str) -> list[int]:
-        """Ids of a word of safe characters: its runs of letters, single digits and runs of marks, each by the BPE model."""
-        out: list[int] = []
-        for piece in _RUNS.findall(text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.codes.__getitem__, piece.encode())))]
-            out += ids
-        return out
-
-    def _word_ids(self, texts: list[str]) -> list[list[int]]:
-        return [self._safe_ids(x) if _SAFE(x) and "<|" not in x else self.tok.encode(x, add_special_tokens=False).ids for x in texts]
+        self.known = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.start = np.zeros(1 << TABLE_BITS, np.int32)
+        self.size = np.zeros(1 << TABLE_BITS, np.int32)
+        self.pool, self.held = np.empty(POOL_IDS, self.width), 0
+
+    def _plain_ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces of letters, digits or marks, by the BPE model alone."""
+        if not pieces:
+            return []
+        text = b" ".join(pieces).decode().lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+            for byte, code in self.codes:
+                text = text.replace(byte, code)
+        return [[t.id for t in tokens] for tokens in map(self.model.tokenize, text.split(" "))]
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of new pieces, in the order of their hashes."""
+        raw, order = data.tobytes(), np.argsort(whole, kind="stable")
+        pieces = [raw[s : s + n] for s, n in zip(start[order].tolist(), size[order].tolist(), strict=True)]
+        plain = len(pieces) - int(whole.sum())
+        ids = self._plain_ids(pieces[:plain]) + [self.tok.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids for x in pieces[plain:]]
+        count, begin = np.empty((2, len(ids)), np.int64)
+        count[order] = sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin[order] = self.held + np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        if self.held + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(total, len(self.pool)), self.width)])
+        self.pool[self.held : self.held + total] = np.fromiter(chain.from_iterable(ids), self.width, total)
+        self.held += total
+        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        last = np.flatnonzero(np.append(slot[1:] != slot[:-1], True))
+        slot = slot[last]
+        self.known[slot], self.start[slot], self.size[slot] = hashes[last], begin[last], count[last]
+        return begin, count
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's END_ID included, and the n+1 bounds of the texts."""
-        w = words(data, offs, lower=False)
-        kinds, at, inv = np.unique(w.hash, return_index=True, return_inverse=True)
-        spot = np.searchsorted(self.known, kinds)
-        if len(self.known):
-            new = np.flatnonzero(self.known[np.minimum(spot, len(self.known) - 1)] != kinds)
-        else:
-            new = np.arange(len(kinds))
+        at, length, whole = _pieces(data, offs)
+        hashes = _hashes(data, at, length)
+        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        start, size = self.start[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        new = np.flatnonzero(self.known[slot] != hashes)
         if len(new):
-            raw = data.tobytes()
-            texts = [raw[s : s + n].decode("utf-8", "replace") for s, n in zip(w.start[at[new]].tolist(), w.size[at[new]].tolist(), strict=True)]
-            ids = self._word_ids(texts)
-            size = np.fromiter(map(len, ids), np.int32, len(ids))
-            begin = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.width, int(size.sum()))])
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces = {}
-            self.start = np.insert(self.start, spot[new], begin)
-            self.size = np.insert(self.size, spot[new], size)
-            self.known = np.insert(self.known, spot[new], kinds[new])
-            spot = np.searchsorted(self.known, kinds)
-        start, size = (self.start[spot][inv], self.size[spot][inv].astype(np.int64)) if len(kinds) else (np.empty(0, np.int64),) * 2
+            kinds, one, inv = np.unique(hashes[new], return_index=True, return_inverse=True)
+            one = new[one]
+            begin, count = self._learn(data, kinds, at[one], length[one], whole[one])
+            start[new], size[new] = begin[inv], count[inv]
         ends = np.concatenate([[0], np.cumsum(size)])
-        bounds = ends[w.first] + np.arange(len(offs))
+        bounds = ends[np.searchsorted(at, offs)] + np.arange(len(offs))
         out = np.full(int(bounds[-1]), END_ID, self.width)
         body = np.ones(len(out), bool)
         body[bounds[1:] - 1] = False
         out[body] = self.pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-        if len(self.known) > CACHE_WORDS:
+        if self.held > POOL_IDS:
             self._clear()
         return out, bounds
 
@@ -185,6 +255,7 @@ class Index:
     """BM25 inverted index of a shard. ``query`` returns unused texts for a seed, best first; ties go to the first text in the shard.
 
     ``terms`` None: a seed asks with all its ids, and the answer is exact; else with that many of its rarest ones. ``common``: ids that are left out.
+    Ids of at least one in ``DENSE`` texts have a row of weights over all texts (DENSE cells a posting at most), others a list of postings.
     """
 
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, common: np.ndarray, terms: int | None, k1: float = 1.2, b: float = 0.75):
@@ -195,9 +266,16 @@ class Index:
         length = np.diff(bounds)
         norm = k1 * (1 - b + b * length / max(1.0, float(length.mean())))
         weight = (idf[tok] * tf * (k1 + 1) / (tf + norm[doc])).astype(np.float32)
-        by_id = np.argsort(tok.astype(np.uint32), kind="stable")
+        frequent = np.flatnonzero(np.bincount(tok, minlength=len(idf)) * DENSE >= max(n, DENSE))
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), n))
+        row = self.row[tok]
+        dense, rest = row >= 0, np.flatnonzero(row < 0)
+        self.rows[row[dense], doc[dense]] = weight[dense]
+        by_id = rest[np.argsort(tok[rest].astype(np.uint32), kind="stable")]
         self.doc, self.weight = doc[by_id].astype(np.int32), weight[by_id]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(tok, minlength=len(idf)))])
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(tok[rest], minlength=len(idf)))])
         if terms is not None:
             order = np.lexsort((-idf[tok], doc))
             start = np.searchsorted(doc, np.arange(n + 1))
@@ -208,10 +286,15 @@ class Index:
 
     def query(self, seed: int, k: int) -> list[int]:
         asked = self.asked[self.first[seed] : self.first[seed + 1]]
-        spans = [slice(a, b) for a, b in zip(self.begin[asked].tolist(), self.begin[asked + 1].tolist(), strict=True)]
-        if not spans:
+        if not len(asked):
             return []
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.unused))
+        row, n = self.row[asked], len(self.unused)
+        asked, row = asked[row < 0], row[row >= 0]
+        spans = [slice(a, b) for a, b in zip(self.begin[asked].tolist(), self.begin[asked + 1].tolist(), strict=True)]
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), n) if spans else np.zeros(n)
+        step = max(1, CELLS // n)
+        for i in range(0, len(row), step):
+            score += np.add.reduce(self.rows[row[i : i + step]], axis=0)
         score *= self.unused
         if len(score) > k:
             kth = np.partition(score, -k)[-k]

@@ -223,6 +223,70 @@ def test_word_tokenizer_equals_tokenizer():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_word_tokenizer_by_pieces_equals_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.llm.common import string_buffers
+
+    rng = random.Random(12)
+    bits = ["a", "Zq", "the", "À", "ß", "ÿ", "×", "÷", "7", "42", "_", "--", "<|", "<", "|", "|>", "'s", "'", "\x00", "é", "e\u0301", "\u0301", "日本", "İ", "\x85", "\xa0", " ", " ", "\t", "\n", "x" * 63, "y" * 64, "ab" * 100, "endoftext", "abcdefgh", "abcdefghi", "abcdefghijklmnop"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(600)]
+    tok = Tokenizer.from_file(TOK)
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for table, pool in ((21, 1 << 23), (3, 50)):  # slots shared by many pieces, and a pool that is emptied often
+        monkeypatch.setattr(packing, "TABLE_BITS", table)
+        monkeypatch.setattr(packing, "POOL_IDS", pool)
+        word = packing.WordTokenizer(TOK)
+        for step in (600, 7):
+            for i in range(0, 600, step):
+                ids, bounds = word(*string_buffers(pa.array(texts[i : i + step])))
+                assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)] == want[i : i + step]
+
+
+def test_word_tokenizer_asks_the_model_once_a_piece():
+    import pyarrow as pa
+
+    from tessera.llm.common import string_buffers
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, piece):
+            self.calls += 1
+            return self.model.tokenize(piece)
+
+    word = packing.WordTokenizer(TOK)
+    word.model = model = Counted(word.model)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pieces = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:10]]  # 175,760
+    word(*string_buffers(pa.array([" ".join(pieces)])))
+    for mark in ",;":  # other words of the same pieces
+        word(*string_buffers(pa.array([" ".join(p + mark for p in pieces)])))
+    assert model.calls < 1.3 * len(pieces)  # pieces that share a slot are asked again
+
+
+def test_bm25_keeps_no_postings_of_frequent_ids():
+    rng = random.Random(16)
+    texts = [[*(min(rng.randrange(30), rng.randrange(30)) for _ in range(rng.randrange(1, 40))), *(rng.randrange(30, 400) for _ in range(rng.randrange(4)))] for _ in range(90)]
+    texts += texts[:30]  # copies: ties go to the first
+    ids, bounds = np.array(sum(texts, []), np.uint16), np.cumsum([0] + [len(t) for t in texts])
+    df = np.array([sum(w in t for t in texts) for w in range(400)])
+    idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = np.mean([len(t) for t in texts])
+    index = packing.Index(ids, bounds, idf, np.zeros(400, bool), None)
+    assert 0 < len(index.doc) <= sum(n for n in df.tolist() if n * packing.DENSE < len(texts)) < 0.2 * df.sum()
+    for q in range(0, 60, 7):
+        index.unused[q] = False
+        score = [round(sum(float(idf[w]) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(texts[q])), 4) for t in texts]
+        got = index.query(q, 12)
+        want = sorted((i for i in range(len(texts)) if index.unused[i] and score[i] > 0), key=lambda i: (-score[i], i))[:12]
+        assert np.allclose([score[i] for i in got], [score[i] for i in want], atol=3e-4) and len(got) == 12
+        assert all(got.index(i) < got.index(i + 90) for i in range(30) if i in got and i + 90 in got)
+        assert not any(i + 90 in got and i not in got and index.unused[i] for i in range(30))
+
+
 def test_secrets_spans_and_ledger(spark, docs):
     assert secrets.find_spans("é token = 'abcdefgh'".encode()) == [(2, 0, 19)]
     assert secrets.find_spans(b"token=abc") == [] and secrets.find_spans(b"AKIA123") == []
